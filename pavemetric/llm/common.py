@@ -79,6 +79,16 @@ def read_file(uri: str) -> bytes:
         return f.read()
 
 
+def plain_id(name: str = "doc_id") -> list[Column]:
+    """The id without nulls, and no_id where it was null: pandas holds longs with nulls as floats, which lose digits."""
+    c = F.col(name).cast("long")
+    return [F.coalesce(c, F.lit(0)).alias(name), c.isNull().alias("no_id")]
+
+
+def null_id(name: str = "doc_id") -> Column:
+    return F.when(~F.col("no_id"), F.col(name)).alias(name)
+
+
 def crc32_of_text(text: Column) -> Column:
     return F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8"))
 

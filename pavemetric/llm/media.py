@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import null_id, plain_id, saved
 
 PACKET, SYNC = 188, 0x47
 PAT_PID, PMT_PID, DATA_PID, PROGRAM = 0x0000, 0x1000, 0x0100, 1
@@ -170,15 +170,15 @@ class Demuxed:
 
 
 def to_media(docs: DataFrame, block: int = 192) -> DataFrame:
-    """doc_id, n_bytes, payload_bytes and the media column: the text in UTF-8 (null: empty), padded by spaces to a positive multiple of block, as a transport stream."""
+    """doc_id (no_id: null), n_bytes, payload_bytes and the media column: the text in UTF-8 (null: empty), padded by spaces to a positive multiple of block, as a transport stream."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             raw = [(t or "").encode() for t in batch["text"]]
             padded = [r.ljust(max(block, -(-len(r) // block) * block), b" ") for r in raw]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_bytes": [len(r) for r in raw], "payload_bytes": [len(p) for p in padded], "media": [mux(p) for p in padded]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "no_id": batch["no_id"], "n_bytes": [len(r) for r in raw], "payload_bytes": [len(p) for p in padded], "media": [mux(p) for p in padded]})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, n_bytes long, payload_bytes long, media binary")
+    return docs.select(*plain_id(), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, no_id boolean, n_bytes long, payload_bytes long, media binary")
 
 
 def read_media(media: DataFrame, index: bool = True) -> DataFrame:
@@ -193,19 +193,20 @@ def read_media(media: DataFrame, index: bool = True) -> DataFrame:
 
         for batch in batches:
             rows = []
-            for doc_id, n, stream in zip(batch["doc_id"], batch["n_bytes"], batch["media"], strict=True):
+            for doc_id, no_id, n, stream in zip(batch["doc_id"], batch["no_id"], batch["n_bytes"], batch["media"], strict=True):
                 stream = bytes(stream or b"")
                 d = Demuxed(stream)
-                rows.append((None if pd.isna(doc_id) else int(doc_id), n, len(d.payload), sha256(d.payload).hexdigest(), crc32(d.payload[-16:]), len(stream), sha256(stream).hexdigest(), d.feature, d.units if index else None))
-            names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "access_units"]
-            out = pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+                rows.append((doc_id, no_id, n, len(d.payload), sha256(d.payload).hexdigest(), crc32(d.payload[-16:]), len(stream), sha256(stream).hexdigest(), d.feature, d.units if index else None))
+            names = ["doc_id", "no_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "access_units"]
+            out = pd.DataFrame(rows, columns=names)
             if index:
                 keys = ("pts", "start", "length", "random_access")
                 out["access_units"] = [[dict(zip(keys, u, strict=True)) for u in units] for units in out["access_units"]]
             yield out if index else out.drop(columns="access_units")
 
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return media.mapInPandas(run, schema + (f", access_units {INDEX}" if index else ""))
+    schema = "doc_id long, no_id boolean, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    out = media.mapInPandas(run, schema + (f", access_units {INDEX}" if index else ""))
+    return out.select(null_id(), *[c for c in out.columns if c not in ("doc_id", "no_id")])
 
 
 def media_columns(docs: DataFrame, index: bool = True) -> DataFrame:

@@ -9,10 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remove, saved_at
+from .common import null_id, plain_id, remove, saved_at
 from .tokens import Encoder
 
-PIECES = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "uid long, doc_id long, no_id boolean, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, part long, bin long, offset long, fill long, bins long, bound long"
 #: Documents that one packing task holds; rounds of exchange between partitions with gaps.
 PART_ROWS, ROUNDS = 25_000, 4
@@ -75,22 +75,20 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 102
         encoder, uid = Encoder(tokenizer, end_id, spaced), TaskContext.get().partitionId() << 36
         for batch in batches:
             rows = []
-            for doc_id, ids in zip(batch["doc_id"], encoder.encode(batch["text"].tolist()), strict=True):
-                doc_id = None if pd.isna(doc_id) else int(doc_id)
+            for doc_id, no_id, ids in zip(batch["doc_id"], batch["no_id"], encoder.encode(batch["text"].tolist()), strict=True):
                 n = len(ids) // 4
                 at, k = 0, 0
                 while at < n:
                     size = (n - at - 1) % capacity + 1
-                    rows.append((uid, doc_id, k, at, size, crc32(ids[4 * at : 4 * (at + size)])))
+                    rows.append((uid, doc_id, no_id, k, at, size, crc32(ids[4 * at : 4 * (at + size)])))
                     at, k, uid = at + size, k + 1, uid + 1
-            out = pd.DataFrame(rows, columns=["uid", "doc_id", "piece", "start", "length", "ids_crc32"])
-            yield out.astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["uid", "doc_id", "no_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, PIECES)
+    return docs.select(*plain_id(), F.col("text").cast("string").alias("text")).mapInPandas(run, PIECES)
 
 
 def pack(items: DataFrame, capacity: int = 1024, part_rows: int = PART_ROWS, rounds: int = ROUNDS) -> DataFrame:
-    """items (uid, doc_id, piece, start, length, ids_crc32), lengths 1 to capacity, uid unique. Adds sequence_id, offset.
+    """items (uid, doc_id, no_id, piece, start, length, ids_crc32), lengths 1 to capacity, uid unique. Adds sequence_id, offset.
 
     Each partition of about part_rows open pieces is packed by best fit decreasing and certified if its bins meet its
     lower bound. Partitions with gaps pool what lies in their unfilled bins, deal it anew and pack it again, as long as
@@ -137,4 +135,5 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: i
     Null or empty text: the end id alone. Repeated rows and null ids: packed like any other row. No rows: no pieces.
     """
     items, _ = saved_at(pieces(docs, tokenizer, end_id, capacity, spaced), "pieces")
-    return pack(items, capacity).drop("uid")
+    packed = pack(items, capacity)
+    return packed.select(null_id(), *[c for c in packed.columns if c not in ("uid", "doc_id", "no_id")])

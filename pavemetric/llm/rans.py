@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import read_file, saved, saved_at, scratch, small, write_file
+from .common import plain_id, read_file, saved, scratch, small, write_file
 from .tokens import Encoder
 
 MAGIC = b"RANSTOK1"
@@ -161,7 +161,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
     spark = docs.sparkSession
     bounds = file_bounds(docs, file_rows)
     nulls = docs.where("doc_id is null").count() // file_rows + 1  # files of null ids, before the others
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(*plain_id(), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder, ends = Encoder(tokenizer, end_id, spaced), np.array(bounds, np.int64)
@@ -170,21 +170,21 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
             raw = [x.astype("<u2").tobytes() if x.max() < 1 << 16 else x.astype("<u4").tobytes() for x in ids]
             wide = [len(r) // len(x) for r, x in zip(raw, ids, strict=True)]
             salt = np.array([zlib.crc32(r) for r in raw], np.int64)
-            null = batch["doc_id"].isna().to_numpy()
-            key = batch["doc_id"].fillna(0).to_numpy().astype(np.int64)
+            null = batch["no_id"].to_numpy(bool)
+            key = batch["doc_id"].to_numpy(np.int64)
             low, high = np.searchsorted(ends, key, "left"), np.searchsorted(ends, key, "right")
             file = np.where(null, salt % nulls - nulls, low + salt % (high - low + 1))
-            yield pd.DataFrame({"file": file, "doc_id": batch["doc_id"].astype("Int64"), "wide": wide, "ids": raw})
+            yield pd.DataFrame({"file": file, "doc_id": batch["doc_id"], "no_id": batch["no_id"], "wide": wide, "ids": raw})
 
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "ids"], na_position="first", ignore_index=True)
+        pdf = pdf.sort_values(["doc_id", "ids"], ignore_index=True)
         ids = [np.frombuffer(x, f"<u{w}").astype(np.uint32) for x, w in zip(pdf["ids"], pdf["wide"], strict=True)]
         file = int(pdf["file"].iloc[0])
-        numbers = [None if pd.isna(d) else int(d) for d in pdf["doc_id"]]
+        numbers = [None if z else d for d, z in zip(pdf["doc_id"].tolist(), pdf["no_id"].tolist(), strict=True)]
         data = pack_file(numbers, np.array([len(x) for x in ids]), np.concatenate(ids))
         return pd.DataFrame({"file": [file], "path": [write_file(folder, f"tokens-{file + nulls:07d}.rans", data)], "docs": [len(pdf)], "ids": [sum(map(len, ids))]})
 
-    coded = rows.mapInPandas(run, "file long, doc_id long, wide int, ids binary")
+    coded = rows.mapInPandas(run, "file long, doc_id long, no_id boolean, wide int, ids binary")
     return saved(coded.groupBy("file").applyInPandas(write, "file long, path string, docs long, ids long"), "tokens")
 
 

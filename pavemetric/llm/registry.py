@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, media, mixing, packing, quality, rans, sharding, warc
+from . import exact_dedup, line_dedup, media, mixing, ngram_join, packing, quality, rans, sharding, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op4_media_columns(spark: SparkSession, folder: str) -> DataFrame:
     return media.media_columns(table(spark, folder, "documents"), index=False)
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.ngram_components(table(spark, folder, "documents")).drop("copy_key", "kept")
+
+
 def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -61,7 +65,7 @@ def op10_poisson_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op2_sharding, op3_warc, op4_media_columns, op6_quality_classifier, op7_exact_dedup, op8_token_files, op9_line_dedup, op10_poisson_mix)
+    for f in (op1_best_fit_packing, op2_sharding, op3_warc, op4_media_columns, op5_ngram_jaccard_join, op6_quality_classifier, op7_exact_dedup, op8_token_files, op9_line_dedup, op10_poisson_mix)
 }
 
 OP3 = """
@@ -73,6 +77,19 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM q
 """
 
+#: Pairs that share a shingle, hence every pair that can link; components by reachability.
+OP5 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, string_split_regex(trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' '), ' ') AS words FROM documents),
+n AS (SELECT doc_id, CASE WHEN words = [''] THEN [] ELSE words END AS words FROM w),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')] ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS g FROM n),
+c AS (SELECT n.doc_id, count(s.g) AS n FROM n LEFT JOIN s USING (doc_id) GROUP BY n.doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM o JOIN c x ON x.doc_id = a JOIN c y ON y.doc_id = b WHERE 100 * o >= 80 * (x.n + y.n - o)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a AS doc_id, b AS reach FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.reach)
+SELECT c.doc_id, CAST(c.n AS BIGINT) AS n_shingles, least(c.doc_id, coalesce(min(r.reach), c.doc_id)) AS component_id FROM c LEFT JOIN r USING (doc_id) GROUP BY c.doc_id, c.n
+"""
+
 OP7 = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS n FROM documents),
 g AS (SELECT doc_id, n, first_value(doc_id) OVER (PARTITION BY n ORDER BY length(t) DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY n) AS group_size FROM d)
@@ -103,4 +120,4 @@ SELECT doc_id, source, CAST(copy AS INT) AS copy, copies, CAST('0x' || substr(md
 FROM (SELECT *, unnest(range(copies)) AS copy FROM c)
 """
 
-ORACLES: dict[str, str] = {"op3_warc": OP3, "op7_exact_dedup": OP7, "op9_line_dedup": OP9, "op10_poisson_mix": OP10}
+ORACLES: dict[str, str] = {"op3_warc": OP3, "op5_ngram_jaccard_join": OP5, "op7_exact_dedup": OP7, "op9_line_dedup": OP9, "op10_poisson_mix": OP10}

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_file, saved_at, scratch, small, write_file
+from .common import plain_id, read_file, saved_at, scratch, small, write_file
 
 #: Head of the skippable frame that holds the dictionary, as the draft for zstd-compressed WARC files has it.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -90,13 +90,13 @@ def parse(rec: bytes) -> dict[str, str | bytes]:
 
 
 def deduplicated(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
-    """page_id, url, html, digest and the smallest page_id with the payload (refers) where payloads have min_bytes."""
+    """page_id (no_id: null), url, html, digest and whether it is a revisit of the smallest page_id with the payload (refers)."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
     rows = rows.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256)).withColumn("long_enough", F.octet_length("html") >= min_bytes)
-    first = rows.where("long_enough").groupBy(F.col("digest").alias("f_digest")).agg(F.min("page_id").alias("refers"), F.count("*").alias("f_rows")).where("f_rows > 1").drop("f_rows")
+    first = rows.where("long_enough").groupBy(F.col("digest").alias("f_digest")).agg(F.min("page_id").alias("first_id"), F.count("*").alias("f_rows")).where("f_rows > 1").drop("f_rows")
     first, _ = saved_at(first, "payloads")
-    return rows.join(small(first, first.count()), F.col("long_enough") & (F.col("digest") == F.col("f_digest")), "left").select("page_id", "url", "html", "digest", "refers")
+    return rows.join(small(first, first.count()), F.col("long_enough") & (F.col("digest") == F.col("f_digest")), "left").select(*plain_id("page_id"), "url", "html", "digest", F.coalesce("first_id", F.lit(0)).alias("refers"), (F.col("first_id").isNotNull() & ~F.col("first_id").eqNullSafe(F.col("page_id"))).alias("revisit"))
 
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 100) -> DataFrame:
@@ -123,10 +123,9 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 100) -> DataF
             return out
 
         for batch in batches:
-            for page_id, url, html, digest, refers in batch[["page_id", "url", "html", "digest", "refers"]].itertuples(index=False, name=None):
-                page_id, refers = None if pd.isna(page_id) else int(page_id), None if pd.isna(refers) else int(refers)
+            for page_id, no_id, url, html, digest, refers, revisit in batch[["page_id", "no_id", "url", "html", "digest", "refers", "revisit"]].itertuples(index=False, name=None):
                 payload = html.encode()
-                records.append(record(page_id, task << 32 | row, url, payload, digest, refers, refers is not None and refers != page_id))
+                records.append(record(None if no_id else page_id, task << 32 | row, url, payload, digest, refers, revisit))
                 row, size = row + 1, size + len(payload)
                 if size >= ARCHIVE_BYTES:
                     yield flush()
@@ -149,7 +148,7 @@ def read_archives(listed: DataFrame) -> DataFrame:
 
         for batch in batches:
             for path in batch["path"]:
-                rows = []
+                rows: list[tuple] = []
                 for r in map(parse, records_of(read_file(path))):
                     head, _, body = r["block"].partition(b"\r\n\r\n")
                     n = int(re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", head)[1])
@@ -158,8 +157,8 @@ def read_archives(listed: DataFrame) -> DataFrame:
                     if not revisit and (len(body) != n or sha256(body).hexdigest() != digest):
                         raise ValueError(f"payload of {r['warc-record-id']} in {path} is damaged")
                     rows.append((int(r["warc-record-row"]), number(r["warc-record-id"]), n, digest, r["warc-type"], number(r["warc-refers-to"]) if revisit else None))
-                out = pd.DataFrame(rows, columns=["row", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-                yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
+                out = pd.DataFrame(rows, columns=["row", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"], dtype=object)
+                yield out.astype({"row": "int64", "page_id": "Int64", "payload_bytes": "int64", "refers_to": "Int64"})
 
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return listed.repartition(tasks, "path").mapInPandas(run, READ)
