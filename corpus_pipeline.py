@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pavemetric.llm import exact_dedup, mixing, packing, quality
+from pavemetric.llm import exact_dedup, mixing, ngram_join, packing, quality
 from pavemetric.llm.common import saved
 from pavemetric.llm.registry import table, tokenizer
 
@@ -21,7 +21,7 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dissimilar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies one document stays."""
-    return docs
+    return ngram_join.drop_near_copies(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
