@@ -122,6 +122,13 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def fresh(df: DataFrame, prefix: str) -> str:
+    """A prefix that no column of df has (names are compared without case)."""
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix = f"_{prefix}"
+    return prefix
+
+
 def copy_key(text: Column) -> Column:
     """With doc_id, what a row of documents is known by."""
     return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
@@ -133,11 +140,13 @@ def keep_rows(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     decisions (doc_id, copy_key, kept) has a row for each row of docs that may go. Only the keys of rows that go or
     repeat are gathered; their side is broadcast if its counted rows are few, else both sides are shuffled.
     """
-    marks = decisions.groupBy(F.col("doc_id").alias("k_id"), F.col("copy_key").alias("k_key")).agg(F.max("kept").alias("k_kept"), F.count("*").alias("k_rows"))
-    marks, _ = saved_at(marks.where("not k_kept or k_rows > 1"), "marks")
-    n, repeated = marks.agg(F.count("*"), F.count_if("k_kept")).first()
-    joined = docs.withColumn("k_hash", copy_key(F.col("text"))).join(small(marks, n), F.col("doc_id").cast("long").eqNullSafe(F.col("k_id")) & (F.col("k_hash") == F.col("k_key")), "left")
-    out = joined.where("k_rows is null").select(*docs.columns)
+    p = fresh(docs, "k_")
+    marks = decisions.groupBy(F.col("doc_id").alias(f"{p}id"), F.col("copy_key").alias(f"{p}key")).agg(F.max("kept").alias(f"{p}kept"), F.count("*").alias(f"{p}rows"))
+    marks, _ = saved_at(marks.where(f"not {p}kept or {p}rows > 1"), "marks")
+    n, repeated = marks.agg(F.count("*"), F.count_if(f"{p}kept")).first()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(f"{p}id")) & (F.col(f"{p}hash") == F.col(f"{p}key"))
+    joined = docs.withColumn(f"{p}hash", copy_key(F.col("text"))).join(small(marks, n), same, "left")
+    out = joined.where(f"{p}rows is null").select(*docs.columns)
     if repeated:
-        out = out.unionByName(joined.where("k_kept").dropDuplicates(["k_id", "k_key"]).select(*docs.columns))
+        out = out.unionByName(joined.where(f"{p}kept").dropDuplicates([f"{p}id", f"{p}key"]).select(*docs.columns))
     return out

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import remove, saved_at, small
+from .common import fresh, remove, saved_at, small
 
 #: Sites from which a line is boilerplate; log2 of the sketch's registers; width of the band with exact counts, in
 #: standard errors of the sketch (1.04 / sqrt(registers) each).
@@ -45,21 +45,21 @@ def drop_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN
     line; repeated rows count their site once; a null site counts for no line, but its texts are cleaned too; an empty
     table gives an empty one. Existing columns named n_lines or n_removed are replaced.
     """
-    text = F.col("text").cast("string")
+    p, text = fresh(docs, "b_"), F.col("text").cast("string")
     split = F.split(text, "\n", -1)
     hashes = F.transform(F.filter(F.transform(split, line_key), lambda x: x != ""), lambda x: F.xxhash64(x))
     lines = docs.select(F.explode(F.array_distinct(hashes)).alias("h"), F.col(site).cast("string").alias("site"))
     bad = boilerplate(lines, min_sites, lg_k)
     # which hashes go from which text; texts are known by doc_id and hash, and only those that lose lines are listed
-    keys = docs.select(F.col("doc_id").cast("long").alias("b_id"), F.xxhash64(text).alias("b_key"), F.explode(F.array_distinct(hashes)).alias("h"))
-    gone = keys.join(small(bad, bad.count()), "h", "left_semi").groupBy("b_id", "b_key").agg(F.collect_set("h").alias("b_gone"))
+    keys = docs.select(F.col("doc_id").cast("long").alias(f"{p}id"), F.xxhash64(text).alias(f"{p}key"), F.explode(F.array_distinct(hashes)).alias("h"))
+    gone = keys.join(small(bad, bad.count()), "h", "left_semi").groupBy(f"{p}id", f"{p}key").agg(F.collect_set("h").alias(f"{p}gone"))
     gone, _ = saved_at(gone, "gone")
-    out = docs.drop("n_lines", "n_removed").withColumn("b_hash", F.xxhash64(text))
+    out = docs.drop("n_lines", "n_removed").withColumn(f"{p}hash", F.xxhash64(text))
     # a listed text may lose many lines, so the limit is on the hashes
-    weight = gone.agg(F.coalesce(F.sum(F.size("b_gone") + 4), F.lit(0))).first()[0]
-    out = out.join(small(gone, weight), F.col("doc_id").cast("long").eqNullSafe(F.col("b_id")) & (F.col("b_hash") == F.col("b_key")), "left")
-    kept = F.filter(split, lambda x: (line_key(x) == "") | ~F.array_contains("b_gone", F.xxhash64(line_key(x))))
-    whole = F.col("b_gone").isNull()
+    weight = gone.agg(F.coalesce(F.sum(F.size(f"{p}gone") + 4), F.lit(0))).first()[0]
+    out = out.join(small(gone, weight), F.col("doc_id").cast("long").eqNullSafe(F.col(f"{p}id")) & (F.col(f"{p}hash") == F.col(f"{p}key")), "left")
+    kept = F.filter(split, lambda x: (line_key(x) == "") | ~F.array_contains(f"{p}gone", F.xxhash64(line_key(x))))
+    whole = F.col(f"{p}gone").isNull()
     n = F.coalesce(F.size(split), F.lit(0)).cast("long")
     n = F.when(text.isNull(), F.lit(0).cast("long")).otherwise(n)
     removed = F.when(whole, F.lit(0).cast("long")).otherwise(n - F.size(kept))

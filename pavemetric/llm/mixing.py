@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small
+from .common import fresh, small
 
 #: A mean above this is the sum of so many equal means below it, each drawn by itself; terms of a draw's table.
 MEAN_STEP, TERMS = 8.0, 64
@@ -36,22 +36,23 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, total:
     any other; empty texts stay; a source named with a weight but without rows gets none; an empty table gives an empty
     one. Columns named copy, copies or shuffle_key are replaced.
     """
+    p = fresh(docs, "m_")
     columns = [c for c in columns or docs.columns if c not in ("copy", "copies", "shuffle_key")]
-    counts = docs.groupBy(F.col("source").alias("m_source")).agg(F.count("*").alias("m_rows"))
+    counts = docs.groupBy(F.col("source").alias(f"{p}source")).agg(F.count("*").alias(f"{p}rows"))
     if weights is None:
-        share = F.pow(F.col("m_rows").cast("double"), F.lit(temperature))
+        share = F.pow(F.col(f"{p}rows").cast("double"), F.lit(temperature))
     else:
-        share = F.coalesce(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])[F.col("m_source")], F.lit(0.0)).cast("double")
-    counts = counts.withColumn("m_share", share)
-    sums = counts.agg(F.sum("m_rows").alias("rows"), F.sum("m_share").alias("shares"), F.count("*").alias("n")).first()
+        share = F.coalesce(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])[F.col(f"{p}source")], F.lit(0.0)).cast("double")
+    counts = counts.withColumn(f"{p}share", share)
+    sums = counts.agg(F.sum(f"{p}rows").alias("rows"), F.sum(f"{p}share").alias("shares"), F.count("*").alias("n")).first()
     if not sums["rows"] or not sums["shares"]:
         return docs.select(*columns, F.lit(0).alias("copy"), F.lit(0).alias("copies"), F.lit(0).cast("long").alias("shuffle_key")).where("false")
-    rate = F.col("m_share") * F.lit(float(total if total is not None else sums["rows"])) / F.lit(float(sums["shares"])) / F.col("m_rows")
-    rates = counts.select("m_source", rate.alias("m_rate")).withColumn("m_draws", F.greatest(F.lit(1), F.ceil(F.col("m_rate") / MEAN_STEP))).withColumn("m_table", poisson_table(F.col("m_rate") / F.col("m_draws")))
+    rate = F.col(f"{p}share") * F.lit(float(total if total is not None else sums["rows"])) / F.lit(float(sums["shares"])) / F.col(f"{p}rows")
+    rates = counts.select(f"{p}source", rate.alias(f"{p}rate")).withColumn(f"{p}draws", F.greatest(F.lit(1), F.ceil(F.col(f"{p}rate") / MEAN_STEP))).withColumn(f"{p}table", poisson_table(F.col(f"{p}rate") / F.col(f"{p}draws")))
     mixed = docs.select(*columns, *([] if "source" in columns else ["source"]), *([] if "doc_id" in columns else ["doc_id"]))
-    mixed = mixed.join(small(rates, sums["n"], 100_000), mixed["source"].eqNullSafe(rates["m_source"]))
-    draw = lambda j: F.size(F.filter("m_table", lambda c: c <= uniform(F.lit(seed), F.col("doc_id"), j)))
-    mixed = mixed.withColumn("copies", F.aggregate(F.sequence(F.lit(1), F.col("m_draws").cast("int")), F.lit(0), lambda n, j: n + draw(j))).where("copies > 0")
+    mixed = mixed.join(small(rates, sums["n"], 100_000), mixed["source"].eqNullSafe(rates[f"{p}source"]))
+    draw = lambda j: F.size(F.filter(f"{p}table", lambda c: c <= uniform(F.lit(seed), F.col("doc_id"), j)))
+    mixed = mixed.withColumn("copies", F.aggregate(F.sequence(F.lit(1), F.col(f"{p}draws").cast("int")), F.lit(0), lambda n, j: n + draw(j))).where("copies > 0")
     mixed = mixed.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     mixed = mixed.withColumn("shuffle_key", (uniform(F.lit(f"{seed} order"), F.col("doc_id"), F.col("copy")) * float(1 << 52)).cast("long"))
     # a random key, so each task gets a random share of the rows in random order

@@ -97,7 +97,9 @@ def cuts(n: int) -> list[tuple[int, int]]:
 def test_documents(docs, rows):
     out = packing.pack_documents(docs, tokenizer("byte_bpe_50k.json")).collect()
     sequences = check(out, rows)
-    assert sequences == packing.lower_bound(np.array([r.length for r in out]), 1024)
+    opened = np.array(sorted((r.length for r in out if r.length < 1024), reverse=True))
+    full = len(out) - len(opened)
+    assert packing.lower_bound(opened, 1024) + full <= sequences <= len(packing.best_fit_decreasing(opened, 1024)[2]) + full
 
 
 def test_partitions_exchange(spark):
