@@ -11,9 +11,13 @@ import numpy as np
 
 #: Entries that one worker's memo holds before it starts anew; a longer unit is kept for one batch only.
 MEMO_ENTRIES, MEMO_CHARS = 600_000, 48
-#: Texts encoded together, units sent to the library in one call.
-TEXTS, UNITS = 512, 256
+#: Texts encoded together (few, so that their units stay in a CPU's cache), units sent to the library in one call.
+TEXTS, UNITS = 48, 512
 SAFE = frozenset(string.punctuation)
+#: Byte-level: where stops and line ends don't begin a token group of their own, so that spaces alone divide a text.
+JOINED = re.compile(r"[.,](?<=[\W_].)")
+BLANKS = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+PAIRS = ("  ", "\n\n", "\n ", " \n")
 #: What the word-level path takes apart itself: printable ASCII, white space, Latin-1 letters and quotes.
 OTHER = re.compile(r"[^\t\n\r\x20-\x7e¡«¿»À-ÖØ-öø-ÿ]")
 WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
@@ -23,9 +27,10 @@ class Encoder:
     """Ids of whole texts, equal to the library's own.
 
     Each distinct unit is encoded by the library once and remembered; new units go to it many in a call. Byte-level
-    (spaced): a unit is what stands between single spaces, and the space in a token shows where a unit starts. Word-level:
-    a unit is a token group of the lower-cased text, and the word end in a token shows where it ends. A text that holds
-    anything these rules don't cover goes to the library whole.
+    (spaced): a unit starts at a single space between a character and a non-space character, and at stops and line ends
+    that follow a letter or digit; the space in a token shows where a unit starts. Word-level: a unit is a token group of
+    the lower-cased text, and the word end in a token shows where it ends. A text that holds anything these rules don't
+    cover goes to the library whole.
     """
 
     def __init__(self, path: str, end_id: int, spaced: bool):
@@ -41,28 +46,41 @@ class Encoder:
             self.edge[i] = token.startswith("Ġ") if spaced else token.endswith("</w>")
         self.end, self.spaced = np.uint32(end_id).tobytes(), spaced
         self.memo: dict[str, bytes | None] = {}
+        self.heads: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
     def _units(self, text: str) -> tuple[str, list[str]] | None:
         """What comes before the first unit, and the units."""
-        if self.spaced:
-            first, *rest = text.split(" ")
-            return first, rest
-        return None if OTHER.search(text) else ("", WORDS.findall(text.lower()))
+        if not self.spaced:
+            return None if OTHER.search(text) else ("", WORDS.findall(text.lower()))
+        if "\x00" in text:
+            return None
+        plain = not (JOINED.search(text) or any(p in text for p in PAIRS) or text.endswith((" ", "\n")) or BLANKS.search(text))
+        text = text.replace(" ", "\x00 ")
+        if plain:
+            text = text.replace(".", "\x00.").replace(",", "\x00,").replace("\n", "\x00\n")
+        first, *rest = text.split("\x00")
+        return first, rest
 
-    def _learn(self, units: set[str]) -> list[str]:
+    def _learn(self, units: set[str]) -> set[str]:
         memo = self.memo
-        new = [u for u in units if u not in memo]
+        new = units.difference(memo)
+        together = new
         if self.spaced:
             memo.update(dict.fromkeys(new))
-            safe = [u for u in new if u and (u[0].isalnum() or u[0] in SAFE)]
-        else:
-            safe = new
-        for i in range(0, len(safe), UNITS):
-            some = safe[i : i + UNITS]
-            ids = self._ids(" " * self.spaced + " ".join(some))
+            together = []
+            for u in new:
+                lead, c = u[:1], u[1:2]
+                if lead == " " and c and (c.isalnum() or c in SAFE):
+                    together.append(u)
+                elif lead and lead != " ":
+                    memo[u] = self._ids(u).tobytes()
+        together, space = list(together), "" if self.spaced else " "
+        for i in range(0, len(together), UNITS):
+            some = together[i : i + UNITS]
+            ids = self._ids(space.join(some))
             edges = np.flatnonzero(self.edge[ids])
             cuts = [*edges[1:].tolist(), len(ids)] if self.spaced else (edges + 1).tolist()
             raw, at = ids.tobytes(), 0
@@ -71,20 +89,30 @@ class Encoder:
                 at = end
         return new
 
+    def _head(self, text: str) -> bytes:
+        ids = self.heads.get(text)
+        if ids is None:
+            ids = self._ids(text).tobytes()
+            if len(text) <= MEMO_CHARS:
+                self.heads[text] = ids
+        return ids
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, the end id last; a null text is empty."""
         out: list[bytes] = []
         for i in range(0, len(texts), TEXTS):
             some = [t or "" for t in texts[i : i + TEXTS]]
             units = [self._units(t) for t in some]
-            if len(self.memo) > MEMO_ENTRIES:
-                self.memo.clear()
-            new = self._learn(set(chain.from_iterable(u[1] for u in units if u)))
+            wanted = set(chain.from_iterable(u[1] for u in units if u))
+            if len(self.memo) + len(self.heads) > MEMO_ENTRIES:
+                self.memo = {u: self.memo[u] for u in wanted.intersection(self.memo)}
+                self.heads.clear()
+            new = self._learn(wanted)
             get = self.memo.__getitem__
             for u, t in zip(units, some, strict=True):
                 try:
                     head, rest = u
-                    ids = (self._ids(head).tobytes() if head else b"") + b"".join(map(get, rest))
+                    ids = (self._head(head) if head else b"") + b"".join(map(get, rest))
                 except TypeError:
                     ids = self._ids(t).tobytes()
                 out.append(ids + self.end)
