@@ -158,17 +158,12 @@ def screened(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, str]:
     return saved_at(summed.select("uid", "row.*", "hits"), "screen")
 
 
-def _cut(pdf: pd.DataFrame, words: int) -> Iterator[tuple[bytes, int, bytes]]:
-    for s in Shingler(words).sets(pdf["text"].tolist()):
-        yield class_key(s), len(s), s.tobytes()
-
-
 def prefixes(sets: DataFrame, blocks: int) -> DataFrame:
-    """cls, n, gram, place: the grams of each class's rare-first prefix that other classes have too."""
+    """cid, n, gram, place: the grams of each class's rare-first prefix that other classes have too."""
     ranges = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks // 4)
 
     def local(pdf: pd.DataFrame) -> pd.DataFrame:
-        grams, counts = np.unique(grouped(pdf.drop_duplicates("cls"), "grams"), return_counts=True)
+        grams, counts = np.unique(grouped(pdf.drop_duplicates("cid"), "grams"), return_counts=True)
         rng = ((grams >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
         cuts = np.searchsorted(rng, np.arange(ranges + 1))
         counts = counts.astype(np.uint32)
@@ -192,7 +187,7 @@ def prefixes(sets: DataFrame, blocks: int) -> DataFrame:
         o = np.argsort(shared)
         shared, df = shared[o], df[o]
         out = []
-        for cls, n, raw in left.drop_duplicates("cls")[["cls", "n", "grams"]].itertuples(index=False, name=None):
+        for cid, n, raw in left.drop_duplicates("cid")[["cid", "n", "grams"]].itertuples(index=False, name=None):
             grams = np.frombuffer(raw, np.uint64)
             at = np.searchsorted(shared, grams)
             common = at < len(shared)
@@ -202,22 +197,22 @@ def prefixes(sets: DataFrame, blocks: int) -> DataFrame:
             if alone >= size:
                 continue
             first = np.lexsort((mine, d))[: size - alone]
-            out.append(pd.DataFrame({"cls": [cls] * len(first), "n": n, "gram": mine[first].view(np.int64), "place": alone + np.arange(len(first))}))
-        return pd.concat(out) if out else pd.DataFrame({"cls": [], "n": [], "gram": [], "place": []})
+            out.append(pd.DataFrame({"cid": cid, "n": n, "gram": mine[first].view(np.int64), "place": alone + np.arange(len(first))}))
+        return pd.concat(out) if out else pd.DataFrame({"cid": [], "n": [], "gram": [], "place": []})
 
     counted = sets.groupBy("block").applyInPandas(local, "slice int, block int, grams binary, counts binary")
     counted = counted.groupBy("slice").applyInPandas(total, "block int, grams binary, df binary")
-    return sets.groupBy("block").cogroup(counted.groupBy("block")).applyInPandas(order, "cls binary, n int, gram long, place int")
+    return sets.groupBy("block").cogroup(counted.groupBy("block")).applyInPandas(order, "cid long, n int, gram long, place int")
 
 
-def linked(cls: list[bytes], sets: list[np.ndarray], side: np.ndarray | None = None) -> list[tuple[bytes, bytes]]:
+def linked(names: list, sets: list[np.ndarray], side: np.ndarray | None = None) -> list[tuple]:
     """Links among the sets that connect all pairs of similarity PERCENT or more, each pair verified once at most.
 
     side: only pairs of different sides are compared.
     """
     sizes = np.array([len(s) for s in sets])
     by_size = np.argsort(sizes, kind="stable")
-    cls, sets, sizes = [cls[i] for i in by_size], [sets[i] for i in by_size], sizes[by_size]
+    names, sets, sizes = [names[i] for i in by_size], [sets[i] for i in by_size], sizes[by_size]
     side = side[by_size] if side is not None else None
     grams, inverse, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     rank = np.empty(len(grams), np.int64)
@@ -276,7 +271,7 @@ def linked(cls: list[bytes], sets: list[np.ndarray], side: np.ndarray | None = N
                 a, b = root(x), root(y)
                 if a != b:
                     parent[max(a, b)] = min(a, b)
-                    links.append((cls[x], cls[y]))
+                    links.append((names[x], names[y]))
     return links
 
 
@@ -292,51 +287,55 @@ def ngram_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
     spark = docs.sparkSession
     rows, rows_at = screened(docs, words)
     classes = rows.where((F.col("n") > 0) & (F.col("hits") > F.floor(F.col("n") / 25))).groupBy("cls").agg(F.min_by("doc_id", F.struct("doc_id", "copy_key")).alias("c_id"), F.min_by("copy_key", F.struct("doc_id", "copy_key")).alias("c_key"))
-    classes, classes_at = saved_at(classes, "classes")
+    classes, classes_at = saved_at(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     number = classes.count()
     blocks = max(1, number // BLOCK_DOCS)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingler = Shingler(words)
         for batch in batches:
-            yield pd.DataFrame(list(_cut(batch, words)), columns=["cls", "n", "grams"])
+            sets = shingler.sets(batch["text"].tolist())
+            yield pd.DataFrame({"cid": batch["cid"], "n": [len(x) for x in sets], "grams": [x.tobytes() for x in sets]})
 
     # texts of the classes' first documents; with few classes this is one scan, with many a shuffle of the texts
-    wanted = classes.select("c_id", "c_key")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), copy_key(F.col("text")).alias("copy_key"))
-    texts = texts.join(small(wanted, number), F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("copy_key") == F.col("c_key")), "left_semi").select("text")
-    sets = texts.mapInPandas(cut, "cls binary, n int, grams binary").withColumn("block", F.pmod(F.xxhash64("cls"), F.lit(blocks)).cast("int"))
+    texts = texts.join(small(classes.drop("cls"), number), F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("copy_key") == F.col("c_key"))).select("cid", "text")
+    sets = texts.mapInPandas(cut, "cid long, n int, grams binary").withColumn("block", F.pmod(F.xxhash64("cid"), F.lit(blocks)).cast("int"))
     sets, sets_at = saved_at(sets, "sets")
     postings, postings_at = saved_at(prefixes(sets, blocks), "prefixes")
 
     # classes whose lengths permit it fall into one band, or into neighbouring ones
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / PERCENT))).cast("int")
-    met = postings.select("cls", "gram", F.explode(F.array(band, band + 1)).alias("band"))
-    pivots = met.groupBy("gram", "band").agg(F.min("cls").alias("pivot"), F.count("*").alias("k")).where("k > 1").drop("k")
-    edges = met.join(pivots, ["gram", "band"]).where("cls <> pivot").select(F.col("cls").alias("a"), F.col("pivot").alias("b"))
+    met = postings.select("cid", F.explode(F.array(band, band + 1)).alias("band"), "gram").select("cid", F.xxhash64("gram", "band").alias("meeting"))
+    pivots = met.groupBy("meeting").agg(F.min("cid").alias("pivot"), F.count("*").alias("k")).where("k > 1").drop("k")
+    edges = met.join(pivots, "meeting").where("cid <> pivot").select(F.col("cid").alias("a"), F.col("pivot").alias("b"))
     clusters = components(edges, "clusters")
     sizes = clusters.groupBy("root").agg(F.count("*").alias("members"))
     clusters = clusters.join(sizes, "root")
     cuts = F.ceil(F.col("members") * 2 / CLUSTER_DOCS).cast("int")
     cuts = F.when(F.col("members") <= CLUSTER_DOCS, 1).otherwise(cuts)
     clusters = clusters.withColumn("cuts", cuts).withColumn("piece", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
-    jobs = clusters.select("root", F.col("node").alias("cls"), "piece", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other"))
-    jobs = jobs.select("root", "cls", "piece", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"))
+    jobs = clusters.select("root", F.col("node").alias("cid"), "piece", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other"))
+    jobs = jobs.select("root", "cid", "piece", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"))
 
     def join(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("cls").sort_values("cls", ignore_index=True)
+        pdf = pdf.drop_duplicates("cid").sort_values("cid", ignore_index=True)
         side = None if key[1] == key[2] else pdf["piece"].to_numpy()
-        return pd.DataFrame(linked(pdf["cls"].tolist(), [np.frombuffer(g, np.uint64) for g in pdf["grams"]], side), columns=["a", "b"])
+        return pd.DataFrame(linked(pdf["cid"].tolist(), [np.frombuffer(g, np.uint64) for g in pdf["grams"]], side), columns=["a", "b"])
 
-    links = jobs.join(sets.select("cls", "grams"), "cls").groupBy("root", "i", "j").applyInPandas(join, "a binary, b binary")
+    links = jobs.join(sets.select("cid", "grams"), "cid").groupBy("root", "i", "j").applyInPandas(join, "a long, b long")
     links, links_at = saved_at(links, "links")
     groups = components(links, "near")
 
     # labels by class, then by component; a class's documents may be a third of all, which skew joins split
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "copy_key")
     least = rows.where("n > 0").groupBy("cls").agg(F.min(first).alias("least"))
-    least = least.join(groups.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    best = least.groupBy("root").agg(F.min("least").alias("best"))
-    labels, _ = saved_at(least.select("cls", "root").join(best, "root").select(F.col("cls").alias("l_cls"), F.col("best.doc_id").alias("l_id"), F.col("best.copy_key").alias("l_key")), "labels")
+    linked_classes = classes.select("cls", "cid").join(groups.select(F.col("node").alias("cid"), "root"), "cid").select("cls", "root")
+    rooted = least.join(linked_classes, "cls")
+    best = rooted.groupBy("root").agg(F.min("least").alias("best"))
+    rooted = rooted.join(best, "root").select("cls", "best")
+    label = F.coalesce("best", "least")
+    labels, _ = saved_at(least.join(rooted, "cls", "left").select(F.col("cls").alias("l_cls"), label["doc_id"].alias("l_id"), label["copy_key"].alias("l_key")), "labels")
     remove(spark, classes_at, sets_at, postings_at, links_at)
     out = rows.join(labels, F.col("cls") == F.col("l_cls"), "left")
     alone = F.col("l_cls").isNull()
