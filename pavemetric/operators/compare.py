@@ -14,8 +14,8 @@ COLUMNS = [0.90, 0.95, 0.975, 0.99, 0.995, 0.999]
 ROWS, LARGE = 35, 35
 #: Column by level; legacy reads 0.995 for P_999.
 LEVELS = {"fixed": {"P_90": 0, "P_95": 1, "P_975": 2, "P_99": 3, "P_999": 5}, "legacy": {"P_90": 0, "P_95": 1, "P_975": 2, "P_99": 3, "P_999": 4}}
-# Fixed value: the printed table's entry for one degree of freedom at 0.999 (318.309 when rounded).
-PRINTED = {(1, 5): 318.313}
+# Entries of the printed table at 0.999 that differ from the rounded value, by degrees of freedom and column.
+PRINTED = {(1, 5): 318.313, (7, 5): 4.782, (8, 5): 4.499, (9, 5): 4.296, (10, 5): 4.143, (11, 5): 4.024, (12, 5): 3.929}
 
 
 def _beta_fraction(x: float, a: float, b: float) -> float:
@@ -60,7 +60,7 @@ def degrees_row(n1: Column, n2: Column, sd1: Column, sd2: Column) -> Column:
     under = safe_div(v1 * v1, n1 - 1.0), safe_div(v2 * v2, n2 - 1.0)
     df = safe_div((v1 + v2) * (v1 + v2), under[0] + under[1])
     row = F.greatest(F.lit(0), F.least(F.lit(ROWS - 1), half_up(df).cast("int") - 1))
-    return F.when((n1 > LARGE) & (n2 > LARGE), ROWS - 1).otherwise(F.coalesce(row, F.lit(0)))
+    return F.when((n1 > LARGE) & (n2 > LARGE), ROWS - 1).when(df.isNull(), 0).otherwise(row)
 
 
 def compare(first: DataFrame, second: DataFrame, by: list[str], level: str = "P_95", mode: str = "fixed") -> DataFrame:

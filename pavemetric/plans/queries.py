@@ -255,7 +255,7 @@ def comparison(columns: str, by: str, mode: str = "fixed", level: str = "P_95")
         a=f"SELECT {', '.join(f'p.{c} AS {c}' for c in by.split(', '))}, p.n AS n1, q.n AS n2, p.mean AS m1, q.mean AS m2, p.std_dev AS s1, q.std_dev AS s2 FROM p JOIN q USING ({by})",
         b=f"SELECT *, m1 - m2 AS difference, sqrt(s1 * s1 / n1 + {other_s} * {other_s} / {other_n.replace('n1', 'n2')}) AS combined_sd, (n1 + {other_n}) / 2.0 AS mean_size, {safe(f'{v1} * {v1}', '(n1 - 1.0)')} AS u1, {safe(f'{v2} * {v2}', '(n2 - 1.0)')} AS u2 FROM a",
         c=f"SELECT *, {safe('difference', 'm1')} AS difference_pct, {safe('difference', 'combined_sd')} AS t_stat, {safe(f'({v1} + {v2}) * ({v1} + {v2})', 'u1 + u2')} AS df FROM b",
-        c1=f"SELECT *, [{values}][1 + CASE WHEN n1 > 35 AND n2 > 35 THEN 34 ELSE coalesce(greatest(0, least(34, CAST(floor(df + 0.5) AS INT) - 1)), 0) END] AS t_crit FROM c",
+        c1=f"SELECT *, [{values}][1 + CASE WHEN n1 > 35 AND n2 > 35 THEN 34 WHEN df IS NULL THEN 0 ELSE greatest(0, least(34, CAST(floor(df + 0.5) AS INT) - 1)) END] AS t_crit FROM c",
         d=f"SELECT *, {significant} AS significant FROM c1",
     )
 

@@ -144,9 +144,10 @@ def sample_events(fixes: DataFrame, lines_path: str, mode: str = "fixed", idle_m
 def samples_of_events(events: DataFrame, jumpers: DataFrame, mode: str = "fixed") -> DataFrame:
     """Main samples and those of the jumpers between them: vehicle_id, segment_id, time_ms, speed, by_jumper."""
     # one pass over the stream: each event yields its own sample and its jumper's
+    # the state operator's rows are columnar; a computed column makes them plain rows before they are shuffled
+    events = events.withColumn("seconds", idiv(F.col("time_ms") - F.col("from_ms"), 1000))
     joined = events.join(jumpers.select(F.col("start_node_id").alias("from_node"), F.col("end_node_id").alias("to_node"), F.col("length").alias("jump"), "segments"), ["from_node", "to_node"], "left")
-    seconds = idiv(F.col("time_ms") - F.col("from_ms"), 1000)
-    pace = F.when(seconds > 0, (F.col("jump") + 2 * MIN_SEGMENT) / seconds)
+    pace = F.when(F.col("seconds") > 0, (F.col("jump") + 2 * MIN_SEGMENT) / F.col("seconds"))
     usable = pace.isNotNull() if mode == "legacy" else pace <= MAX_SPEED
     sample = lambda segment, speed, by: F.struct(segment.alias("segment_id"), speed.alias("speed"), F.lit(by).alias("by_jumper"))
     own = F.array(sample(F.col("segment_id"), F.col("speed"), False))

@@ -157,7 +157,7 @@ def test_comparison(spark):
     back = one((60, 9.0, 3.0), (50, 10.0, 2.0))
     assert back.significant and back.t_stat == pytest.approx(-r.t_stat) and back.difference_pct == pytest.approx(-1 / 9)
     old = one((60, 9.0, 3.0), (50, 10.0, 2.0), mode="legacy")
-    assert old.mean_size == 60 and old.combined_sd == pytest.approx((9 / 60 + 9 / 60) ** 0.5) and old.significant
+    assert old.mean_size == 60 and old.combined_sd == pytest.approx((9 / 60 + 9 / 50) ** 0.5) and old.significant
     assert one((1, 9.0, 0.0), (1, 9.0, 0.0)).t_crit == 6.314 and not one((1, 9.0, 0.0), (1, 9.0, 0.0)).significant
     v1, v2 = 4 / 10, 9 / 12
     df = (v1 + v2) ** 2 / (v1**2 / 9 + v2**2 / 11)
