@@ -18,7 +18,7 @@ MAGIC = b"RANSTOK1"
 #: Frequencies of a file sum to 2**SCALE; states lie in [LOW, LOW * 2**32).
 SCALE, LOW = 20, 1 << 31
 #: Interleaved states of a block, ids of a block; rows of a file as aimed at.
-LANES, BLOCK, FILE_ROWS = 4096, 1 << 20, 16_000
+LANES, BLOCK, FILE_ROWS = 4096, 1 << 20, 4_000
 #: Columns of the block index at the head of a file: the checkpoints from which a block decodes on its own.
 CHECKPOINT = np.dtype([("first_id", "<u8"), ("ids", "<u4"), ("words", "<u4"), ("at", "<u8"), ("crc", "<u4"), ("ids_crc", "<u4")])
 
