@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup, line_dedup, media, mixing, ngram_join, packing, quality, rans, sharding, warc
+from .common import saved
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -60,7 +61,9 @@ def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_poisson_mix(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.poisson_mix(table(spark, folder, "documents"), columns=["doc_id", "source"])
+    # whole rows are replicated, shuffled and written; the SQL has no texts, so its columns are read back
+    mixed = saved(mixing.poisson_mix(table(spark, folder, "documents")), "mix")
+    return mixed.select("doc_id", "source", "copy", "copies", "shuffle_key")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pavemetric.llm import mixing, quality, registry, sharding
+from pavemetric.llm import common, mixing, quality, registry, sharding
 
 SF = "/root/testdata/sf0.001"
 
@@ -97,6 +97,25 @@ def test_mixing(docs, rows, weights, total):
     assert len({r.shuffle_key for r in out.collect()}) > 0.5 * sum(want.values())
 
 
+def test_mix_query_shuffles_whole_rows(spark, monkeypatch):
+    written = []
+
+    def kept(df, name, *args):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "Cartesian"))
+        written.append(common.saved(df, name, *args))
+        return written[-1]
+
+    monkeypatch.setattr(registry, "saved", kept, raising=False)
+    out = registry.op10_poisson_mix(spark, SF)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert len(written) == 1 and written[0].columns == [*docs.columns, "copy", "copies", "shuffle_key"]
+    rows = {r.doc_id: tuple(r) for r in docs.collect()}
+    whole = [tuple(r) for r in written[0].collect()]
+    assert whole and all(r[:-3] == rows[r[0]] for r in whole)
+    assert Counter((r[0], *r[-3:]) for r in whole) == Counter((r.doc_id, r.copy, r.copies, r.shuffle_key) for r in out.collect())
+
+
 def test_poisson_means(spark):
     docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 100 == 0, "rare").otherwise("often").alias("source"))
     n = {r.source: r["count"] for r in mixing.poisson_mix(docs, {"rare": 0.5, "often": 0.5}).groupBy("source").count().collect()}
