@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
@@ -16,8 +17,8 @@ MIN_SEGMENT, MARGIN, RADIUS = 60.0, 20.0, 10.0
 # Road classes by their number; any other value of the highway tag is 5, none is 0.
 ROAD_TYPES = {1: ["motorway", "trunk", "primary", "primary_link", "motorway_link", "unclassified"], 2: ["secondary"], 3: ["tertiary"], 4: ["residential"]}
 TRUE_TAGS = ["yes", "true", "1"]
-#: Ways of a cell when segments are numbered; edges of a jumper at most.
-CELL_WAYS, MAX_EDGES = 256, 8
+#: Ways of a cell when segments are numbered; edges of a jumper at most: any number.
+CELL_WAYS, MAX_EDGES = 256, math.inf
 
 
 class Network:
@@ -107,25 +108,28 @@ def triplines(segments: DataFrame) -> DataFrame:
     return placed.select(number.alias("id"), F.col("id").alias("segment_id"), "tripline_index", "dist", left[0].alias("x0"), left[1].alias("y0"), right[0].alias("x1"), right[1].alias("y1"))
 
 
-def jumpers(segments: DataFrame, max_edges: int = MAX_EDGES) -> DataFrame:
+def jumpers(segments: DataFrame, max_edges: float = MAX_EDGES) -> DataFrame:
     """Simple paths over segments up to MIN_SEGMENT: the shortest per pair of nodes, in travel order.
 
-    A path is extended by one edge at a time until no new one is found, or it has max_edges; each round is a join of the
-    newest paths with the short edges, and shorter or equal paths found before are kept.
+    Each round joins the paths that the last one found with the short edges, and goes on only with those that are new or
+    come before the path known for their nodes (a shortest path has shortest beginnings); it ends when there are none,
+    or with max_edges.
     """
     edges = segments.where(F.col("length") <= MIN_SEGMENT).select("start_node_id", "end_node_id", "length", "id")
     paths = edges.select("start_node_id", "end_node_id", "length", F.array("id").alias("segments"), F.array("start_node_id", "end_node_id").alias("seen")).where("start_node_id <> end_node_id")
-    paths = _shortest(paths)
-    newest = paths
+    paths = newest = settled(_shortest(paths))
     step = edges.select(F.col("start_node_id").alias("end_node_id"), F.col("end_node_id").alias("to"), F.col("length").alias("more"), F.col("id").alias("next"))
-    for _ in range(1, max_edges):
-        newest = settled(newest)
-        if newest.isEmpty():
-            break
-        newest = newest.join(step, "end_node_id").where(~F.array_contains("seen", F.col("to"))).select("start_node_id", F.col("to").alias("end_node_id"), (F.col("length") + F.col("more")).alias("length"), F.concat("segments", F.array("next")).alias("segments"), F.concat("seen", F.array("to")).alias("seen"))
-        newest = _shortest(newest)
-        paths = paths.unionByName(newest)
-    return _shortest(paths).select("start_node_id", "end_node_id", "length", "segments")
+    ends, size = ["start_node_id", "end_node_id"], 1
+    while size < max_edges and not newest.isEmpty():
+        longer = newest.join(step, "end_node_id").where(~F.array_contains("seen", F.col("to"))).select("start_node_id", F.col("to").alias("end_node_id"), (F.col("length") + F.col("more")).alias("length"), F.concat("segments", F.array("next")).alias("segments"), F.concat("seen", F.array("to")).alias("seen"))
+        known = paths.select(*ends, _rank().alias("known"))
+        newest = settled(_shortest(longer).join(known, ends, "left").where(F.col("known").isNull() | (_rank() < F.col("known"))).drop("known"))
+        paths, size = settled(_shortest(paths.unionByName(newest))), size + 1
+    return paths.select(*ends, "length", "segments")
+
+
+def _rank() -> Column:
+    return F.struct(F.round("length", 6).alias("r"), "segments")
 
 
 def _shortest(paths: DataFrame) -> DataFrame:

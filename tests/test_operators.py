@@ -93,6 +93,35 @@ def test_jumpers(spark):
     assert out == {k: (pytest.approx(v[0]), v[1]) for k, v in best.items()}
 
 
+def test_jumpers_over_long_chains(spark):
+    # twelve short edges, and two over the last three that are longer together
+    chain = [(i, i, i + 1, 10.0 + i / 10) for i in range(1, 13)] + [(50, 10, 20, 18.0), (51, 20, 13, 18.0)]
+    seg = spark.createDataFrame(chain, "id long, start_node_id long, end_node_id long, length double")
+    out = {(r.start_node_id, r.end_node_id): (r.length, r.segments) for r in network.jumpers(seg).collect()}
+    for a in range(1, 13):
+        for b in range(a + 1, 14):
+            assert out[a, b] == (pytest.approx(sum(10.0 + i / 10 for i in range(a, b))), list(range(a, b)))
+    assert len(out) == 78 + 11
+
+
+def test_jumpers_are_shortest_whatever_the_edges(spark):
+    rng = random.Random(5)
+    edges = [(i, rng.randrange(14), rng.randrange(14), rng.choice([1.0, 1.0, 2.0, 12.5, 59.0])) for i in range(30)]
+    best = {}
+
+    def walk(start, at, length, path, seen):
+        for i, a, b, m in edges:
+            if a == at and b not in seen:
+                item = (length + m, [*path, i])
+                best[start, b] = min(best.get((start, b), item), item)
+                walk(start, b, *item, {*seen, b})
+
+    for n in range(14):
+        walk(n, n, 0.0, [], {n})
+    out = {(r.start_node_id, r.end_node_id): (r.length, r.segments) for r in network.jumpers(spark.createDataFrame(edges, "id long, start_node_id long, end_node_id long, length double")).collect()}
+    assert out == best and max(len(p) for _, p in best.values()) > 3
+
+
 def test_long_pairs_meet_each_line_once(spark):
     lines = spark.createDataFrame([(i, i, 1, 20.0, 0.01 * i, -0.0001, 0.01 * i, 0.0001) for i in range(1, 60)], "id long, segment_id long, tripline_index int, dist double, x0 double, y0 double, x1 double, y1 double")
     moves = spark.createDataFrame([(1, 2, 0, 0.0, -0.00005, 100_000, 0.605, 0.00005), (2, 2, 0, 0.0099, -0.00005, 1000, 0.0101, 0.00005)], "vehicle_id long, seq long, t0 long, x0 double, y0 double, t1 long, x1 double, y1 double")
