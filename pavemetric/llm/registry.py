@@ -35,7 +35,7 @@ def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_media_columns(spark: SparkSession, folder: str) -> DataFrame:
-    return media.media_columns(table(spark, folder, "documents"), index=False)
+    return media.media_columns(table(spark, folder, "documents"))
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:

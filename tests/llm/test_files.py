@@ -7,7 +7,7 @@ from zlib import crc32
 import numpy as np
 import pytest
 
-from pavemetric.llm import media, rans, warc
+from pavemetric.llm import media, rans, registry, warc
 from pavemetric.llm.common import read_file, scratch
 from pavemetric.llm.registry import tokenizer
 from pavemetric.llm.tokens import Encoder
@@ -46,6 +46,15 @@ def test_media_columns(docs, rows):
     assert sum(map(len, out.values())) == len(rows)
 
 
+def test_media_query_has_the_access_units(spark):
+    for r in registry.op4_media_columns(spark, "/root/testdata/sf0.001").collect():
+        units = r.access_units
+        assert [u.pts for u in units] == [k * media.TICKS for k in range(len(units))] and units
+        assert [u.random_access for u in units] == [k % media.RANDOM_ACCESS_EVERY == 0 for k in range(len(units))]
+        assert [u.start for u in units] == [k * media.UNIT_BYTES for k in range(len(units))]
+        assert sum(u.length for u in units) == r.payload_bytes
+
+
 def test_archive_has_dictionary_and_frames():
     import zstandard
 
