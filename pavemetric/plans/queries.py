@@ -654,6 +654,18 @@ def _(s, d):
     return tables.upsert(seg, seg.where("street_type = 4").withColumn("street_type", F.lit(5)))
 
 
+@query("snk2_insert_absent_all", oracle("SELECT id, way_id FROM segments", "segments"))
+def _(s, d):
+    seg = segments(s, d).select("id", "way_id", "start_node_id", "end_node_id")
+    return tables.insert_absent(seg.where("way_id < 10"), seg, ["way_id", "start_node_id", "end_node_id"], ["id"]).select("id", "way_id")
+
+
+@query("snk1_upsert_all", oracle("SELECT id, CASE WHEN street_type = 4 THEN 5 ELSE street_type END AS street_type FROM segments", "segments"))
+def _(s, d):
+    seg = segments(s, d).select("id", "street_type")
+    return tables.upsert(seg, seg.where("street_type = 4").withColumn("street_type", F.lit(5)))
+
+
 @query("snk4_delete", oracle("SELECT id FROM segments WHERE NOT oneway", "segments"))
 def _(s, d):
     seg = segments(s, d).select("id", "oneway")
