@@ -172,6 +172,11 @@ def _(s, d):
     return summary.summary(summary.chosen(ev_hist(s, d), segments=some), [])
 
 
+@query("s2_summary_pooled_all", sums("true", ""))
+def _(s, d):
+    return summary.summary(summary.chosen(ev_hist(s, d), segments=ev(s, d).select("segment_id")), [])
+
+
 @query("s3_summary_week", sums("week = 2818", "segment_id"))
 def _(s, d):
     return summary.summary(summary.chosen(ev_hist(s, d), weeks=[2818]), ["segment_id"])
@@ -378,6 +383,18 @@ def _(s, d):
     return tables.segment_or_jumper(keys, net.segments, net.jumpers)
 
 
+ALL_KEYS = KEYS.replace(" WHERE id % 50 = 0", "")
+
+
+@query("sp15_segment_or_jumper_all", oracle("""SELECT k.way_id, k.start_node_id, k.end_node_id, s.id AS segment_id, 0 AS place FROM keys k JOIN segments s USING (way_id, start_node_id, end_node_id)
+    UNION ALL SELECT k.way_id, k.start_node_id, k.end_node_id, unnest(j.segments), 0 FROM keys k JOIN jumpers j USING (start_node_id, end_node_id) WHERE NOT EXISTS (SELECT 1 FROM segments s WHERE s.way_id = k.way_id AND s.start_node_id = k.start_node_id AND s.end_node_id = k.end_node_id)""", "segments", "jumpers", keys=ALL_KEYS))
+def _(s, d):
+    net = grid(s, d)
+    names = ["way_id", "start_node_id", "end_node_id"]
+    keys = net.segments.select(*names).unionByName(net.jumpers.select((-F.col("start_node_id") - 1).alias("way_id"), *names[1:])).unionByName(net.jumpers.select((-F.col("start_node_id") - 1).alias("way_id"), "start_node_id", (-F.col("end_node_id") - 1).alias("end_node_id")))
+    return tables.segment_or_jumper(keys, net.segments, net.jumpers)
+
+
 @query("sp16_triplines_in_envelopes", oracle("SELECT DISTINCT envelope_id, id FROM et JOIN st USING (tile_x, tile_y)", "envelopes", "lines", **LT))
 def _(s, d):
     return tables.in_envelopes(grid(s, d).triplines, ad.envelopes(s), "id")
