@@ -651,6 +651,20 @@ def _(s, d):
     return out.select("cluster_id", "areas", F.round("min_lon", 7).alias("min_lon"), F.round("max_lat", 7).alias("max_lat"))
 
 
+# names of places link clusters beyond SQL; a test holds both against a plain version
+
+
+@query("a2_clusters_named")
+def _(s, d):
+    return areas.clusters(fix_area_table(s, d), ad.places(s, d))
+
+
+@query("a5_cluster_table_named")
+def _(s, d):
+    table, places = fix_area_table(s, d), ad.places(s, d)
+    return areas.cluster_table(table, areas.clusters(table, places), places)
+
+
 # stores
 
 
