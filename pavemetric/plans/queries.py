@@ -721,6 +721,13 @@ def _(s, d):
     return exchange.current_stats(ev(s, d)).drop("current_bottom_quartile", "current_top_quartile")
 
 
+@query("x8_current_stats_all", oracle(f"""SELECT segment_id, s.w AS current_window_start_timestamp, s.w + 3600000 AS current_window_end_timestamp, s.n, {AVERAGE} AS current_average_speed, q.bottom_quartile AS current_bottom_quartile, q.top_quartile AS current_top_quartile
+    FROM (SELECT segment_id, w, {sql.MOMENTS} FROM bins GROUP BY ALL) s JOIN (SELECT segment_id, w, min(speed_bin) FILTER (r * 4 >= t) AS bottom_quartile, min(speed_bin) FILTER (r * 4 >= t * 3) AS top_quartile FROM
+    (SELECT segment_id, w, speed_bin, sum(n) OVER (PARTITION BY segment_id, w ORDER BY speed_bin) AS r, sum(n) OVER (PARTITION BY segment_id, w) AS t FROM bins) GROUP BY ALL) q USING (segment_id, w)""", "ev", bins=f"SELECT segment_id, time_ms // 3600000 * 3600000 AS w, {sql.speed_bin('speed')} AS speed_bin, count(*) AS n FROM ev GROUP BY ALL"))
+def _(s, d):
+    return exchange.current_stats(ev(s, d))
+
+
 @query("x1_fixes_of_messages", oracle("SELECT vehicle_id % 4 AS source_id, vehicle_id, CAST(seq - 1 AS INT) AS seq, time_ms, lon, lat FROM gps", "gps"))
 def _(s, d):
     messages = exchange.envelopes_of_fixes(ad.gps_fixes(s, d), F.col("vehicle_id") % 4)
