@@ -31,7 +31,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents and the sequences they lie in."""
-    return packing.pack_documents(docs, tokenizer("byte_bpe_50k.json"))
+    return packing.pack_documents(docs, tokenizer("byte_bpe_50k.json"), added=True)
 
 
 STAGES = [("quality", accept), ("exact_dedup", distinct), ("near_dedup", dissimilar), ("mix", mixed), ("pack", packed)]

@@ -64,7 +64,7 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets, capacity - np.array(left, np.int64)
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024, spaced: bool = True) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024, spaced: bool = True, added: bool = False) -> DataFrame:
     """One row per piece: a document's ids and the end id, cut so that all pieces but the first have `capacity` ids."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -72,7 +72,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 102
 
         from pyspark import TaskContext
 
-        encoder, uid = Encoder(tokenizer, end_id, spaced), TaskContext.get().partitionId() << 36
+        encoder, uid = Encoder(tokenizer, end_id, spaced, added), TaskContext.get().partitionId() << 36
         for batch in batches:
             rows = []
             for doc_id, no_id, ids in zip(batch["doc_id"], batch["no_id"], encoder.encode(batch["text"].tolist()), strict=True):
@@ -129,11 +129,11 @@ def pack(items: DataFrame, capacity: int = 1024, part_rows: int = PART_ROWS, rou
     return done.unionByName(now.select(*ours, label(rounds + 1), "offset"))
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024, spaced: bool = True) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024, spaced: bool = True, added: bool = False) -> DataFrame:
     """Documents (doc_id, text, other columns ignored) as packed pieces.
 
     Null or empty text: the end id alone. Repeated rows and null ids: packed like any other row. No rows: no pieces.
     """
-    items, _ = saved_at(pieces(docs, tokenizer, end_id, capacity, spaced), "pieces")
+    items, _ = saved_at(pieces(docs, tokenizer, end_id, capacity, spaced, added), "pieces")
     packed = pack(items, capacity)
     return packed.select(null_id(), *[c for c in packed.columns if c not in ("uid", "doc_id", "no_id")])

@@ -151,7 +151,7 @@ def file_bounds(docs: DataFrame, file_rows: int) -> list[int]:
     return sorted(points or [])
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, spaced: bool = False, file_rows: int = FILE_ROWS) -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, spaced: bool = False, file_rows: int = FILE_ROWS, added: bool = False) -> DataFrame:
     """Writes the ids of docs (doc_id, text) in ascending doc_id order; returns the list (file, path, docs, ids).
 
     File k has the rows between bounds k-1 and k; rows of an id that is several bounds at once, and null ids (which come
@@ -164,7 +164,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
     rows = docs.select(*plain_id(), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, ends = Encoder(tokenizer, end_id, spaced), np.array(bounds, np.int64)
+        encoder, ends = Encoder(tokenizer, end_id, spaced, added), np.array(bounds, np.int64)
         for batch in batches:
             ids = [np.frombuffer(x, np.uint32) for x in encoder.encode(batch["text"].tolist())]
             raw = [x.astype("<u2").tobytes() if x.max() < 1 << 16 else x.astype("<u4").tobytes() for x in ids]
@@ -209,10 +209,10 @@ def read_tokens(listed: DataFrame) -> DataFrame:
     return out.select("doc_id", (F.col("before") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, spaced: bool = False, folder: str | None = None, file_rows: int = FILE_ROWS) -> DataFrame:
+def token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, spaced: bool = False, folder: str | None = None, file_rows: int = FILE_ROWS, added: bool = False) -> DataFrame:
     """docs (doc_id, text; others ignored) written as token files and read back.
 
     Null or empty text: the end id alone. Null ids come before all others. Rows with the same doc_id are ordered by their
     ids' bytes. An empty table: no files, no rows.
     """
-    return read_tokens(write_tokens(docs, folder or scratch(docs.sparkSession, "tokens"), tokenizer, end_id, spaced, file_rows))
+    return read_tokens(write_tokens(docs, folder or scratch(docs.sparkSession, "tokens"), tokenizer, end_id, spaced, file_rows, added))

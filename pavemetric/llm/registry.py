@@ -22,7 +22,7 @@ def tokenizer(name: str) -> str:
 
 
 def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack_documents(table(spark, folder, "documents"), tokenizer("byte_bpe_50k.json"), end_id=2, capacity=1024)
+    return packing.pack_documents(table(spark, folder, "documents"), tokenizer("byte_bpe_50k.json"), end_id=2, capacity=1024, added=True)
 
 
 def op2_sharding(spark: SparkSession, folder: str) -> DataFrame:
@@ -51,7 +51,7 @@ def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
-    return rans.token_files(table(spark, folder, "documents"), tokenizer("word_bpe_49k.json"), end_id=2)
+    return rans.token_files(table(spark, folder, "documents"), tokenizer("word_bpe_49k.json"), end_id=2, added=True)
 
 
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:

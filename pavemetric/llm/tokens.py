@@ -33,13 +33,17 @@ class Encoder:
     cover goes to the library whole.
     """
 
-    def __init__(self, path: str, end_id: int, spaced: bool):
-        """spaced: tokens carry the space before them (byte-level); else they drop white space and case."""
+    def __init__(self, path: str, end_id: int, spaced: bool, added: bool = False):
+        """spaced: tokens carry the space before them (byte-level); else they drop white space and case.
+
+        added: the strings of added tokens in a text are these tokens, as by the library's default; else ordinary text.
+        """
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.library.encode_special_tokens = not added
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()] if added else []
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
@@ -53,6 +57,8 @@ class Encoder:
 
     def _units(self, text: str) -> tuple[str, list[str]] | None:
         """What comes before the first unit, and the units."""
+        if any(t in text for t in self.added):
+            return None
         if not self.spaced:
             return None if OTHER.search(text) else ("", WORDS.findall(text.lower()))
         if "\x00" in text:

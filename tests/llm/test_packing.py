@@ -26,6 +26,34 @@ def test_encoder_equals_library(name, spaced, rows):
             assert np.frombuffer(ids, np.uint32).tolist() == [*library.encode(text or "", add_special_tokens=False).ids, 2], text
 
 
+@pytest.mark.parametrize(("name", "spaced"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_added_tokens_equal_library(name, spaced, rows):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer(name))
+    encoder = Encoder(tokenizer(name), 2, spaced, added=True)
+    texts = [*CASES, "a <|endoftext|> b", "a<|startoftext|>b <|endoftext|>", "A <|ENDOFTEXT|> <| endoftext |>", "<|endof text|>", *[t for _, t, _ in rows]]
+    for _ in range(2):
+        for text, ids in zip(texts, encoder.encode(texts), strict=True):
+            assert np.frombuffer(ids, np.uint32).tolist() == [*library.encode(text or "", add_special_tokens=False).ids, 2], text
+
+
+def test_queries_know_added_tokens(spark, tmp_path):
+    from zlib import crc32
+
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from pavemetric.llm import registry
+
+    text = "a <|endoftext|> b <|startoftext|>"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for name, out in (("byte_bpe_50k.json", registry.op1_best_fit_packing(spark, str(tmp_path))), ("word_bpe_49k.json", registry.op8_token_files(spark, str(tmp_path))), ("byte_bpe_50k.json", corpus_pipeline.packed(spark, docs, ""))):
+        ids = [*Tokenizer.from_file(tokenizer(name)).encode(text, add_special_tokens=False).ids, 2]
+        assert out.first().ids_crc32 == crc32(np.array(ids, "<u4").tobytes())
+
+
 def test_random_texts_equal_library():
     from tokenizers import Tokenizer
 
