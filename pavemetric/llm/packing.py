@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import null_id, plain_id, remove, saved_at
-from .tokens import Encoder
+from .tokens import encoder
 
 PIECES = "uid long, doc_id long, no_id boolean, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, part long, bin long, offset long, fill long, bins long, bound long"
@@ -72,10 +72,10 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 102
 
         from pyspark import TaskContext
 
-        encoder, uid = Encoder(tokenizer, end_id, spaced, added), TaskContext.get().partitionId() << 36
+        encode, uid = encoder(tokenizer, end_id, spaced, added).encode, TaskContext.get().partitionId() << 36
         for batch in batches:
             rows = []
-            for doc_id, no_id, ids in zip(batch["doc_id"], batch["no_id"], encoder.encode(batch["text"].tolist()), strict=True):
+            for doc_id, no_id, ids in zip(batch["doc_id"], batch["no_id"], encode(batch["text"].tolist()), strict=True):
                 n = len(ids) // 4
                 at, k = 0, 0
                 while at < n:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import plain_id, read_file, saved, scratch, small, write_file
-from .tokens import Encoder
+from .tokens import encoder
 
 MAGIC = b"RANSTOK1"
 #: Frequencies of a file sum to 2**SCALE; states lie in [LOW, LOW * 2**32).
@@ -164,9 +164,9 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
     rows = docs.select(*plain_id(), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, ends = Encoder(tokenizer, end_id, spaced, added), np.array(bounds, np.int64)
+        encode, ends = encoder(tokenizer, end_id, spaced, added).encode, np.array(bounds, np.int64)
         for batch in batches:
-            ids = [np.frombuffer(x, np.uint32) for x in encoder.encode(batch["text"].tolist())]
+            ids = [np.frombuffer(x, np.uint32) for x in encode(batch["text"].tolist())]
             raw = [x.astype("<u2").tobytes() if x.max() < 1 << 16 else x.astype("<u4").tobytes() for x in ids]
             wide = [len(r) // len(x) for r, x in zip(raw, ids, strict=True)]
             salt = np.array([zlib.crc32(r) for r in raw], np.int64)

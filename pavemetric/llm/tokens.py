@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import re
 import string
-from itertools import chain
+from functools import cache
+from itertools import chain, filterfalse
 
 import numpy as np
 
@@ -70,10 +71,8 @@ class Encoder:
         first, *rest = text.split("\x00")
         return first, rest
 
-    def _learn(self, units: set[str]) -> set[str]:
-        memo = self.memo
-        new = units.difference(memo)
-        together = new
+    def _learn(self, new: set[str]) -> None:
+        memo, together = self.memo, new
         if self.spaced:
             memo.update(dict.fromkeys(new))
             together = []
@@ -93,7 +92,6 @@ class Encoder:
             for u, end in zip(some, cuts, strict=True):
                 memo[u] = raw[4 * at : 4 * end]
                 at = end
-        return new
 
     def _head(self, text: str) -> bytes:
         ids = self.heads.get(text)
@@ -109,11 +107,10 @@ class Encoder:
         for i in range(0, len(texts), TEXTS):
             some = [t or "" for t in texts[i : i + TEXTS]]
             units = [self._units(t) for t in some]
-            wanted = set(chain.from_iterable(u[1] for u in units if u))
             if len(self.memo) + len(self.heads) > MEMO_ENTRIES:
-                self.memo = {u: self.memo[u] for u in wanted.intersection(self.memo)}
-                self.heads.clear()
-            new = self._learn(wanted)
+                self.memo, self.heads = {}, {}
+            new = set(filterfalse(self.memo.__contains__, chain.from_iterable(u[1] for u in units if u)))
+            self._learn(new)
             get = self.memo.__getitem__
             for u, t in zip(units, some, strict=True):
                 try:
@@ -126,3 +123,9 @@ class Encoder:
                 if len(u) > MEMO_CHARS:
                     del self.memo[u]
         return out
+
+
+@cache
+def encoder(path: str, end_id: int, spaced: bool, added: bool = False) -> Encoder:
+    """The encoder of this Python worker: tasks that follow each other in a worker share its vocabulary and its memo."""
+    return Encoder(path, end_id, spaced, added)
