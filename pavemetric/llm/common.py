@@ -17,6 +17,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         spark.conf.set("spark.checkpoint.dir", LOCAL_SHARED)
         spark.sparkContext.setCheckpointDir(LOCAL_SHARED)
         folder = LOCAL_SHARED
@@ -51,6 +53,26 @@ def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str, counted: DataFrame, how: str = "inner", rows: int | None = None, per: int = 2_000) -> DataFrame:
+    """left joined with right, which has one row for each key and, if `rows` of it are few, is broadcast.
+
+    Else keys with more than `per` rows in `counted` (left, or a settled table with the same keys) are dealt over several
+    tasks by a salt, the row of right being copied for each.
+    """
+    if rows is not None and rows <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), key, how)
+    hot = counted.groupBy(key).count().where(F.col("count") > per).select(key, F.ceil(F.col("count") / per).cast("int").alias("s_cuts"))
+    hot, _ = saved_at(hot, "hot-keys")
+    n = hot.count()
+    if not n:
+        return left.join(right, key, how)
+    hot = small(hot, n)
+    salt = F.when(F.col("s_cuts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*left.columns), F.col("s_cuts"))).cast("int")
+    dealt = left.join(hot, key, "left").withColumn("s_salt", salt).drop("s_cuts")
+    copies = right.join(hot, key, "left").withColumn("s_salt", F.explode(F.sequence(F.lit(0), F.coalesce("s_cuts", F.lit(1)) - 1))).drop("s_cuts")
+    return dealt.join(copies, [key, "s_salt"], how).drop("s_salt")
+
+
 def filesystem(uri: str):
     """pyarrow's file system and the path in it, for a URI or a local path. Runs on executors."""
     from pyarrow import fs

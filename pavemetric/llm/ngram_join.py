@@ -10,11 +10,11 @@ so the grams of a prefix are rare and few documents meet in them.
    is lost by this.
 2. Documents with equal gram sets become one class. Document frequencies over the classes that are left give the
    rare-first order, and each class its prefix; a class with more than n - ceil(t n) grams of its own has no partner.
-3. Classes that meet in a prefix gram, their lengths permitting, form clusters (connected components over ids only).
-   A task gets the grams of one cluster, once each, and joins it: prefix index, length, positional and suffix filter,
-   and one verification per pair at most. Pairs that are connected already are not verified, so a cluster of near copies
-   yields links by its members, not by its pairs. Clusters beyond a task's size are cut into blocks, and pairs of blocks
-   joined in tasks of their own.
+3. Classes are joined on the grams of their prefixes. A gram that many classes have would join all their pairs, so there
+   stars come first: each class is verified against a hub of the gram, and classes that links connect get one label. A
+   few rounds leave most hot grams with one label. Then every pair of classes that share a prefix gram and differ in label
+   is formed, gram by gram, hot grams dealt over several tasks; length filter in the join, positional filter on the places of
+   all grams that a pair shares, suffix filter on the counts of 64 slices of the order, and one verification for each pair.
 4. Components of the links give each document the smallest id it reaches.
 """
 
@@ -25,17 +25,18 @@ from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, copy_key, keep_rows, null_id, plain_id, remove, saved_at, small
+from .common import components, copy_key, keep_rows, null_id, plain_id, remove, saved_at, small, spread_join
 
 WORDS, PERCENT = 5, 80
-#: Documents whose prefixes one screening task counts; classes of a block of the frequency count; classes of a cluster that
-#: one task joins; words that a worker remembers the hashes of.
-SCREEN_DOCS, BLOCK_DOCS, CLUSTER_DOCS, MEMO_WORDS = 5_000, 1_000, 1_024, 500_000
-#: Slices of the order that the suffix filter compares; candidates verified at a time.
-SLICES, AT_ONCE = 16, 64
+#: Documents whose prefixes one screening task counts; classes of a block of the frequency count; words that a worker
+#: remembers the hashes of.
+SCREEN_DOCS, BLOCK_DOCS, MEMO_WORDS = 5_000, 1_000, 500_000
+#: Classes of a gram from which stars come first, and from which its pairs are formed in several tasks; hubs that a class
+#: tries in a round; slices of the order that the suffix filter compares.
+STAR, SPLIT, HUBS, SLICES = 16, 2_000, 3, 64
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 MANY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -205,74 +206,119 @@ def prefixes(sets: DataFrame, blocks: int) -> DataFrame:
     return sets.groupBy("block").cogroup(counted.groupBy("block")).applyInPandas(order, "cid long, n int, gram long, place int")
 
 
-def linked(names: list, sets: list[np.ndarray], side: np.ndarray | None = None) -> list[tuple]:
-    """Links among the sets that connect all pairs of similarity PERCENT or more, each pair verified once at most.
+def lengths_fit(a: Column, b: Column) -> Column:
+    return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
-    side: only pairs of different sides are compared.
-    """
-    sizes = np.array([len(s) for s in sets])
-    by_size = np.argsort(sizes, kind="stable")
-    names, sets, sizes = [names[i] for i in by_size], [sets[i] for i in by_size], sizes[by_size]
-    side = side[by_size] if side is not None else None
-    grams, inverse, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    rank = np.empty(len(grams), np.int64)
-    rank[np.lexsort((grams, df))] = np.arange(len(grams))
-    ends = np.cumsum(sizes)
-    ranks = [np.sort(rank[inverse[e - n : e]]) for e, n in zip(ends, sizes, strict=True)]
-    width = len(grams) // SLICES + 1
-    slices = np.array([np.bincount(r // width, minlength=SLICES) for r in ranks])
-    single = df[np.argsort(rank)] == 1
-    index: dict[int, list[tuple[int, int]]] = {}
-    parent = list(range(len(sets)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    links = []
-    for x, mine in enumerate(ranks):
-        n = len(mine)
-        seen: dict[int, list[int]] = {}
-        for i, g in enumerate(mine[: prefix_size(n)].tolist()):
-            if single[g]:
-                continue
-            for y, j in index.get(g, ()):
-                # positional filter: what is shared so far and what may follow
-                have = seen.setdefault(y, [0, 0])
-                have[0] += 1
-                have[1] = have[0] + min(n - i - 1, int(sizes[y]) - j - 1)
-            index.setdefault(g, []).append((x, i))
-        if not seen:
-            continue
-        ys = np.fromiter(seen, np.int64, len(seen))
-        most = np.array([seen[y][1] for y in ys.tolist()])
-        need = -(-PERCENT * (n + sizes[ys]) // (100 + PERCENT))
-        keep = (100 * sizes[ys] >= PERCENT * n) & (most >= need)
-        if side is not None:
-            keep &= side[ys] != side[x]
-        ys, need = ys[keep], need[keep]
-        # suffix filter: sizes differ by slices of the order at least as much as in all
-        keep = np.abs(slices[ys] - slices[x]).sum(1) <= n + sizes[ys] - 2 * need
-        ys = ys[keep]
-        ys = ys[np.argsort(np.abs(slices[ys] - slices[x]).sum(1), kind="stable")]
-        while len(ys):
-            mine_root = root(x)
-            ys = ys[[root(y) != mine_root for y in ys.tolist()]]
-            some, ys = ys[:AT_ONCE], ys[AT_ONCE:]
-            if not len(some):
-                break
-            flat = np.concatenate([ranks[y] for y in some.tolist()])
-            at = np.minimum(np.searchsorted(mine, flat), n - 1)
-            starts = np.concatenate([[0], np.cumsum(sizes[some])[:-1]])
-            both = np.add.reduceat((mine[at] == flat).astype(np.int64), starts)
-            for y in some[100 * both >= PERCENT * (n + sizes[some] - both)].tolist():
-                a, b = root(x), root(y)
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-                    links.append((names[x], names[y]))
-    return links
+
+def overlap_needed(a: Column, b: Column) -> Column:
+    return F.ceil(PERCENT * (a + b) / F.lit(100.0 + PERCENT))
+
+
+class Verifier:
+    """Links among pairs of classes, each pair looked at once."""
+
+    def __init__(self, sets: DataFrame):
+        self.sets, self.links, self.tested, self.paths = sets, None, None, []
+
+    def kept(self, df: DataFrame, name: str) -> DataFrame:
+        out, path = saved_at(df, name)
+        self.paths.append(path)
+        return out
+
+    def new(self, pairs: DataFrame) -> DataFrame:
+        """pairs without those that were verified before."""
+        return pairs if self.tested is None else pairs.join(self.tested, ["a", "b"], "left_anti")
+
+    def verify(self, pairs: DataFrame) -> None:
+        """pairs (a, b, na, nb), a < b, distinct: the suffix filter by slices, then the sets themselves."""
+        pairs = self.kept(self.new(pairs), "pairs")
+        both = pairs
+        for side in "ab":
+            both = spread_join(both, self.sets.select(F.col("cid").alias(side), F.col("slices").alias(f"s{side}")), side, pairs)
+        apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.abs(x - y)), F.lit(0), lambda t, x: t + x)
+        both = near = self.kept(both.where(apart <= F.col("na") + F.col("nb") - 2 * overlap_needed(F.col("na"), F.col("nb"))).drop("sa", "sb"), "near-pairs")
+        for side in "ab":
+            both = spread_join(both, self.sets.select(F.col("cid").alias(side), F.col("grams").alias(f"g{side}")), side, near)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                keep = []
+                for x, y in zip(batch["ga"], batch["gb"], strict=True):
+                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                    shared = len(np.intersect1d(x, y, assume_unique=True))
+                    keep.append(100 * shared >= PERCENT * (len(x) + len(y) - shared))
+                yield batch.loc[keep, ["a", "b"]]
+
+        links = self.kept(both.select("a", "b", "ga", "gb").mapInPandas(run, "a long, b long"), "links")
+        self.links = links if self.links is None else self.links.unionByName(links)
+        pairs = pairs.select("a", "b")
+        self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
+
+    def labels(self) -> DataFrame:
+        """cid and label of classes with links: classes of one label are connected, though not all that are have one label."""
+        both = self.links.unionByName(self.links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        out = both.groupBy("a").agg(F.min("b").alias("l")).select(F.col("a").alias("cid"), F.least("a", "l").alias("label"))
+        for _ in range(2):
+            out = self.kept(out, "labels")
+            up = out.select(F.col("cid").alias("label"), F.col("label").alias("up"))
+            out = spread_join(out, up, "label", out, "left").select("cid", F.coalesce("up", "label").alias("label"))
+        return self.kept(out, "labels")
+
+
+def verified_links(postings: DataFrame, sets: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Links (a, b) among the classes of postings (cid, n, gram, place) that connect all pairs of similarity PERCENT or more."""
+    check = Verifier(sets)
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / PERCENT))).cast("int")
+    shared = check.kept(postings.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1"), "grams")
+    known = shared.count()
+    met = check.kept(spread_join(postings, shared, "gram", postings, rows=known), "meetings")
+    # stars: classes whose lengths fit fall into one band, or into neighbouring ones
+    hot = met.where(F.col("k") > STAR).select("cid", "n", F.explode(F.array(band, band + 1)).alias("band"), "gram").select("cid", "n", F.xxhash64("gram", "band").alias("meeting"))
+    hot, labels, outside, turn = check.kept(hot, "hot"), None, None, 0
+    while True:
+        named = labelled(hot, labels)
+        first = F.xxhash64("cid", "meeting", F.lit(turn)) if turn else F.col("cid")
+        hub = F.min(F.struct(first.alias("first"), "cid", "n")).alias("hub")
+        groups = named.groupBy("meeting", "label").agg(F.count("*").alias("c"), hub)
+        top = groups.groupBy("meeting").agg(F.max(F.struct("c", (-F.col("label")).alias("least"), "hub")).alias("top"), F.sum("c").alias("k")).where(F.col("k") > F.greatest(F.lit(STAR), F.col("top.c")))
+        top = check.kept(top.select("meeting", (-F.col("top.least")).alias("major"), F.col("top.hub.cid").alias("hub"), F.col("top.hub.n").alias("hub_n"), (F.col("k") - F.col("top.c")).alias("left")), "hubs")
+        meetings, left = top.agg(F.count("*"), F.coalesce(F.sum("left"), F.lit(0))).first()
+        if not left or (outside is not None and 2 * left > outside):
+            break
+        outside, turn = left, turn + 1
+        rays = spread_join(named, top, "meeting", hot, rows=meetings).where((F.col("label") != F.col("major")) & (F.col("cid") != F.col("hub")) & lengths_fit(F.col("n"), F.col("hub_n")))
+        pairs = rays.groupBy(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b"), "cid").agg(F.count("*").alias("times"), F.any_value(F.when(F.col("cid") < F.col("hub"), F.col("n")).otherwise(F.col("hub_n"))).alias("na"), F.any_value(F.when(F.col("cid") < F.col("hub"), F.col("hub_n")).otherwise(F.col("n"))).alias("nb"))
+        # the hubs that a class shares most with; what this leaves out is joined below
+        best = check.new(pairs).groupBy("cid").agg(F.slice(F.sort_array(F.collect_list(F.struct("times", "a", "b", "na", "nb")), False), 1, HUBS).alias("best"))
+        check.verify(best.select(F.inline("best")).select("a", "b", "na", "nb").distinct())
+        labels = check.labels()
+    # all pairs that share a prefix gram and differ in label
+    named = labelled(met, labels)
+    top = named.groupBy("gram", "label").agg(F.count("*").alias("c")).groupBy("gram").agg(F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1").select("gram", F.col("top.label").alias("major"))
+    top = check.kept(top, "majors")
+    named = check.kept(spread_join(named, top, "gram", met, rows=top.count()).withColumn("minor", F.col("label") != F.col("major")).withColumn("cuts", F.ceil(F.col("k") / SPLIT).cast("int")), "named")
+    side = lambda p: [F.col(c).alias(f"{p}_{c}") for c in ("cid", "n", "place", "label", "minor")]
+    left = named.where("minor").select("gram", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"), *side("x"))
+    right = named.select("gram", F.pmod(F.xxhash64("cid"), F.col("cuts")).cast("int").alias("cut"), *side("y"))
+    both = left.join(right, ["gram", "cut"]).where((F.col("x_label") != F.col("y_label")) & (~F.col("y_minor") | (F.col("x_cid") < F.col("y_cid"))) & lengths_fit(F.col("x_n"), F.col("y_n")))
+    swap = F.col("x_cid") > F.col("y_cid")
+    ordered = lambda c: (F.when(swap, F.col(f"y_{c}")).otherwise(F.col(f"x_{c}")), F.when(swap, F.col(f"x_{c}")).otherwise(F.col(f"y_{c}")))
+    both = both.select(*[c.alias(f"{p}{q}") for q in ("cid", "n", "place") for p, c in zip("ab", ordered(q), strict=True)])
+    pairs = both.groupBy(F.col("acid").alias("a"), F.col("bcid").alias("b"), F.col("an").alias("na"), F.col("bn").alias("nb")).agg(F.count("*").alias("shared"), *[f(f"{p}place").alias(f"{p}{g}") for p in "ab" for g, f in (("first", F.min), ("last", F.max))])
+    # positional filter: nothing before the first shared gram, and what may follow the last one
+    least = overlap_needed(F.col("na"), F.col("nb"))
+    rest = F.least(F.col("na") - F.col("alast"), F.col("nb") - F.col("blast")) - 1
+    pairs = pairs.where((F.least(F.col("na") - F.col("afirst"), F.col("nb") - F.col("bfirst")) >= least) & (F.col("shared") + rest >= least))
+    check.verify(pairs.select("a", "b", "na", "nb"))
+    return check.links, check.paths
+
+
+def labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """rows (cid, ...) with the label of their class, which is its own id where it has none."""
+    if labels is None:
+        return rows.withColumn("label", F.col("cid"))
+    named = rows.join(small(labels, labels.count()), "cid", "left")
+    return named.withColumn("label", F.coalesce("label", "cid"))
 
 
 def ngram_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -295,36 +341,17 @@ def ngram_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
         shingler = Shingler(words)
         for batch in batches:
             sets = shingler.sets(batch["text"].tolist())
-            yield pd.DataFrame({"cid": batch["cid"], "n": [len(x) for x in sets], "grams": [x.tobytes() for x in sets]})
+            slices = [np.bincount((x >> np.uint64(58)).astype(np.int64), minlength=SLICES) for x in sets]
+            yield pd.DataFrame({"cid": batch["cid"], "n": [len(x) for x in sets], "grams": [x.tobytes() for x in sets], "slices": slices})
 
     # texts of the classes' first documents; with few classes this is one scan, with many a shuffle of the texts
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), copy_key(F.col("text")).alias("copy_key"))
     texts = texts.join(small(classes.drop("cls"), number), F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("copy_key") == F.col("c_key"))).select("cid", "text")
-    sets = texts.mapInPandas(cut, "cid long, n int, grams binary").withColumn("block", F.pmod(F.xxhash64("cid"), F.lit(blocks)).cast("int"))
+    sets = texts.mapInPandas(cut, "cid long, n int, grams binary, slices array<int>").dropDuplicates(["cid"]).withColumn("block", F.pmod(F.xxhash64("cid"), F.lit(blocks)).cast("int"))
     sets, sets_at = saved_at(sets, "sets")
     postings, postings_at = saved_at(prefixes(sets, blocks), "prefixes")
 
-    # classes whose lengths permit it fall into one band, or into neighbouring ones
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / PERCENT))).cast("int")
-    met = postings.select("cid", F.explode(F.array(band, band + 1)).alias("band"), "gram").select("cid", F.xxhash64("gram", "band").alias("meeting"))
-    pivots = met.groupBy("meeting").agg(F.min("cid").alias("pivot"), F.count("*").alias("k")).where("k > 1").drop("k")
-    edges = met.join(pivots, "meeting").where("cid <> pivot").select(F.col("cid").alias("a"), F.col("pivot").alias("b"))
-    clusters = components(edges, "clusters")
-    sizes = clusters.groupBy("root").agg(F.count("*").alias("members"))
-    clusters = clusters.join(sizes, "root")
-    cuts = F.ceil(F.col("members") * 2 / CLUSTER_DOCS).cast("int")
-    cuts = F.when(F.col("members") <= CLUSTER_DOCS, 1).otherwise(cuts)
-    clusters = clusters.withColumn("cuts", cuts).withColumn("piece", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
-    jobs = clusters.select("root", F.col("node").alias("cid"), "piece", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other"))
-    jobs = jobs.select("root", "cid", "piece", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"))
-
-    def join(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("cid").sort_values("cid", ignore_index=True)
-        side = None if key[1] == key[2] else pdf["piece"].to_numpy()
-        return pd.DataFrame(linked(pdf["cid"].tolist(), [np.frombuffer(g, np.uint64) for g in pdf["grams"]], side), columns=["a", "b"])
-
-    links = jobs.join(sets.select("cid", "grams"), "cid").groupBy("root", "i", "j").applyInPandas(join, "a long, b long")
-    links, links_at = saved_at(links, "links")
+    links, paths = verified_links(postings, sets)
     groups = components(links, "near")
 
     # labels by class, then by component; a class's documents may be a third of all, which skew joins split
@@ -336,7 +363,7 @@ def ngram_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
     rooted = rooted.join(best, "root").select("cls", "best")
     label = F.coalesce("best", "least")
     labels, _ = saved_at(least.join(rooted, "cls", "left").select(F.col("cls").alias("l_cls"), label["doc_id"].alias("l_id"), label["copy_key"].alias("l_key")), "labels")
-    remove(spark, classes_at, sets_at, postings_at, links_at)
+    remove(spark, classes_at, sets_at, postings_at, *paths)
     out = rows.join(labels, F.col("cls") == F.col("l_cls"), "left")
     alone = F.col("l_cls").isNull()
     kept = alone | (F.col("doc_id").eqNullSafe(F.col("l_id")) & (F.col("copy_key") == F.col("l_key")))

@@ -1,12 +1,13 @@
 """Exact and near copies, lines, against plain versions."""
 
+import random
 import re
 from collections import defaultdict
 from hashlib import sha256
 
-import numpy as np
+import pytest
 
-from pavemetric.llm import exact_dedup, line_dedup, ngram_join
+from pavemetric.llm import common, exact_dedup, line_dedup, ngram_join
 
 LARGE = 1 << 62
 
@@ -75,35 +76,38 @@ def test_components(docs, rows):
     assert sorted((key(r.doc_id), r.n_shingles, key(r.component_id)) for r in out) == plain_components(rows)
 
 
-def test_large_clusters_are_cut(docs, rows, monkeypatch):
-    monkeypatch.setattr(ngram_join, "CLUSTER_DOCS", 8)
+@pytest.mark.parametrize("star", [2, 8])
+def test_hot_grams_are_starred_and_split(docs, rows, monkeypatch, star):
+    monkeypatch.setattr(ngram_join, "STAR", star)
+    monkeypatch.setattr(ngram_join, "SPLIT", 5)
     monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 5)
     monkeypatch.setattr(ngram_join, "SCREEN_DOCS", 10)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(common.spread_join, "__defaults__", ("inner", None, 4))
     out = ngram_join.ngram_components(docs).collect()
     assert sorted((key(r.doc_id), r.n_shingles, key(r.component_id)) for r in out) == plain_components(rows)
 
 
-def test_linked_against_all_pairs():
-    rng = np.random.default_rng(4)
-    for _ in range(30):
-        base = rng.choice(10_000, 60, replace=False)
-        sets = []
-        for _ in range(40):
-            s = base.copy()
-            s[rng.choice(60, rng.integers(0, 14), replace=False)] = rng.integers(0, 10_000)
-            sets.append(np.unique(s[: rng.integers(40, 60)]).astype(np.uint64))
-        names = [bytes([i]) for i in range(40)]
-        groups = [{n} for n in names]
-        merge = lambda gs, a, b: [g for g in gs if a not in g and b not in g] + [set().union(*(g for g in gs if a in g or b in g))]
-        want, got = groups, groups
-        for i in range(40):
-            for j in range(i):
-                both = len(np.intersect1d(sets[i], sets[j]))
-                if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
-                    want = merge(want, names[i], names[j])
-        for a, b in ngram_join.linked(names, sets):
-            got = merge(got, a, b)
-        assert sorted(map(sorted, want)) == sorted(map(sorted, got))
+@pytest.mark.parametrize("seed", range(3))
+def test_links_against_all_pairs(spark, monkeypatch, seed):
+    """Groups of texts at all similarities, of which many lie near the threshold, and chains that no single hub reaches."""
+    monkeypatch.setattr(ngram_join, "STAR", 4)
+    monkeypatch.setattr(ngram_join, "SPLIT", 10)
+    rng, data = random.Random(seed), []
+    for group in range(4):
+        text = [f"{group}w{rng.randrange(10**6)}" for _ in range(rng.randint(30, 90))]
+        for i in range(60):
+            copy = list(text)
+            for _ in range(rng.randint(0, 3)):
+                copy[rng.randrange(len(copy))] = f"x{rng.randrange(10**6)}"
+            copy = copy[rng.randint(0, 4) :] + [f"t{rng.randrange(10**6)}" for _ in range(rng.randint(0, 4))]
+            if i % 10 == 0:
+                text = copy
+            data.append((len(data), " ".join(copy), "s"))
+    out = ngram_join.ngram_components(spark.createDataFrame(data, "doc_id long, text string, source string").repartition(3)).collect()
+    want = plain_components(data)
+    assert 4 < len({c for _, _, c in want}) < len(data)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == want
 
 
 def test_drop_near_copies(docs, rows):
