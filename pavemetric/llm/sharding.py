@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import crc32_of_text, saved_at, small
+from .common import crc32_of_text, remove, saved_at, small
 
 #: Points of each shard on the ring; rows that one ranking task holds.
-VIRTUAL_NODES, CELL_ROWS = 64, 20_000
+VIRTUAL_NODES, CELL_ROWS = 64, 500_000
 RING = 1 << 60
 
 
@@ -70,31 +70,37 @@ def shard_by_rows(docs: DataFrame, shards: int = 16, nodes: int = VIRTUAL_NODES,
     Rows lie on the ring by their doc_id; a shard takes at most its bound, rows / shards rounded (plus `slack`), and keys
     overflowing a full shard continue clockwise. With slack 0 the counts of any two shards differ by at most one.
 
-    Only counts of the shards * nodes arcs come to the driver. Rows are ranked inside their arc cell by cell: a cell is
-    a slice of an arc with about cell_rows rows; rows of one doc_id, however many, are dealt to cells by their scan task
-    and text too. Null ids share the place of the word null, null texts have size 1; equal rows get different slots; an
-    empty table gives an empty one; other columns are ignored.
+    A row's rank in its arc is its place in the order of position, doc_id, text hash and size, however the rows are
+    partitioned: they are dealt to tasks by ranges of that order, about cell_rows to a task, and numbered there; rows equal
+    in all of these are dealt by a scan number too, and are the same in any order. Only counts of the shards * nodes arcs
+    and of the tasks come to the driver. Null ids share the place of the word null, null texts have size 1; equal rows get
+    different slots; an empty table gives an empty one; other columns are ignored.
     """
     spark = docs.sparkSession
     text = F.col("text").cast("string")
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), crc32_of_text(text).alias("text_crc32"), F.spark_partition_id().alias("task"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), crc32_of_text(text).alias("text_crc32"), F.monotonically_increasing_id().alias("uid"))
     ends, preferences = ring(shards, nodes)
     arc = F.lit(len(ends)) - F.aggregate(F.array(*[F.lit(e) for e in ends]), F.lit(0), lambda n, e: n + F.when(F.col("at") <= e, 1).otherwise(0))
     arc = F.when(arc == len(ends), 0).otherwise(arc)  # beyond the last point the ring begins anew
-    rows, _ = saved_at(rows.withColumn("at", ring_position(F.col("doc_id"))).withColumn("arc", arc), "sharding")
+    rows, rows_at = saved_at(rows.withColumn("at", ring_position(F.col("doc_id"))).withColumn("arc", arc), "sharding")
     total = rows.count()
-    slices = max(1, round(total / len(ends) / cell_rows))
-    cell = F.pmod(F.xxhash64("at", "text_crc32", "task"), F.lit(slices)).cast("int")
-    rows = rows.withColumn("cell", cell)
-    cells = rows.groupBy("arc", "cell").count()
-    cells = cells.select("arc", "cell", (F.sum("count").over(Window.partitionBy("arc").orderBy("cell")) - F.col("count")).alias("base"), "count")
+    order = ["arc", "at", "doc_id", "text_crc32", "size", "uid"]
+    number = F.monotonically_increasing_id()
+    ranked = rows.repartitionByRange(max(1, -(-total // cell_rows)), *order).sortWithinPartitions(*order)
+    # the upper bits of the number are the task's, the lower ones count its rows
+    ranked = ranked.withColumn("task", F.shiftright(number, 33)).withColumn("rank", number.bitwiseAND(F.lit((1 << 33) - 1)))
+    ranked, _ = saved_at(ranked.drop("uid", "at"), "ranked")
+    remove(spark, rows_at)
+    cells = ranked.groupBy("arc", "task").agg(F.count("*").alias("count"), F.min("rank").alias("first"))
+    # a row for each arc and task with rows: in an arc, a task's ranks follow those of the tasks before it
+    cells = cells.select("arc", "task", (F.sum("count").over(Window.partitionBy("arc").orderBy("task")) - F.col("count") - F.col("first")).alias("base"), "count")
+    cells, _ = saved_at(cells, "cells")
     counts = {r["arc"]: r["n"] for r in cells.groupBy("arc").agg(F.sum("count").alias("n")).collect()}
     capacity = [total // shards + (s < total % shards) + slack for s in range(shards)]
     plan = json.dumps([dict(zip(("p_arc", "first", "end", "shard", "slot0"), x, strict=True)) for x in bounded_plan(counts, preferences, capacity)])
     plan = spark.range(1).select(F.inline(F.from_json(F.lit(plan), "array<struct<p_arc:int,first:long,end:long,shard:int,slot0:long>>")))
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("arc", "cell").orderBy("at", "doc_id", "text_crc32", "size")) - 1)
-    ranked = ranked.join(small(cells.drop("count"), slices * len(ends)), ["arc", "cell"]).withColumn("rank", F.col("rank") + F.col("base"))
+    ranked = ranked.join(small(cells.drop("count"), cells.count()), ["arc", "task"]).withColumn("rank", F.col("rank") + F.col("base"))
     # at most a row for each arc and shard, both parameters
     out = ranked.join(F.broadcast(plan), (F.col("arc") == F.col("p_arc")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end")))
     return out.select("doc_id", "size", "text_crc32", "shard", (F.col("slot0") + F.col("rank") - F.col("first")).alias("slot"))

@@ -42,7 +42,7 @@ def plain_shares(positions, shards):
     return {k: n for k, n in out.items() if n}
 
 
-@pytest.mark.parametrize("cell_rows", [1, 20_000])
+@pytest.mark.parametrize("cell_rows", [4, 20_000])
 def test_sharding(docs, rows, cell_rows):
     out = sharding.shard_by_rows(docs, shards=7, cell_rows=cell_rows).collect()
     counts = Counter(r.shard for r in out)
@@ -60,7 +60,16 @@ def test_few_rows_move_to_a_new_shard(spark):
     docs = spark.range(8000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
     before = {r.doc_id: r.shard for r in sharding.shard_by_rows(docs, shards=8).collect()}
     after = {r.doc_id: r.shard for r in sharding.shard_by_rows(docs, shards=9).collect()}
-    assert sum(before[i] != after[i] for i in before) < 4000  # dealing anew moves 8 of 9
+    # a ninth of the rows must go to the new shard; exact bounds push some more around the ring, dealing anew moves 8 of 9
+    moved = sum(before[i] != after[i] for i in before)
+    assert 8000 / 9 - 1 <= moved < 2 * 8000 / 9
+
+
+def test_shards_do_not_depend_on_partitions_or_cells(spark):
+    docs = spark.range(6000).select((F.col("id") % 5000).alias("doc_id"), F.concat(F.lit("t"), (F.col("id") % 7).cast("string")).alias("text"))
+    docs = docs.unionByName(docs.limit(900).select(F.lit(None).cast("long").alias("doc_id"), "text"))
+    got = [Counter((r.doc_id, r.text_crc32, r.shard, r.slot) for r in sharding.shard_by_rows(docs.repartition(n), cell_rows=c).collect()) for n, c in ((3, 4000), (7, 4000), (3, 400), (2, 500_000))]
+    assert got[0] == got[1] == got[2] == got[3] and sum(got[0].values()) == 6900
 
 
 def test_sharding_no_documents(empty):
