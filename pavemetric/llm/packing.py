@@ -14,17 +14,18 @@ from .tokens import encoder
 
 PIECES = "uid long, doc_id long, no_id boolean, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, part long, bin long, offset long, fill long, bins long, bound long"
-#: Documents that one packing task holds; rounds of exchange between partitions with gaps.
-PART_ROWS, ROUNDS = 25_000, 4
+#: Documents that one packing task holds.
+PART_ROWS = 25_000
 
 
-def lower_bound(lengths: np.ndarray, capacity: int) -> int:
+def lower_bound(lengths: np.ndarray, capacity: int, times: np.ndarray | None = None) -> int:
     """Bins that no packing can go below: the largest bound that a family of dual feasible functions gives.
 
     f_k sends a size above capacity-k to the whole bin, one below k to nothing, others to themselves; u_m rounds
     (m+1)x/capacity down to m-ths of a bin. Each maps any feasible bin to at most one bin, as does u_m after f_k.
+    times: how often each length occurs, if not once.
     """
-    count = np.bincount(lengths, minlength=capacity + 1)[: capacity + 1].astype(np.int64)
+    count = np.bincount(lengths, times, minlength=capacity + 1)[: capacity + 1].astype(np.int64)
     x = np.arange(capacity + 1)
     best = 0
     for k in range(capacity // 2 + 1):
@@ -87,13 +88,16 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 102
     return docs.select(*plain_id(), F.col("text").cast("string").alias("text")).mapInPandas(run, PIECES)
 
 
-def pack(items: DataFrame, capacity: int = 1024, part_rows: int = PART_ROWS, rounds: int = ROUNDS) -> DataFrame:
+def pack(items: DataFrame, capacity: int = 1024, part_rows: int = PART_ROWS, exchange: bool = True) -> DataFrame:
     """items (uid, doc_id, no_id, piece, start, length, ids_crc32), lengths 1 to capacity, uid unique. Adds sequence_id, offset.
 
     Each partition of about part_rows open pieces is packed by best fit decreasing and certified if its bins meet its
-    lower bound. Partitions with gaps pool what lies in their unfilled bins, deal it anew and pack it again, as long as
-    that saves bins and at most `rounds` times; filled bins stay. A piece of `capacity` is a sequence of its own.
-    An empty table gives an empty one; equal lengths are ordered by uid.
+    lower bound. Partitions with gaps pool what lies in their unfilled bins, deal it anew and pack it again, until all are
+    certified or a round saves no bin. Then, if there are more bins than the bound for all pieces together, partitions that
+    can't do better alone pool their unfilled bins too, again as long as that saves bins. Filled bins stay. A piece of
+    `capacity` is a sequence of its own. Also added are part_bins and part_bound: the bins of the partition where the piece
+    was packed last, and the fewest that any packing of that partition's pieces has. An empty table gives an empty one;
+    equal lengths are ordered by uid.
     """
     spark, ours = items.sparkSession, items.columns
 
@@ -109,24 +113,37 @@ def pack(items: DataFrame, capacity: int = 1024, part_rows: int = PART_ROWS, rou
         tasks = max(1, min(parts, int(spark.conf.get("spark.sql.shuffle.partitions"))))
         return saved_at(dealt.repartition(tasks, "part").groupBy("part").applyInPandas(fit, PACKED), "packing")
 
+    def placed(rows: DataFrame, k: int) -> DataFrame:
+        # 15 bits for the round, 28 for the partition, 20 for the bin
+        number = (F.lit(k << 48).cast("long") + F.col("part") * (1 << 20) + F.col("bin")).alias("sequence_id")
+        return rows.select(*ours, number, "offset", F.col("bins").alias("part_bins"), F.col("bound").alias("part_bound"))
+
     opened = items.where(F.col("length") < capacity)
-    number = opened.count()
-    done = items.where(F.col("length") >= capacity).select(*ours, (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    label = lambda k: (F.lit(k << 56).cast("long") + F.col("part") * (1 << 20) + F.col("bin")).alias("sequence_id")
-    now, path = packed(opened, number, 0)
-    for k in range(1, rounds + 1):
-        gapped = (F.col("bins") > F.col("bound")) & (F.col("fill") < capacity)
-        # offset 0 is the first item of each bin, so its rows count bins
-        number, old = now.where(gapped).agg(F.count("*"), F.coalesce(F.sum((F.col("offset") == 0).cast("long")), F.lit(0))).first()
-        if not old:
-            break
-        again, at = packed(now.where(gapped), number, k)
-        if again.where("offset = 0").count() >= old:
-            remove(spark, at)
-            break
-        done = done.unionByName(now.where(~gapped).select(*ours, label(k - 1), "offset"))
-        now = again
-    return done.unionByName(now.select(*ours, label(rounds + 1), "offset"))
+    histogram = opened.groupBy("length").count().collect()  # capacity - 1 rows at most
+    times = np.array([r["count"] for r in histogram], np.int64)
+    number, fewest = int(times.sum()), lower_bound(np.array([r["length"] for r in histogram], np.int64), capacity, times)
+    one, zero = (F.lit(n).cast("long") for n in (1, 0))
+    done = items.where(F.col("length") >= capacity).select(*ours, (-1 - F.col("uid")).alias("sequence_id"), zero.alias("offset"), one.alias("part_bins"), one.alias("part_bound"))
+    now, _ = packed(opened, number, 0)
+    # offset 0 is the first item of each bin, so its rows count bins
+    k, closed, alone = 1, 0, True
+    while exchange:
+        total = closed + now.where("offset = 0").count()
+        pooled = F.col("fill") < capacity
+        if alone:
+            pooled = pooled & (F.col("bins") > F.col("bound"))
+        number, old = now.where(pooled).agg(F.count("*"), F.count_if(F.col("offset") == 0)).first()
+        again, at = packed(now.where(pooled), number, k) if old and total > fewest else (None, None)
+        if again is None or again.where("offset = 0").count() >= old:
+            if at:
+                remove(spark, at)
+            if total <= fewest or not alone:
+                break
+            alone = False
+            continue
+        done = done.unionByName(placed(now.where(~pooled), k - 1))
+        now, closed, k = again, total - old, k + 1
+    return done.unionByName(placed(now, k))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024, spaced: bool = True, added: bool = False) -> DataFrame:

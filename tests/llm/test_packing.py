@@ -135,13 +135,30 @@ def test_partitions_exchange(spark):
     data = [(i, i, False, 0, 0, rng.choice([rng.randint(1, 60), rng.randint(300, 700)]), 0) for i in range(2000)]
     items = spark.createDataFrame(data, packing.PIECES)
     many = packing.pack(items, part_rows=40)
-    alone = packing.pack(items, part_rows=40, rounds=0)
+    alone = packing.pack(items, part_rows=40, exchange=False)
     count = lambda d: d.select("sequence_id").distinct().count()
     bound = packing.lower_bound(np.array([d[5] for d in data]), 1024)
     assert bound <= count(many) <= count(alone)
     fills = many.groupBy("sequence_id").agg(F.sum("length").alias("f"), F.max(F.col("offset") + F.col("length")).alias("e"), F.count("*").alias("n"))
     assert fills.where("f <> e or f > 1024").count() == 0
     assert many.count() == 2000
+    assert many.where("part_bins < part_bound").count() == 0
+
+
+def test_exchange_reaches_the_bound(spark):
+    # pairs of 600 and 424 fill a sequence, but partitions have more of one than of the other
+    items = spark.createDataFrame([(i, i, False, 0, 0, 600 if i % 2 else 424, 0) for i in range(2000)], packing.PIECES)
+    count = lambda d: d.select("sequence_id").distinct().count()
+    assert count(packing.pack(items, part_rows=40)) <= 1005 < count(packing.pack(items, part_rows=40, exchange=False))
+    assert count(packing.pack(items, part_rows=3000)) == 1000
+
+
+def test_certificates(spark):
+    halves = [(i, i, False, 0, 0, 512, 0) for i in range(400)]
+    out = packing.pack(spark.createDataFrame(halves, packing.PIECES), part_rows=50)
+    parts = out.groupBy("part_bins", "part_bound").count().collect()
+    assert out.select("sequence_id").distinct().count() == 200 and sum(r["count"] for r in parts) == 400
+    assert all(r.part_bins == r.part_bound for r in out.collect())
 
 
 def test_no_documents(empty):
