@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, filterfalse
 from operator import eq
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -16,19 +17,31 @@ SAMPLE_ROWS = 20_000
 #: Bins of a feature and of each side of a pair; passes over the features and over the pairs; pairs; learning rate.
 BINS, PAIR_BINS, PASSES, PAIR_PASSES, PAIRS, RATE = 64, 12, 120, 60, 8, 0.15
 ACCEPT = 0.7
-NAMES = ["log_chars", "log_words", "upper", "digit", "symbol", "stop", "bar", "space", "newline", "non_ascii", "word_chars", "distinct", "repeated", "short_words", "long_words", "capital_words", "marked_words", "top_word"]
+#: Buckets that words are hashed into, each with its share of a text's words as an input; words whose bucket is remembered.
+BUCKETS, MEMO_WORDS = 32, 500_000
+NAMES = ["log_chars", "log_words", "upper", "digit", "symbol", "stop", "space", "newline", "non_ascii", "word_chars", "distinct", "repeated", "short_words", "long_words", "capital_words", "marked_words", "top_word", *[f"bucket_{i}" for i in range(BUCKETS)]]
 
 
 def _classes() -> np.ndarray:
-    """Class of each byte: 1 upper, 2 lower, 3 digit, 4 symbol, 5 sentence end or comma, 6 bar, 7 space, 8 newline, 9 not ASCII."""
+    """Class of each byte: 1 upper, 2 lower, 3 digit, 4 symbol, 5 sentence end or comma, 6 space, 7 newline, 8 not ASCII."""
     table = np.full(256, 4, np.int64)
     for i in range(256):
         c = chr(i)
-        table[i] = 9 if i > 127 else 8 if c == "\n" else 7 if c.isspace() else 1 if c.isupper() else 2 if c.islower() else 3 if c.isdigit() else 6 if c == "|" else 5 if c in ".,;:?" else 4
+        table[i] = 8 if i > 127 else 7 if c == "\n" else 6 if c.isspace() else 1 if c.isupper() else 2 if c.islower() else 3 if c.isdigit() else 5 if c in ".,;:?" else 4
     return table
 
 
 CLASSES = _classes()
+_bucket_of: dict[str, int] = {}
+
+
+def word_buckets(words: list[str]) -> np.ndarray:
+    """Share of the words in each bucket, by CRC-32 of the lower-cased word."""
+    if len(_bucket_of) > MEMO_WORDS:
+        _bucket_of.clear()
+    for w in filterfalse(_bucket_of.__contains__, words):
+        _bucket_of[w] = crc32(w.lower().encode()) % BUCKETS
+    return np.bincount(np.fromiter(map(_bucket_of.__getitem__, words), np.int64, len(words)), minlength=BUCKETS) / len(words)
 
 
 def features(texts: list[str | None]) -> np.ndarray:
@@ -41,25 +54,26 @@ def features(texts: list[str | None]) -> np.ndarray:
         kinds = CLASSES[raw]
         count = np.bincount(kinds, minlength=10)
         words = text.split()
-        n, letters = len(words), max(1, count[1] + count[2] + count[9])
-        blank = np.flatnonzero((kinds == 7) | (kinds == 8))
+        n, letters = len(words), max(1, count[1] + count[2] + count[8])
+        blank = np.flatnonzero((kinds == 6) | (kinds == 7))
         sizes = np.diff(blank, prepend=-1, append=len(raw)) - 1
         sizes = sizes[sizes > 0]
         row = out[i]
         row[:2] = np.log1p(len(text)), np.log1p(n)
         row[2], row[3] = count[1] / letters, count[3] / len(raw)
-        row[4:10] = count[[4, 5, 6, 7, 8, 9]] / len(raw)
+        row[4:9] = count[[4, 5, 6, 7, 8]] / len(raw)
         if n:
             starts = np.concatenate([[0], blank + 1])
             starts = starts[starts < len(raw)]
-            row[10] = sizes.mean()
-            row[11] = len(set(words)) / n ** 0.75
-            row[12] = sum(map(eq, words, words[1:])) / n
-            row[13], row[14] = (sizes <= 3).mean(), (sizes >= 12).mean()
-            row[15] = (kinds[starts] == 1).mean()
+            row[9] = sizes.mean()
+            row[10] = len(set(words)) / n ** 0.75
+            row[11] = sum(map(eq, words, words[1:])) / n
+            row[12], row[13] = (sizes <= 3).mean(), (sizes >= 12).mean()
+            row[14] = (kinds[starts] == 1).mean()
             ends = np.concatenate([blank, [len(raw)]]) - 1
-            row[16] = (kinds[ends[ends >= 0]] == 4).mean()
-            row[17] = _share_of_most(words)
+            row[15] = (kinds[ends[ends >= 0]] == 4).mean()
+            row[16] = _share_of_most(words)
+            row[17:] = word_buckets(words)
     return out
 
 

@@ -140,6 +140,65 @@ def test_features_of_hard_texts(rows):
     assert np.isfinite(x).all() and not x[:2].any()
 
 
+def plain_tree(g, h, leaves):
+    """Bins cut where the gain is largest, one cut at a time, by trying every cut."""
+    cuts = [0, len(g)]
+    worth = lambda a, b: sum(g[a:b]) ** 2 / (sum(h[a:b]) + 1.0)
+    while len(cuts) <= leaves:
+        options = [(worth(a, k) + worth(k, b) - worth(a, b), k) for a, b in zip(cuts, cuts[1:]) for k in range(a + 1, b) if sum(h[a:k]) >= 2 and sum(h[k:b]) >= 2]
+        if not options or max(options)[0] <= 1e-6:
+            break
+        cuts = sorted([*cuts, max(options)[1]])
+    return [sum(g[a:b]) / (sum(h[a:b]) + 1.0) for a, b in zip(cuts, cuts[1:]) for _ in range(a, b)]
+
+
+def plain_scores(x, y):
+    """The additive model without pairs, row by row."""
+    edges = [sorted(set(np.quantile(c, np.arange(1, quality.BINS) / quality.BINS).tolist())) for c in x.T]
+    rate = (sum(y) + 1) / (len(y) + 2)
+    margin = [math.log(rate / (1 - rate))] * len(y)
+    bins = [[sum(v > e for e in edges[j]) for v in x[:, j]] for j in range(x.shape[1])]
+    for _ in range(quality.PASSES):
+        for j, b in enumerate(bins):
+            p = [1 / (1 + math.exp(-m)) for m in margin]
+            g, h = [0.0] * (len(edges[j]) + 1), [0.0] * (len(edges[j]) + 1)
+            for k, q, t in zip(b, p, y):
+                g[k] += t - q
+                h[k] += q * (1 - q)
+            step = plain_tree(g, h, 4)
+            margin = [m + quality.RATE * step[k] for m, k in zip(margin, b)]
+    return [1 / (1 + math.exp(-m)) for m in margin]
+
+
+def test_fit_against_a_plain_model(monkeypatch):
+    monkeypatch.setattr(quality, "BINS", 8)
+    monkeypatch.setattr(quality, "PASSES", 6)
+    monkeypatch.setattr(quality, "PAIRS", 0)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(150, 3))
+    y = (x[:, 0] + np.abs(x[:, 1]) + rng.normal(size=150) / 2 > 0.6).astype(float)
+    assert quality.AdditiveModel(x, y).scores(x) == pytest.approx(plain_scores(x, y.tolist()), abs=1e-9)
+
+
+def test_pairs_learn_an_interaction():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 4))
+    y = (x[:, 1] * x[:, 2] > 0).astype(float)
+    model = quality.AdditiveModel(x[:2000], y[:2000])
+    assert model.pairs[0] == (1, 2) and ((model.scores(x[2000:]) > 0.5) == y[2000:]).mean() > 0.85
+
+
+def area_under_curve(scores, labels):
+    good, bad = [[s for s, q in zip(scores, labels, strict=True) if q == k] for k in (1, 0)]
+    return sum((a > b) + 0.5 * (a == b) for a in good for b in bad) / (len(good) * len(bad))
+
+
+def test_word_buckets():
+    out = quality.features(["Word word other", ""])
+    shares = out[0, -quality.BUCKETS :]
+    assert shares.sum() == pytest.approx(1) and shares[crc32(b"word") % quality.BUCKETS] >= 2 / 3 and not out[1].any()
+
+
 def test_classifier(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     out = {r.doc_id: r for r in quality.classify(docs, labels).collect()}
@@ -147,6 +206,14 @@ def test_classifier(spark):
     assert all(r.held_out == (crc32(str(i).encode()) % 4 == 2) for i, r in out.items())
     held = [(out[r.doc_id].predicted, r.quality) for r in labels.collect() if out[r.doc_id].held_out]
     assert len(held) > 50 and sum(p == q for p, q in held) / len(held) > 0.93
+    lang = {r.doc_id: r.lang for r in docs.collect()}
+    by_lang = defaultdict(list)
+    for r in labels.collect():
+        if out[r.doc_id].held_out:
+            by_lang["all"].append((out[r.doc_id].score, r.quality))
+            by_lang[lang[r.doc_id]].append((out[r.doc_id].score, r.quality))
+    areas = {k: area_under_curve(*zip(*v)) for k, v in by_lang.items() if len({q for _, q in v}) == 2}
+    assert areas["all"] > 0.97 and all(a > 0.9 for a in areas.values())
 
 
 def test_labels_of_the_held_out_fold_count_for_nothing(spark):
