@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,14 +85,13 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", uri))
 
 
-def write_file(folder: str, name: str, data: bytes) -> str:
-    """Writes one whole file under a name that only complete files get; a repeated task writes the same bytes again."""
+def write_new(folder: str, name: str, suffix: str, data: bytes) -> str:
+    """Writes a file under a name that no other attempt of the task has, and returns its address."""
     store, path = filesystem(folder)
     store.create_dir(path, recursive=True)
-    part = f"{path}/.{name}.{uuid.uuid4().hex}"
-    with store.open_output_stream(part, compression=None) as out:
+    name = f"{name}-{uuid.uuid4().hex}{suffix}"
+    with store.open_output_stream(f"{path}/{name}", compression=None) as out:
         out.write(data)
-    store.move(part, f"{path}/{name}")
     return f"{folder}/{name}"
 
 
@@ -101,6 +101,13 @@ def read_file(uri: str) -> bytes:
         return f.read()
 
 
+def ranges_of(uri: str) -> Callable[[int, int], bytes]:
+    """A function that reads so many bytes of a file from a place in it."""
+    store, path = filesystem(uri)
+    file = store.open_input_file(path)
+    return lambda at, size: file.read_at(size, at)
+
+
 def plain_id(name: str = "doc_id") -> list[Column]:
     """The id without nulls, and no_id where it was null: pandas holds longs with nulls as floats, which lose digits."""
     c = F.col(name).cast("long")

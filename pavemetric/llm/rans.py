@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,16 +11,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import plain_id, read_file, saved, scratch, small, write_file
+from .common import plain_id, ranges_of, saved, scratch, small, write_new
 from .tokens import encoder
 
 MAGIC = b"RANSTOK1"
 #: Frequencies of a file sum to 2**SCALE; states lie in [LOW, LOW * 2**32).
 SCALE, LOW = 20, 1 << 31
-#: Interleaved states of a block, ids of a block; rows of a file as aimed at.
-LANES, BLOCK, FILE_ROWS = 4096, 1 << 20, 4_000
-#: Columns of the block index at the head of a file: the checkpoints from which a block decodes on its own.
-CHECKPOINT = np.dtype([("first_id", "<u8"), ("ids", "<u4"), ("words", "<u4"), ("at", "<u8"), ("crc", "<u4"), ("ids_crc", "<u4")])
+#: Interleaved states of a block; ids from which a block and a file end with a document; bytes of text of one writing task.
+LANES, BLOCK, FILE_IDS, TASK_BYTES = 4096, 1 << 18, 1 << 22, 16 << 20
+#: Columns of the block index at the head of a file: the checkpoints from which a block, with whole documents, decodes alone.
+CHECKPOINT = np.dtype([("first_id", "<u8"), ("first_doc", "<u8"), ("docs", "<u8"), ("ids", "<u8"), ("words", "<u8"), ("at", "<u8"), ("crc", "<u4"), ("ids_crc", "<u4")])
+LISTED = "task long, file long, path string, blocks long, docs long, ids long"
 
 
 def frequencies(counts: np.ndarray) -> np.ndarray:
@@ -85,21 +86,24 @@ def decode_block(words: np.ndarray, n: int, freq: np.ndarray, cum: np.ndarray, s
     return ids
 
 
-def pack_file(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
-    """Magic; sizes; compressed document list and frequency table with checksum; checkpoints; blocks."""
+def pack_file(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray, block: int = BLOCK) -> bytes:
+    """Magic; sizes; compressed document list and frequency table; checkpoints; checksum of the head; blocks."""
     counts = np.bincount(ids, minlength=1) if len(ids) else np.zeros(1, np.int64)
     freq = frequencies(counts)
     cum = np.concatenate([[0], np.cumsum(freq)[:-1]]).astype(np.uint64)
-    blocks, index, at = [], [], 0
-    for first in range(0, len(ids), BLOCK):
-        part = ids[first : first + BLOCK]
-        raw = encode_block(part, freq, cum).astype("<u4").tobytes()
-        index.append((first, len(part), len(raw) // 4, at, zlib.crc32(raw), zlib.crc32(part.astype("<u4").tobytes())))
+    ends = np.cumsum(lengths)
+    blocks, index, at, doc, first = [], [], 0, 0, 0
+    while doc < len(lengths):
+        # whole documents, up to the first that reaches the size of a block
+        after = min(int(np.searchsorted(ends, first + block, "left")) + 1, len(lengths))
+        part = ids[first : int(ends[after - 1])]
+        raw = encode_block(part, freq, cum).astype("<u4").tobytes() if len(part) else b""
+        index.append((first, doc, after - doc, len(part), len(raw) // 4, at, zlib.crc32(raw), zlib.crc32(part.astype("<u4").tobytes())))
         blocks.append(raw)
-        at += len(raw)
+        at, doc, first = at + len(raw), after, first + len(part)
     nulls = np.array([d is None for d in doc_ids], np.uint8)
     numbers = np.array([0 if d is None else d for d in doc_ids], "<i8")
-    head = b"".join([nulls.tobytes(), np.diff(numbers, prepend=np.int64(0)).astype("<i8").tobytes(), lengths.astype("<u4").tobytes(), freq.astype("<u4").tobytes()])
+    head = b"".join([nulls.tobytes(), np.diff(numbers, prepend=np.int64(0)).astype("<i8").tobytes(), np.asarray(lengths).astype("<u4").tobytes(), freq.astype("<u4").tobytes()])
     head = zlib.compress(head, 6)
     table = np.array(index, CHECKPOINT).tobytes()
     sizes = np.array([len(doc_ids), len(freq), len(head), len(index), zlib.crc32(head + table)], "<u8").tobytes()
@@ -107,18 +111,20 @@ def pack_file(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -
 
 
 class TokenFile:
-    """A file of pack_file; any block can be decoded by itself from its checkpoint."""
+    """A file of pack_file. Opening it reads the head; any block is read and decoded by itself from its checkpoint."""
 
-    def __init__(self, data: bytes):
-        if data[:8] != MAGIC:
+    def __init__(self, read: Callable[[int, int], bytes]):
+        """read(at, size): bytes of the file."""
+        lead = read(0, 48)
+        if lead[:8] != MAGIC:
             raise ValueError("not a token file")
-        docs, symbols, head_size, n, crc = np.frombuffer(data, "<u8", 5, 8).tolist()
-        at = 48 + head_size
-        self.index = np.frombuffer(data, CHECKPOINT, n, at)
-        if zlib.crc32(data[48 : at + n * CHECKPOINT.itemsize]) != crc:
+        docs, symbols, head_size, n, crc = np.frombuffer(lead, "<u8", 5, 8).tolist()
+        data = read(48, head_size + n * CHECKPOINT.itemsize)
+        if zlib.crc32(data) != crc:
             raise ValueError("the head of a token file is damaged")
-        self.body = memoryview(data)[at + n * CHECKPOINT.itemsize :]
-        head = zlib.decompress(data[48:at])
+        self.index = np.frombuffer(data, CHECKPOINT, n, head_size)
+        self.read, self.body = read, 48 + len(data)
+        head = zlib.decompress(data[:head_size])
         nulls = np.frombuffer(head, np.uint8, docs)
         numbers = np.cumsum(np.frombuffer(head, "<i8", docs, docs))
         self.doc_ids = [None if z else int(d) for z, d in zip(nulls, numbers, strict=True)]
@@ -127,12 +133,17 @@ class TokenFile:
         self.cum = np.concatenate([[0], np.cumsum(self.freq)[:-1]]).astype(np.uint64)
         self.slots = np.repeat(np.arange(symbols, dtype=np.uint32), self.freq.astype(np.int64))
 
+    @classmethod
+    def of(cls, data: bytes) -> TokenFile:
+        return cls(lambda at, size: data[at : at + size])
+
     def block(self, k: int) -> np.ndarray:
         b = self.index[k]
-        raw = bytes(self.body[int(b["at"]) : int(b["at"]) + 4 * int(b["words"])])
+        raw = self.read(self.body + int(b["at"]), 4 * int(b["words"]))
         if zlib.crc32(raw) != b["crc"]:
             raise ValueError("a block of a token file is damaged")
-        ids = decode_block(np.frombuffer(raw, "<u4").astype(np.uint32), int(b["ids"]), self.freq, self.cum, self.slots)
+        n = int(b["ids"])
+        ids = decode_block(np.frombuffer(raw, "<u4").astype(np.uint32), n, self.freq, self.cum, self.slots) if n else np.empty(0, np.uint32)
         if zlib.crc32(ids.astype("<u4").tobytes()) != b["ids_crc"]:
             raise ValueError("ids of a token file are damaged")
         return ids
@@ -141,78 +152,84 @@ class TokenFile:
         return np.concatenate([self.block(k) for k in range(len(self.index))]) if len(self.index) else np.empty(0, np.uint32)
 
 
-def file_bounds(docs: DataFrame, file_rows: int) -> list[int]:
-    """Ids at which files begin, each for about file_rows rows; an id with more rows occurs several times."""
-    n = docs.count()
-    files = max(1, round(n / file_rows))
-    if files == 1:
-        return []
-    points = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [k / files for k in range(1, files)], max(10_000, 20 * files)).alias("p")).first()["p"]
-    return sorted(points or [])
-
-
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, spaced: bool = False, file_rows: int = FILE_ROWS, added: bool = False) -> DataFrame:
-    """Writes the ids of docs (doc_id, text) in ascending doc_id order; returns the list (file, path, docs, ids).
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, spaced: bool = False, task_bytes: int = TASK_BYTES, file_ids: int = FILE_IDS, added: bool = False) -> DataFrame:
+    """Writes the ids of docs (doc_id, text) in ascending doc_id order; returns the list (task, file, path, blocks, docs, ids).
 
-    File k has the rows between bounds k-1 and k; rows of an id that is several bounds at once, and null ids (which come
-    first), are dealt to the files in question by their text, so no file grows with a hot id. In a file rows are ordered by
-    id, then by their ids' bytes. A file's frequency table is shared by all its blocks.
+    Rows are dealt to tasks by ranges of doc_id (null first), then a hash of the text, then a scan number, so that an id or
+    a row that repeats without end is cut too; a task sorts its range, encodes it and writes a file for each file_ids ids.
+    A file's frequency table is shared by all its blocks. Names are new in every attempt of a task, and only files of
+    attempts that succeed are listed.
     """
-    spark = docs.sparkSession
-    bounds = file_bounds(docs, file_rows)
-    nulls = docs.where("doc_id is null").count() // file_rows + 1  # files of null ids, before the others
-    rows = docs.select(*plain_id(), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    size = docs.agg(F.coalesce(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 16), F.lit(0))).first()[0]
+    order = [F.col("no_id").desc(), F.col("doc_id"), F.col("salt"), F.col("uid")]
+    rows = docs.select(*plain_id(), text.alias("text"), F.xxhash64(text).alias("salt"), F.monotonically_increasing_id().alias("uid"))
+    dealt = rows.repartitionByRange(max(1, -(-size // task_bytes)), *order).sortWithinPartitions(*order).select("doc_id", "no_id", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, ends = encoder(tokenizer, end_id, spaced, added).encode, np.array(bounds, np.int64)
+        from pyspark import TaskContext
+
+        encode, task, file = encoder(tokenizer, end_id, spaced, added).encode, TaskContext.get().partitionId(), 0
+        numbers: list[int | None] = []
+        parts: list[np.ndarray] = []
+        held = 0
+
+        def flush() -> pd.DataFrame:
+            nonlocal file, held
+            data = pack_file(numbers, np.array([len(x) for x in parts]), np.concatenate(parts))
+            path = write_new(folder, f"tokens-{task:06d}-{file:06d}", ".rans", data)
+            blocks = int(np.frombuffer(data, "<u8", 5, 8)[3])
+            out = pd.DataFrame({"task": [task], "file": [file], "path": [path], "blocks": [blocks], "docs": [len(numbers)], "ids": [held]})
+            file, held = file + 1, 0
+            numbers.clear()
+            parts.clear()
+            return out
+
         for batch in batches:
-            ids = [np.frombuffer(x, np.uint32) for x in encode(batch["text"].tolist())]
-            raw = [x.astype("<u2").tobytes() if x.max() < 1 << 16 else x.astype("<u4").tobytes() for x in ids]
-            wide = [len(r) // len(x) for r, x in zip(raw, ids, strict=True)]
-            salt = np.array([zlib.crc32(r) for r in raw], np.int64)
-            null = batch["no_id"].to_numpy(bool)
-            key = batch["doc_id"].to_numpy(np.int64)
-            low, high = np.searchsorted(ends, key, "left"), np.searchsorted(ends, key, "right")
-            file = np.where(null, salt % nulls - nulls, low + salt % (high - low + 1))
-            yield pd.DataFrame({"file": file, "doc_id": batch["doc_id"], "no_id": batch["no_id"], "wide": wide, "ids": raw})
-
-    def write(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "ids"], ignore_index=True)
-        ids = [np.frombuffer(x, f"<u{w}").astype(np.uint32) for x, w in zip(pdf["ids"], pdf["wide"], strict=True)]
-        file = int(pdf["file"].iloc[0])
-        numbers = [None if z else d for d, z in zip(pdf["doc_id"].tolist(), pdf["no_id"].tolist(), strict=True)]
-        data = pack_file(numbers, np.array([len(x) for x in ids]), np.concatenate(ids))
-        return pd.DataFrame({"file": [file], "path": [write_file(folder, f"tokens-{file + nulls:07d}.rans", data)], "docs": [len(pdf)], "ids": [sum(map(len, ids))]})
-
-    coded = rows.mapInPandas(run, "file long, doc_id long, no_id boolean, wide int, ids binary")
-    return saved(coded.groupBy("file").applyInPandas(write, "file long, path string, docs long, ids long"), "tokens")
+            for at in range(0, len(batch), 512):
+                some = batch.iloc[at : at + 512]
+                for doc_id, no_id, raw in zip(some["doc_id"].tolist(), some["no_id"].tolist(), encode(some["text"].tolist()), strict=True):
+                    ids = np.frombuffer(raw, "<u4")
+                    numbers.append(None if no_id else doc_id)
+                    parts.append(ids)
+                    held += len(ids)
+                    if held >= file_ids:
+                        yield flush()
+        if numbers:
+            yield flush()
+
+    return saved(dealt.mapInPandas(run, LISTED), "tokens")
 
 
 def read_tokens(listed: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document in the listed files, decoded block by block."""
+    """doc_id, start, n_tokens and ids_crc32 of every document in the listed files, each block decoded by itself."""
     spark = listed.sparkSession
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        path, opened = None, None
         for batch in batches:
-            for file, path in zip(batch["file"], batch["path"], strict=True):
-                f = TokenFile(read_file(path))
-                raw, ends = f.ids().astype("<u4").tobytes(), np.cumsum(f.lengths)
-                starts = ends - f.lengths
-                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                yield pd.DataFrame({"r_file": int(file), "doc_id": pd.array(f.doc_ids, "Int64"), "place": starts, "n_tokens": f.lengths, "ids_crc32": crc})
-
-    # a row for each file, so this order is of a short list
-    before = listed.select("file", (F.sum("ids").over(Window.orderBy("file")) - F.col("ids")).alias("before"))
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = listed.select("file", "path").repartition(tasks, "file").mapInPandas(run, "r_file long, doc_id long, place long, n_tokens long, ids_crc32 long")
-    out = rows.join(small(before, listed.count()), F.col("r_file") == F.col("file"))
-    return out.select("doc_id", (F.col("before") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
-
-
-def token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, spaced: bool = False, folder: str | None = None, file_rows: int = FILE_ROWS, added: bool = False) -> DataFrame:
+            for row in batch.itertuples(index=False):
+                if row.path != path:
+                    path, opened = row.path, TokenFile(ranges_of(row.path))
+                b = opened.index[row.block]
+                first, docs = int(b["first_doc"]), int(b["docs"])
+                raw, ends = opened.block(row.block).astype("<u4").tobytes(), np.cumsum(opened.lengths[first : first + docs])
+                starts = ends - opened.lengths[first : first + docs]
+                crc = [zlib.crc32(raw[4 * s : 4 * e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+                yield pd.DataFrame({"doc_id": pd.array(opened.doc_ids[first : first + docs], "Int64"), "start": row.before + int(b["first_id"]) + starts, "n_tokens": ends - starts, "ids_crc32": crc})
+
+    # ids before a task's files: a row for each task, then the files of a task in their order
+    tasks = listed.groupBy("task").agg(F.sum("ids").alias("ids")).select("task", (F.sum("ids").over(Window.orderBy("task")) - F.col("ids")).alias("earlier"))
+    inside = F.sum("ids").over(Window.partitionBy("task").orderBy("file")) - F.col("ids")
+    files = listed.withColumn("inside", inside).join(small(tasks, listed.count()), "task")
+    blocks = files.select("path", (F.col("earlier") + F.col("inside")).alias("before"), F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("block"))
+    return blocks.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "path", "block").sortWithinPartitions("path", "block").mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, spaced: bool = False, folder: str | None = None, task_bytes: int = TASK_BYTES, file_ids: int = FILE_IDS, added: bool = False) -> DataFrame:
     """docs (doc_id, text; others ignored) written as token files and read back.
 
-    Null or empty text: the end id alone. Null ids come before all others. Rows with the same doc_id are ordered by their
-    ids' bytes. An empty table: no files, no rows.
+    Null or empty text: the end id alone. Null ids come before all others. Rows with the same doc_id are ordered by a hash
+    of their texts. An empty table: no files, no rows.
     """
-    return read_tokens(write_tokens(docs, folder or scratch(docs.sparkSession, "tokens"), tokenizer, end_id, spaced, file_rows, added))
+    return read_tokens(write_tokens(docs, folder or scratch(docs.sparkSession, "tokens"), tokenizer, end_id, spaced, task_bytes, file_ids, added))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import plain_id, read_file, saved_at, scratch, small, write_file
+from .common import plain_id, read_file, saved_at, scratch, small, write_new
 
 #: Head of the skippable frame that holds the dictionary, as the draft for zstd-compressed WARC files has it.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -104,7 +104,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 100) -> DataF
 
     Of payloads that are equal and have at least min_bytes, the one with the smallest page_id is a response (all of them,
     if that page_id repeats), the others are revisits of it. A task writes one archive for each ARCHIVE_BYTES of
-    payload, under a name of its own, so a repeated task replaces its files by equal ones.
+    payload. Names are new in every attempt of a task, and only archives of attempts that succeed are listed.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -116,7 +116,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 100) -> DataF
 
         def flush() -> pd.DataFrame:
             nonlocal written, size
-            path = write_file(folder, f"part-{task:06d}-{written:04d}.warc.zst", archive(records))
+            path = write_new(folder, f"part-{task:06d}-{written:04d}", ".warc.zst", archive(records))
             out = pd.DataFrame({"path": [path], "records": [len(records)]})
             written, size = written + 1, 0
             records.clear()

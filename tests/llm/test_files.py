@@ -8,9 +8,8 @@ import numpy as np
 import pytest
 
 from pavemetric.llm import media, rans, registry, warc
-from pavemetric.llm.common import read_file, scratch
+from pavemetric.llm.common import ranges_of, read_file, scratch, write_new
 from pavemetric.llm.registry import tokenizer
-from pavemetric.llm.tokens import Encoder
 
 
 @pytest.mark.parametrize("size", [0, 1, 161, 162, 163, 176, 346, 347, 8073, 8074, 8075, 64592, 64597, 200_001])
@@ -24,6 +23,25 @@ def test_stream_round_trip(size):
     assert sum(u[2] for u in out.units) == size
 
 
+def test_stream_bytes_by_a_plain_parser():
+    """The tables and the first packets of a stream, written out; and a reader that knows only packet and header layouts."""
+    stream = media.mux(bytes(range(256)) * 4)
+    assert stream[:21].hex() == "474000100000b00d0001c100000001f0002ab104b2"
+    assert stream[21:188] == b"\xff" * 167
+    assert stream[188:214].hex() == "475000100002b0120001c10000e100f00006e100f000be7fa052"
+    # payload start on PID 0x100, adaptation field with random access and clock, then a private stream with PTS 0
+    assert stream[376:407].hex() == "474100300750000000007e00" + "000001bd0408848005" + "2100010001" + "0001020304"
+    out, counters = b"", []
+    for at in range(0, len(stream), 188):
+        packet = stream[at : at + 188]
+        assert packet[0] == 0x47 and len(packet) == 188
+        if (packet[1] & 31) << 8 | packet[2] == 0x100:
+            counters.append(packet[3] & 15)
+            out += packet[4 + (1 + packet[4] if packet[3] & 32 else 0) :]
+    assert counters == [k % 16 for k in range(len(counters))]
+    assert out[:3] == b"\x00\x00\x01" and int.from_bytes(out[4:6]) == len(out) - 6 and out[9 + out[8] :] == bytes(range(256)) * 4
+
+
 def test_lost_repeated_and_damaged_packets():
     stream = media.mux(os.urandom(30_000))
     assert media.Demuxed(stream[: 188 * 10] + stream[188 * 11 :]).lost == 1
@@ -94,10 +112,10 @@ def test_archive_files_are_whole(spark):
 def test_token_file_round_trip(n):
     ids = (np.random.default_rng(n).zipf(1.2, n) % 49_408).astype(np.uint32)
     lengths = np.array([n // 2, n - n // 2])
-    f = rans.TokenFile(rans.pack_file([None, (1 << 60) + 3], lengths, ids))
+    f = rans.TokenFile.of(rans.pack_file([None, (1 << 60) + 3], lengths, ids, 4096))
     assert (f.ids() == ids).all() and f.doc_ids == [None, (1 << 60) + 3] and f.lengths.tolist() == lengths.tolist()
     if len(f.index) > 1:
-        assert (f.block(1) == ids[1 << 20 :]).all()
+        assert (f.block(1) == ids[n // 2 :]).all() and f.index["docs"].tolist() == [1, 1]
 
 
 def test_damage_is_found():
@@ -106,7 +124,7 @@ def test_damage_is_found():
         broken = bytearray(data)
         broken[at] ^= 4
         with pytest.raises(Exception):  # noqa: B017
-            rans.TokenFile(bytes(broken)).ids()
+            rans.TokenFile.of(bytes(broken)).ids()
 
 
 def test_frequencies():
@@ -115,11 +133,14 @@ def test_frequencies():
         assert f.sum() == 1 << rans.SCALE and ((f > 0) == (np.array(counts) > 0)).all()
 
 
-@pytest.mark.parametrize("file_rows", [7, 10_000])
-def test_token_files(docs, rows, file_rows):
+@pytest.mark.parametrize(("task_bytes", "file_ids"), [(3000, 500), (1 << 24, 1 << 22)])
+def test_token_files(docs, rows, task_bytes, file_ids):
+    from tokenizers import Tokenizer
+
     path = tokenizer("word_bpe_49k.json")
-    out = rans.token_files(docs, path, file_rows=file_rows).collect()
-    ids = Encoder(path, 2, False).encode([t for _, t, _ in rows])
+    library = Tokenizer.from_file(path)
+    out = rans.token_files(docs, path, task_bytes=task_bytes, file_ids=file_ids, added=True).collect()
+    ids = [np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes() for _, t, _ in rows]
     want = sorted((-1 if i is None else i, len(x) // 4, crc32(x)) for (i, _, _), x in zip(rows, ids, strict=True))
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.ids_crc32) for r in out) == want
     place, last = 0, -1
@@ -129,10 +150,35 @@ def test_token_files(docs, rows, file_rows):
 
 
 def test_hot_id_is_split(spark):
-    docs = spark.createDataFrame([(5 if i % 3 else i, f"text {i}") for i in range(300)], "doc_id long, text string")
-    listed = rans.write_tokens(docs, scratch(spark, "tokens-test"), tokenizer("word_bpe_49k.json"), file_rows=20)
-    assert listed.count() > 8 and max(r.docs for r in listed.collect()) < 100
-    assert rans.read_tokens(listed).count() == 300
+    docs = spark.createDataFrame([(5 if i % 3 else i, f"text {i % 4}") for i in range(3000)], "doc_id long, text string")
+    listed = rans.write_tokens(docs, scratch(spark, "tokens-test"), tokenizer("word_bpe_49k.json"), task_bytes=6_000)
+    assert listed.count() > 8 and max(r.docs for r in listed.collect()) < 1000
+    assert rans.read_tokens(listed).count() == 3000
+
+
+def test_blocks_are_read_alone(spark):
+    docs = spark.createDataFrame([(i, "some words here " * 50) for i in range(300)], "doc_id long, text string")
+    listed = rans.write_tokens(docs, scratch(spark, "tokens-test"), tokenizer("word_bpe_49k.json"), task_bytes=1 << 24)
+    path = listed.first().path
+    asked = []
+    read = ranges_of(path)
+    f = rans.TokenFile(lambda at, size: asked.append((at, size)) or read(at, size))
+    assert len(f.block(0)) == int(f.index[0]["ids"]) and len(asked) == 3 and asked[2] == (f.body, 4 * int(f.index[0]["words"]))
+
+
+def test_attempts_never_share_files(spark):
+    """A task that writes its files and then fails is repeated; what the first attempt wrote is not listed."""
+    first = write_new("file:///tmp/write-new-test", "part-0", ".x", b"a")
+    second = write_new("file:///tmp/write-new-test", "part-0", ".x", b"b")
+    assert first != second and read_file(first) == b"a" and read_file(second) == b"b"
+    pages = spark.createDataFrame([(i, "u", f"<p>{i}</p>" * 60) for i in range(40)], "page_id long, url string, html string").repartition(3)
+    folder = scratch(spark, "warc-twice")
+    # the same table written twice, as two attempts of each task would, with rows in another order
+    a, b = warc.write_archives(pages, folder), warc.write_archives(pages.repartition(5), folder)
+    for listed in (a, b):
+        out = warc.read_archives(listed)
+        assert sorted(r.page_id for r in out.collect()) == list(range(40))
+    assert not {r.path for r in a.collect()} & {r.path for r in b.collect()}
 
 
 def test_no_documents(empty):
