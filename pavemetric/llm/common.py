@@ -60,7 +60,7 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, counted: DataFrame,
     Else keys with more than `per` rows in `counted` (left, or a settled table with the same keys) are dealt over several
     tasks by a salt, the row of right being copied for each.
     """
-    if rows is not None and rows <= BROADCAST_ROWS:
+    if rows is not None and rows <= BROADCAST_ROWS // 4:
         return left.join(F.broadcast(right), key, how)
     hot = counted.groupBy(key).count().where(F.col("count") > per).select(key, F.ceil(F.col("count") / per).cast("int").alias("s_cuts"))
     hot, _ = saved_at(hot, "hot-keys")

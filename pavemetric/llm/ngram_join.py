@@ -11,10 +11,11 @@ so the grams of a prefix are rare and few documents meet in them.
 2. Documents with equal gram sets become one class. Document frequencies over the classes that are left give the
    rare-first order, and each class its prefix; a class with more than n - ceil(t n) grams of its own has no partner.
 3. Classes are joined on the grams of their prefixes. A gram that many classes have would join all their pairs, so there
-   stars come first: each class is verified against a hub of the gram, and classes that links connect get one label. A
-   few rounds leave most hot grams with one label. Then every pair of classes that share a prefix gram and differ in label
-   is formed, gram by gram, hot grams dealt over several tasks; length filter in the join, positional filter on the places of
-   all grams that a pair shares, suffix filter on the counts of 64 slices of the order, and one verification for each pair.
+   stars come first: each class is verified against a hub of the gram, and classes that links connect get one label. Rounds
+   of stars go on while they bring in a quarter of the classes outside of a gram's largest label. Then every pair of
+   classes that share a prefix gram and differ in label is formed, gram by gram, hot grams dealt over several tasks; length
+   and positional filters in the join, the latter again on the places of all grams that a pair shares, suffix filter on the
+   counts of 64 slices of the order, and one verification for each pair.
 4. Components of the links give each document the smallest id it reaches.
 """
 
@@ -160,7 +161,10 @@ def screened(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, str]:
 
 
 def prefixes(sets: DataFrame, blocks: int) -> DataFrame:
-    """cid, n, gram, place: the grams of each class's rare-first prefix that other classes have too."""
+    """cid, n, alone, gram, place: the grams of each class's rare-first prefix that other classes have too.
+
+    alone: how many grams only this class has.
+    """
     ranges = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks // 4)
 
     def local(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -198,12 +202,12 @@ def prefixes(sets: DataFrame, blocks: int) -> DataFrame:
             if alone >= size:
                 continue
             first = np.lexsort((mine, d))[: size - alone]
-            out.append(pd.DataFrame({"cid": cid, "n": n, "gram": mine[first].view(np.int64), "place": alone + np.arange(len(first))}))
-        return pd.concat(out) if out else pd.DataFrame({"cid": [], "n": [], "gram": [], "place": []})
+            out.append(pd.DataFrame({"cid": cid, "n": n, "alone": alone, "gram": mine[first].view(np.int64), "place": alone + np.arange(len(first))}))
+        return pd.concat(out) if out else pd.DataFrame({"cid": [], "n": [], "alone": [], "gram": [], "place": []})
 
     counted = sets.groupBy("block").applyInPandas(local, "slice int, block int, grams binary, counts binary")
     counted = counted.groupBy("slice").applyInPandas(total, "block int, grams binary, df binary")
-    return sets.groupBy("block").cogroup(counted.groupBy("block")).applyInPandas(order, "cid long, n int, gram long, place int")
+    return sets.groupBy("block").cogroup(counted.groupBy("block")).applyInPandas(order, "cid long, n int, alone int, gram long, place int")
 
 
 def lengths_fit(a: Column, b: Column) -> Column:
@@ -232,13 +236,16 @@ class Verifier:
     def verify(self, pairs: DataFrame) -> None:
         """pairs (a, b, na, nb), a < b, distinct: the suffix filter by slices, then the sets themselves."""
         pairs = self.kept(self.new(pairs), "pairs")
+        met = self.kept(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "met")
+        # of the sets only those that occur are moved
+        sets = self.kept(self.sets.join(small(met, met.count()), "cid", "left_semi").select("cid", "grams", "slices"), "met-sets")
         both = pairs
         for side in "ab":
-            both = spread_join(both, self.sets.select(F.col("cid").alias(side), F.col("slices").alias(f"s{side}")), side, pairs)
+            both = spread_join(both, sets.select(F.col("cid").alias(side), F.col("slices").alias(f"s{side}")), side, pairs)
         apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.abs(x - y)), F.lit(0), lambda t, x: t + x)
         both = near = self.kept(both.where(apart <= F.col("na") + F.col("nb") - 2 * overlap_needed(F.col("na"), F.col("nb"))).drop("sa", "sb"), "near-pairs")
         for side in "ab":
-            both = spread_join(both, self.sets.select(F.col("cid").alias(side), F.col("grams").alias(f"g{side}")), side, near)
+            both = spread_join(both, sets.select(F.col("cid").alias(side), F.col("grams").alias(f"g{side}")), side, near)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
@@ -255,35 +262,31 @@ class Verifier:
         self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
 
     def labels(self) -> DataFrame:
-        """cid and label of classes with links: classes of one label are connected, though not all that are have one label."""
-        both = self.links.unionByName(self.links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        out = both.groupBy("a").agg(F.min("b").alias("l")).select(F.col("a").alias("cid"), F.least("a", "l").alias("label"))
-        for _ in range(2):
-            out = self.kept(out, "labels")
-            up = out.select(F.col("cid").alias("label"), F.col("label").alias("up"))
-            out = spread_join(out, up, "label", out, "left").select("cid", F.coalesce("up", "label").alias("label"))
-        return self.kept(out, "labels")
+        """cid and label, the least class that links reach, of classes with links."""
+        return self.kept(components(self.links, "labels").select(F.col("node").alias("cid"), F.col("root").alias("label")), "labels")
 
 
 def verified_links(postings: DataFrame, sets: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Links (a, b) among the classes of postings (cid, n, gram, place) that connect all pairs of similarity PERCENT or more."""
+    """Links (a, b) among the classes of postings (cid, n, alone, gram, place) that connect all pairs of similarity PERCENT or more."""
     check = Verifier(sets)
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / PERCENT))).cast("int")
     shared = check.kept(postings.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1"), "grams")
     known = shared.count()
     met = check.kept(spread_join(postings, shared, "gram", postings, rows=known), "meetings")
     # stars: classes whose lengths fit fall into one band, or into neighbouring ones
-    hot = met.where(F.col("k") > STAR).select("cid", "n", F.explode(F.array(band, band + 1)).alias("band"), "gram").select("cid", "n", F.xxhash64("gram", "band").alias("meeting"))
+    hot = met.where(F.col("k") > STAR).select("cid", "n", "alone", F.explode(F.array(band, band + 1)).alias("band"), "gram").select("cid", "n", "alone", F.xxhash64("gram", "band").alias("meeting"))
     hot, labels, outside, turn = check.kept(hot, "hot"), None, None, 0
     while True:
         named = labelled(hot, labels)
-        first = F.xxhash64("cid", "meeting", F.lit(turn)) if turn else F.col("cid")
-        hub = F.min(F.struct(first.alias("first"), "cid", "n")).alias("hub")
+        # of near copies those with the fewest grams of their own are most like the others; later rounds try further ones
+        chance = F.xxhash64("cid", "meeting", F.lit(turn))
+        near = F.col("alone") * (1 + F.pmod(chance, F.lit(1000)) / 500) if turn else F.col("alone")
+        hub = F.min(F.struct(near.alias("near"), (chance if turn else F.col("cid")).alias("chance"), "cid", "n")).alias("hub")
         groups = named.groupBy("meeting", "label").agg(F.count("*").alias("c"), hub)
-        top = groups.groupBy("meeting").agg(F.max(F.struct("c", (-F.col("label")).alias("least"), "hub")).alias("top"), F.sum("c").alias("k")).where(F.col("k") > F.greatest(F.lit(STAR), F.col("top.c")))
+        top = groups.groupBy("meeting").agg(F.max(F.struct("c", (-F.col("hub.near")).alias("near"), (-F.col("label")).alias("least"), "hub")).alias("top"), F.sum("c").alias("k")).where(F.col("k") > F.greatest(F.lit(STAR), F.col("top.c")))
         top = check.kept(top.select("meeting", (-F.col("top.least")).alias("major"), F.col("top.hub.cid").alias("hub"), F.col("top.hub.n").alias("hub_n"), (F.col("k") - F.col("top.c")).alias("left")), "hubs")
         meetings, left = top.agg(F.count("*"), F.coalesce(F.sum("left"), F.lit(0))).first()
-        if not left or (outside is not None and 2 * left > outside):
+        if not left or (outside is not None and 4 * left > 3 * outside):
             break
         outside, turn = left, turn + 1
         rays = spread_join(named, top, "meeting", hot, rows=meetings).where((F.col("label") != F.col("major")) & (F.col("cid") != F.col("hub")) & lengths_fit(F.col("n"), F.col("hub_n")))
@@ -297,15 +300,18 @@ def verified_links(postings: DataFrame, sets: DataFrame) -> tuple[DataFrame, lis
     top = named.groupBy("gram", "label").agg(F.count("*").alias("c")).groupBy("gram").agg(F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1").select("gram", F.col("top.label").alias("major"))
     top = check.kept(top, "majors")
     named = check.kept(spread_join(named, top, "gram", met, rows=top.count()).withColumn("minor", F.col("label") != F.col("major")).withColumn("cuts", F.ceil(F.col("k") / SPLIT).cast("int")), "named")
-    side = lambda p: [F.col(c).alias(f"{p}_{c}") for c in ("cid", "n", "place", "label", "minor")]
+    side = lambda p: [F.col(c).alias(f"{p}_{c}") for c in ("cid", "n", "alone", "place", "label", "minor")]
     left = named.where("minor").select("gram", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"), *side("x"))
     right = named.select("gram", F.pmod(F.xxhash64("cid"), F.col("cuts")).cast("int").alias("cut"), *side("y"))
-    both = left.join(right, ["gram", "cut"]).where((F.col("x_label") != F.col("y_label")) & (~F.col("y_minor") | (F.col("x_cid") < F.col("y_cid"))) & lengths_fit(F.col("x_n"), F.col("y_n")))
+    # positional filter on one shared gram: what may be shared before it (grams of one class alone come first), and from it on
+    most = F.least(F.col("x_place") - F.col("x_alone"), F.col("y_place") - F.col("y_alone")) + F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place"))
+    fits = lengths_fit(F.col("x_n"), F.col("y_n")) & (most >= overlap_needed(F.col("x_n"), F.col("y_n")))
+    both = left.join(right, ["gram", "cut"]).where((F.col("x_label") != F.col("y_label")) & (~F.col("y_minor") | (F.col("x_cid") < F.col("y_cid"))) & fits)
     swap = F.col("x_cid") > F.col("y_cid")
     ordered = lambda c: (F.when(swap, F.col(f"y_{c}")).otherwise(F.col(f"x_{c}")), F.when(swap, F.col(f"x_{c}")).otherwise(F.col(f"y_{c}")))
     both = both.select(*[c.alias(f"{p}{q}") for q in ("cid", "n", "place") for p, c in zip("ab", ordered(q), strict=True)])
     pairs = both.groupBy(F.col("acid").alias("a"), F.col("bcid").alias("b"), F.col("an").alias("na"), F.col("bn").alias("nb")).agg(F.count("*").alias("shared"), *[f(f"{p}place").alias(f"{p}{g}") for p in "ab" for g, f in (("first", F.min), ("last", F.max))])
-    # positional filter: nothing before the first shared gram, and what may follow the last one
+    # and on all of them: nothing before the first, and what may follow the last one
     least = overlap_needed(F.col("na"), F.col("nb"))
     rest = F.least(F.col("na") - F.col("alast"), F.col("nb") - F.col("blast")) - 1
     pairs = pairs.where((F.least(F.col("na") - F.col("afirst"), F.col("nb") - F.col("bfirst")) >= least) & (F.col("shared") + rest >= least))
