@@ -6,38 +6,56 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo, tiles
-from .tables import settled, small, with_ids
+from .tables import settled, with_ids
 
 # Share of its size that a cluster's box grows on each side; degrees around a zone's polygon.
 GROW, ZONE_BUFFER = 0.05, 0.25
+#: Degrees of the cells in which boxes, polygons and points meet.
+CELL = 1.0
 BOX = ["min_lon", "min_lat", "max_lon", "max_lat"]
 
 
+def _cells(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """Array of struct(cx, cy): cells of CELL degrees that a box touches."""
+    at = lambda v: F.floor(v / CELL).cast("int")
+    return F.flatten(F.transform(F.sequence(at(x0), at(x1)), lambda x: F.transform(F.sequence(at(y0), at(y1)), lambda y: F.struct(x.alias("cx"), y.alias("cy")))))
+
+
+def _in_cells(df: DataFrame, *box: Column) -> DataFrame:
+    return df.withColumn("_c", F.explode(_cells(*box))).select("*", "_c.cx", "_c.cy").drop("_c")
+
+
+def _cell_of(points: DataFrame) -> DataFrame:
+    return points.withColumn("cx", F.floor(F.col("lon") / CELL).cast("int")).withColumn("cy", F.floor(F.col("lat") / CELL).cast("int"))
+
+
 def zones(points: DataFrame, polygons: DataFrame) -> DataFrame:
     """points (point_id, lon, lat) with the tzid of polygons (tzid, ordinal, ring), null if none is near.
 
     In this order: a single zone's bounding box has the point; the first polygon that contains it; the first within
-    ZONE_BUFFER degrees.
+    ZONE_BUFFER degrees. Boxes and polygons are listed by the cells they touch, so a point meets those of its cell.
     """
     lons, lats = F.transform("ring", lambda c: c["lon"]), F.transform("ring", lambda c: c["lat"])
     boxed = polygons.select("tzid", "ordinal", "ring", F.array_min(lons).alias("x0"), F.array_max(lons).alias("x1"), F.array_min(lats).alias("y0"), F.array_max(lats).alias("y1"))
     # a zone's envelope spans all of its polygons
-    envelopes = boxed.groupBy("tzid").agg(F.min("x0").alias("ex0"), F.max("x1").alias("ex1"), F.min("y0").alias("ey0"), F.max("y1").alias("ey1"))
-    boxed = boxed.join(envelopes, "tzid")
-    near = (F.col("lon") >= F.col("x0") - ZONE_BUFFER) & (F.col("lon") <= F.col("x1") + ZONE_BUFFER) & (F.col("lat") >= F.col("y0") - ZONE_BUFFER) & (F.col("lat") <= F.col("y1") + ZONE_BUFFER)
-    in_envelope = (F.col("lon") >= F.col("ex0")) & (F.col("lon") <= F.col("ex1")) & (F.col("lat") >= F.col("ey0")) & (F.col("lat") <= F.col("ey1"))
-    met = points.join(F.broadcast(boxed), near | in_envelope).withColumn("in_envelope", in_envelope)
+    whole = boxed.groupBy("tzid").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"))
+    whole = whole.select("tzid", F.lit(None).cast("int").alias("ordinal"), F.lit(None).cast(boxed.schema["ring"].dataType).alias("ring"), "x0", "x1", "y0", "y1")
+    near = boxed.select("tzid", F.col("ordinal").cast("int").alias("ordinal"), "ring", *[(F.col(c) + d * ZONE_BUFFER).alias(c) for c, d in (("x0", -1), ("x1", 1), ("y0", -1), ("y1", 1))])
+    shapes = whole.unionByName(near)
+    shapes = _in_cells(shapes, *(F.col(c) for c in ("x0", "y0", "x1", "y1")))
+    inbox = (F.col("lon") >= F.col("x0")) & (F.col("lon") <= F.col("x1")) & (F.col("lat") >= F.col("y0")) & (F.col("lat") <= F.col("y1"))
+    met = _cell_of(points).join(shapes, ["cx", "cy"]).where(inbox)
     inside = geo.inside_ring(F.col("lon"), F.col("lat"), F.col("ring"))
     tier = F.when(inside, 1).when(geo.ring_distance(F.col("lon"), F.col("lat"), F.col("ring")) <= ZONE_BUFFER, 2)
-    met = met.withColumn("tier", tier)
-    found = met.groupBy("point_id").agg(F.collect_set(F.when(F.col("in_envelope"), F.col("tzid"))).alias("boxes"), F.min_by("tzid", F.when(F.col("tier").isNotNull(), F.struct("tier", "ordinal"))).alias("by_shape"))
+    met = met.withColumn("tier", F.when(F.col("ring").isNotNull(), tier))
+    found = met.groupBy("point_id").agg(F.collect_set(F.when(F.col("ring").isNull(), F.col("tzid"))).alias("boxes"), F.min_by("tzid", F.when(F.col("tier").isNotNull(), F.struct("tier", "ordinal"))).alias("by_shape"))
     tzid = F.when(F.size("boxes") == 1, F.element_at("boxes", 1)).otherwise(F.col("by_shape"))
     return points.join(found.select("point_id", tzid.alias("tzid")), "point_id", "left")
 
 
 def zone_offsets(points: DataFrame, polygons: DataFrame, offsets: DataFrame) -> DataFrame:
     """points with tzid and raw_offset_ms (tzid, raw_offset_ms; no daylight saving), 0 where unknown."""
-    return zones(points, polygons).join(F.broadcast(offsets), "tzid", "left").withColumn("raw_offset_ms", F.coalesce("raw_offset_ms", F.lit(0)))
+    return zones(points, polygons).join(offsets, "tzid", "left").withColumn("raw_offset_ms", F.coalesce("raw_offset_ms", F.lit(0)))
 
 
 def convert_time(time_ms: Column, raw_offset_ms: Column) -> Column:
@@ -64,8 +82,9 @@ def areas(tiles_xy: DataFrame, polygons: DataFrame, offsets: DataFrame, place_no
 def place_names(boxes: DataFrame, places: DataFrame, key: str) -> DataFrame:
     """key and name, country -- city of the most populous place (lon, lat, country, city, population > 0) in each box."""
     within = (F.col("lon") >= F.col("min_lon")) & (F.col("lon") <= F.col("max_lon")) & (F.col("lat") >= F.col("min_lat")) & (F.col("lat") <= F.col("max_lat"))
-    named = places.where("population > 0").select("lon", "lat", "population", F.concat_ws(" -- ", "country", "city").alias("name"))
-    best = boxes.join(small(named), within).groupBy(key).agg(F.max_by("name", F.struct("population", "name")).alias("name"))
+    named = _cell_of(places.where("population > 0").select("lon", "lat", "population", F.concat_ws(" -- ", "country", "city").alias("name")))
+    listed = _in_cells(boxes.select(key, *BOX), *(F.col(c) for c in BOX))
+    best = listed.join(named, ["cx", "cy"]).where(within).groupBy(key).agg(F.max_by("name", F.struct("population", "name")).alias("name"))
     return boxes.select(key).join(best, key, "left")
 
 
@@ -78,29 +97,33 @@ def overlap(a: dict[str, Column], b: dict[str, Column]) -> Column:
     return (a["min_lon"] <= b["max_lon"]) & (b["min_lon"] <= a["max_lon"]) & (a["min_lat"] <= b["max_lat"]) & (b["min_lat"] <= a["max_lat"])
 
 
-def clusters(area_table: DataFrame, places: DataFrame, max_rounds: int = 50) -> DataFrame:
+def clusters(area_table: DataFrame, places: DataFrame) -> DataFrame:
     """area_id and cluster_id (its smallest area): areas whose clusters' grown boxes overlap or that share a name.
 
-    Each round names the clusters, links those that overlap or agree in name, and gives each the smallest id among its
-    links, until nothing changes. Areas are loaded tiles, a dimension of thousands of rows.
+    Each round names the clusters, links those that overlap or agree in name, and merges each into the smallest of its
+    links and what that one is merged into, and so on; rounds end when nothing changes. Boxes meet in the cells that they
+    touch.
     """
-    members = area_table.select(F.col("id").alias("area_id"), F.col("id").alias("cluster_id"), *BOX)
-    before = None
-    for _ in range(max_rounds):
-        members = settled(members)
-        state = members.agg(F.countDistinct("cluster_id"), F.sum("cluster_id")).first()
-        if state == before:
-            break
-        before = state
+    members = settled(area_table.select(F.col("id").alias("area_id"), F.col("id").alias("cluster_id"), *BOX))
+    while True:
         boxes = members.groupBy("cluster_id").agg(F.min("min_lon").alias("min_lon"), F.min("min_lat").alias("min_lat"), F.max("max_lon").alias("max_lon"), F.max("max_lat").alias("max_lat"))
         boxes = boxes.join(place_names(boxes, places, "cluster_id"), "cluster_id")
-        a = boxes.select(*[F.col(c).alias(f"a_{c}") for c in boxes.columns])
-        b = boxes.select(*[F.col(c).alias(f"b_{c}") for c in boxes.columns])
+        wide = boxes.select("cluster_id", "name", *[c.alias(n) for n, c in grown({c: F.col(c) for c in BOX}).items()])
+        listed = _in_cells(wide, *(F.col(c) for c in BOX))
+        side = lambda df, p: df.select(*["cx", "cy"][: 2 * ("cx" in df.columns)], *[F.col(c).alias(f"{p}_{c}") for c in ("cluster_id", "name", *BOX)])
         of = lambda p: {c: F.col(f"{p}_{c}") for c in BOX}
-        linked = a.join(F.broadcast(b), overlap(grown(of("a")), grown(of("b"))) | (F.col("a_name") == F.col("b_name")))
-        least = linked.groupBy("a_cluster_id").agg(F.min("b_cluster_id").alias("least")).withColumnRenamed("a_cluster_id", "cluster_id")
-        members = members.join(least, "cluster_id").select("area_id", F.col("least").alias("cluster_id"), *BOX)
-    return members.select("area_id", "cluster_id")
+        near = side(listed, "a").join(side(listed, "b"), ["cx", "cy"]).where(overlap(of("a"), of("b"))).select("a_cluster_id", "b_cluster_id")
+        alike = side(wide, "a").join(side(wide, "b"), F.col("a_name") == F.col("b_name")).select("a_cluster_id", "b_cluster_id")
+        into = settled(near.unionByName(alike).groupBy(F.col("a_cluster_id").alias("cluster_id")).agg(F.min("b_cluster_id").alias("least")))
+        if into.where("least <> cluster_id").isEmpty():
+            return members.select("area_id", "cluster_id")
+        while True:
+            up = into.select(F.col("cluster_id").alias("least"), F.col("least").alias("up"))
+            further = settled(into.join(up, "least").select("cluster_id", F.col("up").alias("least"), (F.col("up") < F.col("least")).alias("moved")))
+            into = further.drop("moved")
+            if further.where("moved").isEmpty():
+                break
+        members = settled(members.join(into, "cluster_id").select("area_id", F.col("least").alias("cluster_id"), *BOX))
 
 
 def cluster_table(area_table: DataFrame, membership: DataFrame, places: DataFrame) -> DataFrame:

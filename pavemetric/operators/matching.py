@@ -10,7 +10,7 @@ from ..functions import geo, tiles
 from ..functions.arith import idiv
 from ..functions.timebins import to_ms
 from .network import MIN_SEGMENT
-from .tables import settled, small
+from .tables import settled
 
 # Fastest admissible speed (m/s); vehicles that a tile needs; longest time between two fixes of a pair (ms).
 MAX_SPEED, MIN_VEHICLES = 31.0, 10
@@ -27,17 +27,22 @@ def normalised(fixes: DataFrame) -> DataFrame:
 def local(fixes: DataFrame, areas: DataFrame) -> DataFrame:
     """Fixes in loaded areas, their times moved to the area's zone unless that is switched off."""
     placed = fixes.withColumn("x", tiles.tile_x(F.col("lon"), tiles.AREA_ZOOM)).withColumn("y", tiles.tile_y(F.col("lat"), tiles.AREA_ZOOM))
-    joined = placed.join(small(areas.select("x", "y", "zone_offset")), ["x", "y"])
+    joined = placed.join(areas.select("x", "y", "zone_offset"), ["x", "y"])
     return joined.withColumn("time_ms", F.col("time_ms") + F.when(F.col("convert_to_local"), F.col("zone_offset")).otherwise(0)).drop("zone_offset")
 
 
-def pairs(fixes: DataFrame, mode: str = "fixed", max_gap_ms: int | None = None) -> DataFrame:
-    """Consecutive fixes of a vehicle by arrival: no long gaps, no time going back, no standing still."""
-    w = Window.partitionBy("vehicle_id").orderBy("seq")
-    last = fixes.select("vehicle_id", "seq", *[f(c).alias(n) for c, n in (("time_ms", "t"), ("lon", "x"), ("lat", "y")) for f, n in ((lambda c: F.lag(c).over(w), f"{n}0"), (F.col, f"{n}1"))])
+def pairs(fixes: DataFrame, mode: str = "fixed", max_gap_ms: int | None = None, by: str = "seq") -> DataFrame:
+    """Consecutive fixes of a vehicle by arrival (or by another column): no long gaps, no time going back, no standing still.
+
+    Of fixes with a column busy, both must be.
+    """
+    w = Window.partitionBy("vehicle_id").orderBy(*dict.fromkeys((by, "seq")))
+    open_ = (F.col("busy") & F.lag("busy").over(w)) if "busy" in fixes.columns else F.lit(True)
+    last = fixes.select("vehicle_id", "seq", open_.alias("open"), *[f(c).alias(n) for c, n in (("time_ms", "t"), ("lon", "x"), ("lat", "y")) for f, n in ((lambda c: F.lag(c).over(w), f"{n}0"), (F.col, f"{n}1"))])
     gap = F.col("t1") - F.col("t0")
     limit = MAX_GAP_MS[mode] if max_gap_ms is None else max_gap_ms
-    return last.where(F.col("t0").isNotNull() & (gap <= limit) & (gap >= 0) & ~((F.col("x0") == F.col("x1")) & (F.col("y0") == F.col("y1"))))
+    kept = F.col("t0").isNotNull() & (gap <= limit) & (gap >= 0) & ~((F.col("x0") == F.col("x1")) & (F.col("y0") == F.col("y1")))
+    return last.where(kept & F.coalesce("open", F.lit(False))).drop("open")
 
 
 def _corner(df: DataFrame, prefix: str) -> DataFrame:
@@ -68,7 +73,7 @@ def candidates(moves: DataFrame, lines: DataFrame) -> DataFrame:
         shift = 1 << (tiles.INDEX_ZOOM - zoom)
         left, other = _exploded(part, zoom), _exploded(right, zoom).select("tx", "ty", *keep, *line)
         first_x, first_y = F.greatest("px", "lx"), F.greatest("py", "ly")
-        both = left.join(small(other), ["tx", "ty"]).withColumn("tile_x", first_x).withColumn("tile_y", first_y)
+        both = left.join(other, ["tx", "ty"]).withColumn("tile_x", first_x).withColumn("tile_y", first_y)
         # the area tiles of the boxes' first index tiles, so that a pair and a line meet once at either zoom
         mine = (F.col("tx") == F.greatest(idiv(F.col("px"), shift), idiv(F.col("lx"), shift))) & (F.col("ty") == F.greatest(idiv(F.col("py"), shift), idiv(F.col("ly"), shift)))
         overlap = (F.col("tile_x") <= F.least("px_end", "lx_end")) & (F.col("tile_y") <= F.least("py_end", "ly_end"))
@@ -124,20 +129,23 @@ def jumper_samples(samples: DataFrame, segments: DataFrame, jumpers: DataFrame,
     """Samples of the short segments between a vehicle's consecutive samples that don't follow each other."""
     w = Window.partitionBy("vehicle_id").orderBy("n1")
     chained = samples.withColumn("last_segment", F.lag("segment_id").over(w)).withColumn("last_time", F.lag("time_ms").over(w)).where("last_segment is not null")
-    nodes = small(segments.select("id", "start_node_id", "end_node_id"))
+    nodes = segments.select("id", "start_node_id", "end_node_id")
     chained = chained.join(nodes.select(F.col("id").alias("last_segment"), F.col("end_node_id").alias("from_node")), "last_segment")
     chained = chained.join(nodes.select(F.col("id").alias("segment_id"), F.col("start_node_id").alias("to_node")), "segment_id").where("from_node <> to_node")
     paths = jumpers.select(F.col("start_node_id").alias("from_node"), F.col("end_node_id").alias("to_node"), F.col("length").alias("jump"), "segments")
-    jumped = chained.join(small(paths), ["from_node", "to_node"]).withColumn("dt", idiv(F.col("time_ms") - F.col("last_time"), 1000)).where("dt > 0")
+    jumped = chained.join(paths, ["from_node", "to_node"]).withColumn("dt", idiv(F.col("time_ms") - F.col("last_time"), 1000)).where("dt > 0")
     jumped = jumped.withColumn("speed", (F.col("jump") + 2 * MIN_SEGMENT) / F.col("dt"))
     if mode == "fixed":
         jumped = jumped.where(F.col("speed") <= MAX_SPEED)
     return jumped.select("vehicle_id", "n1", F.explode("segments").alias("segment_id"), "time_ms", "speed")
 
 
-def speed_samples(fixes: DataFrame, areas: DataFrame, segments: DataFrame, lines: DataFrame, jumpers: DataFrame, mode: str = "fixed") -> DataFrame:
-    """vehicle_id, segment_id, time_ms, speed and whether by a jumper, of fixes (seq, time_ms, vehicle_id, lon, lat, convert_to_local)."""
-    moves = pairs(local(normalised(fixes), areas), mode)
+def speed_samples(fixes: DataFrame, areas: DataFrame, segments: DataFrame, lines: DataFrame, jumpers: DataFrame, mode: str = "fixed", min_vehicles: int = MIN_VEHICLES) -> DataFrame:
+    """vehicle_id, segment_id, time_ms, speed and whether by a jumper, of fixes (seq, time_ms, vehicle_id, lon, lat, convert_to_local).
+
+    Only ways between fixes in area tiles with min_vehicles or more count, so that nobody's way is published alone.
+    """
+    moves = pairs(gated(local(normalised(fixes), areas), min_vehicles), mode)
     main = settled(admissible(completions(crossings(moves, lines))))
     jumped = jumper_samples(main, segments, jumpers, mode)
     named = lambda df, by: df.select("vehicle_id", "segment_id", "time_ms", "speed", F.lit(by).alias("by_jumper"))
@@ -154,11 +162,27 @@ def tile_vehicles(fixes: DataFrame, mode: str = "fixed") -> DataFrame:
     return placed.groupBy("x", "y").agg(F.countDistinct("vehicle_id").alias("vehicles"))
 
 
+def busy_tiles(fixes: DataFrame, min_vehicles: int = MIN_VEHICLES) -> DataFrame:
+    """x, y of area tiles with enough vehicles."""
+    return tile_vehicles(fixes).where(F.col("vehicles") >= min_vehicles).select("x", "y")
+
+
+def busiest_tiles(fixes: DataFrame, mode: str = "fixed") -> DataFrame:
+    """x, y, vehicles and rank of area tiles, those with most vehicles first; ties by tile."""
+    counts = tile_vehicles(fixes, mode)
+    return counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("vehicles"), "x", "y")))  # a row for each tile
+
+
+def gated(fixes: DataFrame, min_vehicles: int = MIN_VEHICLES, busy: DataFrame | None = None) -> DataFrame:
+    """fixes with a column busy: whether their area tile has enough vehicles, or is in a given table (x, y)."""
+    tile = {"x": tiles.tile_x(F.col("lon"), tiles.AREA_ZOOM), "y": tiles.tile_y(F.col("lat"), tiles.AREA_ZOOM)}
+    found = (busy_tiles(fixes, min_vehicles) if busy is None else busy.select("x", "y").distinct()).withColumn("busy", F.lit(True))
+    return fixes.withColumns(tile).join(found, ["x", "y"], "left").withColumn("busy", F.coalesce("busy", F.lit(False)))
+
+
 def in_busy_tiles(fixes: DataFrame, min_vehicles: int = MIN_VEHICLES) -> DataFrame:
     """Fixes in area tiles with enough vehicles."""
-    busy = tile_vehicles(fixes).where(F.col("vehicles") >= min_vehicles).select("x", "y")
-    placed = fixes.withColumn("x", tiles.tile_x(F.col("lon"), tiles.AREA_ZOOM)).withColumn("y", tiles.tile_y(F.col("lat"), tiles.AREA_ZOOM))
-    return placed.join(busy, ["x", "y"], "left_semi")
+    return gated(fixes, min_vehicles).where("busy").drop("busy")
 
 
 def last_points(fixes: DataFrame) -> DataFrame:

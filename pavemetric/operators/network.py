@@ -65,35 +65,42 @@ def intersections(ways: DataFrame) -> DataFrame:
     return ways.where(is_traffic(tag("highway"))).select(F.explode("nodes").alias("node_id")).groupBy("node_id").agg(F.count("*").alias("uses")).where("uses >= 2")
 
 
+def _ways_with_nodes(nodes: DataFrame, ways: DataFrame) -> DataFrame:
+    """way_id, street_type, oneway, p: the places (pos, node_id, lon, lat, crossing) of traffic ways whose nodes are all known.
+
+    Two shuffles: places meet their nodes and are counted by node, then gathered by way.
+    """
+    places = traffic_ways(ways).select("way_id", "street_type", "oneway", F.posexplode("nodes").alias("pos", "node_id"))
+    placed = places.join(nodes.select("node_id", "lon", "lat"), "node_id", "left").withColumn("crossing", F.count(F.lit(1)).over(Window.partitionBy("node_id")) >= 2)
+    gathered = placed.groupBy("way_id").agg(F.first("street_type").alias("street_type"), F.first("oneway").alias("oneway"), F.array_sort(F.collect_list(F.struct("pos", "node_id", "lon", "lat", "crossing"))).alias("p"))
+    return gathered.where(~F.exists("p", lambda c: c["lon"].isNull()))
+
+
 def way_lines(nodes: DataFrame, ways: DataFrame) -> DataFrame:
     """way_id, pos, node_id, lon, lat of traffic ways all of whose nodes are known."""
-    places = traffic_ways(ways).select("way_id", "street_type", "oneway", F.size("nodes").alias("size"), F.posexplode("nodes").alias("pos", "node_id"))
-    placed = places.join(nodes.select("node_id", "lon", "lat"), "node_id", "left")
-    missing = F.count_if(F.col("lon").isNull()).over(Window.partitionBy("way_id"))
-    return placed.withColumn("missing", missing).where("missing = 0").drop("missing")
+    return _ways_with_nodes(nodes, ways).select("way_id", F.inline("p")).drop("crossing")
 
 
-def street_segments(nodes: DataFrame, ways: DataFrame) -> DataFrame:
+def street_segments(nodes: DataFrame, ways: DataFrame, first_id: int = FIRST_ID) -> DataFrame:
     """Directed pieces of the ways between intersections, a reverse one for each of a two-way street.
 
-    id, way_id, start_node_id, end_node_id, length, oneway, street_type, coords. Pieces with the same way and end nodes
-    are one, the first along the way, forward before reverse.
+    id (from first_id), way_id, start_node_id, end_node_id, length, oneway, street_type, coords. Pieces with the same way
+    and end nodes are one, the first along the way, forward before reverse.
     """
-    crossing = intersections(ways).select("node_id", F.lit(True).alias("crossing"))
-    line = way_lines(nodes, ways).join(crossing, "node_id", "left")
-    cut = (F.col("pos") > 0) & (F.coalesce("crossing", F.lit(False)) | (F.col("pos") == F.col("size") - 1))
-    line = line.withColumn("cut", cut.cast("int"))
-    piece = F.coalesce(F.sum("cut").over(Window.partitionBy("way_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    line = line.withColumn("piece", piece)
+    lines = _ways_with_nodes(nodes, ways)
+    n = F.size("p")
+    cuts = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (i == n) | F.element_at("p", i)["crossing"])
+    lines = lines.where(n >= 2).withColumn("cuts", cuts)
     # the node at a cut ends one piece and starts the next
-    both = F.when((F.col("cut") == 1) & (F.col("pos") < F.col("size") - 1), F.array(F.col("piece"), F.col("piece") + 1)).otherwise(F.array("piece"))
-    pieces = line.withColumn("piece", F.explode(both)).groupBy("way_id", "piece", "street_type", "oneway").agg(F.array_sort(F.collect_list(F.struct("pos", "node_id", "lon", "lat"))).alias("p")).where(F.size("p") >= 2)
+    piece = F.transform(F.sequence(F.lit(1), F.size("cuts") - 1), lambda k: F.slice("p", F.element_at("cuts", k), F.element_at("cuts", k + 1) - F.element_at("cuts", k) + 1))
+    pieces = lines.select("way_id", "street_type", "oneway", F.posexplode(piece).alias("piece", "p"))
+    pieces = pieces.withColumn("length", geo.line_length(F.col("p"))).withColumn("reverse", F.explode(F.when(F.col("oneway"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
+    pieces = pieces.withColumn("p", F.when(F.col("reverse") == 1, F.reverse("p")).otherwise(F.col("p")))
     coords = F.transform("p", lambda c: F.struct(c["lon"].alias("lon"), c["lat"].alias("lat")))
-    forward = pieces.select("way_id", "piece", F.lit(0).alias("reverse"), F.element_at("p", 1)["node_id"].alias("start_node_id"), F.element_at("p", -1)["node_id"].alias("end_node_id"), geo.line_length(coords).alias("length"), "oneway", "street_type", coords.alias("coords"))
-    backward = forward.where("not oneway").select("way_id", "piece", F.lit(1).alias("reverse"), F.col("end_node_id").alias("start_node_id"), F.col("start_node_id").alias("end_node_id"), "length", "oneway", "street_type", F.reverse("coords").alias("coords"))
     key = ["way_id", "start_node_id", "end_node_id"]
-    unique = forward.unionByName(backward).withColumn("n", F.row_number().over(Window.partitionBy(*key).orderBy("reverse", "piece"))).where("n = 1")
-    unique = with_ids(unique, key, F.floor(F.col("way_id") / CELL_WAYS))
+    directed = pieces.select("way_id", "piece", "reverse", F.element_at("p", 1)["node_id"].alias("start_node_id"), F.element_at("p", -1)["node_id"].alias("end_node_id"), "length", "oneway", "street_type", coords.alias("coords"))
+    unique = directed.withColumn("n", F.row_number().over(Window.partitionBy(*key).orderBy("reverse", "piece"))).where("n = 1")
+    unique = with_ids(unique, key, F.floor(F.col("way_id") / CELL_WAYS), first=first_id)
     return unique.select("id", *key, "length", "oneway", "street_type", "coords")
 
 
@@ -159,5 +166,5 @@ def offset_geometry(segments: DataFrame, offset: float = -0.000025) -> DataFrame
     return segments.select("id", F.when(F.col("oneway"), F.col("coords")).otherwise(geo.offset_line(F.col("coords"), offset)).alias("coords"))
 
 
-def build(nodes: DataFrame, ways: DataFrame) -> Network:
-    return Network(street_segments(nodes, ways))
+def build(nodes: DataFrame, ways: DataFrame, first_id: int = FIRST_ID) -> Network:
+    return Network(street_segments(nodes, ways, first_id))

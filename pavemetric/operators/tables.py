@@ -12,34 +12,41 @@ from ..functions import tiles
 FIRST_ID = 1_000_000_000
 #: Where checkpoints go if spark.checkpoint.dir is unset, as in tests.
 LOCAL_CHECKPOINTS = "file:///tmp/checkpoints"
-#: Rows a broadcast may have; beyond it both sides of a join are shuffled.
-BROADCAST_ROWS = 500_000
-
-
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has few rows, which are counted."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
 def settled(df: DataFrame) -> DataFrame:
     """df computed once and kept in the checkpoint folder, so that what is built on it starts there."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         spark.conf.set("spark.checkpoint.dir", LOCAL_CHECKPOINTS)
         spark.sparkContext.setCheckpointDir(LOCAL_CHECKPOINTS)
     return df.checkpoint()
 
 
-def with_ids(df: DataFrame, keys: list[str], cell: Column, name: str = "id") -> DataFrame:
-    """Consecutive ids from FIRST_ID in the order of keys. `cell` is a coarse, monotonic function of the first key.
+def next_id(existing: DataFrame | None, name: str = "id") -> int:
+    """The id after the largest of a table, FIRST_ID for none or an empty one."""
+    last = existing.agg(F.max(name)).first()[0] if existing is not None else None
+    return FIRST_ID if last is None else last + 1
+
 
-    Rows are numbered cell by cell, and only the counts of the cells are put in one order.
+def with_ids(df: DataFrame, keys: list[str], cell: Column, name: str = "id", first: int = FIRST_ID) -> DataFrame:
+    """Consecutive ids from `first` in the order of keys. `cell` is a coarse, monotonic function of the first key.
+
+    Rows are settled, then numbered cell by cell, and only the counts of the cells are put in one order.
     """
-    rows = df.withColumn("_cell", cell)
+    rows = settled(df.withColumn("_cell", cell))
     cells = rows.groupBy("_cell").count()
     cells = cells.select("_cell", (F.sum("count").over(Window.orderBy("_cell")) - F.col("count")).alias("_base"))
     number = F.row_number().over(Window.partitionBy("_cell").orderBy(*keys))
-    return rows.withColumn("_n", number).join(cells, "_cell").withColumn(name, F.lit(FIRST_ID - 1) + F.col("_base") + F.col("_n")).drop("_cell", "_base", "_n")
+    return rows.withColumn("_n", number).join(cells, "_cell").withColumn(name, F.lit(first - 1) + F.col("_base") + F.col("_n")).drop("_cell", "_base", "_n")
+
+
+def valid_lines(items: DataFrame) -> DataFrame:
+    """items (coords, ...) with coords emptied where they are no line: null, under two points, or a point without a place."""
+    bad = F.col("coords").isNull() | (F.size("coords") < 2) | F.exists("coords", lambda c: c.isNull() | c["lon"].isNull() | c["lat"].isNull() | F.isnan(c["lon"]) | F.isnan(c["lat"]))
+    return items.withColumn("coords", F.when(bad, F.slice(F.coalesce("coords", F.filter("coords", lambda c: F.lit(False))), 1, 0)).otherwise(F.col("coords")))
 
 
 def insert_absent(existing: DataFrame, items: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

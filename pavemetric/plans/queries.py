@@ -54,7 +54,7 @@ def segments(s: SparkSession, d: str) -> DataFrame:
 
 def moves(s: SparkSession, d: str) -> DataFrame:
     fixes = ad.gps_fixes(s, d)
-    return matching.pairs(matching.local(matching.normalised(fixes), ad.fix_areas(fixes)))
+    return matching.pairs(matching.gated(matching.local(matching.normalised(fixes), ad.fix_areas(fixes))))
 
 
 def crossed(s: SparkSession, d: str) -> DataFrame:

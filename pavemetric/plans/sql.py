@@ -88,7 +88,8 @@ CTES = {
     "gps_tiles": f"SELECT *, {tile_x('lon', 11)} AS x, {tile_y('lat', 11)} AS y FROM gps",
     "areas0": "SELECT DISTINCT x, y FROM gps_tiles",
     "gps_local": "SELECT *, time_ms + CAST(x AS BIGINT) % 3 * 3600000 AS local_ms FROM gps_tiles",
-    "pairs": "SELECT * FROM (SELECT vehicle_id, seq, lag(local_ms) OVER w AS t0, local_ms AS t1, lag(lon) OVER w AS x0, lag(lat) OVER w AS y0, lon AS x1, lat AS y1 FROM gps_local WINDOW w AS (PARTITION BY vehicle_id ORDER BY seq)) WHERE t0 IS NOT NULL AND t1 - t0 BETWEEN 0 AND 200000 AND NOT (x0 = x1 AND y0 = y1)",
+    "busy": "SELECT x, y FROM gps_tiles GROUP BY x, y HAVING count(DISTINCT vehicle_id) >= 10",
+    "pairs": "SELECT vehicle_id, seq, t0, t1, x0, y0, x1, y1 FROM (SELECT vehicle_id, seq, lag(local_ms) OVER w AS t0, local_ms AS t1, lag(lon) OVER w AS x0, lag(lat) OVER w AS y0, lon AS x1, lat AS y1, (x, y) AS tile1, lag((x, y)) OVER w AS tile0 FROM gps_local WINDOW w AS (PARTITION BY vehicle_id ORDER BY seq)) WHERE tile0 IN (SELECT (x, y) FROM busy) AND tile1 IN (SELECT (x, y) FROM busy) AND t0 IS NOT NULL AND t1 - t0 BETWEEN 0 AND 200000 AND NOT (x0 = x1 AND y0 = y1)",
     "met": """SELECT p.vehicle_id, p.seq, p.t0, p.t1, p.x0 AS px0, p.y0 AS py0, p.x1 AS px1, p.y1 AS py1, l.* FROM pairs p JOIN lines l
       ON least(l.x0, l.x1) <= greatest(p.x0, p.x1) AND greatest(l.x0, l.x1) >= least(p.x0, p.x1) AND least(l.y0, l.y1) <= greatest(p.y0, p.y1) AND greatest(l.y0, l.y1) >= least(p.y0, p.y1)""",
     "met1": "SELECT *, (px1 - px0) * (y1 - y0) - (py1 - py0) * (x1 - x0) AS rxs FROM met",
@@ -114,7 +115,7 @@ CTES = {
 
 NEEDS = {
     "hist": ["ev"], "hist_li": ["li"], "edges": ["nodes"], "directed": ["edges"], "segments": ["directed"], "lines0": ["segments"], "lines1": ["lines0"], "lines": ["lines1"], "jumpers": ["segments"],
-    "gps_tiles": ["gps"], "areas0": ["gps_tiles"], "gps_local": ["gps_tiles"], "pairs": ["gps_local"], "met": ["pairs", "lines"], "met1": ["met"], "met2": ["met1"], "crossed": ["met2"], "ends": ["crossed"], "chain": ["ends"],
+    "gps_tiles": ["gps"], "areas0": ["gps_tiles"], "gps_local": ["gps_tiles"], "busy": ["gps_tiles"], "pairs": ["gps_local", "busy"], "met": ["pairs", "lines"], "met1": ["met"], "met2": ["met1"], "crossed": ["met2"], "ends": ["crossed"], "chain": ["ends"],
     "completed": ["chain"], "main": ["completed"], "jumped": ["main", "jumpers"], "samples": ["jumped"], "gps_hist": ["samples"],
 }
 
