@@ -46,7 +46,7 @@ def with_ids(df: DataFrame, keys: list[str], cell: Column, name: str = "id", fir
 def valid_lines(items: DataFrame) -> DataFrame:
     """items (coords, ...) with coords emptied where they are no line: null, under two points, or a point without a place."""
     bad = F.col("coords").isNull() | (F.size("coords") < 2) | F.exists("coords", lambda c: c.isNull() | c["lon"].isNull() | c["lat"].isNull() | F.isnan(c["lon"]) | F.isnan(c["lat"]))
-    return items.withColumn("coords", F.when(bad, F.slice(F.coalesce("coords", F.filter("coords", lambda c: F.lit(False))), 1, 0)).otherwise(F.col("coords")))
+    return items.withColumn("coords", F.when(bad, F.array().cast(items.schema["coords"].dataType)).otherwise(F.col("coords")))
 
 
 def insert_absent(existing: DataFrame, items: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -442,6 +442,53 @@ def _(s, d):
     return grid(s, d).jumpers.withColumn("length", F.round("length", 4))
 
 
+# a map with bends, loops, chains of short pieces and tags of all kinds, one town for each supplier
+
+
+def town(s: SparkSession, d: str) -> network.Network:
+    return network.build(ad.town_nodes(s, d), ad.town_ways(s, d))
+
+
+def micro(coords: str) -> F.Column:
+    """Places in whole 1e-6 degrees, longitudes and latitudes in turn."""
+    return F.flatten(F.transform(coords, lambda c: F.array(F.round(c["lon"] * 1e6).cast("long"), F.round(c["lat"] * 1e6).cast("long"))))
+
+
+MICRO = "flatten(list_transform(coords, lambda c: [CAST(round(c.lon * 1e6) AS BIGINT), CAST(round(c.lat * 1e6) AS BIGINT)]))"
+
+
+@query("o1_town_intersections", oracle("SELECT node_id, uses FROM t_uses", "t_uses"))
+def _(s, d):
+    return network.intersections(ad.town_ways(s, d))
+
+
+@query("o2_town_segments", oracle(f"SELECT id, way_id, start_node_id, end_node_id, round(length, 4) AS length, oneway, street_type, {MICRO} AS places FROM t_segments", "t_segments"))
+def _(s, d):
+    return town(s, d).segments.withColumn("length", F.round("length", 4)).withColumn("places", micro("coords")).drop("coords")
+
+
+@query("o4_town_triplines", oracle("SELECT id, segment_id, tripline_index, round(dist, 4) AS dist, round(x0, 7) AS x0, round(y0, 7) AS y0, round(x1, 7) AS x1, round(y1, 7) AS y1 FROM t_lines", "t_lines"))
+def _(s, d):
+    return town(s, d).triplines.select("id", "segment_id", "tripline_index", F.round("dist", 4).alias("dist"), *[F.round(c, 7).alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
+@query("o8_town_streets", oracle("SELECT way_id, oneway, street_type FROM t_ways", "t_ways"))
+def _(s, d):
+    return network.traffic_ways(ad.town_ways(s, d)).select("way_id", "oneway", "street_type")
+
+
+@query("o14_town_jumpers", oracle("SELECT start_node_id, end_node_id, round(length, 4) AS length, segments FROM t_jumpers", "t_jumpers"))
+def _(s, d):
+    return town(s, d).jumpers.withColumn("length", F.round("length", 4))
+
+
+@query("sp15_town_jumpers", oracle("SELECT -1 AS way_id, start_node_id, end_node_id, unnest(segments) AS segment_id, CAST(generate_subscripts(segments, 1) - 1 AS INT) AS place FROM t_jumpers", "t_jumpers"))
+def _(s, d):
+    net = town(s, d)
+    keys = net.jumpers.select(F.lit(-1).alias("way_id"), "start_node_id", "end_node_id")
+    return tables.segment_or_jumper(keys, net.segments, net.jumpers)
+
+
 GAP = f"SELECT a.id AS a_id, b.id AS b_id, NOT (a.end_node_id = b.start_node_id OR b.end_node_id = a.start_node_id OR {sql.distance('a.bx', 'a.by_', 'b.ax', 'b.ay')} < 60 OR {sql.distance('b.bx', 'b.by_', 'a.ax', 'a.ay')} < 60) AS disjoint FROM segments a JOIN segments b ON a.way_id = b.way_id AND abs(a.id - b.id) <= 2"
 
 
@@ -543,9 +590,14 @@ def _(s, d):
     return matching.jumper_samples(main, net.segments, net.jumpers).select("vehicle_id", "segment_id", "time_ms", F.round("speed", 6).alias("speed"))
 
 
-@query("p9_all_samples", oracle("SELECT by_jumper, count(*) AS n, count(DISTINCT segment_id) AS segments, round(sum(speed), 3) AS speed FROM samples GROUP BY 1", "samples"))
+@query("p9_all_samples", oracle("SELECT vehicle_id, segment_id, time_ms, round(speed, 6) AS speed, by_jumper FROM samples", "samples"))
 def _(s, d):
-    return samples(s, d).groupBy("by_jumper").agg(F.count("*").alias("n"), F.countDistinct("segment_id").alias("segments"), F.round(F.sum("speed"), 3).alias("speed"))
+    return samples(s, d).withColumn("speed", F.round("speed", 6)).select("vehicle_id", "segment_id", "time_ms", "speed", "by_jumper")
+
+
+@query("p13_busiest_tiles", oracle("SELECT x, y, vehicles, CAST(row_number() OVER (ORDER BY vehicles DESC, x, y) AS INT) AS rank FROM (SELECT x, y, count(DISTINCT vehicle_id) AS vehicles FROM gps_tiles GROUP BY x, y)", "gps_tiles"))
+def _(s, d):
+    return matching.busiest_tiles(ad.gps_fixes(s, d))
 
 
 @query("p12_busy_tiles", oracle("SELECT vehicle_id, seq, x, y FROM gps_tiles WHERE (x, y) IN (SELECT (x, y) FROM gps_tiles GROUP BY x, y HAVING count(DISTINCT vehicle_id) >= 10)", "gps_tiles"))
@@ -668,9 +720,12 @@ def _(s, d):
 # stores
 
 
-@query("src12_ids", oracle("SELECT CAST(min(id) AS BIGINT) AS first_id, CAST(max(id) AS BIGINT) AS last_id, count(*) AS n FROM segments", "segments"))
+@query("src12_ids", oracle("SELECT id, way_id, start_node_id, end_node_id FROM segments UNION ALL SELECT id + (SELECT count(*) FROM segments), way_id, start_node_id, end_node_id FROM segments", "segments"))
 def _(s, d):
-    return segments(s, d).agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.count("*").alias("n"))
+    """A map numbered, and the same map loaded again with ids that continue."""
+    once = segments(s, d).select("id", "way_id", "start_node_id", "end_node_id")
+    again = network.street_segments(ad.grid_nodes(s, d), ad.grid_ways(s, d), tables.next_id(once))
+    return once.unionByName(again.select(*once.columns))
 
 
 @query("snk2_insert_absent", oracle("SELECT id, way_id FROM segments WHERE way_id < 20", "segments"))
@@ -716,6 +771,14 @@ def _(s, d):
     return out.select("segment_id", "n", "average_speed", "bottom_quartile", "top_quartile", F.size(F.filter("hour_of_week_averages", lambda v: v.isNotNull())).cast("long").alias("hours"))
 
 
+@query("x7_hourly", oracle(f"SELECT segment_id, CAST(hour AS INT) AS hour, {AVERAGE} AS average, CAST(q1 AS DOUBLE) AS bottom, CAST(q3 AS DOUBLE) AS top FROM (SELECT segment_id, hour, {sql.MOMENTS} FROM hist GROUP BY ALL) JOIN hq USING (segment_id, hour)", "hist", hq="""SELECT segment_id, hour, min(speed_bin) FILTER (r * 4 >= t) AS q1, min(speed_bin) FILTER (r * 4 >= t * 3) AS q3 FROM
+    (SELECT segment_id, hour, speed_bin, sum(n) OVER (PARTITION BY segment_id, hour ORDER BY speed_bin) AS r, sum(n) OVER (PARTITION BY segment_id, hour) AS t FROM (SELECT segment_id, hour, speed_bin, sum(n) AS n FROM hist GROUP BY ALL)) GROUP BY ALL"""))
+def _(s, d):
+    arrays = F.arrays_zip(F.col("hour_of_week_averages").alias("average"), F.col("hour_of_week_bottom_quartile").alias("bottom"), F.col("hour_of_week_top_quartile").alias("top"))
+    rows = exchange.baseline_stats(ev_hist(s, d)).select("segment_id", F.posexplode(arrays).alias("hour", "v"))
+    return rows.where("v.average is not null").select("segment_id", "hour", "v.average", "v.bottom", "v.top")
+
+
 @query("x8_current_stats", oracle(f"SELECT segment_id, w AS current_window_start_timestamp, w + 3600000 AS current_window_end_timestamp, n, {AVERAGE} AS current_average_speed FROM (SELECT segment_id, time_ms // 3600000 * 3600000 AS w, {sql.MOMENTS.replace('sum(n)', 'count(*)').replace('n * ', '')} FROM (SELECT *, {sql.speed_bin('speed')} AS speed_bin FROM ev) GROUP BY ALL)", "ev"))
 def _(s, d):
     return exchange.current_stats(ev(s, d)).drop("current_bottom_quartile", "current_top_quartile")
@@ -728,7 +791,7 @@ def _(s, d):
     return exchange.current_stats(ev(s, d))
 
 
-@query("x1_fixes_of_messages", oracle("SELECT vehicle_id % 4 AS source_id, vehicle_id, CAST(seq - 1 AS INT) AS seq, time_ms, lon, lat FROM gps", "gps"))
+@query("x1_fixes_of_messages", oracle("SELECT vehicle_id % 4 AS source_id, vehicle_id, CAST(row_number() OVER (PARTITION BY vehicle_id, time_ms // 3600000 ORDER BY seq) - 1 AS INT) AS seq, time_ms, lon, lat FROM gps", "gps"))
 def _(s, d):
     messages = exchange.envelopes_of_fixes(ad.gps_fixes(s, d), F.col("vehicle_id") % 4)
     return exchange.fixes_of_envelopes(exchange.decoded(exchange.encoded(messages, "VehicleMessageEnvelope"), "VehicleMessageEnvelope"))
@@ -739,36 +802,86 @@ def _(s, d):
     return exchange.validation_pairs(samples(s, d), segments(s, d)).drop("segment_id")
 
 
-TILED = f"SELECT {sql.tile_x('ax', 11)} AS tile_x, {sql.tile_y('ay', 11)} AS tile_y, count(*) AS segments, round(sum(average), 3) AS speeds FROM (SELECT segment_id, {AVERAGE} AS average FROM (SELECT segment_id, {sql.MOMENTS} FROM gps_hist GROUP BY 1)) JOIN segments ON id = segment_id GROUP BY 1, 2"
+FLOAT = lambda x: f"CAST(CAST({x} AS FLOAT) AS DOUBLE)"
 
 
-@query("snk7_baseline_tile", oracle(TILED, "gps_hist"))
-def _(s, d):
-    found, seg = settled_samples(s, d)
-    out = tables.settled(exchange.baseline_tiles(hist.histogram(found), seg))
-    back = exchange.decoded(exchange.encoded(out, "BaselineTile"), "BaselineTile")
-    total = F.aggregate("segments", F.lit(0.0), lambda a, x: a + x["average_speed"].cast("double"))
-    # averages travel as 32-bit floats
-    exact = out.select(F.col("header.tile_x").alias("tx"), F.col("header.tile_y").alias("ty"), total.alias("t"))
-    wide = exchange.baseline_stats(hist.histogram(found)).join(exchange.tile_of_segment(seg), "segment_id").groupBy("tile_x", "tile_y").agg(F.round(F.sum("average_speed"), 3).alias("speeds"))
-    counts = back.select(F.col("header.tile_x").cast("int").alias("tile_x"), F.col("header.tile_y").cast("int").alias("tile_y"), F.size("segments").cast("long").alias("segments"))
-    return counts.join(wide, ["tile_x", "tile_y"]).join(exact, (F.col("tx") == F.col("tile_x")) & (F.col("ty") == F.col("tile_y"))).where(F.abs(F.col("t") - F.col("speeds")) < 0.01).select("tile_x", "tile_y", "segments", "speeds")
+def quartile_sql(by: str, source: str) -> str:
+    """by, q1 and q3: the first bins in which a quarter and three quarters of a histogram's samples are reached."""
+    return f"""SELECT {by}, min(speed_bin) FILTER (r * 4 >= t) AS q1, min(speed_bin) FILTER (r * 4 >= t * 3) AS q3 FROM
+      (SELECT *, sum(n) OVER (PARTITION BY {by} ORDER BY speed_bin) AS r, sum(n) OVER (PARTITION BY {by}) AS t FROM (SELECT {by}, speed_bin, sum(n) AS n FROM {source} GROUP BY ALL)) GROUP BY {by}"""
+
+
+TILE_OF = f"SELECT id AS segment_id, {sql.tile_x('ax', 11)} AS tile_x, {sql.tile_y('ay', 11)} AS tile_y FROM segments"
+TILED = f"""SELECT tile_x, tile_y, count(*) AS segments, sum({FLOAT('average')}) AS speeds, CAST(sum(q1) AS DOUBLE) AS bottom, CAST(sum(q3) AS DOUBLE) AS top, CAST(sum(hours) AS BIGINT) AS hours, sum(hourly) AS hourly, CAST(sum(hq1) AS DOUBLE) AS hourly_bottom, CAST(sum(hq3) AS DOUBLE) AS hourly_top, CAST(sum(way_id) AS BIGINT) AS ways
+    FROM av JOIN q USING (segment_id) JOIN hv USING (segment_id) JOIN tl USING (segment_id) JOIN segments ON segments.id = segment_id GROUP BY 1, 2"""
+BASELINE = {
+    "tl": TILE_OF,
+    "av": f"SELECT segment_id, {AVERAGE} AS average FROM (SELECT segment_id, {sql.MOMENTS} FROM gps_hist GROUP BY 1)",
+    "q": quartile_sql("segment_id", "gps_hist"),
+    "hq": quartile_sql("segment_id, hour", "gps_hist"),
+    "hv": f"SELECT segment_id, count(*) AS hours, sum({FLOAT(AVERAGE)}) AS hourly, sum(q1) AS hq1, sum(q3) AS hq3 FROM (SELECT segment_id, hour, {sql.MOMENTS} FROM gps_hist GROUP BY ALL) JOIN hq USING (segment_id, hour) GROUP BY 1",
+}
 
 
-@query("x10_current_tile")
+@query("snk7_baseline_tile", oracle(TILED, "gps_hist", **BASELINE))
 def _(s, d):
+    """What a reader gets out of the encoded tiles."""
     found, seg = settled_samples(s, d)
-    out = exchange.current_tiles(found, hist.histogram(found), seg)
-    back = exchange.decoded(exchange.encoded(out, "CurrentTile"), "CurrentTile")
-    return back.select(F.col("header.tile_x").alias("tile_x"), F.col("header.tile_y").alias("tile_y"), F.size("segments").alias("segments"), F.size("validation_pairs").alias("pairs"))
+    tile = exchange.baseline_tiles(hist.histogram(found), seg)
+    back = exchange.decoded(exchange.encoded(tile, "BaselineTile"), "BaselineTile")
+    c = F.col
+    rows = back.select(c("header.tile_x").cast("int").alias("tile_x"), c("header.tile_y").cast("int").alias("tile_y"), F.explode("segments").alias("m"))
+    present = lambda name: F.filter(exchange.hours_present(F.transform(c(f"m.{name}"), lambda v: v.cast("double"))), lambda v: v.isNotNull())
+    total = lambda name: F.sum(F.aggregate(present(name), F.lit(0.0), lambda a, v: a + v))
+    return rows.groupBy("tile_x", "tile_y").agg(
+        F.count("*").alias("segments"), F.sum(c("m.average_speed").cast("double")).alias("speeds"),
+        F.sum(c("m.bottom_quartile").cast("double")).alias("bottom"), F.sum(c("m.top_quartile").cast("double")).alias("top"),
+        F.sum(F.size(present("hour_of_week_averages"))).alias("hours"), total("hour_of_week_averages").alias("hourly"),
+        total("hour_of_week_bottom_quartile").alias("hourly_bottom"), total("hour_of_week_top_quartile").alias("hourly_top"), F.sum("m.segment.way_id").alias("ways"),
+    )
+
+
+CURRENT = {
+    "tl": TILE_OF,
+    "av": BASELINE["av"],
+    "cb": f"SELECT segment_id, time_ms // 3600000 * 3600000 AS w, {sql.speed_bin('speed')} AS speed_bin, count(*) AS n FROM samples GROUP BY ALL",
+    "cq": quartile_sql("segment_id, w", "cb"),
+    "ca": f"SELECT segment_id, w, {AVERAGE} AS current FROM (SELECT segment_id, w, {sql.MOMENTS} FROM cb GROUP BY ALL)",
+    "ch": f"SELECT tile_x, tile_y, w, count(*) AS segments, sum({FLOAT('current')}) AS speeds, CAST(sum(q1) AS DOUBLE) AS bottom, CAST(sum(q3) AS DOUBLE) AS top FROM ca JOIN cq USING (segment_id, w) JOIN av USING (segment_id) JOIN tl USING (segment_id) WHERE average <> 0 AND abs(current - average) / average > {sql.d(0.05)} GROUP BY ALL",
+    "vp": "SELECT tile_x, tile_y, time_ms // 3600000 * 3600000 AS w, count(*) AS pairs, CAST(sum(floor(length / speed + 0.5)) AS BIGINT) AS travel_time FROM samples JOIN segments ON segments.id = segment_id JOIN tl USING (segment_id) WHERE speed > 0 GROUP BY ALL",
+}
+
+
+@query("x10_current_tile", oracle("SELECT tile_x, tile_y, w AS window_ms, coalesce(segments, 0) AS segments, coalesce(speeds, 0.0) AS speeds, coalesce(bottom, 0.0) AS bottom, coalesce(top, 0.0) AS top, coalesce(pairs, 0) AS pairs, coalesce(travel_time, 0) AS travel_time FROM ch FULL JOIN vp USING (tile_x, tile_y, w)", "gps_hist", **CURRENT))
+def _(s, d):
+    """What a reader gets out of the encoded tiles of each hour."""
+    found, seg = settled_samples(s, d)
+    tile = exchange.current_tiles(found, hist.histogram(found), seg)
+    back = exchange.decoded(exchange.encoded(tile, "CurrentTile"), "CurrentTile")
+    c = F.col
+    add = lambda array, f: F.aggregate(array, F.lit(0.0), lambda a, x: a + x[f].cast("double"))
+    hour = F.coalesce(F.try_element_at("segments", F.lit(1))["current_window_start_timestamp"], F.try_element_at("validation_pairs", F.lit(1))["current_window_start_timestamp"])
+    return back.select(
+        c("header.tile_x").cast("int").alias("tile_x"), c("header.tile_y").cast("int").alias("tile_y"), hour.alias("window_ms"), F.size("segments").cast("long").alias("segments"),
+        add(c("segments"), "current_average_speed").alias("speeds"), add(c("segments"), "current_bottom_quartile").alias("bottom"), add(c("segments"), "current_top_quartile").alias("top"),
+        F.size("validation_pairs").cast("long").alias("pairs"), add(c("validation_pairs"), "travel_time").cast("long").alias("travel_time"),
+    )
+
+
+FEATURES = "SELECT id, way_id, street_type, 'Feature' AS kind, 'LineString' AS shape, CAST(2 AS INT) AS points, round(ax, 7) AS ax, round(ay, 7) AS ay, round(bx, 7) AS bx, round(by_, 7) AS by_ FROM segments"
 
 
-@query("snk8_geojson", oracle("SELECT count(*) AS features, count(*) AS lines FROM segments", "segments"))
+@query("snk8_geojson", oracle(FEATURES, "segments"))
 def _(s, d):
     out = export.geojson(segments(s, d), ["way_id", "street_type"])
-    return out.agg(F.count_if(F.get_json_object("feature", "$.type") == "Feature").alias("features"), F.count_if(F.get_json_object("feature", "$.geometry.type") == "LineString").alias("lines"))
+    back = out.select("id", F.from_json("feature", "type string, geometry struct<type:string, coordinates:array<array<double>>>, properties struct<way_id:long, street_type:int>").alias("f"))
+    first, last = F.element_at("f.geometry.coordinates", 1), F.element_at("f.geometry.coordinates", -1)
+    return back.select("id", "f.properties.*", F.col("f.type").alias("kind"), F.col("f.geometry.type").alias("shape"), F.size("f.geometry.coordinates").alias("points"), *[F.round(p[i], 7).alias(n) for p, i, n in ((first, 0, "ax"), (first, 1, "ay"), (last, 0, "bx"), (last, 1, "by_"))])
 
 
-@query("snk8_wkt", oracle("SELECT count(DISTINCT way_id || '/' || start_node_id || '/' || end_node_id) AS n FROM segments", "segments"))
+@query("snk8_wkt", oracle("SELECT id, CAST(2 AS INT) AS points, round(ax, 7) AS ax, round(ay, 7) AS ay, round(bx, 7) AS bx, round(by_, 7) AS by_ FROM segments", "segments"))
 def _(s, d):
-    return export.well_known_text(segments(s, d)).where(F.col("wkt").startswith("LINESTRING (")).agg(F.countDistinct("id").alias("n"))
+    points = F.split(F.regexp_extract("wkt", r"^LINESTRING \((.*)\)$", 1), ", ")
+    back = export.well_known_text(segments(s, d)).withColumn("p", points)
+    at = lambda i, k: F.round(F.split(F.element_at("p", i), " ")[k].cast("double"), 7)
+    return back.select("id", F.size("p").alias("points"), at(1, 0).alias("ax"), at(1, 1).alias("ay"), at(-1, 0).alias("bx"), at(-1, 1).alias("by_"))

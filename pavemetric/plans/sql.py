@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from ..functions.geo import AXIS, E2
-from ..operators.network import MARGIN, MIN_SEGMENT, RADIUS, ROAD_TYPES
-from ..sources.adapters import HIGHWAYS
+from ..operators.network import MARGIN, MIN_SEGMENT, RADIUS
+from ..sources.adapters import HIGHWAYS, TOWN_NODES, TOWN_STREETS, TOWN_WAYS
 
 
 def d(x: float) -> str:
@@ -62,8 +62,9 @@ MOMENTS = "CAST(sum(n) AS BIGINT) AS n, CAST(sum(n * (2 * CAST(speed_bin AS BIGI
 
 
 def road_type(h: str) -> str:
-    whens = " ".join(f"WHEN {h} IN ({', '.join(repr(n) for n in names)}) THEN {k}" for k, names in ROAD_TYPES.items())
-    return f"CASE WHEN {h} IS NULL THEN 0 {whens} ELSE 5 END"
+    """Written out, so that it doesn't follow the library's table."""
+    first = "'motorway', 'trunk', 'primary', 'primary_link', 'motorway_link', 'unclassified'"
+    return f"CASE WHEN {h} IS NULL THEN 0 WHEN {h} IN ({first}) THEN 1 WHEN {h} = 'secondary' THEN 2 WHEN {h} = 'tertiary' THEN 3 WHEN {h} = 'residential' THEN 4 ELSE 5 END"
 
 
 CTES = {
@@ -110,12 +111,39 @@ CTES = {
     "gps_hist": f"SELECT segment_id, {week('time_ms')} AS week, {hour('time_ms')} AS hour, {speed_bin('speed')} AS speed_bin, count(*) AS n FROM samples GROUP BY ALL",
     "zones": "SELECT * FROM (VALUES ('A', 1, -0.01, 0.06, 0), ('B', 2, 0.05, 0.12, 3600000), ('C', 3, 0.11, 0.2, 7200000)) t(tzid, ordinal, x0, x1, raw_offset_ms)",
     "places": f"SELECT n_nationkey % 10 * {d(0.01)} AS lon, {d(0.02)} + CAST(n_nationkey AS BIGINT) * {d(0.01)} AS lat, 'region ' || n_regionkey AS country, n_name AS city, CAST(n_nationkey AS BIGINT) * 7919 % 1000 AS population FROM nation",
+    "t_towns": "SELECT CAST(s_suppkey AS BIGINT) AS s, CAST(s_suppkey AS BIGINT) % 100 * 2000 AS tx, CAST(s_suppkey AS BIGINT) // 100 * 2000 + 100000 AS ty FROM supplier",
+    "t_nodes": f"SELECT s * 100 + k AS node_id, (tx + x) / {d(100000.0)} AS lon, (ty + y) / {d(100000.0)} AS lat FROM t_towns, (VALUES {', '.join(f'({k}, {x}, {y})' for k, (x, y) in TOWN_NODES.items())}) v(k, x, y)",
+    "t_ways0": f"""SELECT s, j, s * 20 + j AS way_id, list_transform(ks, lambda k: s * 100 + k) AS nodes,
+      CASE WHEN j = 0 THEN [{", ".join(repr(h) for h in TOWN_STREETS)}][s % 6 + 1] WHEN j IN (3, 8) THEN 'service' WHEN j = 7 THEN 'tertiary' WHEN j = 9 THEN 'primary' WHEN j < 10 THEN 'residential' END AS highway FROM t_towns, (VALUES {', '.join(f'({j}, {ks})' for j, ks in TOWN_WAYS.items())}) v(j, ks)""",
+    "t_ways": f"SELECT way_id, nodes, {road_type('highway')} AS street_type, (j = 0 AND s % 4 = 0) OR (j = 3 AND s % 3 = 0) OR highway = 'motorway' OR j = 7 AS oneway FROM t_ways0 WHERE highway IS NOT NULL",
+    "t_places": "SELECT way_id, street_type, oneway, len(nodes) AS size, unnest(nodes) AS node_id, generate_subscripts(nodes, 1) AS pos FROM t_ways",
+    "t_uses": "SELECT node_id, count(*) AS uses FROM t_places GROUP BY 1 HAVING count(*) >= 2",
+    "t_line": "SELECT p.*, n.lon, n.lat, p.pos > 1 AND (u.uses IS NOT NULL OR p.pos = p.size) AS cut FROM t_places p LEFT JOIN t_nodes n USING (node_id) LEFT JOIN t_uses u USING (node_id) QUALIFY count(*) FILTER (n.lon IS NULL) OVER (PARTITION BY way_id) = 0",
+    "t_cut": "SELECT *, CAST(coalesce(sum(CASE WHEN cut THEN 1 ELSE 0 END) OVER (PARTITION BY way_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS piece FROM t_line",
+    "t_pts": "SELECT way_id, street_type, oneway, piece, pos, node_id, lon, lat FROM t_cut UNION ALL SELECT way_id, street_type, oneway, piece + 1, pos, node_id, lon, lat FROM t_cut WHERE cut AND pos < size",
+    "t_legs": "SELECT *, lag(lon) OVER w AS lon0, lag(lat) OVER w AS lat0 FROM t_pts WINDOW w AS (PARTITION BY way_id, piece ORDER BY pos)",
+    "t_pieces": f"SELECT way_id, street_type, oneway, piece, arg_min(node_id, pos) AS a, arg_max(node_id, pos) AS b, sum(CASE WHEN lon0 IS NOT NULL THEN {distance('lon0', 'lat0', 'lon', 'lat')} ELSE 0 END) AS length, list({{'lon': lon, 'lat': lat}} ORDER BY pos) AS coords FROM t_legs GROUP BY ALL HAVING count(*) >= 2",
+    "t_directed": "SELECT way_id, street_type, oneway, piece, 0 AS reverse, a AS start_node_id, b AS end_node_id, length, coords FROM t_pieces UNION ALL SELECT way_id, street_type, oneway, piece, 1, b, a, length, list_reverse(coords) FROM t_pieces WHERE NOT oneway",
+    "t_segments": "SELECT 999999999 + row_number() OVER (ORDER BY way_id, start_node_id, end_node_id) AS id, * FROM (SELECT * FROM t_directed QUALIFY row_number() OVER (PARTITION BY way_id, start_node_id, end_node_id ORDER BY reverse, piece) = 1)",
+    "t_paths": f"""SELECT start_node_id, end_node_id, length, [id] AS segments, [start_node_id, end_node_id] AS seen FROM t_segments WHERE length <= {MIN_SEGMENT} AND start_node_id <> end_node_id
+      UNION ALL SELECT p.start_node_id, e.end_node_id, p.length + e.length, list_append(p.segments, e.id), list_append(p.seen, e.end_node_id) FROM t_paths p JOIN t_segments e ON e.start_node_id = p.end_node_id AND e.length <= {MIN_SEGMENT} WHERE NOT list_contains(p.seen, e.end_node_id)""",
+    "t_jumpers": "SELECT start_node_id, end_node_id, length, segments FROM t_paths QUALIFY row_number() OVER (PARTITION BY start_node_id, end_node_id ORDER BY round(length, 6), segments) = 1",
+    "t_sides": "SELECT id, length, unnest(range(1, len(coords))) AS leg, coords FROM t_segments",
+    "t_sides1": "SELECT id, length, leg, coords[leg].lon AS ax, coords[leg].lat AS ay, coords[leg + 1].lon AS bx, coords[leg + 1].lat AS by_ FROM t_sides",
+    "t_sides2": "SELECT *, sum(h) OVER (PARTITION BY id) AS total, sum(h) OVER (PARTITION BY id ORDER BY leg) - h AS before FROM (SELECT *, sqrt((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)) AS h FROM t_sides1)",
+    "t_lines0": f"SELECT *, dist / length * total - before AS along FROM (SELECT *, CASE WHEN k = 1 THEN {d(MARGIN)} ELSE length - {d(MARGIN)} END AS dist FROM t_sides2, range(1, 3) t(k) WHERE length > {MIN_SEGMENT}) QUALIFY row_number() OVER (PARTITION BY id, k ORDER BY CASE WHEN h > 0 AND dist / length * total <= before + h + 1e-12 THEN leg ELSE 1000000 END) = 1",
+    "t_lines1": f"SELECT *, ax + along / h * (bx - ax) AS lon, ay + along / h * (by_ - ay) AS lat, degrees(atan2({east('ax', 'ay', 'bx', 'by_')}, {north('ay', 'by_')})) AS way FROM t_lines0",
+    "t_lines": f"""SELECT 999999999 + (id - 1000000000) * 2 + k AS id, id AS segment_id, CAST(k AS INT) AS tripline_index, dist,
+      lon + degrees({d(RADIUS)} * sin(radians(way - 90.0)) / ({normal('radians(lat)')} * cos(radians(lat)))) AS x0, lat + degrees({d(RADIUS)} * cos(radians(way - 90.0)) / {meridian('radians(lat)')}) AS y0,
+      lon + degrees({d(RADIUS)} * sin(radians(way + 90.0)) / ({normal('radians(lat)')} * cos(radians(lat)))) AS x1, lat + degrees({d(RADIUS)} * cos(radians(way + 90.0)) / {meridian('radians(lat)')}) AS y1 FROM t_lines1""",
     "envelopes": f"SELECT q AS envelope_id, q * {d(0.01)} AS min_lon, q * {d(0.01)} + 0.02 AS max_lon, {d(0.02)} + q * {d(0.01)} AS min_lat, {d(0.05)} + q * {d(0.01)} AS max_lat FROM range(0, 10) t(q)",
 }
 
 NEEDS = {
     "hist": ["ev"], "hist_li": ["li"], "edges": ["nodes"], "directed": ["edges"], "segments": ["directed"], "lines0": ["segments"], "lines1": ["lines0"], "lines": ["lines1"], "jumpers": ["segments"],
     "gps_tiles": ["gps"], "areas0": ["gps_tiles"], "gps_local": ["gps_tiles"], "busy": ["gps_tiles"], "pairs": ["gps_local", "busy"], "met": ["pairs", "lines"], "met1": ["met"], "met2": ["met1"], "crossed": ["met2"], "ends": ["crossed"], "chain": ["ends"],
+    "t_nodes": ["t_towns"], "t_ways0": ["t_towns"], "t_ways": ["t_ways0"], "t_places": ["t_ways"], "t_uses": ["t_places"], "t_line": ["t_nodes", "t_uses"], "t_cut": ["t_line"], "t_pts": ["t_cut"], "t_legs": ["t_pts"], "t_pieces": ["t_legs"],
+    "t_directed": ["t_pieces"], "t_segments": ["t_directed"], "t_paths": ["t_segments"], "t_jumpers": ["t_paths"], "t_sides": ["t_segments"], "t_sides1": ["t_sides"], "t_sides2": ["t_sides1"], "t_lines0": ["t_sides2"], "t_lines1": ["t_lines0"], "t_lines": ["t_lines1"],
     "completed": ["chain"], "main": ["completed"], "jumped": ["main", "jumpers"], "samples": ["jumped"], "gps_hist": ["samples"],
 }
 

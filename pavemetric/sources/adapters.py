@@ -54,6 +54,36 @@ def grid_ways(spark: SparkSession, folder: str) -> DataFrame:
     return east.unionByName(north)
 
 
+#: A town for each supplier: places of its nodes (in 1e-5 degrees), and its ways with their nodes. Node 19 has no place.
+TOWN_NODES = {**{k: (80 * k, 30 * (k % 2)) for k in range(10)}, **{k: (1000 + 10 * (k - 10), 100) for k in range(10, 16)}, 16: (240, 200), 17: (480, -200), 18: (1050, 300), 20: (300, 120), 21: (420, 90)}
+TOWN_WAYS = {0: [*range(10)], 1: [16, 3], 2: [6, 17, 3], 3: [*range(10, 16)], 4: [18, 12], 5: [11, 18], 6: [13, 18], 7: [2, 0, 2], 8: [3, 20, 6, 21, 3], 9: [0, 19], 10: [1, 4]}
+TOWN_STREETS = ["secondary", "motorway", "primary_link", "tertiary", "unclassified", "living_street"]
+
+
+def _towns(spark: SparkSession, folder: str) -> DataFrame:
+    s = F.col("s_suppkey").cast("long")
+    return table(spark, folder, "supplier").select(s.alias("s"), (s % 100 * 2000).alias("x"), (idiv(s, 100) * 2000 + 100_000).alias("y"))
+
+
+def town_nodes(spark: SparkSession, folder: str) -> DataFrame:
+    places = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(x).alias("x"), F.lit(y).alias("y")) for k, (x, y) in TOWN_NODES.items()])
+    rows = _towns(spark, folder).withColumn("n", F.explode(places))
+    return rows.select((F.col("s") * 100 + F.col("n.k")).alias("node_id"), ((F.col("x") + F.col("n.x")) / 100000.0).alias("lon"), ((F.col("y") + F.col("n.y")) / 100000.0).alias("lat"))
+
+
+def town_ways(spark: SparkSession, folder: str) -> DataFrame:
+    """Bent streets of several classes, one-way or not; a roundabout, a loop, chains of short pieces, a missing node, no street."""
+    ways = F.array(*[F.struct(F.lit(j).alias("j"), F.array(*map(F.lit, ks)).alias("ks")) for j, ks in TOWN_WAYS.items()])
+    rows = _towns(spark, folder).withColumn("w", F.explode(ways))
+    s, j = F.col("s"), F.col("w.j")
+    main = F.element_at(F.array(*map(F.lit, TOWN_STREETS)), (s % 6 + 1).cast("int"))
+    highway = F.when(j == 0, main).when(j.isin(3, 8), "service").when(j == 7, "tertiary").when(j == 9, "primary").when(j < 10, "residential")
+    oneway = F.when((j == 0) & (s % 4 == 0), "Yes").when((j == 0) & (s % 4 == 1), "no").when((j == 3) & (s % 3 == 0), "1")
+    junction, building = F.when(j == 7, "roundabout"), F.when(j == 10, "yes")
+    tags = F.map_filter(F.create_map(*[x for name, v in (("highway", highway), ("oneway", oneway), ("junction", junction), ("building", building)) for x in (F.lit(name), v)]), lambda k, v: v.isNotNull())
+    return rows.select((s * 20 + j).alias("way_id"), F.transform("w.ks", lambda k: s * 100 + k).alias("nodes"), tags.alias("tags"))
+
+
 def gps_fixes(spark: SparkSession, folder: str) -> DataFrame:
     """seq, time_ms, vehicle_id, lon, lat, convert_to_local: a vehicle per user, driving east along a row of the grid."""
     e = table(spark, folder, "events").select("event_id", "user_id", "ts")

@@ -30,6 +30,8 @@ MESSAGES: dict[str, list[tuple[int, str, str]]] = {
     "CurrentTile": [(1, "header", "Header"), (2, "percent_change_threshold", "f"), (3, "segments", "*CurrentStats"), (4, "validation_pairs", "*ODValidationPairs")],
 }
 WIRE = {"i": 0, "d": 1, "f": 5}
+#: What stands in an array by hours for an hour without samples; speeds are never negative.
+NO_SAMPLES = -1.0
 
 
 def _varint(n: int) -> bytes:
@@ -154,11 +156,15 @@ def fixes_of_envelopes(envelopes: DataFrame) -> DataFrame:
     return points.select("source_id", "vehicle_id", "seq", tb.to_ms(F.col("l.timestamp")).alias("time_ms"), F.col("l.lon").alias("lon"), F.col("l.lat").alias("lat"))
 
 
-def envelopes_of_fixes(fixes: DataFrame, source_id: Column) -> DataFrame:
-    """source_id, messages: the fixes of each source by vehicle in order of arrival."""
+def envelopes_of_fixes(fixes: DataFrame, source_id: Column, window_ms: int = tb.HOUR_MS, buckets: int = 16) -> DataFrame:
+    """source_id, messages: the fixes of each source by vehicle in order of arrival.
+
+    An envelope has one window of time and one of `buckets` parts of the vehicles, so none holds a source's whole history.
+    """
     location = F.struct("seq", F.struct(F.col("time_ms").alias("timestamp"), "lat", "lon", F.lit(None).cast("bigint").alias("heading"), F.lit(None).cast("float").alias("speed")).alias("l"))
-    by_vehicle = fixes.withColumn("source_id", source_id).groupBy("source_id", "vehicle_id").agg(F.transform(F.array_sort(F.collect_list(location)), lambda x: x["l"]).alias("locations"))
-    return by_vehicle.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("vehicle_id", "locations"))).alias("messages"))
+    part = [F.floor(F.col("time_ms") / window_ms).alias("window"), F.pmod(F.xxhash64("vehicle_id"), F.lit(buckets)).alias("bucket")]
+    by_vehicle = fixes.select("*", source_id.alias("source_id"), *part).groupBy("source_id", "window", "bucket", "vehicle_id").agg(F.transform(F.array_sort(F.collect_list(location)), lambda x: x["l"]).alias("locations"))
+    return by_vehicle.groupBy("source_id", "window", "bucket").agg(F.array_sort(F.collect_list(F.struct("vehicle_id", "locations"))).alias("messages")).select("source_id", "messages")
 
 
 def segment_definition(prefix: str = "") -> Column:
@@ -225,22 +231,31 @@ def header(commit_id: int, created_ms: int, zoom: int = tiles.AREA_ZOOM) -> Colu
     return F.struct(F.lit(commit_id).cast("bigint").alias("osm_commit_id"), F.lit(created_ms).cast("bigint").alias("creation_timestamp"), F.col("tile_x").cast("bigint").alias("tile_x"), F.col("tile_y").cast("bigint").alias("tile_y"), F.lit(zoom).cast("bigint").alias("tile_z"))
 
 
+def hours_present(values: Column) -> Column:
+    """Hourly values as they were before NO_SAMPLES took the place of null."""
+    return F.transform(values, lambda v: F.when(v != NO_SAMPLES, v))
+
+
 def baseline_tiles(hist: DataFrame, segments: DataFrame, commit_id: int = 0, created_ms: int = 0) -> DataFrame:
-    """header, segments: a row per area tile with the statistics of its segments that have samples."""
+    """header, segments: a row per area tile with the statistics of its segments that have samples.
+
+    Repeated numbers have no nulls, so hours without samples travel as NO_SAMPLES.
+    """
     named = baseline_stats(hist).join(segments.select(F.col("id").alias("segment_id"), "way_id", "start_node_id", "end_node_id", "length", "coords"), "segment_id").join(tile_of_segment(segments), "segment_id")
-    floats = lambda c: F.transform(c, lambda v: F.coalesce(v, F.lit(0.0)).cast("float"))
+    floats = lambda c: F.transform(c, lambda v: F.coalesce(v, F.lit(NO_SAMPLES)).cast("float"))
     stats = F.struct(segment_definition().alias("segment"), F.col("average_speed").cast("float").alias("average_speed"), floats("hour_of_week_averages").alias("hour_of_week_averages"), F.col("top_quartile").cast("float").alias("top_quartile"), floats("hour_of_week_top_quartile").alias("hour_of_week_top_quartile"), F.col("bottom_quartile").cast("float").alias("bottom_quartile"), floats("hour_of_week_bottom_quartile").alias("hour_of_week_bottom_quartile"))
     grouped = named.groupBy("tile_x", "tile_y").agg(F.array_sort(F.collect_list(F.struct("segment_id", stats.alias("s")))).alias("all"))
     return grouped.select(header(commit_id, created_ms).alias("header"), F.transform("all", lambda x: x["s"]).alias("segments"))
 
 
 def current_tiles(samples: DataFrame, hist: DataFrame, segments: DataFrame, threshold: float = 0.05, commit_id: int = 0, created_ms: int = 0) -> DataFrame:
-    """header, percent_change_threshold, segments, validation_pairs: a row per area tile."""
+    """header, percent_change_threshold, segments, validation_pairs: a row per area tile and hour, so no array outgrows an hour."""
     known = segments.select(F.col("id").alias("segment_id"), "way_id", "start_node_id", "end_node_id", "length", "coords")
+    by = ["tile_x", "tile_y", "current_window_start_timestamp"]
     changed = over_threshold(current_stats(samples), baseline_stats(hist), threshold).join(known, "segment_id").join(tile_of_segment(segments), "segment_id")
     stats = F.struct(segment_definition().alias("segment"), "current_window_start_timestamp", "current_window_end_timestamp", F.col("current_average_speed").cast("float").alias("current_average_speed"), F.col("current_top_quartile").cast("float").alias("current_top_quartile"), F.col("current_bottom_quartile").cast("float").alias("current_bottom_quartile"))
-    grouped = changed.groupBy("tile_x", "tile_y").agg(F.array_sort(F.collect_list(F.struct("segment_id", "current_window_start_timestamp", stats.alias("s")))).alias("all"))
+    grouped = changed.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("segment_id", stats.alias("s")))).alias("all"))
     pair = F.struct("current_window_start_timestamp", "start_node_id", "end_node_id", "length", "travel_time")
-    pairs = validation_pairs(samples, segments).join(tile_of_segment(segments), "segment_id").groupBy("tile_x", "tile_y").agg(F.array_sort(F.collect_list(pair)).alias("validation_pairs"))
-    both = grouped.join(pairs, ["tile_x", "tile_y"], "full")
+    pairs = validation_pairs(samples, segments).join(tile_of_segment(segments), "segment_id").groupBy(*by).agg(F.array_sort(F.collect_list(pair)).alias("validation_pairs"))
+    both = grouped.join(pairs, by, "full")
     return both.select(header(commit_id, created_ms).alias("header"), F.lit(threshold).cast("float").alias("percent_change_threshold"), F.transform("all", lambda x: x["s"]).alias("segments"), "validation_pairs")

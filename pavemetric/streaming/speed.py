@@ -16,12 +16,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions import tiles
 from ..functions.arith import idiv
 from ..operators import hist
-from ..operators.matching import MAX_GAP_MS, MAX_SPEED, local, normalised
+from ..operators.matching import MAX_GAP_MS, MAX_SPEED, gated, local, normalised
 from ..operators.network import MIN_SEGMENT, Network
 from ..operators.tables import item_tiles
 
 FIXES = "seq long, time_ms long, vehicle_id long, lon double, lat double, convert_to_local boolean"
-STATE = "seq long, time_ms long, lon double, lat double, pending string, end_node long, last_ms long"
+STATE = "seq long, time_ms long, lon double, lat double, busy boolean, pending string, end_node long, last_ms long"
 EVENTS = "vehicle_id long, segment_id long, time_ms long, speed double, from_node long, to_node long, from_ms long"
 LINE = ["id", "segment_id", "tripline_index", "dist", "x0", "y0", "x1", "y1", "start_node_id", "end_node_id"]
 
@@ -96,11 +96,14 @@ class LineStore:
 def sample_events(fixes: DataFrame, lines_path: str, mode: str = "fixed", idle_ms: int | None = None) -> DataFrame:
     """Stream of main samples, each with the nodes and time of the sample before it if they don't follow each other.
 
-    fixes: local times, in order of arrival per vehicle by seq; one that arrives after a later seq is dropped. State of a
+    fixes: local times, in order of arrival per vehicle by seq; one that arrives after a later seq is dropped. A way counts
+    only between fixes whose column busy is true, if there is one. State of a
     vehicle: its last fix, pending first lines, and where and when its last sample's segment ended; forgotten after
     idle_ms without fixes, if given.
     """
     limit = MAX_GAP_MS[mode]
+    if "busy" not in fixes.columns:
+        fixes = fixes.withColumn("busy", F.lit(True))
     stores: list[LineStore] = []
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -109,14 +112,14 @@ def sample_events(fixes: DataFrame, lines_path: str, mode: str = "fixed", idle_m
             return
         if not stores:
             stores.append(LineStore(lines_path))
-        seq, t, lon, lat, pending, end_node, last_ms = state.get if state.exists else (-1, None, 0.0, 0.0, "{}", None, None)
+        seq, t, lon, lat, busy, pending, end_node, last_ms = state.get if state.exists else (-1, None, 0.0, 0.0, False, "{}", None, None)
         waiting: dict[str, list] = json.loads(pending)
         out = []
         rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
-        for n, t1, x1, y1 in rows[["seq", "time_ms", "lon", "lat"]].itertuples(index=False, name=None):
+        for n, t1, x1, y1, busy1 in rows[["seq", "time_ms", "lon", "lat", "busy"]].itertuples(index=False, name=None):
             if n <= seq:
                 continue
-            if t is not None and 0 <= t1 - t <= limit and (x1, y1) != (lon, lat):
+            if t is not None and busy and busy1 and 0 <= t1 - t <= limit and (x1, y1) != (lon, lat):
                 for when, _, _, _, line in stores[0].crossings((t, lon, lat), (t1, x1, y1)):
                     segment = str(line.segment_id)
                     if line.tripline_index == 2 and segment in waiting:
@@ -130,8 +133,8 @@ def sample_events(fixes: DataFrame, lines_path: str, mode: str = "fixed", idle_m
                             end_node, last_ms = segment_end, start_ms
                     elif line.tripline_index == 1:
                         waiting[segment] = [when, float(line.dist), int(line.start_node_id), int(line.end_node_id)]
-            seq, t, lon, lat = int(n), int(t1), float(x1), float(y1)
-        state.update((seq, t, lon, lat, json.dumps(waiting), end_node, last_ms))
+            seq, t, lon, lat, busy = int(n), int(t1), float(x1), float(y1), bool(busy1)
+        state.update((seq, t, lon, lat, busy, json.dumps(waiting), end_node, last_ms))
         if idle_ms is not None:
             state.setTimeoutDuration(idle_ms)
         frame = pd.DataFrame(out, columns=[c.split()[0] for c in EVENTS.split(", ")], dtype=object)
@@ -155,9 +158,16 @@ def samples_of_events(events: DataFrame, jumpers: DataFrame, mode: str = "fixed"
     return joined.withColumn("pace", pace).select("vehicle_id", "time_ms", F.explode(F.concat(own, F.coalesce(more, F.filter(own, lambda x: F.lit(False))))).alias("s")).select("vehicle_id", "s.segment_id", "time_ms", "s.speed", "s.by_jumper")
 
 
-def speed_stream(fixes: DataFrame, areas: DataFrame, jumpers: DataFrame, lines_path: str, mode: str = "fixed", idle_ms: int | None = None) -> DataFrame:
-    """The streaming counterpart of matching.speed_samples."""
-    return samples_of_events(sample_events(local(normalised(fixes), areas), lines_path, mode, idle_ms), jumpers, mode)
+def speed_stream(fixes: DataFrame, areas: DataFrame, jumpers: DataFrame, lines_path: str, busy: DataFrame | None, mode: str = "fixed", idle_ms: int | None = None) -> DataFrame:
+    """The streaming counterpart of matching.speed_samples.
+
+    busy: area tiles (x, y) with enough vehicles, as matching.busy_tiles gives them for recent fixes; a stored table is read
+    anew in each micro-batch. None: no gate.
+    """
+    placed = local(normalised(fixes), areas)
+    if busy is not None:
+        placed = gated(placed, busy=busy)
+    return samples_of_events(sample_events(placed, lines_path, mode, idle_ms), jumpers, mode)
 
 
 def read_fixes(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:

@@ -215,6 +215,45 @@ def test_clusters(spark):
     assert names == {1: None, 3: None, 4: "C -- T"}
 
 
+def test_a_row_of_areas_is_one_cluster(spark):
+    rows = [(i, i, 0, 11, None, 0, 0, i * 1.0, 0.0, i + 1.0, 1.0) for i in range(1, 61)] + [(100, 99, 9, 11, None, 0, 0, 99.0, 9.0, 100.0, 10.0)]
+    table = spark.createDataFrame(rows, "id long, x int, y int, z int, place_name string, place_pop long, zone_offset long, min_lon double, min_lat double, max_lon double, max_lat double")
+    places = spark.createDataFrame([], "lon double, lat double, country string, city string, population long")
+    assert {r.area_id: r.cluster_id for r in areas.clusters(table, places).collect()} == {**{i: 1 for i in range(1, 61)}, 100: 100}
+
+
+def test_a_tile_with_nine_vehicles_yields_nothing(spark):
+    net = network.build(*map_tables(spark))
+    fix = lambda v, s, x: (s, 1_700_000_000_000 + s * 20_000, v, x, 0.0)
+    for vehicles in (9, 10):
+        rows = [fix(v, s, x) for v in range(vehicles) for s, x in enumerate((-0.0001, 0.0003, 0.0012, 0.0021))]
+        fixes = spark.createDataFrame(rows, "seq long, time_ms long, vehicle_id long, lon double, lat double").withColumn("convert_to_local", F.lit(False))
+        tiles_xy = matching.gated(fixes).select("x", "y").distinct().withColumn("zone_offset", F.lit(0))
+        out = matching.speed_samples(fixes, tiles_xy, net.segments, net.triplines, net.jumpers)
+        assert out.count() == (0 if vehicles < 10 else vehicles)
+        assert matching.speed_samples(fixes, tiles_xy, net.segments, net.triplines, net.jumpers, min_vehicles=1).count() == vehicles
+
+
+def test_pairs_by_time(spark):
+    rows = [(1, 3000, 1, 0.3, 0.0), (2, 1000, 1, 0.1, 0.0), (3, 2000, 1, 0.2, 0.0)]
+    df = spark.createDataFrame(rows, "seq long, time_ms long, vehicle_id long, lon double, lat double")
+    assert [(r.t0, r.t1) for r in matching.pairs(df, by="time_ms").orderBy("t0").collect()] == [(1000, 2000), (2000, 3000)]
+    assert [(r.t0, r.t1) for r in matching.pairs(df).collect()] == [(1000, 2000)]
+
+
+def test_ids_continue(spark):
+    assert tables.next_id(None) == tables.next_id(spark.createDataFrame([], "id long")) == tables.FIRST_ID
+    once = tables.with_ids(spark.range(10).select(F.col("id").alias("k")), ["k"], F.lit(0))
+    again = tables.with_ids(spark.range(5).select(F.col("id").alias("k")), ["k"], F.lit(0), first=tables.next_id(once))
+    assert sorted(r.id for r in once.unionByName(again).collect()) == list(range(tables.FIRST_ID, tables.FIRST_ID + 15))
+
+
+def test_geometries_that_are_no_lines(spark):
+    rows = [(1, [(0.0, 1.0), (1.0, 1.0)]), (2, [(0.0, 1.0)]), (3, None), (4, [(0.0, None), (1.0, 1.0)]), (5, [(float("nan"), 0.0), (1.0, 1.0)])]
+    out = tables.valid_lines(spark.createDataFrame(rows, "id long, coords array<struct<lon:double,lat:double>>")).collect()
+    assert {r.id: len(r.coords) for r in out} == {1: 2, 2: 0, 3: 0, 4: 0, 5: 0}
+
+
 def test_busy_tiles(spark):
     rows = [(1, 0, v, 0.01, 0.02) for v in range(10)] + [(1, 0, v, 5.0, 5.0) for v in range(9)]
     df = spark.createDataFrame(rows, "seq long, time_ms long, vehicle_id long, lon double, lat double")

@@ -71,7 +71,7 @@ def test_stream_equals_batch(spark, tmp_path):
     jumpers = net.jumpers.cache()
     for part in range(3):
         fixes.where(F.floor(F.col("seq") / 30) % 3 == part if part < 0 else (F.col("seq") - 1 >= part * 25) & ((F.col("seq") - 1 < (part + 1) * 25) | F.lit(part == 2))).coalesce(1).write.mode("append").parquet(source)
-    stream = speed.speed_stream(speed.read_fixes(spark, source), areas, jumpers, lines)
+    stream = speed.speed_stream(speed.read_fixes(spark, source), areas, jumpers, lines, spark.createDataFrame(matching.busy_tiles(fixes).collect(), "x int, y int"))
     query = speed.write_samples(stream, str(tmp_path / "out"), str(tmp_path / "check"))
     query.awaitTermination(120)
     assert rounded(spark.read.parquet(str(tmp_path / "out"))) == want
