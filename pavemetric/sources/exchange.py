@@ -110,6 +110,19 @@ def decode(message: str, data: bytes) -> dict:
     return out
 
 
+def varint_of(n: int) -> bytes:
+    return _varint(n)
+
+
+def delimited(data: bytes) -> Iterator[bytes]:
+    """Messages that each follow their size as a varint."""
+    at = 0
+    while at < len(data):
+        size, at = _read_varint(data, at)
+        yield data[at : at + size]
+        at += size
+
+
 def spark_type(message: str) -> str:
     """The message as a struct type in DDL."""
     ddl = {"i": "bigint", "d": "double", "f": "float"}
