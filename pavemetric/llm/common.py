@@ -26,8 +26,19 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder in the shared one, which clean() deletes."""
+    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all scratch tables and files of this driver. For callers who have read or written the results they want."""
+    remove(spark, *_made)
+    _made.clear()
 
 
 def saved(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:

@@ -2,6 +2,8 @@ import random
 
 import pytest
 
+from pavemetric.llm import common
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, copy int, n_lines long, fill int, k_id long"
 SYLLABLES = "ba be bi bo bu da de di do du ka ke ki ko ku la le li lo lu ma me mi mo mu na ne ni no nu".split()
 
@@ -31,6 +33,12 @@ def texts() -> list[tuple]:
     return rows
 
 
+@pytest.fixture(autouse=True)
+def no_scratch_left(spark):
+    yield
+    common.clean(spark)
+
+
 @pytest.fixture(scope="session")
 def rows():
     return texts()

@@ -258,6 +258,33 @@ def test_hard_cases_through_the_stages(spark, docs):
     assert corpus_pipeline.packed(spark, docs, SF).count() >= docs.count() > 50
 
 
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    for t in ("documents", "labels"):
+        spark.read.parquet(f"{SF}/{t}.parquet").where("false").write.parquet(f"{tmp_path}/{t}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_clean_deletes_what_was_made(spark):
+    from pathlib import Path
+
+    path = Path(common.saved_at(spark.range(3), "clean-test")[1].removeprefix("file://"))
+    assert path.exists()
+    common.clean(spark)
+    assert not path.exists()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf:
+        get = staticmethod(lambda name, default=None: None)
+
+    class Session:
+        conf = Conf
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session)
+
+
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_oracles(spark, name):
     import duckdb
