@@ -10,8 +10,9 @@ from itertools import chain, filterfalse
 
 import numpy as np
 
-#: Entries that one worker's memo holds before it starts anew; a longer unit is kept for one batch only.
-MEMO_ENTRIES, MEMO_CHARS = 600_000, 48
+#: Entries that one worker's memo holds, in two halves: when one is full it takes the place of the other, and what is met
+#: again moves on, so frequent units stay. A longer unit is kept for one batch only.
+MEMO_ENTRIES, MEMO_CHARS = 1_000_000, 48
 #: Texts encoded together (few, so that their units stay in a CPU's cache), units sent to the library in one call.
 TEXTS, UNITS = 48, 512
 SAFE = frozenset(string.punctuation)
@@ -51,6 +52,7 @@ class Encoder:
             self.edge[i] = token.startswith("Ġ") if spaced else token.endswith("</w>")
         self.end, self.spaced = np.uint32(end_id).tobytes(), spaced
         self.memo: dict[str, bytes | None] = {}
+        self.old: dict[str, bytes | None] = {}
         self.heads: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
@@ -107,9 +109,12 @@ class Encoder:
         for i in range(0, len(texts), TEXTS):
             some = [t or "" for t in texts[i : i + TEXTS]]
             units = [self._units(t) for t in some]
-            if len(self.memo) + len(self.heads) > MEMO_ENTRIES:
-                self.memo, self.heads = {}, {}
+            if len(self.memo) + len(self.heads) > MEMO_ENTRIES // 2:
+                self.old, self.memo, self.heads = self.memo, {}, {}
             new = set(filterfalse(self.memo.__contains__, chain.from_iterable(u[1] for u in units if u)))
+            again = list(filter(self.old.__contains__, new))
+            self.memo.update(zip(again, map(self.old.__getitem__, again), strict=True))
+            new.difference_update(again)
             self._learn(new)
             get = self.memo.__getitem__
             for u, t in zip(units, some, strict=True):
