@@ -119,6 +119,19 @@ def ranges_of(uri: str) -> Callable[[int, int], bytes]:
     return lambda at, size: file.read_at(size, at)
 
 
+def give_back_memory() -> None:
+    """Returns what a Python worker has freed to the system. Workers are reused, so a stage would sit on the last one's heap."""
+    import ctypes
+    import gc
+
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+        trim(0)
+
+
 def plain_id(name: str = "doc_id") -> list[Column]:
     """The id without nulls, and no_id where it was null: pandas holds longs with nulls as floats, which lose digits."""
     c = F.col(name).cast("long")

@@ -29,12 +29,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, copy_key, keep_rows, null_id, plain_id, remove, saved_at, small, spread_join
+from .common import components, copy_key, give_back_memory, keep_rows, null_id, plain_id, remove, saved_at, small, spread_join
 
 WORDS, PERCENT = 5, 80
 #: Documents whose prefixes one screening task counts; classes of a block of the frequency count; words that a worker
 #: remembers the hashes of.
-SCREEN_DOCS, BLOCK_DOCS, MEMO_WORDS = 5_000, 1_000, 500_000
+SCREEN_DOCS, BLOCK_DOCS, MEMO_WORDS = 5_000, 1_000, 250_000
 #: Classes of a gram from which stars come first, and from which its pairs are formed in several tasks; hubs that a class
 #: tries in a round; slices of the order that the suffix filter compares.
 STAR, SPLIT, HUBS, SLICES = 16, 2_000, 3, 64
@@ -141,6 +141,8 @@ def screened(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, str]:
                 rows += [((uid + i) % ranges, uid + i, d, z, k, int(n[i]), keys[i] if n[i] else None, int(hits[i]), None, None) for i, (d, z, k) in enumerate(part[["doc_id", "no_id", "copy_key"]].itertuples(index=False, name=None))]
                 uid += len(sets)
                 yield pd.DataFrame(rows, columns=names)
+        shingler.memo.clear()
+        give_back_memory()
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         blobs = pdf["grams"].notna()
@@ -255,6 +257,7 @@ class Verifier:
                     shared = len(np.intersect1d(x, y, assume_unique=True))
                     keep.append(100 * shared >= PERCENT * (len(x) + len(y) - shared))
                 yield batch.loc[keep, ["a", "b"]]
+            give_back_memory()
 
         links = self.kept(both.select("a", "b", "ga", "gb").mapInPandas(run, "a long, b long"), "links")
         self.links = links if self.links is None else self.links.unionByName(links)
@@ -349,6 +352,8 @@ def ngram_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
             sets = shingler.sets(batch["text"].tolist())
             slices = [np.bincount((x >> np.uint64(58)).astype(np.int64), minlength=SLICES) for x in sets]
             yield pd.DataFrame({"cid": batch["cid"], "n": [len(x) for x in sets], "grams": [x.tobytes() for x in sets], "slices": slices})
+        shingler.memo.clear()
+        give_back_memory()
 
     # texts of the classes' first documents; with few classes this is one scan, with many a shuffle of the texts
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), copy_key(F.col("text")).alias("copy_key"))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import null_id, plain_id, remove, saved_at
+from .common import give_back_memory, null_id, plain_id, remove, saved_at
 from .tokens import encoder
 
 PIECES = "uid long, doc_id long, no_id boolean, piece int, start long, length long, ids_crc32 long"
@@ -73,17 +73,19 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 102
 
         from pyspark import TaskContext
 
+        give_back_memory()
         encode, uid = encoder(tokenizer, end_id, spaced, added).encode, TaskContext.get().partitionId() << 36
         for batch in batches:
-            rows = []
-            for doc_id, no_id, ids in zip(batch["doc_id"], batch["no_id"], encode(batch["text"].tolist()), strict=True):
-                n = len(ids) // 4
-                at, k = 0, 0
-                while at < n:
-                    size = (n - at - 1) % capacity + 1
-                    rows.append((uid, doc_id, no_id, k, at, size, crc32(ids[4 * at : 4 * (at + size)])))
-                    at, k, uid = at + size, k + 1, uid + 1
-            yield pd.DataFrame(rows, columns=["uid", "doc_id", "no_id", "piece", "start", "length", "ids_crc32"])
+            for begin in range(0, len(batch), 1024):
+                some, rows = batch.iloc[begin : begin + 1024], []
+                for doc_id, no_id, ids in zip(some["doc_id"], some["no_id"], encode(some["text"].tolist()), strict=True):
+                    n = len(ids) // 4
+                    at, k = 0, 0
+                    while at < n:
+                        size = (n - at - 1) % capacity + 1
+                        rows.append((uid, doc_id, no_id, k, at, size, crc32(ids[4 * at : 4 * (at + size)])))
+                        at, k, uid = at + size, k + 1, uid + 1
+                yield pd.DataFrame(rows, columns=["uid", "doc_id", "no_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(*plain_id(), F.col("text").cast("string").alias("text")).mapInPandas(run, PIECES)
 

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations, filterfalse
+from itertools import combinations
 from operator import eq
-from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -17,8 +16,8 @@ SAMPLE_ROWS = 20_000
 #: Bins of a feature and of each side of a pair; passes over the features and over the pairs; pairs; learning rate.
 BINS, PAIR_BINS, PASSES, PAIR_PASSES, PAIRS, RATE = 64, 12, 120, 60, 8, 0.15
 ACCEPT = 0.7
-#: Buckets that words are hashed into, each with its share of a text's words as an input; words whose bucket is remembered.
-BUCKETS, MEMO_WORDS = 32, 500_000
+#: Buckets that words are hashed into, each with its share of a text's words as an input.
+BUCKETS = 32
 NAMES = ["log_chars", "log_words", "upper", "digit", "symbol", "stop", "space", "newline", "non_ascii", "word_chars", "distinct", "repeated", "short_words", "long_words", "capital_words", "marked_words", "top_word", *[f"bucket_{i}" for i in range(BUCKETS)]]
 
 
@@ -32,16 +31,17 @@ def _classes() -> np.ndarray:
 
 
 CLASSES = _classes()
-_bucket_of: dict[str, int] = {}
+#: For the hash of a word: a number for each byte, the same for a letter in either case, none for blanks; a factor by place.
+_numbers = np.random.default_rng(20).integers(1, 1 << 62, 256 + 16, np.uint64)
+BYTES, PLACES = np.where((CLASSES == 6) | (CLASSES == 7), np.uint64(0), _numbers[[ord(chr(i).lower()) if i < 128 else i for i in range(256)]]), _numbers[256:] | np.uint64(1)
 
 
-def word_buckets(words: list[str]) -> np.ndarray:
-    """Share of the words in each bucket, by CRC-32 of the lower-cased word."""
-    if len(_bucket_of) > MEMO_WORDS:
-        _bucket_of.clear()
-    for w in filterfalse(_bucket_of.__contains__, words):
-        _bucket_of[w] = crc32(w.lower().encode()) % BUCKETS
-    return np.bincount(np.fromiter(map(_bucket_of.__getitem__, words), np.int64, len(words)), minlength=BUCKETS) / len(words)
+def word_buckets(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Share of the words in each bucket, by a hash of the bytes of each word; starts of the words in raw."""
+    raw, starts = raw[starts[0] :], starts - starts[0]
+    place = np.arange(len(raw)) - np.repeat(starts, np.diff(starts, append=len(raw)))
+    sums = np.add.reduceat(BYTES[raw] * PLACES[place & 15], starts)
+    return np.bincount((sums >> np.uint64(32)).astype(np.int64) % BUCKETS, minlength=BUCKETS) / len(starts)
 
 
 def features(texts: list[str | None]) -> np.ndarray:
@@ -73,7 +73,7 @@ def features(texts: list[str | None]) -> np.ndarray:
             ends = np.concatenate([blank, [len(raw)]]) - 1
             row[15] = (kinds[ends[ends >= 0]] == 4).mean()
             row[16] = _share_of_most(words)
-            row[17:] = word_buckets(words)
+            row[17:] = word_buckets(raw, starts[(kinds[starts] != 6) & (kinds[starts] != 7)])
     return out
 
 

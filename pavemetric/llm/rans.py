@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import plain_id, ranges_of, saved, scratch, small, write_new
+from .common import give_back_memory, plain_id, ranges_of, saved, scratch, small, write_new
 from .tokens import encoder
 
 MAGIC = b"RANSTOK1"
@@ -169,6 +169,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
+        give_back_memory()
         encode, task, file = encoder(tokenizer, end_id, spaced, added).encode, TaskContext.get().partitionId(), 0
         numbers: list[int | None] = []
         parts: list[np.ndarray] = []

@@ -12,7 +12,7 @@ import numpy as np
 
 #: Entries that one worker's memo holds, in two halves: when one is full it takes the place of the other, and what is met
 #: again moves on, so frequent units stay. A longer unit is kept for one batch only.
-MEMO_ENTRIES, MEMO_CHARS = 1_000_000, 48
+MEMO_ENTRIES, MEMO_CHARS = 700_000, 48
 #: Texts encoded together (few, so that their units stay in a CPU's cache), units sent to the library in one call.
 TEXTS, UNITS = 48, 512
 SAFE = frozenset(string.punctuation)

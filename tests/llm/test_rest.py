@@ -194,9 +194,10 @@ def area_under_curve(scores, labels):
 
 
 def test_word_buckets():
-    out = quality.features(["Word word other", ""])
-    shares = out[0, -quality.BUCKETS :]
-    assert shares.sum() == pytest.approx(1) and shares[crc32(b"word") % quality.BUCKETS] >= 2 / 3 and not out[1].any()
+    texts = ["Word word other", "  other\nWORD word ", "é", "word", "other", "", "x" * 40 + " " + "y" * 40]
+    out = quality.features(texts)[:, -quality.BUCKETS :]
+    assert out.sum(1) == pytest.approx([1, 1, 1, 1, 1, 0, 1]) and out[0] == pytest.approx(out[1])
+    assert out[0] == pytest.approx((2 * out[3] + out[4]) / 3)
 
 
 def test_classifier(spark):
