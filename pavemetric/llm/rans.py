@@ -21,6 +21,8 @@ SCALE, LOW = 20, 1 << 31
 LANES, BLOCK, FILE_IDS, TASK_BYTES = 4096, 1 << 18, 1 << 22, 16 << 20
 #: Columns of the block index at the head of a file: the checkpoints from which a block, with whole documents, decodes alone.
 CHECKPOINT = np.dtype([("first_id", "<u8"), ("first_doc", "<u8"), ("docs", "<u8"), ("ids", "<u8"), ("words", "<u8"), ("at", "<u8"), ("crc", "<u4"), ("ids_crc", "<u4")])
+#: Entries of the encoder's memo in a writing worker, which holds little else.
+MEMO_ENTRIES = 1_200_000
 LISTED = "task long, file long, path string, blocks long, docs long, ids long"
 
 
@@ -170,7 +172,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
         from pyspark import TaskContext
 
         give_back_memory()
-        encode, task, file = encoder(tokenizer, end_id, spaced, added).encode, TaskContext.get().partitionId(), 0
+        encode, task, file = encoder(tokenizer, end_id, spaced, added, MEMO_ENTRIES).encode, TaskContext.get().partitionId(), 0
         numbers: list[int | None] = []
         parts: list[np.ndarray] = []
         held = 0

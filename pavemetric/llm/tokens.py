@@ -35,7 +35,7 @@ class Encoder:
     cover goes to the library whole.
     """
 
-    def __init__(self, path: str, end_id: int, spaced: bool, added: bool = False):
+    def __init__(self, path: str, end_id: int, spaced: bool, added: bool = False, entries: int = MEMO_ENTRIES):
         """spaced: tokens carry the space before them (byte-level); else they drop white space and case.
 
         added: the strings of added tokens in a text are these tokens, as by the library's default; else ordinary text.
@@ -43,6 +43,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.entries = entries
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = not added
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()] if added else []
@@ -109,7 +110,7 @@ class Encoder:
         for i in range(0, len(texts), TEXTS):
             some = [t or "" for t in texts[i : i + TEXTS]]
             units = [self._units(t) for t in some]
-            if len(self.memo) + len(self.heads) > MEMO_ENTRIES // 2:
+            if len(self.memo) + len(self.heads) > self.entries // 2:
                 self.old, self.memo, self.heads = self.memo, {}, {}
             new = set(filterfalse(self.memo.__contains__, chain.from_iterable(u[1] for u in units if u)))
             again = list(filter(self.old.__contains__, new))
@@ -131,6 +132,6 @@ class Encoder:
 
 
 @cache
-def encoder(path: str, end_id: int, spaced: bool, added: bool = False) -> Encoder:
+def encoder(path: str, end_id: int, spaced: bool, added: bool = False, entries: int = MEMO_ENTRIES) -> Encoder:
     """The encoder of this Python worker: tasks that follow each other in a worker share its vocabulary and its memo."""
-    return Encoder(path, end_id, spaced, added)
+    return Encoder(path, end_id, spaced, added, entries)
