@@ -13,9 +13,9 @@ so the grams of a prefix are rare and few documents meet in them.
 3. Classes are joined on the grams of their prefixes. A gram that many classes have would join all their pairs, so there
    stars come first: each class is verified against a hub of the gram, and classes that links connect get one label. Rounds
    of stars go on while they bring in a quarter of the classes outside of a gram's largest label. Then every pair of
-   classes that share a prefix gram and differ in label is formed, gram by gram, hot grams dealt over several tasks; length
-   and positional filters in the join, the latter again on the places of all grams that a pair shares, suffix filter on the
-   counts of 64 slices of the order, and one verification for each pair.
+   classes that share a prefix gram and differ in label is formed, gram by gram, hot grams dealt over several tasks; length,
+   positional and suffix filters (the last on the counts of 64 slices of the hash order) in the join, before a pair is made;
+   the positional one again on the places of all grams that a pair shares; and one verification for each pair.
 4. Components of the links give each document the smallest id it reaches.
 """
 
@@ -36,7 +36,7 @@ WORDS, PERCENT = 5, 80
 #: remembers the hashes of.
 SCREEN_DOCS, BLOCK_DOCS, MEMO_WORDS = 5_000, 1_000, 250_000
 #: Classes of a gram from which stars come first, and from which its pairs are formed in several tasks; hubs that a class
-#: tries in a round; slices of the order that the suffix filter compares.
+#: tries in a round; slices of the hash order that the suffix filter compares.
 STAR, SPLIT, HUBS, SLICES = 16, 2_000, 3, 64
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 MANY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -220,6 +220,12 @@ def overlap_needed(a: Column, b: Column) -> Column:
     return F.ceil(PERCENT * (a + b) / F.lit(100.0 + PERCENT))
 
 
+def slices_fit(sa: Column, sb: Column, na: Column, nb: Column) -> Column:
+    """Suffix filter: slices' counts differ by no more in all than two similar sets may."""
+    apart = F.aggregate(F.zip_with(sa, sb, lambda x, y: F.abs(x - y)), F.lit(0), lambda t, x: t + x)
+    return apart <= na + nb - 2 * overlap_needed(na, nb)
+
+
 class Verifier:
     """Links among pairs of classes, each pair looked at once."""
 
@@ -235,17 +241,17 @@ class Verifier:
         """pairs without those that were verified before."""
         return pairs if self.tested is None else pairs.join(self.tested, ["a", "b"], "left_anti")
 
-    def verify(self, pairs: DataFrame) -> None:
-        """pairs (a, b, na, nb), a < b, distinct: the suffix filter by slices, then the sets themselves."""
+    def verify(self, pairs: DataFrame, sifted: bool = False) -> None:
+        """pairs (a, b, na, nb), a < b, distinct: the suffix filter by slices unless they passed it, then the sets themselves."""
         pairs = self.kept(self.new(pairs), "pairs")
         met = self.kept(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "met")
         # of the sets only those that occur are moved
         sets = self.kept(self.sets.join(small(met, met.count()), "cid", "left_semi").select("cid", "grams", "slices"), "met-sets")
-        both = pairs
-        for side in "ab":
-            both = spread_join(both, sets.select(F.col("cid").alias(side), F.col("slices").alias(f"s{side}")), side, pairs)
-        apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.abs(x - y)), F.lit(0), lambda t, x: t + x)
-        both = near = self.kept(both.where(apart <= F.col("na") + F.col("nb") - 2 * overlap_needed(F.col("na"), F.col("nb"))).drop("sa", "sb"), "near-pairs")
+        both = near = pairs
+        if not sifted:
+            for side in "ab":
+                both = spread_join(both, sets.select(F.col("cid").alias(side), F.col("slices").alias(f"s{side}")), side, pairs)
+            both = near = self.kept(both.where(slices_fit(F.col("sa"), F.col("sb"), F.col("na"), F.col("nb"))).drop("sa", "sb"), "near-pairs")
         for side in "ab":
             both = spread_join(both, sets.select(F.col("cid").alias(side), F.col("grams").alias(f"g{side}")), side, near)
 
@@ -302,14 +308,15 @@ def verified_links(postings: DataFrame, sets: DataFrame) -> tuple[DataFrame, lis
     named = labelled(met, labels)
     top = named.groupBy("gram", "label").agg(F.count("*").alias("c")).groupBy("gram").agg(F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1").select("gram", F.col("top.label").alias("major"))
     top = check.kept(top, "majors")
-    named = check.kept(spread_join(named, top, "gram", met, rows=top.count()).withColumn("minor", F.col("label") != F.col("major")).withColumn("cuts", F.ceil(F.col("k") / SPLIT).cast("int")), "named")
-    side = lambda p: [F.col(c).alias(f"{p}_{c}") for c in ("cid", "n", "alone", "place", "label", "minor")]
+    named = spread_join(named, top, "gram", met, rows=top.count()).withColumn("minor", F.col("label") != F.col("major")).withColumn("cuts", F.ceil(F.col("k") / SPLIT).cast("int"))
+    named = check.kept(named.join(sets.select("cid", "slices"), "cid"), "named")
+    side = lambda p: [F.col(c).alias(f"{p}_{c}") for c in ("cid", "n", "alone", "place", "label", "minor", "slices")]
     left = named.where("minor").select("gram", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"), *side("x"))
     right = named.select("gram", F.pmod(F.xxhash64("cid"), F.col("cuts")).cast("int").alias("cut"), *side("y"))
     # positional filter on one shared gram: what may be shared before it (grams of one class alone come first), and from it on
     most = F.least(F.col("x_place") - F.col("x_alone"), F.col("y_place") - F.col("y_alone")) + F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place"))
     fits = lengths_fit(F.col("x_n"), F.col("y_n")) & (most >= overlap_needed(F.col("x_n"), F.col("y_n")))
-    both = left.join(right, ["gram", "cut"]).where((F.col("x_label") != F.col("y_label")) & (~F.col("y_minor") | (F.col("x_cid") < F.col("y_cid"))) & fits)
+    both = left.join(right, ["gram", "cut"]).where((F.col("x_label") != F.col("y_label")) & (~F.col("y_minor") | (F.col("x_cid") < F.col("y_cid"))) & fits & slices_fit(F.col("x_slices"), F.col("y_slices"), F.col("x_n"), F.col("y_n")))
     swap = F.col("x_cid") > F.col("y_cid")
     ordered = lambda c: (F.when(swap, F.col(f"y_{c}")).otherwise(F.col(f"x_{c}")), F.when(swap, F.col(f"x_{c}")).otherwise(F.col(f"y_{c}")))
     both = both.select(*[c.alias(f"{p}{q}") for q in ("cid", "n", "place") for p, c in zip("ab", ordered(q), strict=True)])
@@ -318,7 +325,7 @@ def verified_links(postings: DataFrame, sets: DataFrame) -> tuple[DataFrame, lis
     least = overlap_needed(F.col("na"), F.col("nb"))
     rest = F.least(F.col("na") - F.col("alast"), F.col("nb") - F.col("blast")) - 1
     pairs = pairs.where((F.least(F.col("na") - F.col("afirst"), F.col("nb") - F.col("bfirst")) >= least) & (F.col("shared") + rest >= least))
-    check.verify(pairs.select("a", "b", "na", "nb"))
+    check.verify(pairs.select("a", "b", "na", "nb"), sifted=True)
     return check.links, check.paths
 
 
@@ -350,7 +357,8 @@ def ngram_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
         shingler = Shingler(words)
         for batch in batches:
             sets = shingler.sets(batch["text"].tolist())
-            slices = [np.bincount((x >> np.uint64(58)).astype(np.int64), minlength=SLICES) for x in sets]
+            # a count cut off at the most that a short holds only weakens the filter
+            slices = [np.minimum(np.bincount((x >> np.uint64(58)).astype(np.int64), minlength=SLICES), 32767).astype(np.int16) for x in sets]
             yield pd.DataFrame({"cid": batch["cid"], "n": [len(x) for x in sets], "grams": [x.tobytes() for x in sets], "slices": slices})
         shingler.memo.clear()
         give_back_memory()
@@ -358,7 +366,7 @@ def ngram_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
     # texts of the classes' first documents; with few classes this is one scan, with many a shuffle of the texts
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), copy_key(F.col("text")).alias("copy_key"))
     texts = texts.join(small(classes.drop("cls"), number), F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("copy_key") == F.col("c_key"))).select("cid", "text")
-    sets = texts.mapInPandas(cut, "cid long, n int, grams binary, slices array<int>").dropDuplicates(["cid"]).withColumn("block", F.pmod(F.xxhash64("cid"), F.lit(blocks)).cast("int"))
+    sets = texts.mapInPandas(cut, "cid long, n int, grams binary, slices array<smallint>").dropDuplicates(["cid"]).withColumn("block", F.pmod(F.xxhash64("cid"), F.lit(blocks)).cast("int"))
     sets, sets_at = saved_at(sets, "sets")
     postings, postings_at = saved_at(prefixes(sets, blocks), "prefixes")
 
