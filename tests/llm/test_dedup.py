@@ -5,7 +5,9 @@ import re
 from collections import defaultdict
 from hashlib import sha256
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pavemetric.llm import common, exact_dedup, line_dedup, ngram_join
 
@@ -36,7 +38,6 @@ def test_drop_copies(docs, rows):
 
 def test_clashing_chunk_hashes(docs, rows, monkeypatch):
     """With a hash that maps everything to one of two values, texts are still told apart."""
-    from pyspark.sql import functions as F
 
     real = F.xxhash64
     monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda c: real(c) % 2)
@@ -110,6 +111,23 @@ def test_links_against_all_pairs(spark, monkeypatch, seed):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == want
 
 
+def test_suffix_filter_keeps_similar_sets(spark):
+    """Pairs at and below the threshold, of 1 to 2,000 grams, counts cut off as for very long texts among them."""
+    rng, data = np.random.default_rng(5), []
+    for i in range(300):
+        n = int(rng.integers(1, 2000 if i % 3 else 20))
+        shared = rng.integers(0, 2**64, n, dtype=np.uint64)
+        a, b = (np.unique(np.append(shared, rng.integers(0, 2**64, int(rng.integers(0, n // 6 + 2)), dtype=np.uint64))) for _ in range(2))
+        both = len(np.intersect1d(a, b))
+        most = 10 if i % 2 else 32767
+        counts = [np.minimum(np.bincount((x >> np.uint64(58)).astype(np.int64), minlength=64), most).tolist() for x in (a, b)]
+        data.append((*counts, len(a), len(b), 100 * both >= 80 * (len(a) + len(b) - both)))
+    df = spark.createDataFrame(data, "sa array<smallint>, sb array<smallint>, na int, nb int, similar boolean")
+    fits = df.select("similar", ngram_join.slices_fit(*map(F.col, ("sa", "sb", "na", "nb"))).alias("fits")).collect()
+    assert all(r.fits for r in fits if r.similar) and any(r.similar for r in fits)
+    assert not all(r.fits for r in fits)
+
+
 def test_drop_near_copies(docs, rows):
     out = ngram_join.drop_near_copies(docs)
     assert out.columns == docs.columns
