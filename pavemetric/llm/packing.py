@@ -16,6 +16,8 @@ PIECES = "uid long, doc_id long, no_id boolean, piece int, start long, length lo
 PACKED = f"{PIECES}, part long, bin long, offset long, fill long, bins long, bound long"
 #: Documents that one packing task holds.
 PART_ROWS = 25_000
+#: Pieces that a task passes on at once.
+ROWS = 4_096
 
 
 def lower_bound(lengths: np.ndarray, capacity: int, times: np.ndarray | None = None) -> int:
@@ -74,18 +76,22 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 102
         from pyspark import TaskContext
 
         give_back_memory()
-        encode, uid = encoder(tokenizer, end_id, spaced, added).encode, TaskContext.get().partitionId() << 36
+        encode, uid = encoder(tokenizer, end_id, spaced, added).stream, TaskContext.get().partitionId() << 36
+        columns = ["uid", "doc_id", "no_id", "piece", "start", "length", "ids_crc32"]
         for batch in batches:
-            for begin in range(0, len(batch), 1024):
-                some, rows = batch.iloc[begin : begin + 1024], []
-                for doc_id, no_id, ids in zip(some["doc_id"], some["no_id"], encode(some["text"].tolist()), strict=True):
-                    n = len(ids) // 4
-                    at, k = 0, 0
-                    while at < n:
-                        size = (n - at - 1) % capacity + 1
-                        rows.append((uid, doc_id, no_id, k, at, size, crc32(ids[4 * at : 4 * (at + size)])))
-                        at, k, uid = at + size, k + 1, uid + 1
-                yield pd.DataFrame(rows, columns=["uid", "doc_id", "no_id", "piece", "start", "length", "ids_crc32"])
+            rows = []
+            for doc_id, no_id, ids in zip(batch["doc_id"], batch["no_id"], encode(batch["text"].tolist()), strict=True):
+                n = len(ids) // 4
+                at, k = 0, 0
+                while at < n:
+                    size = (n - at - 1) % capacity + 1
+                    rows.append((uid, doc_id, no_id, k, at, size, crc32(ids[4 * at : 4 * (at + size)])))
+                    at, k, uid = at + size, k + 1, uid + 1
+                if len(rows) >= ROWS:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=columns)
 
     return docs.select(*plain_id(), F.col("text").cast("string").alias("text")).mapInPandas(run, PIECES)
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pavemetric.llm import packing
+from pavemetric.llm import packing, tokens
 from pavemetric.llm.registry import tokenizer
 from pavemetric.llm.tokens import Encoder
 
@@ -66,6 +66,33 @@ def test_random_texts_equal_library():
             assert np.frombuffer(ids, np.uint32).tolist()[:-1] == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_units_at_edges_equal_library(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "BYTES", 300)
+    monkeypatch.setattr(tokens, "SLICE", 7)
+    rng = random.Random(11)
+    parts = [*" \n\t\r\x0b\x0c\x1c\x85\xa0\u1680\u2003\u2028\u202f\u3000\ufeff\x00", *"abstE01'.,!<|>_-", *"éñ²½ª\u0301你。\U0001f600", "'s", "'ll", " 're", "  ", " a", "\n\n", " \n", "endoftext", "<|endoftext|>"]
+    texts = [None, "", *["".join(rng.choices(parts, weights=[rng.random() ** 4 for _ in parts], k=rng.randint(0, 60))) for _ in range(3000)]]
+    for added in (True, False):
+        library = Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
+        library.encode_special_tokens = not added
+        encoder = Encoder(tokenizer("byte_bpe_50k.json"), 2, True, added, 500)
+        for text, ids in zip(texts, encoder.encode(texts), strict=True):
+            assert np.frombuffer(ids, np.uint32).tolist() == [*library.encode(text or "", add_special_tokens=False).ids, 2], repr(text)
+
+
+def test_library_gets_many_units_in_a_call(monkeypatch):
+    encoder = Encoder(tokenizer("byte_bpe_50k.json"), 2, True)
+    ids, calls = encoder._ids, []
+    monkeypatch.setattr(encoder, "_ids", lambda text: calls.append(text) or ids(text))
+    # each first word, and each word at the start of a line, is a unit without a space
+    texts = [f"First{'x' * (i % 40)}{i} word\nLine{i} ends." for i in range(1000)]
+    out = encoder.encode(texts)
+    assert len(calls) < 50
+    assert all(a == ids(t).tobytes() + b"\2\0\0\0" for a, t in zip(out, texts, strict=True))
+
+
 def fewest(lengths: list[int], capacity: int) -> int:
     """Fewest bins, by search."""
     lengths, best = sorted(lengths, reverse=True), [len(lengths)]
