@@ -13,13 +13,13 @@ import numpy as np
 
 #: Entries that one worker's memo holds, in two halves: when one is full it takes the place of the other, and what is met
 #: again moves on, so frequent units stay. A longer unit is kept for one batch only.
-MEMO_ENTRIES, MEMO_CHARS = 700_000, 48
+MEMO_ENTRIES, MEMO_CHARS = 400_000, 48
 #: Texts encoded together (few, so that their units stay in a CPU's cache), units sent to the library in one call.
 TEXTS, UNITS = 48, 512
 #: Byte-level: bytes of text cut into units together, so that the memo is asked once for each distinct unit among them.
-BYTES = 1 << 23
-#: Units of them whose ids are put in place at once.
-SLICE = 1 << 18
+BYTES = 6 << 20
+#: Bytes of them that are classed at once, and units whose ids are put in place at once.
+SLICE = 1 << 16
 #: Byte-level: what may stand between texts and marks their ends, since UTF-8 has no such byte.
 BETWEEN = b"\xff"
 #: Classes of bytes: letters and digits, other printable ASCII, the quote, space, other blanks, first bytes of characters
@@ -68,14 +68,18 @@ def starts(data: np.ndarray) -> np.ndarray:
     That holds at a space before a character that isn't blank, at a blank after one, after a lone blank between two, and
     between letters or digits and other signs (but not after a quote, which may be that of a contraction).
     """
-    kinds = CLASSES[data]
-    tells = TELLS[(kinds[:-1] << 3) | kinds[1:]]
-    at = np.empty(len(data), bool)
-    at[0] = True
-    np.not_equal(tells & 1, 0, out=at[1:])
-    at[:-1] |= (tells & 2) != 0
-    at[2:] |= ((tells[:-1] & 4) != 0) & ((tells[1:] & 8) != 0)
-    return np.flatnonzero(at)
+    out = []
+    for begin in range(0, len(data), SLICE):
+        low = max(0, begin - 2)
+        kinds = CLASSES[data[low : begin + SLICE + 1]]
+        tells = TELLS[(kinds[:-1] << 3) | kinds[1:]]
+        at = np.empty(len(kinds), bool)
+        at[0] = True
+        np.not_equal(tells & 1, 0, out=at[1:])
+        at[:-1] |= (tells & 2) != 0
+        at[2:] |= ((tells[:-1] & 4) != 0) & ((tells[1:] & 8) != 0)
+        out.append((np.flatnonzero(at[begin - low :][:SLICE]) + begin).astype(np.int32))
+    return np.concatenate(out)
 
 
 #: What the word-level path takes apart itself: printable ASCII, white space, Latin-1 letters and quotes.
@@ -157,13 +161,15 @@ class Encoder:
                 del self.memo[u]
 
     def _bytes(self, texts: list[bytes]) -> Iterator[bytes]:
+        """Ids of the texts, the end id last. The list is emptied."""
         import pyarrow as pa
 
         data = np.frombuffer(BETWEEN.join([*texts, b""]), np.uint8)
-        at = np.append(starts(data), len(data)).astype(np.int64)
-        units = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(data)]).dictionary_encode()
+        texts.clear()
+        at = np.append(starts(data), np.int32(len(data)))
+        units = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(data)]).dictionary_encode()
         distinct, which = units.dictionary.to_pylist(), units.indices.to_numpy()
-        del data, at
+        del data, at, units
         self._renew()
         known = list(map(self.memo.get, distinct))
         missing = [i for i, ids in enumerate(known) if ids is None]
@@ -202,11 +208,11 @@ class Encoder:
             data = (text or "").encode()
             if some and held + len(data) > BYTES:
                 yield from cut()
-                some, whole, held = [], {}, 0
+                whole, held = {}, 0
             if self._whole(text or ""):
                 whole[len(some)], data = text, b""
             some.append(data)
-            held += len(data)
+            held += len(data) + 1
         if some:
             yield from cut()
 
