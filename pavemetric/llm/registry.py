@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ball_tree, chat, exact_dedup, line_dedup, media, mixing, ngram_join, packing, quality, rans, sharding, warc
+from . import alignment, ball_tree, chat, exact_dedup, line_dedup, media, mixing, ngram_join, packing, quality, rans, sharding, warc
 from .common import saved
 
 #: What both turns of conversation -7 say.
@@ -69,6 +69,10 @@ def op10_poisson_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "source", "copy", "copies", "shuffle_key")
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.aligned(table(spark, folder, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
 def op12_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     hostile = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL_TEXT).alias("text"))
@@ -81,7 +85,7 @@ def op13_centroid_clustering(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op2_sharding, op3_warc, op4_media_columns, op5_ngram_jaccard_join, op6_quality_classifier, op7_exact_dedup, op8_token_files, op9_line_dedup, op10_poisson_mix, op12_chat_formatting, op13_centroid_clustering)
+    for f in (op1_best_fit_packing, op2_sharding, op3_warc, op4_media_columns, op5_ngram_jaccard_join, op6_quality_classifier, op7_exact_dedup, op8_token_files, op9_line_dedup, op10_poisson_mix, op11_cross_tokenizer_alignment, op12_chat_formatting, op13_centroid_clustering)
 }
 
 OP3 = """
