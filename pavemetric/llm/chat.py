@@ -61,9 +61,9 @@ def _keyed(df: DataFrame, **columns: str) -> DataFrame:
 def lifts(messages: DataFrame) -> tuple[list[DataFrame], DataFrame, list[str]]:
     """What self-joins of messages find, joining ways of length 1, 2, 4 ... with themselves until none goes further.
 
-    Tables k: (conv_id, msg_id, up, total): the ancestor 2**k replies above, null beyond the root, and the sum of the scores of the
-    2**k messages from msg_id (fewer at the root). Then (conv_id, msg_id, depth, total) of messages whose replies lead to a root:
-    messages on the path, and the sum of their scores. Last the places of the written tables.
+    Tables k: (conv_id, msg_id, up, total, depth) of messages with 2**(k-1) above them or more (0: all): the ancestor 2**k replies
+    above, null beyond the root; the sum of the scores of the 2**k messages from msg_id, fewer at the root, and how many these are.
+    Then (conv_id, msg_id, depth, total) of messages whose replies lead to a root, over the whole way. Last the tables' places.
     """
     known = _keyed(messages)
     # a parent that isn't there, or the message itself, makes a root
@@ -71,16 +71,18 @@ def lifts(messages: DataFrame) -> tuple[list[DataFrame], DataFrame, list[str]]:
     now = now.join(known, _same(now, known, "up"), "left").select(*KEY, F.col("k_msg").alias("up"), "total", F.lit(1).cast("long").alias("depth"))
     # without circles no way is longer than the largest conversation has messages
     longest = messages.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
-    tables, places, size = [], [], 1
+    tables, places, ended, size = [], [], None, 1
     while True:
         now, at = saved_at(now, "reply-lift")
         tables.append(now)
         places.append(at)
-        if size > longest or now.where("up is not null").isEmpty():
-            return tables, now.where("up is null").select(*KEY, "depth", "total"), places
+        done, now = now.where("up is null"), now.where("up is not null")
+        ended = done if ended is None else ended.unionByName(done)
+        if size > longest or now.isEmpty():
+            return tables, ended.select(*KEY, "depth", "total"), places
         size *= 2
-        next_ = now.select(F.col("conv_id").alias("k_conv"), F.col("msg_id").alias("k_msg"), F.col("up").alias("k_up"), F.col("total").alias("k_total"), F.col("depth").alias("k_depth"))
-        joined = now.join(next_, _same(now, next_, "up"), "left")
+        above = _keyed(now.unionByName(ended), k_up="up", k_total="total", k_depth="depth")
+        joined = now.join(above, _same(now, above, "up"), "left")
         more = lambda a, b: (F.col(a) + F.coalesce(F.col(b), F.lit(0))).alias(a)
         now = joined.select(*KEY, F.col("k_up").alias("up"), more("total", "k_total"), more("depth", "k_depth"))
 
