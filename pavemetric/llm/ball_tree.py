@@ -184,7 +184,8 @@ def moved(trees: DataFrame, centroids: np.ndarray) -> np.ndarray:
                 count += n
                 total += s
         at = np.flatnonzero(count)
-        yield pd.DataFrame({"cluster": at.astype(np.int32), "n": count[at], "total": list(total[at])})
+        if len(at):
+            yield pd.DataFrame({"cluster": at.astype(np.int32), "n": count[at], "total": list(total[at])})
 
     parts = trees.mapInPandas(run, "cluster int, n long, total array<long>")
     # longer than a long, as many partitions' sums may be
