@@ -13,13 +13,21 @@ from .arith import idiv
 AREA_ZOOM, INDEX_ZOOM = 11, 18
 
 
+#: Longitudes beyond this have no tile, so that no cast overflows; a little beyond 180 is left to callers.
+MAX_LON = 1_000.0
+#: Where the square of the Web-Mercator map ends.
+MAX_LAT = math.degrees(math.atan(math.sinh(math.pi)))
+
+
 def tile_x(lon: Column, zoom: int) -> Column:
-    return F.floor((lon + 180.0) / 360.0 * float(1 << zoom)).cast("int")
+    """Null for a longitude that is null, not finite, or beyond MAX_LON."""
+    return F.when(lon.between(-MAX_LON, MAX_LON), F.floor((lon + 180.0) / 360.0 * float(1 << zoom)).cast("int"))
 
 
 def tile_y(lat: Column, zoom: int) -> Column:
+    """Null for a latitude that is null, not finite, or of no place."""
     phi = F.radians(lat)
-    return F.floor((1.0 - F.log(F.tan(phi) + 1.0 / F.cos(phi)) / math.pi) / 2.0 * float(1 << zoom)).cast("int")
+    return F.when(lat.between(-90.0, 90.0), F.floor((1.0 - F.log(F.tan(phi) + 1.0 / F.cos(phi)) / math.pi) / 2.0 * float(1 << zoom)).cast("int"))
 
 
 def tile_range(x0: Column, y0: Column, x1: Column, y1: Column, zoom: int, grow: int = 0) -> Column:
@@ -56,3 +64,15 @@ def rezoom(x: Column, y: Column, z: int, to: int, mode: str = "fixed") -> Column
         parts = F.sequence(F.lit(0), F.lit(scale - 1))
         return F.flatten(F.transform(parts, lambda i: F.transform(parts, lambda j: F.struct((x * scale + i).cast("int").alias("x"), (y * scale + j).cast("int").alias("y")))))
     return F.array(F.struct(idiv(x, scale).cast("int").alias("x"), idiv(y, scale).cast("int").alias("y")))
+
+
+def morton(x: Column, y: Column) -> Column:
+    """The bits of two tile numbers in turn, so that tiles near each other have numbers near each other."""
+
+    def spread(c: Column) -> Column:
+        c = c.cast("long")
+        for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+            c = c.bitwiseOR(F.shiftleft(c, shift)).bitwiseAND(F.lit(mask))
+        return c
+
+    return spread(x).bitwiseOR(F.shiftleft(spread(y), 1))

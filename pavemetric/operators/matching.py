@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -19,9 +21,33 @@ MAX_GAP_MS = {"fixed": 200_000, "legacy": 200_000_000}
 MAX_PAIR_TILES = 256
 
 
+def fault(vehicle: Column, time: Column, lon: Column, lat: Column) -> Column:
+    """Why a fix can't be used, or null: no vehicle, no time, no place (null or not finite), or one off the map.
+
+    The map is the square of Web-Mercator tiles: longitudes from -180 to under 180, latitudes up to 85.05 either way.
+    """
+    nowhere = lambda c: c.isNull() | F.isnan(c) | c.isin(math.inf, -math.inf)
+    off = ~(lon >= -180.0) | ~(lon < 180.0) | ~(F.abs(lat) < tiles.MAX_LAT)
+    return F.when(vehicle.isNull(), "no vehicle").when(time.isNull(), "no time").when(nowhere(lon) | nowhere(lat), "no place").when(off, "off the map")
+
+
+def _fault() -> Column:
+    return fault(*(F.col(c) for c in ("vehicle_id", "time_ms", "lon", "lat")))
+
+
+def valid_fixes(fixes: DataFrame) -> DataFrame:
+    """fixes without those that have a fault: each is lost alone, and no other fix with it."""
+    return fixes.where(_fault().isNull())
+
+
+def fix_faults(fixes: DataFrame) -> DataFrame:
+    """fault and fixes: how many fixes have which fault; null counts those without."""
+    return fixes.groupBy(_fault().alias("fault")).agg(F.count("*").alias("fixes"))
+
+
 def normalised(fixes: DataFrame) -> DataFrame:
-    """Times in milliseconds; convert_to_local defaults to true."""
-    return fixes.withColumn("time_ms", to_ms(F.col("time_ms"))).withColumn("convert_to_local", F.coalesce("convert_to_local", F.lit(True)))
+    """Valid fixes with times in milliseconds; convert_to_local defaults to true."""
+    return valid_fixes(fixes).withColumn("time_ms", to_ms(F.col("time_ms"))).withColumn("convert_to_local", F.coalesce("convert_to_local", F.lit(True)))
 
 
 def local(fixes: DataFrame, areas: DataFrame) -> DataFrame:
@@ -153,7 +179,11 @@ def speed_samples(fixes: DataFrame, areas: DataFrame, segments: DataFrame, lines
 
 
 def tile_vehicles(fixes: DataFrame, mode: str = "fixed") -> DataFrame:
-    """x, y, vehicles: distinct vehicles of each area tile. legacy counts a vehicle where it first was and where it left."""
+    """x, y, vehicles: distinct vehicles of each area tile. legacy counts a vehicle where it first was and where it left.
+
+    Fixes without a place on the map count nowhere.
+    """
+    fixes = fixes.where(fault(F.col("vehicle_id"), F.lit(0), F.col("lon"), F.col("lat")).isNull())
     placed = fixes.select("vehicle_id", "seq", tiles.tile_x(F.col("lon"), tiles.AREA_ZOOM).alias("x"), tiles.tile_y(F.col("lat"), tiles.AREA_ZOOM).alias("y"))
     if mode == "legacy":
         w = Window.partitionBy("vehicle_id").orderBy("seq")
@@ -186,8 +216,8 @@ def in_busy_tiles(fixes: DataFrame, min_vehicles: int = MIN_VEHICLES) -> DataFra
 
 
 def last_points(fixes: DataFrame) -> DataFrame:
-    """Last fix of each vehicle with its area tile."""
-    last = fixes.groupBy("vehicle_id").agg(F.max_by(F.struct("time_ms", "lon", "lat"), "seq").alias("p"))
+    """Last valid fix of each vehicle with its area tile."""
+    last = valid_fixes(fixes).groupBy("vehicle_id").agg(F.max_by(F.struct("time_ms", "lon", "lat"), "seq").alias("p"))
     return last.select("vehicle_id", "p.*", tiles.tile_x(F.col("p.lon"), tiles.AREA_ZOOM).alias("x"), tiles.tile_y(F.col("p.lat"), tiles.AREA_ZOOM).alias("y"))
 
 

@@ -17,6 +17,7 @@ MIN_SEGMENT, MARGIN, RADIUS = 60.0, 20.0, 10.0
 # Road classes by their number; any other value of the highway tag is 5, none is 0.
 ROAD_TYPES = {1: ["motorway", "trunk", "primary", "primary_link", "motorway_link", "unclassified"], 2: ["secondary"], 3: ["tertiary"], 4: ["residential"]}
 TRUE_TAGS = ["yes", "true", "1"]
+SEGMENT_KEY = ["way_id", "start_node_id", "end_node_id"]
 #: Ways of a cell when segments are numbered; edges of a jumper at most: any number.
 CELL_WAYS, MAX_EDGES = 256, math.inf
 
@@ -65,43 +66,51 @@ def intersections(ways: DataFrame) -> DataFrame:
     return ways.where(is_traffic(tag("highway"))).select(F.explode("nodes").alias("node_id")).groupBy("node_id").agg(F.count("*").alias("uses")).where("uses >= 2")
 
 
-def _ways_with_nodes(nodes: DataFrame, ways: DataFrame) -> DataFrame:
-    """way_id, street_type, oneway, p: the places (pos, node_id, lon, lat, crossing) of traffic ways whose nodes are all known.
+def _placed(streets: DataFrame, nodes: DataFrame, crossings: DataFrame | None = None) -> DataFrame:
+    """way_id, street_type, oneway, p: the places (pos, node_id, lon, lat, crossing) of streets whose nodes are all known.
 
-    Two shuffles: places meet their nodes and are counted by node, then gathered by way.
+    Two shuffles: places meet their nodes and are counted by node, then gathered by way. crossings (node_id) says which nodes are,
+    if streets aren't all that there are.
     """
-    places = traffic_ways(ways).select("way_id", "street_type", "oneway", F.posexplode("nodes").alias("pos", "node_id"))
-    placed = places.join(nodes.select("node_id", "lon", "lat"), "node_id", "left").withColumn("crossing", F.count(F.lit(1)).over(Window.partitionBy("node_id")) >= 2)
+    places = streets.select("way_id", "street_type", "oneway", F.posexplode("nodes").alias("pos", "node_id")).join(nodes.select("node_id", "lon", "lat"), "node_id", "left")
+    if crossings is None:
+        placed = places.withColumn("crossing", F.count(F.lit(1)).over(Window.partitionBy("node_id")) >= 2)
+    else:
+        placed = places.join(crossings.select("node_id", F.lit(True).alias("crossing")), "node_id", "left").withColumn("crossing", F.coalesce("crossing", F.lit(False)))
     gathered = placed.groupBy("way_id").agg(F.first("street_type").alias("street_type"), F.first("oneway").alias("oneway"), F.array_sort(F.collect_list(F.struct("pos", "node_id", "lon", "lat", "crossing"))).alias("p"))
     return gathered.where(~F.exists("p", lambda c: c["lon"].isNull()))
 
 
 def way_lines(nodes: DataFrame, ways: DataFrame) -> DataFrame:
     """way_id, pos, node_id, lon, lat of traffic ways all of whose nodes are known."""
-    return _ways_with_nodes(nodes, ways).select("way_id", F.inline("p")).drop("crossing")
+    return _placed(traffic_ways(ways), nodes).select("way_id", F.inline("p")).drop("crossing")
 
 
-def street_segments(nodes: DataFrame, ways: DataFrame, first_id: int = FIRST_ID) -> DataFrame:
-    """Directed pieces of the ways between intersections, a reverse one for each of a two-way street.
+def pieces(streets: DataFrame, nodes: DataFrame, crossings: DataFrame | None = None) -> DataFrame:
+    """Directed pieces of streets (way_id, nodes, street_type, oneway) between crossings, a reverse one for each of a two-way street.
 
-    id (from first_id), way_id, start_node_id, end_node_id, length, oneway, street_type, coords. Pieces with the same way
-    and end nodes are one, the first along the way, forward before reverse.
+    way_id, start_node_id, end_node_id, length, oneway, street_type, coords. Pieces with the same way and end nodes are one, the
+    first along the way, forward before reverse. crossings as in _placed.
     """
-    lines = _ways_with_nodes(nodes, ways)
+    lines = _placed(streets, nodes, crossings)
     n = F.size("p")
     cuts = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (i == n) | F.element_at("p", i)["crossing"])
     lines = lines.where(n >= 2).withColumn("cuts", cuts)
     # the node at a cut ends one piece and starts the next
     piece = F.transform(F.sequence(F.lit(1), F.size("cuts") - 1), lambda k: F.slice("p", F.element_at("cuts", k), F.element_at("cuts", k + 1) - F.element_at("cuts", k) + 1))
-    pieces = lines.select("way_id", "street_type", "oneway", F.posexplode(piece).alias("piece", "p"))
-    pieces = pieces.withColumn("length", geo.line_length(F.col("p"))).withColumn("reverse", F.explode(F.when(F.col("oneway"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
-    pieces = pieces.withColumn("p", F.when(F.col("reverse") == 1, F.reverse("p")).otherwise(F.col("p")))
+    cut = lines.select("way_id", "street_type", "oneway", F.posexplode(piece).alias("piece", "p"))
+    cut = cut.withColumn("length", geo.line_length(F.col("p"))).withColumn("reverse", F.explode(F.when(F.col("oneway"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
+    cut = cut.withColumn("p", F.when(F.col("reverse") == 1, F.reverse("p")).otherwise(F.col("p")))
     coords = F.transform("p", lambda c: F.struct(c["lon"].alias("lon"), c["lat"].alias("lat")))
-    key = ["way_id", "start_node_id", "end_node_id"]
-    directed = pieces.select("way_id", "piece", "reverse", F.element_at("p", 1)["node_id"].alias("start_node_id"), F.element_at("p", -1)["node_id"].alias("end_node_id"), "length", "oneway", "street_type", coords.alias("coords"))
-    unique = directed.withColumn("n", F.row_number().over(Window.partitionBy(*key).orderBy("reverse", "piece"))).where("n = 1")
-    unique = with_ids(unique, key, F.floor(F.col("way_id") / CELL_WAYS), first=first_id)
-    return unique.select("id", *key, "length", "oneway", "street_type", "coords")
+    directed = cut.select("way_id", "piece", "reverse", F.element_at("p", 1)["node_id"].alias("start_node_id"), F.element_at("p", -1)["node_id"].alias("end_node_id"), "length", "oneway", "street_type", coords.alias("coords"))
+    unique = directed.withColumn("n", F.row_number().over(Window.partitionBy(*SEGMENT_KEY).orderBy("reverse", "piece"))).where("n = 1")
+    return unique.select(*SEGMENT_KEY, "length", "oneway", "street_type", "coords")
+
+
+def street_segments(nodes: DataFrame, ways: DataFrame, first_id: int = FIRST_ID) -> DataFrame:
+    """The pieces of the traffic ways of a map, numbered from first_id in the order of way and end nodes."""
+    numbered = with_ids(pieces(traffic_ways(ways), nodes), SEGMENT_KEY, F.floor(F.col("way_id") / CELL_WAYS), first=first_id)
+    return numbered.select("id", *SEGMENT_KEY, "length", "oneway", "street_type", "coords")
 
 
 def triplines(segments: DataFrame) -> DataFrame:
@@ -118,25 +127,23 @@ def triplines(segments: DataFrame) -> DataFrame:
 def jumpers(segments: DataFrame, max_edges: float = MAX_EDGES) -> DataFrame:
     """Simple paths over segments up to MIN_SEGMENT: the shortest per pair of nodes, in travel order.
 
-    Each round joins the paths that the last one found with the short edges, and goes on only with those that are new or
-    come before the path known for their nodes (a shortest path has shortest beginnings); it ends when there are none,
-    or with max_edges.
+    Round k knows the shortest paths of up to 2**k edges. A longer one begins with one of exactly 2**k, as a shortest path has
+    shortest beginnings and ends, so the next round joins only these with all; it is the last if there are none. Each pair of
+    nodes that reach each other over short segments has a row, so a cluster of n such nodes has up to n * (n - 1).
     """
     edges = segments.where(F.col("length") <= MIN_SEGMENT).select("start_node_id", "end_node_id", "length", "id")
     paths = edges.select("start_node_id", "end_node_id", "length", F.array("id").alias("segments"), F.array("start_node_id", "end_node_id").alias("seen")).where("start_node_id <> end_node_id")
-    paths = newest = settled(_shortest(paths))
-    step = edges.select(F.col("start_node_id").alias("end_node_id"), F.col("end_node_id").alias("to"), F.col("length").alias("more"), F.col("id").alias("next"))
-    ends, size = ["start_node_id", "end_node_id"], 1
-    while size < max_edges and not newest.isEmpty():
-        longer = newest.join(step, "end_node_id").where(~F.array_contains("seen", F.col("to"))).select("start_node_id", F.col("to").alias("end_node_id"), (F.col("length") + F.col("more")).alias("length"), F.concat("segments", F.array("next")).alias("segments"), F.concat("seen", F.array("to")).alias("seen"))
-        known = paths.select(*ends, _rank().alias("known"))
-        newest = settled(_shortest(longer).join(known, ends, "left").where(F.col("known").isNull() | (_rank() < F.col("known"))).drop("known"))
-        paths, size = settled(_shortest(paths.unionByName(newest))), size + 1
-    return paths.select(*ends, "length", "segments")
-
-
-def _rank() -> Column:
-    return F.struct(F.round("length", 6).alias("r"), "segments")
+    paths, size = settled(_shortest(paths)), 1
+    while size < max_edges:
+        full = paths.where(F.size("segments") == size)
+        if full.isEmpty():
+            break
+        rest = paths.select(F.col("start_node_id").alias("end_node_id"), F.col("end_node_id").alias("to"), F.col("length").alias("more"), F.col("segments").alias("next"), F.col("seen").alias("ahead"))
+        # both ways hold the node where they meet, and nothing else in common
+        met = full.join(rest, "end_node_id").where((F.size("next") + size <= max_edges) & (F.size(F.array_intersect("seen", "ahead")) == 1))
+        longer = met.select("start_node_id", F.col("to").alias("end_node_id"), (F.col("length") + F.col("more")).alias("length"), F.concat("segments", "next").alias("segments"), F.array_union("seen", "ahead").alias("seen"))
+        paths, size = settled(_shortest(paths.unionByName(longer))), 2 * size
+    return paths.select("start_node_id", "end_node_id", "length", "segments")
 
 
 def _shortest(paths: DataFrame) -> DataFrame:

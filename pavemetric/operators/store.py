@@ -7,11 +7,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import tiles
-from ..sources import exchange
-from . import hist, matching, network, tables
-
-TRACE = "id long, start_node_id long, end_node_id long, coords array<struct<lon:double,lat:double>>"
+from ..sources import exchange, message_files
+from . import hist, matching, tables
+from .hist_store import BUCKETS, HistStore
+from .map_store import BOXED, MapStore
+from .tile_store import CELL_ZOOM, Envelope, TileStore
+from .versions import Versions
+
+TRACE = f"id long, start_node_id long, end_node_id long, coords array<struct<lon:double,lat:double>>, {BOXED}"
 #: Street types of type statistics, from no street to any other.
 STREET_TYPES = 6
 
@@ -24,127 +27,87 @@ class Settings:
     mode: str = "fixed"
     min_vehicles: int = matching.MIN_VEHICLES
     commit_id: int = 0
+    cell_zoom: int = CELL_ZOOM
+    buckets: int = BUCKETS
 
 
 class SpeedStore:
     """From map and fixes to stored histograms, and what is read from them.
 
-    Every table is Parquet under the folder. Histograms are kept by load, so a load that is repeated replaces its own and
-    readers add loads up.
+    The map, the histograms and the off-map traces are tables in versions of their own under the folder: a load is seen as a whole
+    or not at all, and one that is stopped leaves what was there.
     """
 
     def __init__(self, spark: SparkSession, settings: Settings):
         self.spark, self.settings = spark, settings
+        self.map = MapStore(spark, self.path("map"), settings.cell_zoom)
+        self.hist = HistStore(spark, self.path("histograms"), settings.buckets)
+        self.traces = TileStore(Versions(spark, self.path("off_map_traces")), settings.cell_zoom)
 
     def path(self, name: str) -> str:
         return f"{self.settings.folder.rstrip('/')}/{name}"
 
-    def has(self, name: str) -> bool:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
-
-    def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(name))
-
-    def load_map(self, nodes: DataFrame, ways: DataFrame) -> None:
-        """Adds the segments of a map that are not stored yet, with ids after the stored ones, and builds lines and jumpers."""
-        known = self.read("segments") if self.has("segments") else None
-        fresh = network.street_segments(nodes, ways)
-        if known is not None:
-            fresh = fresh.join(known.select("way_id", "start_node_id", "end_node_id"), ["way_id", "start_node_id", "end_node_id"], "left_anti")
-        keys = ["way_id", "start_node_id", "end_node_id"]
-        fresh = tables.with_ids(tables.valid_lines(fresh.drop("id")), keys, F.floor(F.col("way_id") / network.CELL_WAYS), first=tables.next_id(known))
-        columns = ["id", *keys, "length", "oneway", "street_type", "coords"]
-        net = network.Network(fresh.select(*columns) if known is None else known.select(*columns).unionByName(fresh.select(*columns)))
-        for name, df in (("segments", net.segments), ("triplines", net.triplines), ("jumpers", net.jumpers)):
-            df.write.mode("overwrite").parquet(self.path(name))
-        ends = net.segments.select("id", *[F.element_at("coords", i)[c].alias(f"{c}{k}") for k, i in ((0, 1), (1, -1)) for c in ("lon", "lat")])
-        tables.item_tiles(ends, "lon0", "lat0", "lon1", "lat1").select("tile_x", "tile_y", "id").write.mode("overwrite").parquet(self.path("segment_tiles"))
+    def load_map(self, nodes: DataFrame, ways: DataFrame) -> bool:
+        """Adds an extract to the map (see MapStore.load)."""
+        return self.map.load(nodes, ways)
 
     def load_fixes(self, fixes: DataFrame, areas: DataFrame, load: str) -> None:
-        """Adds the histogram of the samples of fixes under the name of a load."""
+        """Adds the histogram of the samples of fixes under the name of a load, in place of what it gave before."""
         s = self.settings
-        found = matching.speed_samples(fixes, areas, self.read("segments"), self.read("triplines"), self.read("jumpers"), s.mode, s.min_vehicles)
-        hist.histogram(found).write.mode("overwrite").parquet(self.path(f"histograms/load={load}"))
+        found = matching.speed_samples(fixes, areas, self.map.every("segments"), self.map.every("triplines"), self.map.every("jumpers"), s.mode, s.min_vehicles)
+        self.hist.load(hist.histogram(found), load)
 
     def histograms(self) -> DataFrame:
-        return hist.merge(self.read("histograms"))
+        return self.hist.histograms()
 
-    def segments_in(self, envelope: tuple[float, float, float, float]) -> DataFrame:
+    def segments_in(self, envelope: Envelope) -> DataFrame:
         """Segments with an index tile among those of (min_lon, min_lat, max_lon, max_lat), which are one more on every side."""
-        rows = self.spark.range(1).select(*[F.lit(v).alias(c) for c, v in zip(("min_lon", "min_lat", "max_lon", "max_lat"), envelope, strict=True)])
-        wanted = tables.item_tiles(rows, "min_lon", "min_lat", "max_lon", "max_lat", grow=1).select("tile_x", "tile_y")
-        ids = self.read("segment_tiles").join(wanted, ["tile_x", "tile_y"], "left_semi").select("id").distinct()
-        return self.read("segments").join(ids, "id", "left_semi")
+        return self.map.within("segments", envelope)
 
-    def baseline(self, envelope: tuple[float, float, float, float] | None = None, created_ms: int = 0) -> DataFrame:
+    def baseline(self, envelope: Envelope | None = None, created_ms: int = 0) -> DataFrame:
         """Encoded BaselineTile messages (message) of the segments in an envelope, or of all."""
-        chosen = self.read("segments") if envelope is None else self.segments_in(envelope)
+        chosen = self.map.every("segments") if envelope is None else self.segments_in(envelope)
         return exchange.encoded(exchange.baseline_tiles(self.histograms(), chosen, self.settings.commit_id, created_ms), "BaselineTile")
 
-    def write_statistics(self, path: str, envelope: tuple[float, float, float, float] | None = None, created_ms: int = 0) -> None:
-        """The messages as files of length-delimited bytes: each message after its size as a varint, a file for each task."""
-        folder, encoded = path, self.baseline(envelope, created_ms)
-
-        def run(batches):  # noqa: ANN001, ANN202
-            import uuid
-
-            import pandas as pd
-            from pyarrow import fs
-            from pyspark import TaskContext
-
-            store, place = fs.FileSystem.from_uri(folder) if ":" in folder else (fs.LocalFileSystem(), folder)
-            messages = [bytes(m) for batch in batches for m in batch["message"]]
-            if messages:
-                store.create_dir(place, recursive=True)
-                name = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.pb"
-                with store.open_output_stream(f"{place}/{name}") as out:
-                    for m in messages:
-                        out.write(exchange.varint_of(len(m)) + m)
-                yield pd.DataFrame({"file": [name], "messages": [len(messages)]})
-
-        # only files of attempts that succeeded are listed
-        encoded.mapInPandas(run, "file string, messages long").coalesce(1).write.mode("overwrite").json(f"{path}/_list")
+    def write_statistics(self, path: str, envelope: Envelope | None = None, created_ms: int = 0) -> None:
+        """The messages as files, one for each task that has any (see message_files)."""
+        message_files.write(self.baseline(envelope, created_ms), path)
 
     def read_statistics(self, path: str) -> DataFrame:
-        """The fields of the messages in the listed files."""
-        files = [r["file"] for r in self.spark.read.schema("file string, messages long").json(f"{path}/_list").select("file").collect()]
-        if not files:
-            return exchange.decoded(self.spark.createDataFrame([], "message binary"), "BaselineTile")
-        data = self.spark.read.format("binaryFile").load([f"{path}/{f}" for f in files]).select("content")
-
-        def cut(batches):  # noqa: ANN001, ANN202
-            import pandas as pd
-
-            for batch in batches:
-                yield pd.DataFrame({"message": [m for raw in batch["content"] for m in exchange.delimited(bytes(raw))]})
-
-        return exchange.decoded(data.mapInPandas(cut, "message binary"), "BaselineTile")
+        """The fields of the messages of such files."""
+        return exchange.decoded(message_files.read(self.spark, path), "BaselineTile")
 
     def save_off_map_traces(self, traces: DataFrame) -> None:
-        """Appends traces (start_node_id, end_node_id, coords), numbered after the stored ones."""
-        first = tables.next_id(self.read("off_map_traces") if self.has("off_map_traces") else None)
-        numbered = tables.with_ids(tables.valid_lines(traces.select("start_node_id", "end_node_id", "coords")), ["start_node_id", "end_node_id"], F.floor(F.coalesce("start_node_id", F.lit(0)) / 1024), first=first)
-        numbered.select("id", "start_node_id", "end_node_id", "coords").write.mode("append").parquet(self.path("off_map_traces"))
-
-    def off_map_traces(self, envelope: tuple[float, float, float, float] | None = None) -> DataFrame:
-        found = self.read("off_map_traces") if self.has("off_map_traces") else self.spark.createDataFrame([], TRACE)
-        if envelope is None:
-            return found
-        lons, lats = F.transform("coords", lambda c: c["lon"]), F.transform("coords", lambda c: c["lat"])
-        x0, y0, x1, y1 = map(F.lit, envelope)
-        touches = (tiles.tile_x(F.array_min(lons), tiles.INDEX_ZOOM) <= tiles.tile_x(x1, tiles.INDEX_ZOOM) + 1) & (tiles.tile_x(F.array_max(lons), tiles.INDEX_ZOOM) >= tiles.tile_x(x0, tiles.INDEX_ZOOM) - 1)
-        touches = touches & (tiles.tile_y(F.array_max(lats), tiles.INDEX_ZOOM) <= tiles.tile_y(y0, tiles.INDEX_ZOOM) + 1) & (tiles.tile_y(F.array_min(lats), tiles.INDEX_ZOOM) >= tiles.tile_y(y1, tiles.INDEX_ZOOM) - 1)
-        return found.where(touches)
+        """Adds traces (start_node_id, end_node_id, coords), numbered after the stored ones."""
+        v = self.traces.versions.latest()
+        self.traces.declare(v, "traces", TRACE)
+        plain = tables.valid_lines(traces.select("start_node_id", "end_node_id", "coords"))
+        first = v.facts.get("next_id", tables.FIRST_ID)
+        numbered = tables.settled(tables.with_ids(plain, ["start_node_id", "end_node_id"], F.floor(F.coalesce("start_node_id", F.lit(0)) / 1024), first=first))
+        v.facts["next_id"] = first + numbered.count()
+        all_ = lambda c: F.transform("coords", lambda p: p[c])
+        box = {f"{c}{k}": f(all_(n)) for c, n in (("x", "lon"), ("y", "lat")) for k, f in ((0, F.array_min), (1, F.array_max))}
+        self.traces.replace(v, "traces", tables.settled(self.traces.laid_out(numbered.select("id", "start_node_id", "end_node_id", "coords").withColumns(box))))
+        self.traces.versions.commit(v)
+
+    def off_map_traces(self, envelope: Envelope | None = None) -> DataFrame:
+        """Traces near an envelope (see TileStore.in_envelope), or all."""
+        v = self.traces.versions.latest()
+        self.traces.declare(v, "traces", TRACE)
+        found = self.traces.every(v, "traces") if envelope is None else self.traces.in_envelope(v, "traces", envelope)
+        return found.drop("x0", "y0", "x1", "y1")
 
     def table_statistics(self) -> DataFrame:
-        """name, files, bytes and rows of the stored tables, for a log."""
+        """name, files, bytes and rows of the parts that the last versions name, for a log. Items count in each of their coarse tiles."""
         rows = []
-        for name in ("segments", "triplines", "jumpers", "segment_tiles", "histograms", "off_map_traces"):
-            if self.has(name):
-                p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
-                size = p.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(p)
-                rows.append((name, size.getFileCount(), size.getLength(), self.read(name).count()))
+        for versions, v in ((self.map.versions, self.map.latest()), (self.hist.versions, self.hist.latest()), (self.traces.versions, self.traces.versions.latest())):
+            for name, parts in v.parts.items():
+                files = size = 0
+                for folder in (f for fs in parts.values() for f in fs):
+                    p = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+                    found = p.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(p)
+                    files, size = files + found.getFileCount(), size + found.getLength()
+                rows.append((name, files, size, versions.read(v, name).count()))
         return self.spark.createDataFrame(rows, "name string, files long, bytes long, rows long")
 
 

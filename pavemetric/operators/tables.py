@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -14,14 +16,30 @@ FIRST_ID = 1_000_000_000
 LOCAL_CHECKPOINTS = "file:///tmp/checkpoints"
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the checkpoint folder, so that what is built on it starts there."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        if not spark.sparkContext.master.startswith("local"):
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         spark.conf.set("spark.checkpoint.dir", LOCAL_CHECKPOINTS)
         spark.sparkContext.setCheckpointDir(LOCAL_CHECKPOINTS)
+        folder = LOCAL_CHECKPOINTS
+    return folder.rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The name of a folder in the shared one that nobody else has."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once and kept in the checkpoint folder, so that what is built on it starts there.
+
+    Spark deletes a checkpoint when nothing refers to it any more, if spark.cleaner.referenceTracking.cleanCheckpoints is set.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

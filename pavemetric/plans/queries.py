@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, tiles
 from ..functions import timebins as tb
-from ..operators import areas, compare, hist, matching, network, summary, tables
+from ..operators import areas, compare, hist, hist_store, map_store, matching, network, summary, tables
 from ..sources import adapters as ad
 from ..sources import exchange, export
 from . import sql
@@ -551,6 +551,23 @@ def _(s, d):
     return matching.normalised(mixed).select("vehicle_id", "seq", "time_ms")
 
 
+FAULTS = f"""SELECT fault, count(*) AS fixes FROM (SELECT CASE (vehicle_id + seq) % {len(ad.SPOILED)} WHEN 7 THEN 'no vehicle' WHEN 8 THEN 'no time' WHEN 0 THEN 'no place' WHEN 1 THEN 'no place' WHEN 2 THEN 'no place' WHEN 9 THEN 'no place' ELSE 'off the map' END AS fault FROM gps
+    UNION ALL SELECT NULL FROM gps) GROUP BY 1"""
+
+
+@query("p1_valid_fixes", oracle(FAULTS, "gps"))
+def _(s, d):
+    return matching.fix_faults(ad.gps_fixes_with_faults(s, d))
+
+
+@query("p1_samples_among_faults", oracle("SELECT vehicle_id, segment_id, time_ms, round(speed, 6) AS speed, by_jumper FROM samples", "samples"))
+def _(s, d):
+    """Fixes that can't be used change nothing for the others."""
+    net = grid(s, d)
+    found = matching.speed_samples(ad.gps_fixes_with_faults(s, d), ad.fix_areas(ad.gps_fixes(s, d)), net.segments, net.triplines, net.jumpers)
+    return found.withColumn("speed", F.round("speed", 6)).select("vehicle_id", "segment_id", "time_ms", "speed", "by_jumper")
+
+
 @query("p2_local_time", oracle("SELECT vehicle_id, seq, local_ms AS time_ms FROM gps_local", "gps_local"))
 def _(s, d):
     fixes = ad.gps_fixes(s, d)
@@ -758,6 +775,103 @@ def _(s, d):
     return tables.delete(seg, seg.where("oneway"), ["id"]).select("id")
 
 
+# kept tables: stores are built in new folders of the shared one, and results are read from them
+
+
+_stores: dict[tuple[str, str, str], map_store.MapStore] = {}
+
+
+def kept(s: SparkSession, d: str, name: str, fill: Callable[[map_store.MapStore], None]) -> map_store.MapStore:
+    """A store that the application has filled already, or a new one."""
+    key = (s.sparkContext.applicationId, d, name)
+    if key not in _stores or not _stores[key].latest().parts:
+        _stores[key] = map_store.MapStore(s, tables.new_folder(s, name), tiles.AREA_ZOOM)
+        fill(_stores[key])
+    return _stores[key]
+
+
+def grid_store(s: SparkSession, d: str) -> map_store.MapStore:
+    return kept(s, d, "grid", lambda m: m.load(ad.grid_nodes(s, d), ad.grid_ways(s, d)))
+
+
+def town_store(s: SparkSession, d: str) -> map_store.MapStore:
+    """The towns in three loads: the first lacks half of the nodes, streets of the second cut those of the first, the last brings all."""
+
+    def fill(m: map_store.MapStore) -> None:
+        nodes, ways = tables.settled(ad.town_nodes(s, d)), tables.settled(ad.town_ways(s, d))
+        m.load(nodes.where("node_id % 2 = 0"), ways.where("way_id % 20 in (0, 3, 8, 9)"))
+        m.load(nodes.where("node_id % 3 <> 1"), ways.where("way_id % 20 in (0, 1, 2, 4)"))
+        m.load(nodes, ways)
+
+    return kept(s, d, "town", fill)
+
+
+@query("src8_segments_in_envelopes", oracle("SELECT DISTINCT envelope_id, id, way_id, street_type FROM et JOIN st USING (tile_x, tile_y) JOIN segments USING (id)", "envelopes", "segments", **SP5))
+def _(s, d):
+    return grid_store(s, d).within_each("segments", ad.envelopes(s)).select("envelope_id", "id", "way_id", "street_type")
+
+
+@query("sp14_segments_in_envelope", oracle("SELECT DISTINCT id, way_id, start_node_id, end_node_id, oneway FROM et JOIN st USING (tile_x, tile_y) JOIN segments USING (id) WHERE envelope_id = 3", "envelopes", "segments", **SP5))
+def _(s, d):
+    e = ad.envelopes(s).where("envelope_id = 3").first()
+    return grid_store(s, d).within("segments", (e.min_lon, e.min_lat, e.max_lon, e.max_lat)).select("id", *network.SEGMENT_KEY, "oneway")
+
+
+@query("sp16_stored_triplines", oracle("SELECT DISTINCT envelope_id, id FROM et JOIN st USING (tile_x, tile_y)", "envelopes", "lines", **LT))
+def _(s, d):
+    return grid_store(s, d).within_each("triplines", ad.envelopes(s)).select("envelope_id", "id")
+
+
+@query("src1_map_by_loads", oracle(f"SELECT way_id, start_node_id, end_node_id, round(length, 4) AS length, oneway, street_type, {MICRO} AS places FROM t_segments", "t_segments"))
+def _(s, d):
+    return town_store(s, d).every("segments").withColumn("length", F.round("length", 4)).withColumn("places", micro("coords")).drop("coords", "id")
+
+
+@query("o4_lines_by_loads", oracle("SELECT way_id, start_node_id, end_node_id, tripline_index, round(dist, 4) AS dist, round(x0, 7) AS x0, round(y0, 7) AS y0, round(x1, 7) AS x1, round(y1, 7) AS y1 FROM t_lines JOIN t_segments s ON s.id = segment_id", "t_lines"))
+def _(s, d):
+    m = town_store(s, d)
+    lines = m.every("triplines").drop("id").join(m.every("segments").select(F.col("id").alias("segment_id"), *network.SEGMENT_KEY), "segment_id")
+    return lines.select(*network.SEGMENT_KEY, "tripline_index", F.round("dist", 4).alias("dist"), *[F.round(c, 7).alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
+#: A jumper's segments by their keys, as ids depend on the order of loads.
+STEPS = "SELECT j.start_node_id, j.end_node_id, round(j.length, 4) AS length, place, s.way_id, s.start_node_id AS step_from, s.end_node_id AS step_to FROM (SELECT *, unnest(segments) AS segment_id, CAST(generate_subscripts(segments, 1) - 1 AS INT) AS place FROM t_jumpers) j JOIN t_segments s ON s.id = j.segment_id"
+
+
+@query("o14_jumpers_by_loads", oracle(STEPS, "t_jumpers"))
+def _(s, d):
+    m = town_store(s, d)
+    steps = m.every("jumpers").select("start_node_id", "end_node_id", F.round("length", 4).alias("length"), F.posexplode("segments").alias("place", "id"))
+    return steps.join(m.every("segments").select("id", "way_id", F.col("start_node_id").alias("step_from"), F.col("end_node_id").alias("step_to")), "id").drop("id")
+
+
+def kept_histograms(s: SparkSession, d: str) -> hist_store.HistStore:
+    """Samples of events in three loads, one of which comes again with other samples, another twice; then a micro-batch, twice."""
+    h = hist_store.HistStore(s, tables.new_folder(s, "histograms"), 8)
+    e = tables.settled(ev(s, d))
+    part = lambda k: hist.histogram(e.where(f"time_ms % 4 = {k}"))
+    h.load(hist.histogram(e), "a")
+    h.load(part(1), "b")
+    h.load(part(0), "a")
+    h.load(part(2), "c")
+    h.load(part(1), "b")
+    h.add_batch(part(3), "stream", 0)
+    h.add_batch(part(3), "stream", 0)
+    return h
+
+
+@query("src11_histograms_by_loads", oracle("SELECT * FROM hist", "hist"))
+def _(s, d):
+    return kept_histograms(s, d).histograms()
+
+
+@query("h6_cumulative_by_loads", oracle("SELECT segment_id, hour, speed_bin, CAST(sum(n) AS BIGINT) AS n FROM hist GROUP BY ALL", "hist"))
+def _(s, d):
+    h = kept_histograms(s, d)
+    h.compact()
+    return h.cumulative()
+
+
 # exchange and export
 
 AVERAGE = f"{sql.MEAN} * {sql.d(3.6)}"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -95,6 +97,20 @@ def gps_fixes(spark: SparkSession, folder: str) -> DataFrame:
     return k.select(F.col("k").alias("seq"), time.alias("time_ms"), F.col("user_id").alias("vehicle_id"), (F.col("x") / 100000.0).alias("lon"), lat.alias("lat"), F.lit(True).alias("convert_to_local"))
 
 
+#: What is put in place of a field in spoiled fixes, in turn.
+SPOILED = [("lon", None), ("lat", math.nan), ("lon", math.inf), ("lat", 90.0), ("lat", -91.0), ("lon", 1e9), ("lon", 180.0), ("vehicle_id", None), ("time_ms", None), ("lat", None)]
+
+
+def gps_fixes_with_faults(spark: SparkSession, folder: str) -> DataFrame:
+    """gps_fixes, and between them a copy of each, with half a place in seq after it, that has one of SPOILED's faults."""
+    fixes = gps_fixes(spark, folder)
+    kind = (F.col("vehicle_id") + F.col("seq")) % len(SPOILED)
+    bad = fixes.withColumn("kind", kind)
+    for k, (name, value) in enumerate(SPOILED):
+        bad = bad.withColumn(name, F.when(F.col("kind") == k, F.lit(value).cast(fixes.schema[name].dataType)).otherwise(F.col(name)))
+    return fixes.withColumn("seq", F.col("seq") * 2).unionByName(bad.drop("kind").withColumn("seq", F.col("seq") * 2 + 1))
+
+
 def fix_areas(fixes: DataFrame) -> DataFrame:
     """x, y, zone_offset of the area tiles of fixes."""
     xy = fixes.select(tiles.tile_x(F.col("lon"), tiles.AREA_ZOOM).alias("x"), tiles.tile_y(F.col("lat"), tiles.AREA_ZOOM).alias("y")).distinct()

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from pavemetric.functions import tiles
 from pavemetric.operators import areas, compare, hist, matching, network, summary, tables
 
 CROSSED = "vehicle_id long, seq long, n int, time_ms long, segment_id long, tripline_index int, tripline_id long, dist double"
@@ -254,6 +255,25 @@ def test_geometries_that_are_no_lines(spark):
     assert {r.id: len(r.coords) for r in out} == {1: 2, 2: 0, 3: 0, 4: 0, 5: 0}
 
 
+def test_fixes_that_cannot_be_used_are_lost_alone(spark):
+    net = network.build(*map_tables(spark))
+    t = 1_700_000_000_000
+    good = [(s * 10, t + s * 20_000, 1, x, 0.0) for s, x in enumerate((-0.0001, 0.0003, 0.0012, 0.0021))]
+    nan, inf = float("nan"), float("inf")
+    bad = [(None, 0.0), (0.0, None), (nan, 0.0), (0.0, nan), (inf, 0.0), (0.0, -inf), (0.0, 90.0), (0.0, 91.0), (0.0, -90.0), (1e9, 0.0), (-1e300, 0.0), (180.0, 0.0), (0.0, 85.06)]
+    rows = good + [(k + 1 + 10 * (k % 3), t + k * 1000, 1, x, y) for k, (x, y) in enumerate(bad)] + [(5, None, 1, 0.0, 0.0), (6, t, None, 0.0, 0.0)]
+    make = lambda r: spark.createDataFrame(r, "seq long, time_ms long, vehicle_id long, lon double, lat double").withColumn("convert_to_local", F.lit(False))
+    areas_xy = matching.gated(make(good)).select("x", "y").distinct().withColumn("zone_offset", F.lit(0))
+    samples = lambda r: sorted(map(tuple, matching.speed_samples(make(r), areas_xy, net.segments, net.triplines, net.jumpers, min_vehicles=1).collect()))
+    assert samples(rows) == samples(good) and samples(good)
+    counts = {r.fault: r.fixes for r in matching.fix_faults(make(rows)).collect()}
+    assert counts == {None: 4, "no place": 6, "off the map": 7, "no time": 1, "no vehicle": 1}
+    assert matching.tile_vehicles(make(rows[4:17])).count() == 0
+    # null, not a number, infinite, 1e9 and -1e300; null, not a number, infinite and 91
+    nulls = make(rows).select(tiles.tile_x(F.col("lon"), 11).alias("x"), tiles.tile_y(F.col("lat"), 11).alias("y"))
+    assert nulls.where("x is null").count() == 5 and nulls.where("y is null").count() == 4
+
+
 def test_busy_tiles(spark):
     rows = [(1, 0, v, 0.01, 0.02) for v in range(10)] + [(1, 0, v, 5.0, 5.0) for v in range(9)]
     df = spark.createDataFrame(rows, "seq long, time_ms long, vehicle_id long, lon double, lat double")
