@@ -1,147 +1,21 @@
-"""Structured Streaming: GPS fixes to speed samples and histograms."""
+"""Structured Streaming: GPS fixes to speed samples and histograms."""
 
 from __future__ import annotations
 
-import json
-import math
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import tiles
 from ..functions.arith import idiv
 from ..operators import hist
-from ..operators.matching import MAX_GAP_MS, MAX_SPEED, gated, local, normalised
-from ..operators.network import MIN_SEGMENT, Network
-from ..operators.tables import item_tiles
+from ..operators.hist_store import HistStore
+from ..operators.matching import MAX_SPEED, MIN_VEHICLES, local, normalised
+from ..operators.network import MIN_SEGMENT
+from . import vehicles
+from .lines import write_lines  # noqa: F401
 
 FIXES = "seq long, time_ms long, vehicle_id long, lon double, lat double, convert_to_local boolean"
-STATE = "seq long, time_ms long, lon double, lat double, busy boolean, pending string, end_node long, last_ms long"
-EVENTS = "vehicle_id long, segment_id long, time_ms long, speed double, from_node long, to_node long, from_ms long"
-LINE = ["id", "segment_id", "tripline_index", "dist", "x0", "y0", "x1", "y1", "start_node_id", "end_node_id"]
-
-
-def write_lines(net: Network, path: str) -> None:
-    """Trip lines with their segments' nodes as a table partitioned by area tile, for executors to look up."""
-    nodes = net.segments.select(F.col("id").alias("segment_id"), "start_node_id", "end_node_id")
-    tiled = item_tiles(net.triplines.join(nodes, "segment_id"), "x0", "y0", "x1", "y1", tiles.AREA_ZOOM)
-    tiled.select(*LINE, "tile_x", "tile_y").repartition("tile_x", "tile_y").write.partitionBy("tile_x", "tile_y").mode("overwrite").parquet(path)
-
-
-def _tile(lon: float, lat: float, zoom: int) -> tuple[int, int]:
-    phi = math.radians(lat)
-    return math.floor((lon + 180.0) / 360.0 * (1 << zoom)), math.floor((1.0 - math.log(math.tan(phi) + 1.0 / math.cos(phi)) / math.pi) / 2.0 * (1 << zoom))
-
-
-class LineStore:
-    """Trip lines by area tile, each tile read when it is first touched; the least recently used ones are dropped."""
-
-    def __init__(self, path: str, keep: int = 256):
-        self.path, self.keep = path, keep
-        self.tiles: dict[tuple[int, int], np.ndarray | None] = {}
-
-    def tile(self, x: int, y: int) -> np.ndarray | None:
-        if (x, y) in self.tiles:
-            self.tiles[x, y] = self.tiles.pop((x, y))
-        else:
-            self.tiles[x, y] = self._read(x, y)
-            if len(self.tiles) > self.keep:
-                del self.tiles[next(iter(self.tiles))]
-        return self.tiles[x, y]
-
-    def _read(self, x: int, y: int) -> np.ndarray | None:
-        import pyarrow.dataset as ds
-        from pyarrow import fs
-
-        store, path = fs.FileSystem.from_uri(self.path) if ":" in self.path else (fs.LocalFileSystem(), self.path)
-        folder = f"{path}/tile_x={x}/tile_y={y}"
-        if store.get_file_info(folder).type != fs.FileType.Directory:
-            return None
-        table = ds.dataset(folder, filesystem=store, format="parquet").to_table(columns=LINE).to_pandas()
-        return table[LINE].to_records(index=False)
-
-    def crossings(self, p0: tuple[int, float, float], p1: tuple[int, float, float]) -> list[tuple]:
-        """(time, tile_x, tile_y, line id, line) of the lines that the way from p0 to p1 (time, lon, lat) crosses, in order."""
-        (t0, px0, py0), (t1, px1, py1) = p0, p1
-        west, east, south, north = min(px0, px1), max(px0, px1), min(py0, py1), max(py0, py1)
-        x0, y0 = _tile(west, north, tiles.AREA_ZOOM)
-        x1, y1 = _tile(east, south, tiles.AREA_ZOOM)
-        found: dict[int, tuple] = {}
-        for x in range(x0, x1 + 1):
-            for y in range(y0, y1 + 1):
-                lines = self.tile(x, y)
-                if lines is None:
-                    continue
-                lx0, ly0, lx1, ly1 = lines.x0, lines.y0, lines.x1, lines.y1
-                near = (np.minimum(lx0, lx1) <= east) & (np.maximum(lx0, lx1) >= west) & (np.minimum(ly0, ly1) <= north) & (np.maximum(ly0, ly1) >= south)
-                for line in lines[near]:
-                    rx, ry, sx, sy = px1 - px0, py1 - py0, line.x1 - line.x0, line.y1 - line.y0
-                    rxs = rx * sy - ry * sx
-                    if rxs == 0:
-                        continue
-                    f = ((line.x0 - px0) * sy - (line.y0 - py0) * sx) / rxs
-                    g = ((px0 - line.x0) * ry - (py0 - line.y0) * rx) / (sx * ry - sy * rx)
-                    if 0 <= f <= 1 and 0 <= g <= 1:
-                        first = _tile(min(line.x0, line.x1), max(line.y0, line.y1), tiles.INDEX_ZOOM)
-                        mine = _tile(west, north, tiles.INDEX_ZOOM)
-                        found[int(line.id)] = (int((t1 - t0) * f + t0), max(first[0], mine[0]), max(first[1], mine[1]), int(line.id), line)
-        return sorted(found.values(), key=lambda c: c[:4])
-
-
-def sample_events(fixes: DataFrame, lines_path: str, mode: str = "fixed", idle_ms: int | None = None) -> DataFrame:
-    """Stream of main samples, each with the nodes and time of the sample before it if they don't follow each other.
-
-    fixes: local times, in order of arrival per vehicle by seq; one that arrives after a later seq is dropped. A way counts
-    only between fixes whose column busy is true, if there is one. State of a
-    vehicle: its last fix, pending first lines, and where and when its last sample's segment ended; forgotten after
-    idle_ms without fixes, if given.
-    """
-    limit = MAX_GAP_MS[mode]
-    if "busy" not in fixes.columns:
-        fixes = fixes.withColumn("busy", F.lit(True))
-    stores: list[LineStore] = []
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        if not stores:
-            stores.append(LineStore(lines_path))
-        seq, t, lon, lat, busy, pending, end_node, last_ms = state.get if state.exists else (-1, None, 0.0, 0.0, False, "{}", None, None)
-        waiting: dict[str, list] = json.loads(pending)
-        out = []
-        rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
-        for n, t1, x1, y1, busy1 in rows[["seq", "time_ms", "lon", "lat", "busy"]].itertuples(index=False, name=None):
-            if n <= seq:
-                continue
-            if t is not None and busy and busy1 and 0 <= t1 - t <= limit and (x1, y1) != (lon, lat):
-                for when, _, _, _, line in stores[0].crossings((t, lon, lat), (t1, x1, y1)):
-                    segment = str(line.segment_id)
-                    if line.tripline_index == 2 and segment in waiting:
-                        start_ms, dist, start_node, segment_end = waiting[segment]
-                        waiting = {}
-                        seconds = int((when - start_ms) / 1000)
-                        speed = abs(float(line.dist) - dist) / seconds if seconds > 0 else math.inf
-                        if speed <= MAX_SPEED:
-                            jump = last_ms is not None and end_node != start_node
-                            out.append((key[0], int(segment), start_ms, speed, *((end_node, start_node, last_ms) if jump else (None, None, None))))
-                            end_node, last_ms = segment_end, start_ms
-                    elif line.tripline_index == 1:
-                        waiting[segment] = [when, float(line.dist), int(line.start_node_id), int(line.end_node_id)]
-            seq, t, lon, lat, busy = int(n), int(t1), float(x1), float(y1), bool(busy1)
-        state.update((seq, t, lon, lat, busy, json.dumps(waiting), end_node, last_ms))
-        if idle_ms is not None:
-            state.setTimeoutDuration(idle_ms)
-        frame = pd.DataFrame(out, columns=[c.split()[0] for c in EVENTS.split(", ")], dtype=object)
-        yield frame.astype({c: "Int64" for c in ("vehicle_id", "segment_id", "time_ms", "from_node", "to_node", "from_ms")} | {"speed": "float64"})
-
-    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
-    return fixes.groupBy("vehicle_id").applyInPandasWithState(step, EVENTS, STATE, "append", timeout)
 
 
 def samples_of_events(events: DataFrame, jumpers: DataFrame, mode: str = "fixed") -> DataFrame:
@@ -158,16 +32,16 @@ def samples_of_events(events: DataFrame, jumpers: DataFrame, mode: str = "fixed"
     return joined.withColumn("pace", pace).select("vehicle_id", "time_ms", F.explode(F.concat(own, F.coalesce(more, F.filter(own, lambda x: F.lit(False))))).alias("s")).select("vehicle_id", "s.segment_id", "time_ms", "s.speed", "s.by_jumper")
 
 
-def speed_stream(fixes: DataFrame, areas: DataFrame, jumpers: DataFrame, lines_path: str, busy: DataFrame | None, mode: str = "fixed", idle_ms: int | None = None) -> DataFrame:
-    """The streaming counterpart of matching.speed_samples.
+def speed_stream(fixes: DataFrame, areas: DataFrame, jumpers: DataFrame, lines_path: str, mode: str = "fixed", min_vehicles: int | None = MIN_VEHICLES, delay: str = "1 minute", hold_ms: int = vehicles.IDLE_MS, idle_ms: int | None = vehicles.IDLE_MS) -> DataFrame:
+    """The streaming counterpart of matching.speed_samples; fixes that can't be used are left out (see matching.valid_fixes).
 
-    busy: area tiles (x, y) with enough vehicles, as matching.busy_tiles gives them for recent fixes; a stored table is read
-    anew in each micro-batch. None: no gate.
+    Event time is the fix's own, before it is moved to a zone. A tile counts as open from its min_vehicles-th vehicle on, as long as
+    so many have been there within idle_ms (None: for good); fixes wait hold_ms for that. See vehicles.sample_events.
     """
-    placed = local(normalised(fixes), areas)
-    if busy is not None:
-        placed = gated(placed, busy=busy)
-    return samples_of_events(sample_events(placed, lines_path, mode, idle_ms), jumpers, mode)
+    timed = normalised(fixes).withColumn("event_time", F.timestamp_millis("time_ms"))
+    tile = {"x": tiles.tile_x(F.col("lon"), tiles.AREA_ZOOM), "y": tiles.tile_y(F.col("lat"), tiles.AREA_ZOOM)}
+    placed = local(timed, areas).withColumns(tile)
+    return samples_of_events(vehicles.sample_events(placed, lines_path, mode, min_vehicles, delay, hold_ms, idle_ms), jumpers, mode)
 
 
 def read_fixes(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
@@ -181,20 +55,16 @@ def write_samples(samples: DataFrame, path: str, checkpoint: str, every: str | N
     return samples.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(**trigger).start()
 
 
-def write_histograms(samples: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Appends each micro-batch's histogram under batch=<id>; a repeated batch replaces its own, so readers merge them by sum."""
+def write_histograms(samples: DataFrame, store: HistStore, stream: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Adds each micro-batch's histogram to a store, once, whatever is repeated; stream names it among others."""
     trigger = {"processingTime": every} if every else {"availableNow": True}
 
     def put(batch: DataFrame, number: int) -> None:
-        hist.histogram(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        store.add_batch(hist.histogram(batch), stream, number)
 
     return samples.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
-def read_histograms(spark: SparkSession, path: str) -> DataFrame:
-    return hist.merge(spark.read.parquet(path))
-
-
 def progress(query: StreamingQuery) -> dict[str, float]:
     """Rows of the last micro-batch and rows per second."""
     last = query.lastProgress

@@ -57,25 +57,3 @@ def test_quartiles(spark):
     h = spark.createDataFrame([(1, b, n) for b, n in ((10, 1), (20, 1), (30, 5), (40, 1))], "segment_id long, speed_bin int, n long")
     r = exchange.quartiles(h, ["segment_id"]).first()
     assert (r.bottom_quartile, r.top_quartile) == (20, 30)
-
-
-def test_stream_equals_batch(spark, tmp_path):
-    fixes, net = ad.gps_fixes(spark, SF), network.build(ad.grid_nodes(spark, SF), ad.grid_ways(spark, SF))
-    areas = ad.fix_areas(fixes).cache()
-    batch = matching.speed_samples(fixes, areas, net.segments, net.triplines, net.jumpers)
-    rounded = lambda d: sorted((r.vehicle_id, r.segment_id, r.time_ms, round(r.speed, 6), r.by_jumper) for r in d.collect())
-    want = rounded(batch)
-    assert any(r[4] for r in want) and not all(r[4] for r in want)
-    lines, source = str(tmp_path / "lines"), str(tmp_path / "fixes")
-    speed.write_lines(net, lines)
-    jumpers = net.jumpers.cache()
-    for part in range(3):
-        fixes.where(F.floor(F.col("seq") / 30) % 3 == part if part < 0 else (F.col("seq") - 1 >= part * 25) & ((F.col("seq") - 1 < (part + 1) * 25) | F.lit(part == 2))).coalesce(1).write.mode("append").parquet(source)
-    stream = speed.speed_stream(speed.read_fixes(spark, source), areas, jumpers, lines, spark.createDataFrame(matching.busy_tiles(fixes).collect(), "x int, y int"))
-    query = speed.write_samples(stream, str(tmp_path / "out"), str(tmp_path / "check"))
-    query.awaitTermination(120)
-    assert rounded(spark.read.parquet(str(tmp_path / "out"))) == want
-    samples = spark.readStream.schema(spark.read.parquet(str(tmp_path / "out")).schema).parquet(str(tmp_path / "out"))
-    speed.write_histograms(samples, str(tmp_path / "hist"), str(tmp_path / "check2")).awaitTermination(120)
-    merged = speed.read_histograms(spark, str(tmp_path / "hist"))
-    assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, hist.histogram(batch).collect()))
