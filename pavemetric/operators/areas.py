@@ -79,8 +79,10 @@ def areas(tiles_xy: DataFrame, polygons: DataFrame, offsets: DataFrame, place_no
     return named.select("id", "x", "y", "z", "place_name", "place_pop", "zone_offset", *BOX)
 
 
-def place_names(boxes: DataFrame, places: DataFrame, key: str) -> DataFrame:
-    """key and name, country -- city of the most populous place (lon, lat, country, city, population > 0) in each box."""
+def place_names(boxes: DataFrame, places: DataFrame | None, key: str) -> DataFrame:
+    """key and name, country -- city of the most populous place (lon, lat, country, city, population > 0) in each box; null without places."""
+    if places is None:
+        return boxes.select(key, F.lit(None).cast("string").alias("name"))
     within = (F.col("lon") >= F.col("min_lon")) & (F.col("lon") <= F.col("max_lon")) & (F.col("lat") >= F.col("min_lat")) & (F.col("lat") <= F.col("max_lat"))
     named = _cell_of(places.where("population > 0").select("lon", "lat", "population", F.concat_ws(" -- ", "country", "city").alias("name")))
     listed = _in_cells(boxes.select(key, *BOX), *(F.col(c) for c in BOX))
@@ -97,8 +99,8 @@ def overlap(a: dict[str, Column], b: dict[str, Column]) -> Column:
     return (a["min_lon"] <= b["max_lon"]) & (b["min_lon"] <= a["max_lon"]) & (a["min_lat"] <= b["max_lat"]) & (b["min_lat"] <= a["max_lat"])
 
 
-def clusters(area_table: DataFrame, places: DataFrame) -> DataFrame:
-    """area_id and cluster_id (its smallest area): areas whose clusters' grown boxes overlap or that share a name.
+def clusters(area_table: DataFrame, places: DataFrame | None = None) -> DataFrame:
+    """area_id and cluster_id (its smallest area): areas whose clusters' grown boxes overlap or that share a name, if places are given.
 
     Each round names the clusters, links those that overlap or agree in name, and merges each into the smallest of its
     links and what that one is merged into, and so on; rounds end when nothing changes. Boxes meet in the cells that they
@@ -113,7 +115,9 @@ def clusters(area_table: DataFrame, places: DataFrame) -> DataFrame:
         side = lambda df, p: df.select(*["cx", "cy"][: 2 * ("cx" in df.columns)], *[F.col(c).alias(f"{p}_{c}") for c in ("cluster_id", "name", *BOX)])
         of = lambda p: {c: F.col(f"{p}_{c}") for c in BOX}
         near = side(listed, "a").join(side(listed, "b"), ["cx", "cy"]).where(overlap(of("a"), of("b"))).select("a_cluster_id", "b_cluster_id")
-        alike = side(wide, "a").join(side(wide, "b"), F.col("a_name") == F.col("b_name")).select("a_cluster_id", "b_cluster_id")
+        # of the clusters with one name each is linked with the smallest, which is enough to merge them
+        first = wide.where("name is not null").groupBy("name").agg(F.min("cluster_id").alias("b_cluster_id"))
+        alike = wide.select(F.col("cluster_id").alias("a_cluster_id"), "name").join(first, "name").select("a_cluster_id", "b_cluster_id")
         into = settled(near.unionByName(alike).groupBy(F.col("a_cluster_id").alias("cluster_id")).agg(F.min("b_cluster_id").alias("least")))
         if into.where("least <> cluster_id").isEmpty():
             return members.select("area_id", "cluster_id")
@@ -126,7 +130,7 @@ def clusters(area_table: DataFrame, places: DataFrame) -> DataFrame:
         members = settled(members.join(into, "cluster_id").select("area_id", F.col("least").alias("cluster_id"), *BOX))
 
 
-def cluster_table(area_table: DataFrame, membership: DataFrame, places: DataFrame) -> DataFrame:
+def cluster_table(area_table: DataFrame, membership: DataFrame, places: DataFrame | None = None) -> DataFrame:
     """cluster_id, areas, box, name and the tiles that it covers."""
     joined = area_table.join(membership, F.col("id") == F.col("area_id"))
     boxes = joined.groupBy("cluster_id").agg(F.count("*").alias("areas"), F.min("min_lon").alias("min_lon"), F.min("min_lat").alias("min_lat"), F.max("max_lon").alias("max_lon"), F.max("max_lat").alias("max_lat"), F.array_sort(F.collect_list(F.struct("x", "y"))).alias("coverage"))

@@ -166,9 +166,9 @@ def _(s, d):
     return summary.summary(summary.chosen(ev_hist(s, d), weeks=FIRST_WEEKS, hours=RUSH), ["segment_id"])
 
 
-@query("s2_summary_pooled", sums("segment_id IN (SELECT user_id FROM events WHERE user_id % 3 = 0)", ""))
+@query("s2_summary_pooled", sums("segment_id IN (SELECT s_suppkey FROM supplier)", ""))
 def _(s, d):
-    some = ev(s, d).where("segment_id % 3 = 0").select("segment_id")
+    some = ad.table(s, d, "supplier").select(F.col("s_suppkey").alias("segment_id"))
     return summary.summary(summary.chosen(ev_hist(s, d), segments=some), [])
 
 
@@ -246,7 +246,7 @@ def compared(s: SparkSession, d: str, by: list[str], mode: str = "fixed", level:
 
 
 def comparison(columns: str, by: str, mode: str = "fixed", level: str = "P_95") -> str:
-    values = ", ".join(sql.d(v) for v in compare.critical_values(level, mode))
+    values = ", ".join(sql.d(v) for v in sql.CRITICAL["legacy" if mode == "legacy" and level == "P_999" else level])
     other_n, other_s = ("n1", "s1") if mode == "legacy" else ("n2", "s2")
     one = lambda weeks: f"SELECT {by}, n, {sql.MEAN} AS mean, {sql.STD} AS std_dev FROM (SELECT {by}, {sql.MOMENTS} FROM hist WHERE week IN ({ids(weeks)}) GROUP BY {by})"
     significant = "CASE WHEN t_stat > 0 THEN t_stat > t_crit ELSE true END" if mode == "legacy" else "coalesce(abs(t_stat) > t_crit, false)"
@@ -284,10 +284,16 @@ comparing("c8_ttest_hour", "n1, n2, t_stat, t_crit, significant", "segment_id, h
 comparing("c8_ttest_legacy", "combined_sd, t_stat, t_crit, significant", "segment_id", mode="legacy", level="P_999")
 
 
-@query("c9_critical_values", "SELECT * FROM (VALUES " + ", ".join(f"('{lv}', {df}, {sql.d(v)})" for lv in compare.LEVELS["fixed"] for df, v in enumerate(compare.critical_values(lv), 1)) + ") t(level, df, value)")
+C9 = ", ".join(f"('{lv}', {df}, {sql.d(v)})" for lv in compare.LEVELS["fixed"] for df, v in enumerate(sql.CRITICAL[lv], 1))
+
+
+@query("c9_critical_values", oracle("SELECT segment_id, level, value FROM (SELECT segment_id, CAST(least(greatest(sum(n) - 1, 1), 35) AS INT) AS df FROM hist GROUP BY 1) JOIN t USING (df)", "hist", t=f"SELECT * FROM (VALUES {C9}) v(level, df, value)"))
 def _(s, d):
-    rows = [f"('{lv}', {df}, {v}D)" for lv in compare.LEVELS["fixed"] for df, v in enumerate(compare.critical_values(lv), 1)]
-    return s.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t(level, df, value)")
+    """At each level the critical value for a segment's samples less one as degrees of freedom."""
+    df = F.greatest(F.lit(1), F.least(F.lit(compare.ROWS), F.sum("n") - 1)).cast("int")
+    rows = ev_hist(s, d).groupBy("segment_id").agg(df.alias("df"))
+    levels = F.explode(F.create_map(*[x for lv in compare.LEVELS["fixed"] for x in (F.lit(lv), F.array(*map(F.lit, compare.critical_values(lv))))])).alias("level", "values")
+    return rows.select("segment_id", "df", levels).select("segment_id", "level", F.element_at("values", F.col("df")).alias("value"))
 
 
 # tiles and lookups
@@ -371,21 +377,11 @@ def _(s, d):
     return ad.fix_areas(ad.gps_fixes(s, d)).select("x", "y", *[F.round(c, 7).alias(n) for n, c in box.items()])
 
 
-KEYS = "SELECT way_id, start_node_id, end_node_id FROM segments WHERE id % 50 = 0 UNION ALL SELECT -start_node_id - 1, start_node_id, end_node_id FROM jumpers UNION ALL SELECT -start_node_id - 1, start_node_id, -end_node_id - 1 FROM jumpers"
+ALL_KEYS = "SELECT way_id, start_node_id, end_node_id FROM segments UNION ALL SELECT -start_node_id - 1, start_node_id, end_node_id FROM jumpers UNION ALL SELECT -start_node_id - 1, start_node_id, -end_node_id - 1 FROM jumpers"
 
 
 @query("sp15_segment_or_jumper", oracle("""SELECT k.way_id, k.start_node_id, k.end_node_id, s.id AS segment_id, 0 AS place FROM keys k JOIN segments s USING (way_id, start_node_id, end_node_id)
-    UNION ALL SELECT k.way_id, k.start_node_id, k.end_node_id, unnest(j.segments), 0 FROM keys k JOIN jumpers j USING (start_node_id, end_node_id) WHERE NOT EXISTS (SELECT 1 FROM segments s WHERE s.way_id = k.way_id AND s.start_node_id = k.start_node_id AND s.end_node_id = k.end_node_id)""", "segments", "jumpers", keys=KEYS))
-def _(s, d):
-    net = grid(s, d)
-    names = ["way_id", "start_node_id", "end_node_id"]
-    keys = net.segments.where("id % 50 = 0").select(*names).unionByName(net.jumpers.select((-F.col("start_node_id") - 1).alias("way_id"), *names[1:])).unionByName(net.jumpers.select((-F.col("start_node_id") - 1).alias("way_id"), "start_node_id", (-F.col("end_node_id") - 1).alias("end_node_id")))
-    return tables.segment_or_jumper(keys, net.segments, net.jumpers)
-
-
-ALL_KEYS = KEYS.replace(" WHERE id % 50 = 0", "")
-
-
+    UNION ALL SELECT k.way_id, k.start_node_id, k.end_node_id, unnest(j.segments), 0 FROM keys k JOIN jumpers j USING (start_node_id, end_node_id) WHERE NOT EXISTS (SELECT 1 FROM segments s WHERE s.way_id = k.way_id AND s.start_node_id = k.start_node_id AND s.end_node_id = k.end_node_id)""", "segments", "jumpers", keys=ALL_KEYS))
 @query("sp15_segment_or_jumper_all", oracle("""SELECT k.way_id, k.start_node_id, k.end_node_id, s.id AS segment_id, 0 AS place FROM keys k JOIN segments s USING (way_id, start_node_id, end_node_id)
     UNION ALL SELECT k.way_id, k.start_node_id, k.end_node_id, unnest(j.segments), 0 FROM keys k JOIN jumpers j USING (start_node_id, end_node_id) WHERE NOT EXISTS (SELECT 1 FROM segments s WHERE s.way_id = k.way_id AND s.start_node_id = k.start_node_id AND s.end_node_id = k.end_node_id)""", "segments", "jumpers", keys=ALL_KEYS))
 def _(s, d):
@@ -424,11 +420,10 @@ def _(s, d):
     return grid(s, d).triplines.select("id", "segment_id", "tripline_index", F.round("dist", 4).alias("dist"), *[F.round(c, 7).alias(c) for c in ("x0", "y0", "x1", "y1")])
 
 
-@query("o9_roadway_type", oracle(f"SELECT h AS highway, {sql.road_type('h')} AS street_type FROM (SELECT unnest(['motorway', 'trunk', 'primary', 'primary_link', 'motorway_link', 'unclassified', 'secondary', 'tertiary', 'residential', 'footway', NULL]) AS h)"))
+@query("o9_roadway_type", oracle(f"SELECT way_id, highway, {sql.road_type('highway')} AS street_type FROM t_ways0", "t_ways0"))
 def _(s, d):
-    names = [n for group in network.ROAD_TYPES.values() for n in group] + ["footway"]
-    values = ", ".join(f"('{n}')" for n in names)
-    return s.sql(f"SELECT * FROM VALUES {values}, (CAST(NULL AS STRING)) AS t(highway)").withColumn("street_type", network.road_type(F.col("highway")))
+    highway = network.tag("highway")
+    return ad.town_ways(s, d).select("way_id", highway.alias("highway"), network.road_type(highway).alias("street_type"))
 
 
 @query("o8_10_oneway_traffic", oracle("SELECT way_id, oneway, street_type, count(*) AS pieces FROM segments GROUP BY ALL", "segments"))
@@ -489,14 +484,18 @@ def _(s, d):
     return tables.segment_or_jumper(keys, net.segments, net.jumpers)
 
 
-GAP = f"SELECT a.id AS a_id, b.id AS b_id, NOT (a.end_node_id = b.start_node_id OR b.end_node_id = a.start_node_id OR {sql.distance('a.bx', 'a.by_', 'b.ax', 'b.ay')} < 60 OR {sql.distance('b.bx', 'b.by_', 'a.ax', 'a.ay')} < 60) AS disjoint FROM segments a JOIN segments b ON a.way_id = b.way_id AND abs(a.id - b.id) <= 2"
+GAP = f"SELECT a.id AS a_id, b.id AS b_id, NOT (a.end_node_id = b.start_node_id OR b.end_node_id = a.start_node_id OR {sql.distance('a.bx', 'a.by_', 'b.ax', 'b.ay')} < 60 OR {sql.distance('b.bx', 'b.by_', 'a.ax', 'a.ay')} < 60) AS disjoint FROM near JOIN segments a ON a.id = near.a_id JOIN segments b ON b.id = near.b_id"
+NEAR = {"gt": box_tiles("segments", "id", "ax", "ay", "bx", "by_", 1), "st": SP5["st"], "near": "SELECT DISTINCT gt.id AS a_id, st.id AS b_id FROM gt JOIN st USING (tile_x, tile_y)"}
 
 
-@query("o17_disjoint", oracle(GAP, "segments"))
+@query("o17_disjoint", oracle(GAP, "segments", **NEAR))
 def _(s, d):
-    e = ends(segments(s, d))
-    a, b = (e.select("way_id", *[F.col(c).alias(f"{p}_{c}") for c in ("id", "start_node_id", "end_node_id", "x0", "y0", "x1", "y1")]) for p in "ab")
-    both = a.join(b, "way_id").where("abs(a_id - b_id) <= 2")
+    """Each segment against all near it."""
+    e = tables.settled(ends(segments(s, d)))
+    boxes = e.select(F.col("id").alias("envelope_id"), F.least("x0", "x1").alias("min_lon"), F.least("y0", "y1").alias("min_lat"), F.greatest("x0", "x1").alias("max_lon"), F.greatest("y0", "y1").alias("max_lat"))
+    near = tables.in_envelopes(e, boxes, "id").select(F.col("envelope_id").alias("a_id"), F.col("id").alias("b_id"))
+    a, b = (e.select(*[F.col(c).alias(f"{p}_{c}") for c in ("id", "start_node_id", "end_node_id", "x0", "y0", "x1", "y1")]) for p in "ab")
+    both = near.join(a, "a_id").join(b, "b_id")
     c = F.col
     return both.select("a_id", "b_id", network.disjoint(c("a_start_node_id"), c("a_end_node_id"), c("b_start_node_id"), c("b_end_node_id"), geo.distance(c("a_x1"), c("a_y1"), c("b_x0"), c("b_y0")), geo.distance(c("b_x1"), c("b_y1"), c("a_x0"), c("a_y0"))).alias("disjoint"))
 
@@ -710,13 +709,13 @@ def _(s, d):
 
 @query("a2_clusters", oracle("SELECT a.id AS area_id, min(r.root) AS cluster_id FROM bx a JOIN reach r ON r.id = a.id GROUP BY a.id", "areas0", bx=BOXES, reach="SELECT id, id AS root, x, y FROM bx UNION SELECT b.id, r.root, b.x, b.y FROM reach r JOIN bx b ON abs(b.x - r.x) <= 1 AND abs(b.y - r.y) <= 1"))
 def _(s, d):
-    return areas.clusters(fix_area_table(s, d), ad.places(s, d).where("false"))
+    return areas.clusters(fix_area_table(s, d), None)
 
 
 @query("a5_cluster_table", oracle("SELECT cluster_id, count(*) AS areas, round(min(min_lon), 7) AS min_lon, round(max(max_lat), 7) AS max_lat FROM bx JOIN (SELECT a.id, min(r.root) AS cluster_id FROM bx a JOIN reach r ON r.id = a.id GROUP BY a.id) USING (id) GROUP BY 1", "areas0", bx=BOXES, reach="SELECT id, id AS root, x, y FROM bx UNION SELECT b.id, r.root, b.x, b.y FROM reach r JOIN bx b ON abs(b.x - r.x) <= 1 AND abs(b.y - r.y) <= 1"))
 def _(s, d):
-    table, none = fix_area_table(s, d), ad.places(s, d).where("false")
-    out = areas.cluster_table(table, areas.clusters(table, none), none)
+    table = fix_area_table(s, d)
+    out = areas.cluster_table(table, areas.clusters(table, None), None)
     return out.select("cluster_id", "areas", F.round("min_lon", 7).alias("min_lon"), F.round("max_lat", 7).alias("max_lat"))
 
 
@@ -745,24 +744,14 @@ def _(s, d):
     return once.unionByName(again.select(*once.columns))
 
 
-@query("snk2_insert_absent", oracle("SELECT id, way_id FROM segments WHERE way_id < 20", "segments"))
-def _(s, d):
-    seg = segments(s, d).select("id", "way_id", "start_node_id", "end_node_id")
-    return tables.insert_absent(seg.where("way_id < 10"), seg.where("way_id < 20"), ["way_id", "start_node_id", "end_node_id"], ["id"]).select("id", "way_id")
-
-
-@query("snk1_upsert", oracle("SELECT id, CASE WHEN street_type = 4 THEN 5 ELSE street_type END AS street_type FROM segments WHERE way_id < 20", "segments"))
-def _(s, d):
-    seg = segments(s, d).where("way_id < 20").select("id", "street_type")
-    return tables.upsert(seg, seg.where("street_type = 4").withColumn("street_type", F.lit(5)))
-
-
+@query("snk2_insert_absent", oracle("SELECT id, way_id FROM segments", "segments"))
 @query("snk2_insert_absent_all", oracle("SELECT id, way_id FROM segments", "segments"))
 def _(s, d):
     seg = segments(s, d).select("id", "way_id", "start_node_id", "end_node_id")
     return tables.insert_absent(seg.where("way_id < 10"), seg, ["way_id", "start_node_id", "end_node_id"], ["id"]).select("id", "way_id")
 
 
+@query("snk1_upsert", oracle("SELECT id, CASE WHEN street_type = 4 THEN 5 ELSE street_type END AS street_type FROM segments", "segments"))
 @query("snk1_upsert_all", oracle("SELECT id, CASE WHEN street_type = 4 THEN 5 ELSE street_type END AS street_type FROM segments", "segments"))
 def _(s, d):
     seg = segments(s, d).select("id", "street_type")
@@ -893,11 +882,9 @@ def _(s, d):
     return rows.where("v.average is not null").select("segment_id", "hour", "v.average", "v.bottom", "v.top")
 
 
-@query("x8_current_stats", oracle(f"SELECT segment_id, w AS current_window_start_timestamp, w + 3600000 AS current_window_end_timestamp, n, {AVERAGE} AS current_average_speed FROM (SELECT segment_id, time_ms // 3600000 * 3600000 AS w, {sql.MOMENTS.replace('sum(n)', 'count(*)').replace('n * ', '')} FROM (SELECT *, {sql.speed_bin('speed')} AS speed_bin FROM ev) GROUP BY ALL)", "ev"))
-def _(s, d):
-    return exchange.current_stats(ev(s, d)).drop("current_bottom_quartile", "current_top_quartile")
-
-
+@query("x8_current_stats", oracle(f"""SELECT segment_id, s.w AS current_window_start_timestamp, s.w + 3600000 AS current_window_end_timestamp, s.n, {AVERAGE} AS current_average_speed, q.bottom_quartile AS current_bottom_quartile, q.top_quartile AS current_top_quartile
+    FROM (SELECT segment_id, w, {sql.MOMENTS} FROM bins GROUP BY ALL) s JOIN (SELECT segment_id, w, min(speed_bin) FILTER (r * 4 >= t) AS bottom_quartile, min(speed_bin) FILTER (r * 4 >= t * 3) AS top_quartile FROM
+    (SELECT segment_id, w, speed_bin, sum(n) OVER (PARTITION BY segment_id, w ORDER BY speed_bin) AS r, sum(n) OVER (PARTITION BY segment_id, w) AS t FROM bins) GROUP BY ALL) q USING (segment_id, w)""", "ev", bins=f"SELECT segment_id, time_ms // 3600000 * 3600000 AS w, {sql.speed_bin('speed')} AS speed_bin, count(*) AS n FROM ev GROUP BY ALL"))
 @query("x8_current_stats_all", oracle(f"""SELECT segment_id, s.w AS current_window_start_timestamp, s.w + 3600000 AS current_window_end_timestamp, s.n, {AVERAGE} AS current_average_speed, q.bottom_quartile AS current_bottom_quartile, q.top_quartile AS current_top_quartile
     FROM (SELECT segment_id, w, {sql.MOMENTS} FROM bins GROUP BY ALL) s JOIN (SELECT segment_id, w, min(speed_bin) FILTER (r * 4 >= t) AS bottom_quartile, min(speed_bin) FILTER (r * 4 >= t * 3) AS top_quartile FROM
     (SELECT segment_id, w, speed_bin, sum(n) OVER (PARTITION BY segment_id, w ORDER BY speed_bin) AS r, sum(n) OVER (PARTITION BY segment_id, w) AS t FROM bins) GROUP BY ALL) q USING (segment_id, w)""", "ev", bins=f"SELECT segment_id, time_ms // 3600000 * 3600000 AS w, {sql.speed_bin('speed')} AS speed_bin, count(*) AS n FROM ev GROUP BY ALL"))
