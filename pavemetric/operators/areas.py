@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import geo, tiles
+from ..functions import tiles
+from . import zone_cover
 from .tables import settled, with_ids
 
 # Share of its size that a cluster's box grows on each side; degrees around a zone's polygon.
@@ -30,27 +31,12 @@ def _cell_of(points: DataFrame) -> DataFrame:
 
 
 def zones(points: DataFrame, polygons: DataFrame) -> DataFrame:
-    """points (point_id, lon, lat) with the tzid of polygons (tzid, ordinal, ring), null if none is near.
+    """points (point_id, lon, lat) with the tzid of polygons (tzid, ordinal, ring, holes if any), null if none is near.
 
     In this order: a single zone's bounding box has the point; the first polygon that contains it; the first within
-    ZONE_BUFFER degrees. Boxes and polygons are listed by the cells they touch, so a point meets those of its cell.
+    ZONE_BUFFER degrees. See zone_cover for how.
     """
-    lons, lats = F.transform("ring", lambda c: c["lon"]), F.transform("ring", lambda c: c["lat"])
-    boxed = polygons.select("tzid", "ordinal", "ring", F.array_min(lons).alias("x0"), F.array_max(lons).alias("x1"), F.array_min(lats).alias("y0"), F.array_max(lats).alias("y1"))
-    # a zone's envelope spans all of its polygons
-    whole = boxed.groupBy("tzid").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"))
-    whole = whole.select("tzid", F.lit(None).cast("int").alias("ordinal"), F.lit(None).cast(boxed.schema["ring"].dataType).alias("ring"), "x0", "x1", "y0", "y1")
-    near = boxed.select("tzid", F.col("ordinal").cast("int").alias("ordinal"), "ring", *[(F.col(c) + d * ZONE_BUFFER).alias(c) for c, d in (("x0", -1), ("x1", 1), ("y0", -1), ("y1", 1))])
-    shapes = whole.unionByName(near)
-    shapes = _in_cells(shapes, *(F.col(c) for c in ("x0", "y0", "x1", "y1")))
-    inbox = (F.col("lon") >= F.col("x0")) & (F.col("lon") <= F.col("x1")) & (F.col("lat") >= F.col("y0")) & (F.col("lat") <= F.col("y1"))
-    met = _cell_of(points).join(shapes, ["cx", "cy"]).where(inbox)
-    inside = geo.inside_ring(F.col("lon"), F.col("lat"), F.col("ring"))
-    tier = F.when(inside, 1).when(geo.ring_distance(F.col("lon"), F.col("lat"), F.col("ring")) <= ZONE_BUFFER, 2)
-    met = met.withColumn("tier", F.when(F.col("ring").isNotNull(), tier))
-    found = met.groupBy("point_id").agg(F.collect_set(F.when(F.col("ring").isNull(), F.col("tzid"))).alias("boxes"), F.min_by("tzid", F.when(F.col("tier").isNotNull(), F.struct("tier", "ordinal"))).alias("by_shape"))
-    tzid = F.when(F.size("boxes") == 1, F.element_at("boxes", 1)).otherwise(F.col("by_shape"))
-    return points.join(found.select("point_id", tzid.alias("tzid")), "point_id", "left")
+    return zone_cover.placed(points, zone_cover.cover(polygons, ZONE_BUFFER), ZONE_BUFFER)
 
 
 def zone_offsets(points: DataFrame, polygons: DataFrame, offsets: DataFrame) -> DataFrame:

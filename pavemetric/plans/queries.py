@@ -12,7 +12,7 @@ from ..functions import geo, tiles
 from ..functions import timebins as tb
 from ..operators import areas, compare, hist, hist_store, map_store, matching, network, summary, tables
 from ..sources import adapters as ad
-from ..sources import exchange, export
+from ..sources import exchange, export, message_files
 from . import sql
 from .sql import oracle
 
@@ -67,8 +67,9 @@ def samples(s: SparkSession, d: str, mode: str = "fixed") -> DataFrame:
 
 
 def settled_samples(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Samples, for queries that use them several times, and segments."""
-    return tables.settled(samples(s, d)), tables.settled(segments(s, d))
+    """Samples, for queries that use them several times, and segments; the map is built once."""
+    fixes, net = ad.gps_fixes(s, d), grid(s, d)
+    return tables.settled(matching.speed_samples(fixes, ad.fix_areas(fixes), net.segments, net.triplines, net.jumpers)), net.segments
 
 
 # calendar and bins
@@ -682,6 +683,30 @@ def _(s, d):
     return areas.zones(zone_points(s, d), ad.zone_polygons(s)).select("point_id", "tzid")
 
 
+def bent_edges() -> str:
+    corners = [(ring, i, *a, *b) for ring, cs in ((0, ad.BENT), (1, ad.HOLE)) for i, (a, b) in enumerate(zip(cs, cs[1:], strict=False))]
+    return ", ".join(f"({ring}, {sql.d(a)}, {sql.d(b)}, {sql.d(c)}, {sql.d(e)})" for ring, _, a, b, c, e in corners)
+
+
+BENT_ZONES = {
+    "pts": "SELECT o_orderkey AS point_id, CAST(o_orderkey AS BIGINT) * 7919 % 9001 / 1000.0 - 0.75 AS lon, CAST(o_orderkey AS BIGINT) * 104729 % 8999 / 1000.0 - 0.75 AS lat FROM orders",
+    "zn": f"SELECT CAST(n_nationkey AS BIGINT) AS r, 'Z' || n_nationkey % 7 AS tzid, n_nationkey % 5 * {sql.d(1.5)} AS x, n_nationkey // 5 * {sql.d(1.5)} AS y FROM nation",
+    "ed": f"SELECT r, tzid, x + ax AS ax, y + ay AS ay, x + bx AS bx, y + by_ AS by_ FROM zn, (VALUES {bent_edges()}) v(ring, ax, ay, bx, by_) WHERE ring = 0 OR r % 2 = 0",
+    "env": "SELECT tzid, min(ax) AS x0, max(ax) AS x1, min(ay) AS y0, max(ay) AS y1 FROM ed GROUP BY tzid",
+    "bx": "SELECT point_id, count(*) AS boxes, min(tzid) AS tzid FROM pts JOIN env ON lon BETWEEN x0 AND x1 AND lat BETWEEN y0 AND y1 GROUP BY 1",
+    "e1": "SELECT *, (bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay) AS d2, greatest(0.0, least(1.0, ((lon - ax) * (bx - ax) + (lat - ay) * (by_ - ay)) / ((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)))) AS f FROM pts, ed",
+    "sh": """SELECT point_id, r, min(tzid) AS tzid, sum(CASE WHEN (ay > lat) <> (by_ > lat) AND lon < (bx - ax) * (lat - ay) / (by_ - ay) + ax THEN 1 ELSE 0 END) % 2 = 1 AS inside,
+      min((lon - ax - f * (bx - ax)) * (lon - ax - f * (bx - ax)) + (lat - ay - f * (by_ - ay)) * (lat - ay - f * (by_ - ay))) <= 0.0625 AS near FROM e1 GROUP BY ALL""",
+    "fs": "SELECT point_id, coalesce(arg_min(tzid, r) FILTER (inside), arg_min(tzid, r) FILTER (near)) AS tzid FROM sh GROUP BY 1",
+}
+
+
+@query("tz1_bent_zones", oracle("SELECT p.point_id, CASE WHEN boxes = 1 THEN bx.tzid ELSE fs.tzid END AS tzid FROM pts p LEFT JOIN bx USING (point_id) LEFT JOIN fs USING (point_id)", **BENT_ZONES))
+def _(s, d):
+    """Zones that are concave, have holes and several parts."""
+    return areas.zones(ad.scattered_points(s, d), ad.bent_zones(s, d)).select("point_id", "tzid")
+
+
 @query("tz2_offset", oracle("SELECT point_id, CAST(coalesce(raw_offset_ms, 0) AS BIGINT) AS raw_offset_ms, 1704067200000 + CAST(coalesce(raw_offset_ms, 0) AS BIGINT) AS local_ms FROM zf LEFT JOIN zones USING (tzid)", "gps", "zones", **zone_sql(GPS_POINTS)))
 def _(s, d):
     out = areas.zone_offsets(zone_points(s, d), ad.zone_polygons(s), ad.zone_offset_table(s))
@@ -942,6 +967,22 @@ def _(s, d):
     )
 
 
+#: Whole definitions and headers, as a reader gets them.
+DEFINED = f"SELECT tile_x, tile_y, 11 AS tile_z, 42 AS osm_commit_id, 1704067200123 AS creation_timestamp, way_id, start_node_id, end_node_id, round(ay, 7) AS start_lat, round(ax, 7) AS start_lon, round(by_, 7) AS end_lat, round(bx, 7) AS end_lon, CAST(floor(length + 0.5) AS BIGINT) AS length FROM av JOIN tl USING (segment_id) JOIN segments ON segments.id = segment_id"
+
+
+@query("x5_definitions", oracle(DEFINED, "gps_hist", **{k: BASELINE[k] for k in ("tl", "av")}))
+def _(s, d):
+    """Headers and segment definitions out of message files, which several tasks wrote and a reader takes by ranges."""
+    found, seg = settled_samples(s, d)
+    path = tables.new_folder(s, "messages")
+    tile = exchange.baseline_tiles(hist.histogram(found), seg, 42, 1704067200123, most=200)
+    message_files.write(exchange.encoded(tile.repartition(4, F.rand(1)), "BaselineTile"), path, range_bytes=100_000)
+    back = exchange.decoded(message_files.read(s, path), "BaselineTile").select("header.*", F.explode("segments.segment").alias("d")).select("*", "d.*").drop("d")
+    places = {n: F.round(n, 7) for n in ("start_lat", "start_lon", "end_lat", "end_lon")}
+    return back.withColumns(places | {n: F.col(n).cast("int") for n in ("tile_x", "tile_y", "tile_z", "osm_commit_id")})
+
+
 CURRENT = {
     "tl": TILE_OF,
     "av": BASELINE["av"],

@@ -125,6 +125,26 @@ def zone_polygons(spark: SparkSession) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {rows} AS t(tzid, ordinal, ring)")
 
 
+#: Corners of a bent zone, and of a hole in it, from the zone's own corner.
+BENT = [(0.0, 0.0), (1.2, 0.0), (1.2, 0.5), (0.6, 0.5), (0.6, 1.2), (0.0, 1.2), (0.0, 0.0)]
+HOLE = [(0.1, 0.1), (0.4, 0.1), (0.4, 0.4), (0.1, 0.4), (0.1, 0.1)]
+
+
+def bent_zones(spark: SparkSession, folder: str) -> DataFrame:
+    """tzid, ordinal, ring, holes: an L for each nation, every other one with a hole; seven zones of several parts."""
+    r = F.col("n_nationkey").cast("long")
+    x, y = r % 5 * F.lit(1.5), idiv(r, 5) * F.lit(1.5)
+    ring = lambda corners: F.array(*[F.struct((x + F.lit(a)).alias("lon"), (y + F.lit(b)).alias("lat")) for a, b in corners])
+    holes = F.when(r % 2 == 0, F.array(ring(HOLE))).otherwise(F.array().cast("array<array<struct<lon:double,lat:double>>>"))
+    return table(spark, folder, "nation").select(F.concat(F.lit("Z"), (r % 7).cast("string")).alias("tzid"), (r + 1).cast("int").alias("ordinal"), ring(BENT).alias("ring"), holes.alias("holes"))
+
+
+def scattered_points(spark: SparkSession, folder: str) -> DataFrame:
+    """point_id, lon, lat: a place for each order, over the bent zones and around them."""
+    k = F.col("o_orderkey").cast("long")
+    return table(spark, folder, "orders").select(k.alias("point_id"), (k * 7919 % 9001 / 1000.0 - 0.75).alias("lon"), (k * 104729 % 8999 / 1000.0 - 0.75).alias("lat"))
+
+
 def zone_offset_table(spark: SparkSession) -> DataFrame:
     return spark.sql("SELECT * FROM VALUES ('A', 0L), ('B', 3600000L), ('C', 7200000L) AS t(tzid, raw_offset_ms)")
 

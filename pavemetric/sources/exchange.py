@@ -249,15 +249,23 @@ def hours_present(values: Column) -> Column:
     return F.transform(values, lambda v: F.when(v != NO_SAMPLES, v))
 
 
-def baseline_tiles(hist: DataFrame, segments: DataFrame, commit_id: int = 0, created_ms: int = 0) -> DataFrame:
-    """header, segments: a row per area tile with the statistics of its segments that have samples.
+#: Segments that a message holds on average at most: some 2 kB each.
+MESSAGE_SEGMENTS = 2_000
 
+
+def baseline_tiles(hist: DataFrame, segments: DataFrame, commit_id: int = 0, created_ms: int = 0, most: int = MESSAGE_SEGMENTS) -> DataFrame:
+    """header, segments: a row per area tile with the statistics of its segments that have samples; several where they are over `most`.
+
+    A crowded tile's segments are dealt over its rows by a hash, so no row grows with the tile.
     Repeated numbers have no nulls, so hours without samples travel as NO_SAMPLES.
     """
     named = baseline_stats(hist).join(segments.select(F.col("id").alias("segment_id"), "way_id", "start_node_id", "end_node_id", "length", "coords"), "segment_id").join(tile_of_segment(segments), "segment_id")
     floats = lambda c: F.transform(c, lambda v: F.coalesce(v, F.lit(NO_SAMPLES)).cast("float"))
     stats = F.struct(segment_definition().alias("segment"), F.col("average_speed").cast("float").alias("average_speed"), floats("hour_of_week_averages").alias("hour_of_week_averages"), F.col("top_quartile").cast("float").alias("top_quartile"), floats("hour_of_week_top_quartile").alias("hour_of_week_top_quartile"), F.col("bottom_quartile").cast("float").alias("bottom_quartile"), floats("hour_of_week_bottom_quartile").alias("hour_of_week_bottom_quartile"))
-    grouped = named.groupBy("tile_x", "tile_y").agg(F.array_sort(F.collect_list(F.struct("segment_id", stats.alias("s")))).alias("all"))
+    tile = ["tile_x", "tile_y"]
+    cuts = hist.select("segment_id").distinct().join(tile_of_segment(segments), "segment_id").groupBy(*tile).agg(F.ceil(F.count("*") / most).cast("int").alias("cuts"))
+    dealt = named.join(cuts, tile).withColumn("part", F.pmod(F.xxhash64("segment_id"), "cuts"))
+    grouped = dealt.groupBy(*tile, "part").agg(F.array_sort(F.collect_list(F.struct("segment_id", stats.alias("s")))).alias("all"))
     return grouped.select(header(commit_id, created_ms).alias("header"), F.transform("all", lambda x: x["s"]).alias("segments"))
 
 

@@ -21,17 +21,18 @@ def features(spark: SparkSession, path: str) -> DataFrame:
 
 
 def zone_polygons(spark: SparkSession, path: str, name: str = "TZID") -> DataFrame:
-    """tzid, ordinal, ring of zones as GeoJSON polygons or multi-polygons, of which the outer ring of the first part counts.
+    """tzid, ordinal, ring and holes of zones as GeoJSON polygons or multi-polygons, of which the first part counts.
 
     Zones called uninhabited and features without a name are left out; ordinal is the order of the names, then of the rings.
     """
     one = F.from_json("geometry.coordinates", RING)
     many = F.from_json("geometry.coordinates", PART)
-    outer = F.when(F.col("geometry.type") == "Polygon", F.try_element_at(one, F.lit(1))).when(F.col("geometry.type") == "MultiPolygon", F.try_element_at(F.try_element_at(many, F.lit(1)), F.lit(1)))
-    ring = F.transform(outer, lambda c: F.struct(F.element_at(c, 1).alias("lon"), F.element_at(c, 2).alias("lat")))
-    rows = features(spark, path).select(F.try_element_at("properties", F.lit(name)).alias("tzid"), ring.alias("ring")).where("tzid is not null and tzid <> 'uninhabited' and size(ring) >= 3")
+    rings = F.when(F.col("geometry.type") == "Polygon", one).when(F.col("geometry.type") == "MultiPolygon", F.try_element_at(many, F.lit(1)))
+    points = lambda ring: F.transform(ring, lambda c: F.struct(F.element_at(c, 1).alias("lon"), F.element_at(c, 2).alias("lat")))
+    found = features(spark, path).select(F.try_element_at("properties", F.lit(name)).alias("tzid"), F.transform(rings, points).alias("rings"))
+    rows = found.select("tzid", F.try_element_at("rings", F.lit(1)).alias("ring"), F.filter("rings", lambda r, i: (i > 0) & (F.size(r) >= 3)).alias("holes")).where("tzid is not null and tzid <> 'uninhabited' and size(ring) >= 3")
     # polygons of zones are a dimension of thousands of rows
-    return rows.select("tzid", F.row_number().over(Window.orderBy("tzid", F.col("ring").cast("string"))).alias("ordinal"), "ring")
+    return rows.select("tzid", F.row_number().over(Window.orderBy("tzid", F.col("ring").cast("string"))).alias("ordinal"), "ring", "holes")
 
 
 def places(spark: SparkSession, path: str) -> DataFrame:

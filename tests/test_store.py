@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from pavemetric.operators import hist, store, summary
+from pavemetric.operators import areas, hist, store, summary
 from pavemetric.sources import adapters as ad
 from pavemetric.sources import osm_pbf, reference
 
@@ -63,14 +63,18 @@ def test_zones_and_places(spark, tmp_path):
     square = lambda x: [[[x, 0.0], [x + 1, 0.0], [x + 1, 1.0], [x, 1.0], [x, 0.0]]]
     lines = [
         {"type": "Feature", "properties": {"TZID": "B"}, "geometry": {"type": "MultiPolygon", "coordinates": [square(5.0), square(50.0)]}},
-        {"type": "Feature", "properties": {"TZID": "A"}, "geometry": {"type": "Polygon", "coordinates": square(0.0)}},
+        {"type": "Feature", "properties": {"TZID": "A"}, "geometry": {"type": "Polygon", "coordinates": [*square(0.0), [[0.2, 0.2], [0.8, 0.2], [0.8, 0.8], [0.2, 0.8], [0.2, 0.2]]]}},
         {"type": "Feature", "properties": {"TZID": "uninhabited"}, "geometry": {"type": "Polygon", "coordinates": square(9.0)}},
         {"type": "Feature", "properties": {"sov0name": "C", "adm1name": "T", "pop_max": 12.0}, "geometry": {"type": "Point", "coordinates": [1.5, 2.5]}},
     ]
     path = tmp_path / "f.json"
     path.write_text("\n".join(map(json.dumps, lines)) + "\n\nnot json\n")
     zones = reference.zone_polygons(spark, str(path)).collect()
-    assert [(r.tzid, r.ordinal, r.ring[0].lon, len(r.ring)) for r in zones] == [("A", 1, 0.0, 5), ("B", 2, 5.0, 5)]
+    assert [(r.tzid, r.ordinal, r.ring[0].lon, len(r.ring), len(r.holes)) for r in zones] == [("A", 1, 0.0, 5, 1), ("B", 2, 5.0, 5, 0)]
+    inside = spark.createDataFrame([(1, 0.1, 0.9), (2, 0.5, 0.5), (3, 5.5, 0.5), (4, 30.0, 30.0), (5, None, 0.5), (6, 500.0, 0.5), (7, float("nan"), 0.5)], "point_id long, lon double, lat double")
+    found = {r.point_id: r.tzid for r in areas.zones(inside, reference.zone_polygons(spark, str(path)).where("tzid = 'A'").withColumn("tzid", F.lit("A1")).unionByName(reference.zone_polygons(spark, str(path)))).collect()}
+    # a point in two boxes is looked for in the polygons: in the hole it is near one, not within
+    assert found == {1: "A", 2: None, 3: "B", 4: None, 5: None, 6: None, 7: None}
     assert [tuple(r) for r in reference.places(spark, str(path)).collect()] == [(1.5, 2.5, "C", "T", 12)]
 
 
