@@ -90,18 +90,33 @@ def point_along(coords: Column, share: Column) -> Column:
     return F.aggregate(legs, start, step)
 
 
+#: How far a mitred corner may lie from the line's, in offsets; beyond it is cut off.
+MITRE = 5.0
+
+
 def offset_line(coords: Column, offset: float) -> Column:
-    """Each vertex moved to the right of its leg (left for a negative offset), in degrees; joints by the mean normal."""
+    """The line moved to its right (left for a negative offset), in degrees: every leg lies at the offset from its own.
+
+    Corners lie where the moved legs meet. One that would lie over MITRE offsets away, as at a hairpin, is cut off between the ends
+    of the moved legs. Repeated points count once. Legs shorter than the offset on the inner side of a bend may cross.
+    """
     n = F.size(coords)
+    at = lambda i: F.element_at(coords, F.greatest(F.lit(1), F.least(i, n)))
 
-    def moved(i: Column) -> Column:
-        a, b = F.element_at(coords, F.greatest(i - 1, F.lit(1))), F.element_at(coords, F.least(i + 1, n))
+    def way(a: Column, b: Column) -> tuple[Column, Column]:
         dx, dy = b["lon"] - a["lon"], b["lat"] - a["lat"]
         d = F.hypot(dx, dy)
-        p = F.element_at(coords, i)
-        return F.struct((p["lon"] + F.when(d > 0, dy / d).otherwise(0.0) * offset).alias("lon"), (p["lat"] - F.when(d > 0, dx / d).otherwise(0.0) * offset).alias("lat"))
+        return F.when(d > 0, dx / d).otherwise(0.0), F.when(d > 0, dy / d).otherwise(0.0)
 
-    return F.transform(F.sequence(F.lit(1), n), moved)
+    def moved(i: Column) -> Column:
+        p = at(i)
+        (x1, y1), (x2, y2) = way(at(i - 1), p), way(p, at(i + 1))
+        # square of the corner's distance in offsets is 2 / c; an end or a repeated point has one leg, and c is 1
+        c = F.lit(1.0) + x1 * x2 + y1 * y2
+        point = lambda x, y: F.struct((p["lon"] + y * offset).alias("lon"), (p["lat"] - x * offset).alias("lat"))
+        return F.when(c * MITRE * MITRE >= 2.0, F.array(point((x1 + x2) / c, (y1 + y2) / c))).otherwise(F.array(point(x1, y1), point(x2, y2)))
+
+    return F.flatten(F.transform(F.sequence(F.lit(1), n), moved))
 
 
 def wkt(coords: Column) -> Column:

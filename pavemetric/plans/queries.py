@@ -542,6 +542,26 @@ def _(s, d):
     return network.offset_geometry(segments(s, d)).select("id", F.round(first["lon"], 7).alias("ax"), F.round(first["lat"], 7).alias("ay"))
 
 
+VERTICES = {
+    "tv": "SELECT id, oneway, unnest(generate_series(1, len(coords))) AS i, coords FROM t_segments",
+    "tp": "SELECT id, oneway, i, coords[i].lon AS x, coords[i].lat AS y, coords[greatest(i - 1, 1)].lon AS px, coords[greatest(i - 1, 1)].lat AS py, coords[least(i + 1, len(coords))].lon AS nx, coords[least(i + 1, len(coords))].lat AS ny FROM tv",
+    "th": "SELECT *, sqrt((x - px) * (x - px) + (y - py) * (y - py)) AS h1, sqrt((nx - x) * (nx - x) + (ny - y) * (ny - y)) AS h2 FROM tp",
+    "td": "SELECT *, CASE WHEN h1 > 0 THEN (x - px) / h1 ELSE 0 END AS x1, CASE WHEN h1 > 0 THEN (y - py) / h1 ELSE 0 END AS y1, CASE WHEN h2 > 0 THEN (nx - x) / h2 ELSE 0 END AS x2, CASE WHEN h2 > 0 THEN (ny - y) / h2 ELSE 0 END AS y2 FROM th",
+    "tc": "SELECT *, 1 + x1 * x2 + y1 * y2 AS c FROM td",
+    "tm": """SELECT id, i, 0 AS k, x AS lon, y AS lat FROM tc WHERE oneway
+      UNION ALL SELECT id, i, 0, x + (y1 + y2) / c * -0.000025, y - (x1 + x2) / c * -0.000025 FROM tc WHERE NOT oneway AND c * 25 >= 2
+      UNION ALL SELECT id, i, 0, x + y1 * -0.000025, y - x1 * -0.000025 FROM tc WHERE NOT oneway AND c * 25 < 2
+      UNION ALL SELECT id, i, 1, x + y2 * -0.000025, y - x2 * -0.000025 FROM tc WHERE NOT oneway AND c * 25 < 2""",
+}
+
+
+@query("g10_town_offset", oracle("SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY i, k) - 1 AS INT) AS place, round(lon, 8) AS lon, round(lat, 8) AS lat FROM tm", "t_segments", **VERTICES))
+def _(s, d):
+    """All vertices of moved lines with bends and hairpins."""
+    moved = network.offset_geometry(town(s, d).segments)
+    return moved.select("id", F.posexplode("coords").alias("place", "p")).select("id", "place", F.round("p.lon", 8).alias("lon"), F.round("p.lat", 8).alias("lat"))
+
+
 # fixes to samples
 
 

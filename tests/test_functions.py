@@ -94,6 +94,22 @@ def test_points_along_a_bent_line(spark):
 def test_offset_keeps_its_side(spark):
     moved = value(spark, geo.offset_line(F.expr(COORDS), -0.000025))
     assert moved[0].lat == pytest.approx(0.000025) and moved[2].lon == pytest.approx(0.001 - 0.000025)
+    # the joint of a right angle is as far from both legs
+    assert (moved[1].lon, moved[1].lat) == (pytest.approx(0.001 - 0.000025), pytest.approx(0.000025))
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.tuples(st.integers(-9, 9), st.integers(-9, 9)), min_size=2, max_size=7))
+def test_every_leg_lies_at_the_offset(spark, points):
+    coords = F.array(*[F.struct(F.lit(x / 1.0).alias("lon"), F.lit(y / 1.0).alias("lat")) for x, y in points])
+    moved = [(r.lon, r.lat) for r in value(spark, geo.offset_line(coords, 0.01))]
+    legs = [(a, b) for a, b in zip(points, points[1:]) if a != b]
+    for (ax, ay), (bx, by) in legs:
+        d = math.hypot(bx - ax, by - ay)
+        # two corners in a row lie on the leg's parallel to the right
+        side = [((by - ay) * (x - ax) - (bx - ax) * (y - ay)) / d for x, y in moved]
+        assert any(abs(s - 0.01) < 1e-9 and abs(t - 0.01) < 1e-9 for s, t in zip(side, side[1:]))
+    assert len(moved) >= len(points)
 
 
 def test_tiles(spark):
