@@ -65,7 +65,7 @@ def encode(message: str, row: dict) -> bytes:
     return b"".join(out)
 
 
-def _read_varint(data: bytes, at: int) -> tuple[int, int]:
+def read_varint(data: bytes, at: int) -> tuple[int, int]:
     n = shift = 0
     while True:
         b = data[at]
@@ -76,29 +76,33 @@ def _read_varint(data: bytes, at: int) -> tuple[int, int]:
 
 
 def decode(message: str, data: bytes) -> dict:
-    """The row of a message's bytes; unknown fields are skipped, packed numbers understood."""
+    """The row of a message's bytes; unknown fields are skipped, packed numbers understood. Bytes that are no message are an error."""
     fields = {number: (name, kind.lstrip("*"), kind.startswith("*")) for number, name, kind in MESSAGES[message]}
     out: dict = {name: [] if repeated else None for name, _, repeated in fields.values()}
     at = 0
     while at < len(data):
-        tag, at = _read_varint(data, at)
+        tag, at = read_varint(data, at)
         name, kind, repeated = fields.get(tag >> 3, ("", "", False))
         wire, values = tag & 7, []
         if wire == 0:
-            v, at = _read_varint(data, at)
+            v, at = read_varint(data, at)
             values = [v]
         elif wire in (1, 5):
             size = 8 if wire == 1 else 4
             values, at = [struct.unpack("<d" if wire == 1 else "<f", data[at : at + size])[0]], at + size
+        elif wire != 2:
+            raise ValueError(f"no such wire type: {wire}")
         else:
-            size, at = _read_varint(data, at)
+            size, at = read_varint(data, at)
+            if size < 0 or at + size > len(data):
+                raise ValueError("a field ends beyond its message")
             body, at = data[at : at + size], at + size
             if kind in ("d", "f"):
                 values = [v for (v,) in struct.iter_unpack("<d" if kind == "d" else "<f", body)]
             elif kind == "i":
                 p = 0
                 while p < len(body):
-                    v, p = _read_varint(body, p)
+                    v, p = read_varint(body, p)
                     values.append(v)
             elif kind:
                 values = [decode(kind, body)]
@@ -118,7 +122,7 @@ def delimited(data: bytes) -> Iterator[bytes]:
     """Messages that each follow their size as a varint."""
     at = 0
     while at < len(data):
-        size, at = _read_varint(data, at)
+        size, at = read_varint(data, at)
         yield data[at : at + size]
         at += size
 

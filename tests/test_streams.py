@@ -153,3 +153,38 @@ def test_the_whole_table_as_a_stream(spark, tmp_path):
     store = hist_store.HistStore(spark, str(tmp_path / "hist"), 4)
     speed.write_histograms(samples, store, "samples", str(tmp_path / "check2")).awaitTermination(240)
     assert sorted(map(tuple, store.histograms().collect())) == sorted(map(tuple, hist.histogram(batch).collect()))
+
+
+def test_messages_as_a_stream(spark, tmp_path):
+    from pavemetric.sources import exchange, message_stream
+
+    rng = random.Random(6)
+    vehicles_of = lambda k: [{"vehicle_id": v, "locations": [{"timestamp": T0 + s, "lat": rng.random(), "lon": rng.random()} for s in range(rng.randint(0, 4))]} for v in range(k)]
+    good = [{"source_id": i, "messages": vehicles_of(rng.randint(0, 3))} for i in range(12)]
+    bodies = [exchange.encode("VehicleMessageEnvelope", e) for e in good]
+    delimited = lambda bs: b"".join(exchange.varint_of(len(b)) + b for b in bs)
+    folder = tmp_path / "in"
+    folder.mkdir()
+    # a message whose inner size runs beyond it, and one of a wire type that doesn't exist, between good ones; a file cut off
+    (folder / "a.pb").write_bytes(delimited([*bodies[:4], b"\x12\x04\x08\x01\x12", bodies[4], b"\x0b", b"\x12\x01\x08"]))
+    (folder / "b.pb").write_bytes(delimited(bodies[5:9]) + exchange.varint_of(50) + b"xyz")
+    (folder / "c.pb").write_bytes(b"")
+    (folder / "notes.txt").write_bytes(b"no messages")
+    want = sorted((m["vehicle_id"], p["timestamp"], p["lon"], p["lat"]) for e in good[:9] for m in e["messages"] for p in m["locations"])
+    files = spark.read.format("binaryFile").load(str(folder / "*.pb"))
+    rows = message_stream.fixes_of_files(files, rows=3)
+    key = lambda df: sorted((r.vehicle_id, r.time_ms, r.lon, r.lat) for r in df.collect())
+    assert key(message_stream.fixes_of(rows)) == want
+    assert sorted((r.file.rsplit("/", 1)[1], r.fault) for r in message_stream.faults_of(rows).collect()) == [("a.pb", "damaged")] * 3 + [("b.pb", "cut off")]
+
+    def run():
+        stream = message_stream.read_messages(spark, str(folder))
+        q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        return message_stream.counted(q)
+
+    assert run() == (len(want), 4)
+    (folder / "d.pb").write_bytes(delimited(bodies[9:]))
+    more = sorted((m["vehicle_id"], p["timestamp"], p["lon"], p["lat"]) for e in good for m in e["messages"] for p in m["locations"])
+    assert run() == (len(more) - len(want), 0)
+    assert key(message_stream.fixes_of(spark.read.parquet(str(tmp_path / "out")))) == more
