@@ -17,6 +17,8 @@ DICTIONARY_FRAME = 0x184D2A5D
 SAMPLE_BYTES, DICTIONARY_BYTES, ARCHIVE_BYTES = 4 << 20, 64 << 10, 64 << 20
 LEVEL, WARC_DATE = 3, "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Bytes of sampled records from which an archive builds its own dictionary; pages and characters of each for the shared one.
+OWN_BYTES, SHARED_ROWS, SHARED_CHARS = 1 << 20, 500, 8_192
 READ = "row long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -36,10 +38,24 @@ def record(page_id: int | None, row: int, url: str | None, payload: bytes, diges
     return ("\r\n".join([*lines, f"Content-Length: {len(http)}"]) + "\r\n\r\n").encode() + http + b"\r\n\r\n"
 
 
-def archive(records: list[bytes]) -> bytes:
-    """A skippable frame with a dictionary built from the records, then each record as a frame of its own.
+def trained(sample: list[bytes]) -> bytes | None:
+    """A dictionary built from records, or None where they are too few or too small for one."""
+    import zstandard
+
+    size = sum(map(len, sample))
+    if len(sample) < 8:
+        return None
+    try:
+        return zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, size // 10)), sample, level=LEVEL, k=256, d=8).as_bytes()
+    except zstandard.ZstdError:
+        return None
+
 
-    Too few or too small records for a dictionary: no leading frame, records compressed without one.
+def archive(records: list[bytes], shared: bytes | None = None) -> bytes:
+    """A skippable frame with a dictionary, then each record as a frame of its own.
+
+    The dictionary is built from the records, or the shared one where they are too few or too small. Without either: no leading
+    frame, records compressed without one.
     """
     import zstandard
 
@@ -49,14 +65,9 @@ def archive(records: list[bytes]) -> bytes:
         if size + len(r) <= SAMPLE_BYTES:
             sample.append(r)
             size += len(r)
-    lead, dictionary = b"", None
-    if len(sample) >= 8:
-        try:
-            dictionary = zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, size // 10)), sample, level=LEVEL, k=256, d=8)
-            raw = dictionary.as_bytes()
-            lead = DICTIONARY_FRAME.to_bytes(4, "little") + len(raw).to_bytes(4, "little") + raw
-        except zstandard.ZstdError:
-            dictionary = None
+    raw = (trained(sample) if size >= OWN_BYTES or shared is None else None) or shared
+    lead = b"" if raw is None else DICTIONARY_FRAME.to_bytes(4, "little") + len(raw).to_bytes(4, "little") + raw
+    dictionary = None if raw is None else zstandard.ZstdCompressionDict(raw)
     packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary, write_content_size=True, write_checksum=True)
     return lead + b"".join(map(packer.compress, records))
 
@@ -99,14 +110,25 @@ def deduplicated(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
     return rows.join(small(first, first.count()), F.col("long_enough") & (F.col("digest") == F.col("f_digest")), "left").select(*plain_id("page_id"), "url", "html", "digest", F.coalesce("first_id", F.lit(0)).alias("refers"), (F.col("first_id").isNotNull() & ~F.col("first_id").eqNullSafe(F.col("page_id"))).alias("revisit"))
 
 
+def shared_dictionary(pages: DataFrame, rows: int = SHARED_ROWS, chars: int = SHARED_CHARS) -> bytes | None:
+    """A dictionary from the beginnings of a bounded sample of pages, for archives that are too small for one of their own.
+
+    The sample: the `rows` pages with the smallest hashes of page_id and url, `chars` characters of each.
+    """
+    some = pages.select("page_id", "url", F.substring(F.coalesce(F.col("html").cast("string"), F.lit("")), 1, chars).alias("html")).orderBy(F.xxhash64("page_id", "url"), "html").limit(rows).collect()
+    return trained([record(r["page_id"], i, r["url"], r["html"].encode(), "0" * 64, None, False) for i, r in enumerate(some)])
+
+
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 100) -> DataFrame:
     """Writes a record per row of pages (page_id, url, html) into folder; returns the written list (path, records).
 
     Of payloads that are equal and have at least min_bytes, the one with the smallest page_id is a response (all of them,
     if that page_id repeats), the others are revisits of it. A task writes one archive for each ARCHIVE_BYTES of
-    payload. Names are new in every attempt of a task, and only archives of attempts that succeed are listed.
+    payload, with a dictionary of its own or, if it is small, the shared one. Names are new in every attempt of a task, and only archives of attempts that succeed are listed.
     """
 
+    shared = shared_dictionary(pages)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
@@ -116,7 +138,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 100) -> DataF
 
         def flush() -> pd.DataFrame:
             nonlocal written, size
-            path = write_new(folder, f"part-{task:06d}-{written:04d}", ".warc.zst", archive(records))
+            path = write_new(folder, f"part-{task:06d}-{written:04d}", ".warc.zst", archive(records, shared))
             out = pd.DataFrame({"path": [path], "records": [len(records)]})
             written, size = written + 1, 0
             records.clear()

@@ -73,6 +73,18 @@ def test_media_query_has_the_access_units(spark):
         assert sum(u.length for u in units) == r.payload_bytes
 
 
+def test_small_archives_share_a_dictionary(spark):
+    html = "<html><head><title>page {0}</title></head><body><p>some shared words and tags</p><p>{0}</p></body></html>"
+    rows = [(i, f"http://h/{i}", None if i == 5 else html.format(i * 7919) + "é" * (i % 9)) for i in range(120)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(24)
+    listed = warc.write_archives(pages, scratch(spark, "warc-small")).collect()
+    data = [read_file(r.path) for r in listed]
+    assert len(data) > 12 and all(d[:4] == warc.DICTIONARY_FRAME.to_bytes(4, "little") for d in data)
+    assert len({d[: 8 + int.from_bytes(d[4:8], "little")] for d in data}) == 1
+    assert sorted(int(warc.parse(r)["warc-record-id"][10:-1]) for d in data for r in warc.records_of(d)) == list(range(120))
+    assert warc.shared_dictionary(pages.limit(3)) is None and warc.shared_dictionary(pages) == warc.shared_dictionary(pages.repartition(3))
+
+
 def test_archive_has_dictionary_and_frames():
     import zstandard
 
