@@ -113,9 +113,15 @@ def deduplicated(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
 def shared_dictionary(pages: DataFrame, rows: int = SHARED_ROWS, chars: int = SHARED_CHARS) -> bytes | None:
     """A dictionary from the beginnings of a bounded sample of pages, for archives that are too small for one of their own.
 
-    The sample: the `rows` pages with the smallest hashes of page_id and url, `chars` characters of each.
+    The sample: of the `rows` smallest hashes of page_id and url one page each, `chars` characters of it.
     """
-    some = pages.select("page_id", "url", F.substring(F.coalesce(F.col("html").cast("string"), F.lit("")), 1, chars).alias("html")).orderBy(F.xxhash64("page_id", "url"), "html").limit(rows).collect()
+    key = F.xxhash64("page_id", "url")
+    # hashes alone find the bound, so that tasks send no texts but those of the sample
+    least = pages.select(key.alias("key")).orderBy("key").limit(rows).collect()
+    if not least:
+        return None
+    start = F.substring(F.coalesce(F.col("html").cast("string"), F.lit("")), 1, chars)
+    some = pages.where(key <= least[-1]["key"]).groupBy(key.alias("key")).agg(F.min(F.struct(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), start.alias("html"))).alias("p")).orderBy("key").select("p.*").collect()
     return trained([record(r["page_id"], i, r["url"], r["html"].encode(), "0" * 64, None, False) for i, r in enumerate(some)])
 
 
