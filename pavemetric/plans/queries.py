@@ -632,6 +632,29 @@ def _(s, d):
     return samples(s, d).withColumn("speed", F.round("speed", 6)).select("vehicle_id", "segment_id", "time_ms", "speed", "by_jumper")
 
 
+def town_samples(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, network.Network]:
+    """Crossings and main samples of the vehicles of the towns, and the map."""
+    fixes, net = ad.town_fixes(s, d), town(s, d)
+    moves_ = matching.pairs(matching.gated(matching.local(matching.normalised(fixes), ad.fix_areas(fixes))))
+    found = tables.settled(matching.crossings(moves_, net.triplines))
+    return found, tables.settled(matching.admissible(matching.completions(found))), net
+
+
+@query("p4_town_crossings", oracle("SELECT vehicle_id, n, time_ms, segment_id, tripline_index FROM v_crossed", "t_lines", "t_jumpers", **sql.town_blocks()))
+def _(s, d):
+    """Crossings both ways, over bent streets."""
+    return town_samples(s, d)[0].select("vehicle_id", "n", "time_ms", "segment_id", "tripline_index")
+
+
+@query("p8_town_jumpers", oracle("SELECT vehicle_id, segment_id, time_ms, round(speed, 6) AS speed, by_jumper FROM v_samples", "t_lines", "t_jumpers", **sql.town_blocks()))
+def _(s, d):
+    """Samples of the towns, among them those of jumpers over several pieces."""
+    _, main, net = town_samples(s, d)
+    jumped = matching.jumper_samples(main, net.segments, net.jumpers)
+    rows = main.select("vehicle_id", "segment_id", "time_ms", "speed", F.lit(False).alias("by_jumper")).unionByName(jumped.select("vehicle_id", "segment_id", "time_ms", "speed", F.lit(True).alias("by_jumper")))
+    return rows.withColumn("speed", F.round("speed", 6))
+
+
 @query("p13_busiest_tiles", oracle("SELECT x, y, vehicles, CAST(row_number() OVER (ORDER BY vehicles DESC, x, y) AS INT) AS rank FROM (SELECT x, y, count(DISTINCT vehicle_id) AS vehicles FROM gps_tiles GROUP BY x, y)", "gps_tiles"))
 def _(s, d):
     return matching.busiest_tiles(ad.gps_fixes(s, d))

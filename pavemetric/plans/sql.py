@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from ..functions.geo import AXIS, E2
 from ..operators.network import MARGIN, MIN_SEGMENT, RADIUS
-from ..sources.adapters import HIGHWAYS, TOWN_NODES, TOWN_STREETS, TOWN_WAYS
+from ..sources.adapters import HIGHWAYS, TOWN_DRIVES, TOWN_NODES, TOWN_STREETS, TOWN_WAYS
 
 
 def d(x: float) -> str:
@@ -159,6 +161,18 @@ NEEDS = {
 }
 
 
+#: The blocks from fixes to samples over the town map: the same ones, of other fixes, lines, segments and jumpers.
+_OF_FIXES = ["gps_tiles", "areas0", "gps_local", "busy", "pairs", "met", "met1", "met2", "crossed", "ends", "chain", "completed", "main", "jumped", "samples"]
+_RENAMED = {n: f"v_{n}" for n in ["gps", *_OF_FIXES]} | {n: f"t_{n}" for n in ("lines", "segments", "jumpers")}
+
+
+def town_blocks() -> dict[str, str]:
+    places = ", ".join(f"({v}, {k}, {TOWN_NODES[n][0]}, {TOWN_NODES[n][1]})" for v, drive in TOWN_DRIVES.items() for k, n in enumerate(drive, 1))
+    fixes = f"SELECT CAST(k AS BIGINT) AS seq, 1704067200000 + s * 7000 + k * 25000 AS time_ms, s * 3 + v AS vehicle_id, (tx + x) / {d(100000.0)} AS lon, (ty + y) / {d(100000.0)} AS lat FROM t_towns, (VALUES {places}) f(v, k, x, y)"
+    names = re.compile(r"(?<![.\w])(" + "|".join(_RENAMED) + r")(?!\w)")
+    return {"v_gps": fixes} | {f"v_{n}": names.sub(lambda m: _RENAMED[m[1]], CTES[n]) for n in _OF_FIXES}
+
+
 def oracle(body: str, *names: str, **more: str) -> str:
     """body after WITH clauses for the named blocks, what they need, and further ones."""
     order: list[str] = []

@@ -97,6 +97,18 @@ def gps_fixes(spark: SparkSession, folder: str) -> DataFrame:
     return k.select(F.col("k").alias("seq"), time.alias("time_ms"), F.col("user_id").alias("vehicle_id"), (F.col("x") / 100000.0).alias("lon"), lat.alias("lat"), F.lit(True).alias("convert_to_local"))
 
 
+#: The nodes that each of a town's vehicles drives over: its main street and back; both ways over chains of short pieces.
+TOWN_DRIVES = {0: [*range(10), *range(8, -1, -1)], 1: [18, 11, 13, 18, 13, 11, 18], 2: [18, 12, 13, 18, 12, 11, 18]}
+
+
+def town_fixes(spark: SparkSession, folder: str) -> DataFrame:
+    """As gps_fixes: three vehicles in each town, a fix at every node that they pass, 25 seconds apart."""
+    places = [(v, k, *TOWN_NODES[n]) for v, drive in TOWN_DRIVES.items() for k, n in enumerate(drive, 1)]
+    rows = _towns(spark, folder).withColumn("f", F.explode(F.array(*[F.struct(F.lit(v).alias("v"), F.lit(k).alias("k"), F.lit(x).alias("x"), F.lit(y).alias("y")) for v, k, x, y in places])))
+    time = F.lit(1704067200000) + F.col("s") * 7000 + F.col("f.k") * 25000
+    return rows.select(F.col("f.k").cast("long").alias("seq"), time.alias("time_ms"), (F.col("s") * 3 + F.col("f.v")).alias("vehicle_id"), ((F.col("x") + F.col("f.x")) / 100000.0).alias("lon"), ((F.col("y") + F.col("f.y")) / 100000.0).alias("lat"), F.lit(True).alias("convert_to_local"))
+
+
 #: What is put in place of a field in spoiled fixes, in turn.
 SPOILED = [("lon", None), ("lat", math.nan), ("lon", math.inf), ("lat", 90.0), ("lat", -91.0), ("lon", 1e9), ("lon", 180.0), ("vehicle_id", None), ("time_ms", None), ("lat", None)]
 
