@@ -52,17 +52,18 @@ def areas_of(spark, rows):
     return ad.fix_areas(spark.createDataFrame(rows, FIX)).withColumn("zone_offset", F.lit(0).cast("long")).cache()
 
 
-def run(spark, folder, batches, street, rows, **options):
-    """Samples of a stream of files, one micro-batch each, stopped and started again after every file but the last."""
+def run(spark, folder, batches, street, rows, restarts=False, **options):
+    """Samples of a stream of files, one micro-batch each; restarts: stopped and started again after each. Late rows counted."""
     net, lines, jumpers = street
-    areas, progress = areas_of(spark, rows), []
-    for batch in batches:
+    areas, late = areas_of(spark, rows), 0
+    for k, batch in enumerate(batches, 1):
         spark.createDataFrame(batch, FIX).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-        stream = speed.speed_stream(speed.read_fixes(spark, f"{folder}/in"), areas, jumpers, lines, **options)
-        query = speed.write_samples(stream, f"{folder}/out", f"{folder}/check")
-        query.awaitTermination(180)
-        progress.append(vehicles.late_rows(query))
-    return spark.read.parquet(f"{folder}/out"), progress
+        if restarts or k == len(batches):
+            stream = speed.speed_stream(speed.read_fixes(spark, f"{folder}/in"), areas, jumpers, lines, **options)
+            query = speed.write_samples(stream, f"{folder}/out", f"{folder}/check")
+            query.awaitTermination(180)
+            late += vehicles.late_rows(query)
+    return spark.read.parquet(f"{folder}/out"), late
 
 
 def flush(after):
@@ -85,16 +86,16 @@ def test_any_order_within_the_delay_and_restarts(spark, tmp_path, street):
     late = sorted(rows, key=lambda r: r[1] + rng.uniform(0, 55_000))
     assert late != sorted(rows, key=lambda r: r[1])
     third = len(late) // 3
-    out, counts = run(spark, str(tmp_path), [late[:third] + bad, late[third : 2 * third], late[2 * third :], flush(T0 + 10_000_000), flush(T0 + 10_200_000)], street, rows, min_vehicles=None, delay="1 minute", idle_ms=None)
-    assert rounded(out) == want and counts == [0] * 5
+    out, late_rows = run(spark, str(tmp_path), [late[:third] + bad, late[third : 2 * third], late[2 * third :], flush(T0 + 10_000_000), flush(T0 + 10_200_000)], street, rows, restarts=True, min_vehicles=None, delay="1 minute", idle_ms=None)
+    assert rounded(out) == want and late_rows == 0
 
 
 def test_late_fixes_are_counted(spark, tmp_path, street):
     rows = drive(1, T0)
     half = len(rows) // 2
     late = [(90, T0 + 1000, 2, 0.0, 0.0, False), (91, T0 + 2000, 2, 0.001, 0.0, False)]
-    out, counts = run(spark, str(tmp_path), [rows[:half], flush(T0 + 3_600_000), rows[half:] + late, flush(T0 + 3_900_000)], street, rows, min_vehicles=None, delay="10 seconds", idle_ms=None)
-    assert sum(counts) == len(rows) - half + 2
+    out, counts = run(spark, str(tmp_path), [rows[:half], flush(T0 + 3_600_000), rows[half:] + late, flush(T0 + 3_900_000)], street, rows, restarts=True, min_vehicles=None, delay="10 seconds", idle_ms=None)
+    assert counts == len(rows) - half + 2
     assert rounded(out) == batch_samples(spark, street, rows[:half], 1)
 
 
@@ -126,8 +127,8 @@ def test_a_vehicle_is_forgotten_after_its_time(spark, tmp_path, street):
     # over the first line of a segment, a pause, then over its second line
     at = lambda s, ms, x: (s, T0 + ms, 1, x, 0.0, False)
     rows = [at(0, 0, east[0] - 0.0003), at(1, 10_000, east[0] + 0.0003), at(2, 10_000 + 150_000, east[0] + 0.0004), at(3, 10_000 + 170_000, 0.0019)]
-    kept, _ = run(spark, str(tmp_path / "kept"), [rows[:2], flush(T0 + 100_000), rows[2:], flush(T0 + 5_000_000), flush(T0 + 5_400_000)], street, rows, min_vehicles=None, delay="0 seconds", idle_ms=200_000)
-    gone, _ = run(spark, str(tmp_path / "gone"), [rows[:2], flush(T0 + 100_000), rows[2:], flush(T0 + 5_000_000), flush(T0 + 5_400_000)], street, rows, min_vehicles=None, delay="0 seconds", idle_ms=60_000)
+    kept, _ = run(spark, str(tmp_path / "kept"), [rows[:2], flush(T0 + 100_000), rows[2:], flush(T0 + 5_000_000), flush(T0 + 5_400_000)], street, rows, restarts=True, min_vehicles=None, delay="0 seconds", idle_ms=200_000)
+    gone, _ = run(spark, str(tmp_path / "gone"), [rows[:2], flush(T0 + 100_000), rows[2:], flush(T0 + 5_000_000), flush(T0 + 5_400_000)], street, rows, restarts=True, min_vehicles=None, delay="0 seconds", idle_ms=60_000)
     assert {r.vehicle_id for r in kept.collect()} == {1} and gone.where("vehicle_id = 1").count() == 0
 
 
