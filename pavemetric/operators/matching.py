@@ -144,6 +144,17 @@ def completions(crossed: DataFrame) -> DataFrame:
     return runs.select("vehicle_id", F.inline(chosen)).select("vehicle_id", "segment_id", "n0", "n1", "time0", "time1", "dist0", "dist1")
 
 
+def pending(crossed: DataFrame, completed: DataFrame) -> DataFrame:
+    """vehicle_id, segment_id, n, time_ms, tripline_id, dist: the first lines that still wait for their segment's second line.
+
+    Those that a vehicle has crossed since its last completion, of each segment the latest; for a debugger.
+    """
+    last = completed.groupBy("vehicle_id").agg(F.max("n1").alias("done"))
+    rest = crossed.where("tripline_index = 1").join(last, "vehicle_id", "left").where("done is null or n > done")
+    latest = rest.groupBy("vehicle_id", "segment_id").agg(F.max(F.struct("n", "time_ms", "tripline_id", "dist")).alias("c"))
+    return latest.select("vehicle_id", "segment_id", "c.*")
+
+
 def admissible(completed: DataFrame) -> DataFrame:
     """vehicle_id, n1, segment_id, time_ms (of the first line) and speed; whole seconds, none if 0 or over MAX_SPEED."""
     seconds = idiv(F.col("time1") - F.col("time0"), 1000)

@@ -646,6 +646,15 @@ def _(s, d):
     return town_samples(s, d)[0].select("vehicle_id", "n", "time_ms", "segment_id", "tripline_index")
 
 
+PENDING = "SELECT c.vehicle_id, segment_id, max(n) AS n, arg_max(time_ms, n) AS time_ms FROM v_crossed c LEFT JOIN (SELECT vehicle_id, max(n1) AS done FROM v_completed GROUP BY 1) l ON l.vehicle_id = c.vehicle_id WHERE tripline_index = 1 AND (done IS NULL OR n > done) GROUP BY ALL"
+
+
+@query("p20_town_pending", oracle(PENDING, "t_lines", "t_jumpers", **sql.town_blocks()))
+def _(s, d):
+    found = town_samples(s, d)[0]
+    return matching.pending(found, matching.completions(found)).select("vehicle_id", "segment_id", "n", "time_ms")
+
+
 @query("p8_town_jumpers", oracle("SELECT vehicle_id, segment_id, time_ms, round(speed, 6) AS speed, by_jumper FROM v_samples", "t_lines", "t_jumpers", **sql.town_blocks()))
 def _(s, d):
     """Samples of the towns, among them those of jumpers over several pieces."""
