@@ -20,7 +20,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def millis(ts: str) -> F.Column:
-    return F.unix_millis(F.col(ts).cast("timestamp"))
+    """The nearest epoch millisecond, halves away from zero, as the SQL's epoch_ms has it."""
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    return idiv(us + F.when(us < 0, -500).otherwise(500), 1000)
 
 
 def event_samples(spark: SparkSession, folder: str) -> DataFrame:

@@ -57,3 +57,16 @@ def test_quartiles(spark):
     h = spark.createDataFrame([(1, b, n) for b, n in ((10, 1), (20, 1), (30, 5), (40, 1))], "segment_id long, speed_bin int, n long")
     r = exchange.quartiles(h, ["segment_id"]).first()
     assert (r.bottom_quartile, r.top_quartile) == (20, 30)
+
+
+def test_event_times_are_the_nearest_milliseconds(spark, tmp_path):
+    """As DuckDB's epoch_ms: just under half a millisecond before an hour stays in the old one, from half on it is the next one's."""
+    import duckdb
+
+    micros = [1704070799999499, 1704070799999500, 1704070800000000, -500, -499, -1499, -1500, 0, None]
+    rows = ", ".join(f"({i}, make_timestamp({'NULL' if m is None else m}::BIGINT), 1, 36.0)" for i, m in enumerate(micros))
+    duckdb.sql(f"COPY (SELECT * FROM (VALUES {rows}) t(event_id, ts, user_id, value)) TO '{tmp_path}/events.parquet'")
+    want = [r[0] for r in duckdb.sql(f"SELECT epoch_ms(ts) FROM '{tmp_path}/events.parquet' ORDER BY event_id").fetchall()]
+    got = [r.time_ms for r in ad.table(spark, str(tmp_path), "events").select("event_id", ad.millis("ts").alias("time_ms")).orderBy("event_id").collect()]
+    assert got == want
+    assert got[:2] == [1704070799999, 1704070800000]
