@@ -12,7 +12,7 @@ from ..functions import geo, tiles
 from ..functions.arith import idiv
 from ..functions.timebins import to_ms
 from .network import MIN_SEGMENT
-from .tables import settled
+from .tables import settled, shuffled
 
 # Fastest admissible speed (m/s); vehicles that a tile needs; longest time between two fixes of a pair (ms).
 MAX_SPEED, MIN_VEHICLES = 31.0, 10
@@ -99,7 +99,7 @@ def candidates(moves: DataFrame, lines: DataFrame) -> DataFrame:
         shift = 1 << (tiles.INDEX_ZOOM - zoom)
         left, other = _exploded(part, zoom), _exploded(right, zoom).select("tx", "ty", *keep, *line)
         first_x, first_y = F.greatest("px", "lx"), F.greatest("py", "ly")
-        both = left.join(other, ["tx", "ty"]).withColumn("tile_x", first_x).withColumn("tile_y", first_y)
+        both = left.join(shuffled(other), ["tx", "ty"]).withColumn("tile_x", first_x).withColumn("tile_y", first_y)
         # the area tiles of the boxes' first index tiles, so that a pair and a line meet once at either zoom
         mine = (F.col("tx") == F.greatest(idiv(F.col("px"), shift), idiv(F.col("lx"), shift))) & (F.col("ty") == F.greatest(idiv(F.col("py"), shift), idiv(F.col("ly"), shift)))
         overlap = (F.col("tile_x") <= F.least("px_end", "lx_end")) & (F.col("tile_y") <= F.least("py_end", "ly_end"))
@@ -150,7 +150,7 @@ def pending(crossed: DataFrame, completed: DataFrame) -> DataFrame:
     Those that a vehicle has crossed since its last completion, of each segment the latest; for a debugger.
     """
     last = completed.groupBy("vehicle_id").agg(F.max("n1").alias("done"))
-    rest = crossed.where("tripline_index = 1").join(last, "vehicle_id", "left").where("done is null or n > done")
+    rest = crossed.where("tripline_index = 1").join(shuffled(last), "vehicle_id", "left").where("done is null or n > done")
     latest = rest.groupBy("vehicle_id", "segment_id").agg(F.max(F.struct("n", "time_ms", "tripline_id", "dist")).alias("c"))
     return latest.select("vehicle_id", "segment_id", "c.*")
 
@@ -166,11 +166,11 @@ def jumper_samples(samples: DataFrame, segments: DataFrame, jumpers: DataFrame,
     """Samples of the short segments between a vehicle's consecutive samples that don't follow each other."""
     w = Window.partitionBy("vehicle_id").orderBy("n1")
     chained = samples.withColumn("last_segment", F.lag("segment_id").over(w)).withColumn("last_time", F.lag("time_ms").over(w)).where("last_segment is not null")
-    nodes = segments.select("id", "start_node_id", "end_node_id")
+    nodes = shuffled(segments.select("id", "start_node_id", "end_node_id"))
     chained = chained.join(nodes.select(F.col("id").alias("last_segment"), F.col("end_node_id").alias("from_node")), "last_segment")
     chained = chained.join(nodes.select(F.col("id").alias("segment_id"), F.col("start_node_id").alias("to_node")), "segment_id").where("from_node <> to_node")
     paths = jumpers.select(F.col("start_node_id").alias("from_node"), F.col("end_node_id").alias("to_node"), F.col("length").alias("jump"), "segments")
-    jumped = chained.join(paths, ["from_node", "to_node"]).withColumn("dt", idiv(F.col("time_ms") - F.col("last_time"), 1000)).where("dt > 0")
+    jumped = chained.join(shuffled(paths), ["from_node", "to_node"]).withColumn("dt", idiv(F.col("time_ms") - F.col("last_time"), 1000)).where("dt > 0")
     jumped = jumped.withColumn("speed", (F.col("jump") + 2 * MIN_SEGMENT) / F.col("dt"))
     if mode == "fixed":
         jumped = jumped.where(F.col("speed") <= MAX_SPEED)

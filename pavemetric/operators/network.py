@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geo
-from .tables import FIRST_ID, settled, with_ids
+from .tables import FIRST_ID, settled, shuffled, with_ids
 
 # Segments up to this length (m) have no trip lines; a line's distance from the ends and half width (m).
 MIN_SEGMENT, MARGIN, RADIUS = 60.0, 20.0, 10.0
@@ -72,11 +72,11 @@ def _placed(streets: DataFrame, nodes: DataFrame, crossings: DataFrame | None =
     Two shuffles: places meet their nodes and are counted by node, then gathered by way. crossings (node_id) says which nodes are,
     if streets aren't all that there are.
     """
-    places = streets.select("way_id", "street_type", "oneway", F.posexplode("nodes").alias("pos", "node_id")).join(nodes.select("node_id", "lon", "lat"), "node_id", "left")
+    places = streets.select("way_id", "street_type", "oneway", F.posexplode("nodes").alias("pos", "node_id")).join(shuffled(nodes.select("node_id", "lon", "lat")), "node_id", "left")
     if crossings is None:
         placed = places.withColumn("crossing", F.count(F.lit(1)).over(Window.partitionBy("node_id")) >= 2)
     else:
-        placed = places.join(crossings.select("node_id", F.lit(True).alias("crossing")), "node_id", "left").withColumn("crossing", F.coalesce("crossing", F.lit(False)))
+        placed = places.join(shuffled(crossings.select("node_id", F.lit(True).alias("crossing"))), "node_id", "left").withColumn("crossing", F.coalesce("crossing", F.lit(False)))
     gathered = placed.groupBy("way_id").agg(F.first("street_type").alias("street_type"), F.first("oneway").alias("oneway"), F.array_sort(F.collect_list(F.struct("pos", "node_id", "lon", "lat", "crossing"))).alias("p"))
     return gathered.where(~F.exists("p", lambda c: c["lon"].isNull()))
 
@@ -140,7 +140,7 @@ def jumpers(segments: DataFrame, max_edges: float = MAX_EDGES) -> DataFrame:
             break
         rest = paths.select(F.col("start_node_id").alias("end_node_id"), F.col("end_node_id").alias("to"), F.col("length").alias("more"), F.col("segments").alias("next"), F.col("seen").alias("ahead"))
         # both ways hold the node where they meet, and nothing else in common
-        met = full.join(rest, "end_node_id").where((F.size("next") + size <= max_edges) & (F.size(F.array_intersect("seen", "ahead")) == 1))
+        met = full.join(shuffled(rest), "end_node_id").where((F.size("next") + size <= max_edges) & (F.size(F.array_intersect("seen", "ahead")) == 1))
         longer = met.select("start_node_id", F.col("to").alias("end_node_id"), (F.col("length") + F.col("more")).alias("length"), F.concat("segments", "next").alias("segments"), F.array_union("seen", "ahead").alias("seen"))
         paths, size = settled(_shortest(paths.unionByName(longer))), 2 * size
     return paths.select("start_node_id", "end_node_id", "length", "segments")

@@ -43,6 +43,14 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df as the side of a join that grows as the other does: both are dealt by key, whatever size Spark guesses.
+
+    Before a run Spark guesses that exploded rows are as few as those they come from, and would send such a side through the driver.
+    """
+    return df.hint("merge")
+
+
 def next_id(existing: DataFrame | None, name: str = "id") -> int:
     """The id after the largest of a table, FIRST_ID for none or an empty one."""
     last = existing.agg(F.max(name)).first()[0] if existing is not None else None

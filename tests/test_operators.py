@@ -285,3 +285,18 @@ def test_zones_by_tier(spark):
     polygons = spark.createDataFrame([("A", 1, sq(0.0, 0.0, 2.0)), ("B", 2, sq(1.0, 0.0, 2.0)), ("B", 3, sq(8.0, 8.0, 1.0))], "tzid string, ordinal int, ring array<struct<lon:double,lat:double>>")
     points = spark.createDataFrame([(1, 0.5, 0.5), (2, 1.5, 0.5), (3, 2.5, 0.5), (4, 5.0, 5.0), (5, -0.2, 1.0), (6, -0.3, 1.0), (7, 9.2, 8.5)], "point_id long, lon double, lat double")
     assert {r.point_id: r.tzid for r in areas.zones(points, polygons).collect()} == {1: "A", 2: "A", 3: "B", 4: "B", 5: "A", 6: None, 7: "B"}
+
+
+def test_joins_of_maps_are_dealt_by_key(spark):
+    """Exploded rows look as few as those they come from; sides that grow with the map must not pass the driver for that."""
+    from pavemetric.plans import queries as core
+
+    sf = "/root/testdata/sf0.001"
+    pieces = network.pieces(network.traffic_ways(core.ad.town_ways(spark, sf)), core.ad.town_nodes(spark, sf))
+    moves = matching.pairs(core.ad.town_fixes(spark, sf))
+    seg = core.town(spark, sf).segments
+    met = matching.candidates(moves, network.triplines(seg))
+    chained = matching.jumper_samples(spark.createDataFrame([], "vehicle_id long, n1 long, segment_id long, time_ms long, speed double"), seg, network.jumpers(seg))
+    for df in (pieces, met, chained):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
