@@ -95,13 +95,13 @@ class MapStore:
         given = nodes.where("node_id is not null and lon is not null and lat is not null and not isnan(lon) and not isnan(lat)")
         given = tables.settled(self._point(given.groupBy("node_id").agg(F.min(F.struct("lon", "lat")).alias("p")).select("node_id", "p.*")))
         cells = self.tiles.cells(given) | {NOWHERE}
-        fresh_nodes = tables.settled(given.join(self._stored(v, "nodes", cells, "node_id").select("node_id"), "node_id", "left_anti"))
+        fresh_nodes = tables.settled(given.join(tables.shuffled(self._stored(v, "nodes", cells, "node_id").select("node_id")), "node_id", "left_anti"))
         first = F.min(F.struct("nodes", "street_type", "oneway"))
         streets = tables.settled(network.traffic_ways(ways).where("way_id is not null and size(nodes) > 0").groupBy("way_id").agg(first.alias("s")).select("way_id", "s.*"))
         # a stored street lies where its nodes lie; one of which the extract has no node may lie anywhere
-        seen = self._places(streets).join(given.select("node_id"), "node_id", "left_semi").select("way_id").distinct()
-        stray = not streets.join(seen, "way_id", "left_anti").isEmpty()
-        fresh_streets = streets.join(self.tiles.read(v, "ways", None if stray else cells).select("way_id"), "way_id", "left_anti")
+        seen = self._places(streets).join(tables.shuffled(given.select("node_id")), "node_id", "left_semi").select("way_id").distinct()
+        stray = not streets.join(tables.shuffled(seen), "way_id", "left_anti").isEmpty()
+        fresh_streets = streets.join(tables.shuffled(self.tiles.read(v, "ways", None if stray else cells).select("way_id")), "way_id", "left_anti")
         return fresh_nodes, tables.settled(fresh_streets)
 
     def _places(self, streets: DataFrame) -> DataFrame:
@@ -111,9 +111,9 @@ class MapStore:
         """cells and the coarse tiles of further nodes (node_id), among them NOWHERE for those not known."""
         cells = cells | self.tiles.cells(fresh_nodes) | {NOWHERE}
         found = fresh_nodes.select("node_id").unionByName(self.tiles.read(v, "nodes", cells).select("node_id"))
-        lost = tables.settled(wanted.join(found, "node_id", "left_anti"))
+        lost = tables.settled(wanted.join(tables.shuffled(found), "node_id", "left_anti"))
         if not lost.isEmpty():
-            cells |= self.tiles.cells(self.tiles.read(v, "nodes").join(lost, "node_id", "left_semi"))
+            cells |= self.tiles.cells(self.tiles.read(v, "nodes").join(tables.shuffled(lost), "node_id", "left_semi"))
         return cells
 
     def _affected(self, v: Version, fresh_nodes: DataFrame, fresh_streets: DataFrame) -> DataFrame:
@@ -122,11 +122,11 @@ class MapStore:
         near = tables.settled(self._stored(v, "ways", self._near(v, fresh_nodes, used, set()), "way_id"))
         places = self._places(near)
         # a stored node becomes a crossing by its second use; with more uses it is one already
-        once = places.join(used, "node_id", "left_semi").groupBy("node_id").count().where("count = 1").select("node_id")
-        cut = places.join(once, "node_id", "left_semi").select("way_id", F.lit(False).alias("moved"))
-        waited = places.join(fresh_nodes.select("node_id"), "node_id", "left_semi").select("way_id", F.lit(True).alias("moved"))
+        once = places.join(tables.shuffled(used), "node_id", "left_semi").groupBy("node_id").count().where("count = 1").select("node_id")
+        cut = places.join(tables.shuffled(once), "node_id", "left_semi").select("way_id", F.lit(False).alias("moved"))
+        waited = places.join(tables.shuffled(fresh_nodes.select("node_id")), "node_id", "left_semi").select("way_id", F.lit(True).alias("moved"))
         touched = cut.unionByName(waited).groupBy("way_id").agg(F.max("moved").alias("moved"))
-        return tables.settled(near.join(touched, "way_id"))
+        return tables.settled(near.join(tables.shuffled(touched), "way_id"))
 
     def _store_streets(self, v: Version, fresh_nodes: DataFrame, fresh_streets: DataFrame, affected: DataFrame) -> set[str]:
         """Puts new nodes and streets in place. The coarse tiles of all streets whose segments are to be looked at."""
@@ -136,10 +136,10 @@ class MapStore:
         wanted = tables.settled(self._places(streets).select("node_id").distinct())
         near = self._near(v, fresh_nodes, wanted, self.tiles.cells(before))
         known = self.tiles.read(v, "nodes", near).select("node_id", "lon", "lat").unionByName(fresh_nodes.select("node_id", "lon", "lat"))
-        placed = self._places(streets).join(known, "node_id", "left")
+        placed = self._places(streets).join(tables.shuffled(known), "node_id", "left")
         box = placed.groupBy("way_id").agg(F.min("lon").alias("x0"), F.min("lat").alias("y0"), F.max("lon").alias("x1"), F.max("lat").alias("y1"), F.max(F.col("lon").isNull()).alias("waits"))
         # a street that waits for a node is kept among those without a place, too
-        laid = tables.settled(self.tiles.laid_out(streets.join(box, "way_id"), F.col("waits")).drop("waits"))
+        laid = tables.settled(self.tiles.laid_out(streets.join(tables.shuffled(box), "way_id"), F.col("waits")).drop("waits"))
         self.tiles.replace(v, "nodes", fresh_nodes)
         self.tiles.replace(v, "ways", laid, moved, "way_id")
         return near | self.tiles.cells(laid)
@@ -149,12 +149,12 @@ class MapStore:
         # in these tiles all streets and nodes that meet the changed ones are stored by now
         streets = tables.settled(fresh_streets.unionByName(affected.select(*STREET)))
         wanted = tables.settled(self._places(streets).select("node_id").distinct())
-        uses = self._places(self._stored(v, "ways", cells, "way_id")).join(wanted, "node_id", "left_semi").groupBy("node_id").count()
-        nodes = self.tiles.read(v, "nodes", cells).join(wanted, "node_id", "left_semi")
+        uses = self._places(self._stored(v, "ways", cells, "way_id")).join(tables.shuffled(wanted), "node_id", "left_semi").groupBy("node_id").count()
+        nodes = self.tiles.read(v, "nodes", cells).join(tables.shuffled(wanted), "node_id", "left_semi")
         now = tables.settled(tables.valid_lines(network.pieces(streets, nodes, uses.where("count >= 2"))))
-        old = tables.settled(self._stored(v, "segments", cells, "id").join(affected.select("way_id"), "way_id", "left_semi"))
+        old = tables.settled(self._stored(v, "segments", cells, "id").join(tables.shuffled(affected.select("way_id")), "way_id", "left_semi"))
         key = network.SEGMENT_KEY
-        joined = tables.settled(now.join(old.select("id", *key, F.col("coords").alias("was")), key, "left"))
+        joined = tables.settled(now.join(tables.shuffled(old.select("id", *key, F.col("coords").alias("was"))), key, "left"))
         first = v.facts.get("next_id", tables.FIRST_ID)
         fresh = joined.where("id is null").drop("id", "was")
         numbered = tables.with_ids(fresh, key, F.floor(F.col("way_id") / network.CELL_WAYS), first=first)
@@ -162,8 +162,8 @@ class MapStore:
         bent = joined.where("id is not null and coords <> was")
         ends = {f"{c}{k}": F.try_element_at("coords", F.lit(i))[n] for k, i in ((0, 1), (1, -1)) for c, n in (("x", "lon"), ("y", "lat"))}
         added = tables.settled(self.tiles.laid_out(numbered.select(*SEGMENT).unionByName(bent.select(*SEGMENT)).withColumns(ends)))
-        gone = old.join(now, key, "left_anti").select("id").unionByName(bent.select("id"))
-        removed = tables.settled(self.tiles.laid_out(old.join(gone, "id", "left_semi")))
+        gone = old.join(tables.shuffled(now), key, "left_anti").select("id").unionByName(bent.select("id"))
+        removed = tables.settled(self.tiles.laid_out(old.join(tables.shuffled(gone), "id", "left_semi")))
         self.tiles.replace(v, "segments", added, removed)
         return added, removed
 
@@ -172,7 +172,7 @@ class MapStore:
         # lines cross their segment, so they may reach a little further
         wide = {c: (F.least(f"{c[0]}0", f"{c[0]}1") - REACH if c[1] == "0" else F.greatest(f"{c[0]}0", f"{c[0]}1") + REACH) for c in BOX}
         near = self.tiles.cells(self.tiles.laid_out(self.tiles.bare(removed).withColumns(wide)))
-        old = self.tiles.read(v, "triplines", near).join(removed.select(F.col("id").alias("segment_id")).distinct(), "segment_id", "left_semi")
+        old = self.tiles.read(v, "triplines", near).join(tables.shuffled(removed.select(F.col("id").alias("segment_id")).distinct()), "segment_id", "left_semi")
         self.tiles.replace(v, "triplines", lines, tables.settled(old))
 
     def _jumpers(self, v: Version, added: DataFrame, removed: DataFrame) -> None:
@@ -186,13 +186,13 @@ class MapStore:
         while v.parts.get("jumpers") and not frontier.isEmpty():
             # a node's stored jumpers reach all that it reaches and that reaches it
             near = self.tiles.read(v, "jumpers", self.tiles.cells(self._point(frontier)))
-            met = [near.join(frontier.select(F.col("node_id").alias(c)), c, "left_semi").select(*near.columns) for c in ("start_node_id", "end_node_id")]
-            frontier = tables.settled(ends(met[0].unionByName(met[1])).join(known.select("node_id"), "node_id", "left_anti"))
+            met = [near.join(tables.shuffled(frontier.select(F.col("node_id").alias(c))), c, "left_semi").select(*near.columns) for c in ("start_node_id", "end_node_id")]
+            frontier = tables.settled(ends(met[0].unionByName(met[1])).join(tables.shuffled(known.select("node_id")), "node_id", "left_anti"))
             known = tables.settled(known.unionByName(frontier))
         cells = self.tiles.cells(self._point(known))
-        cluster = known.select(F.col("node_id").alias("start_node_id"))
+        cluster = tables.shuffled(known.select(F.col("node_id").alias("start_node_id")))
         edges = self._stored(v, "segments", cells, "id").where(short).join(cluster, "start_node_id", "left_semi")
-        place = lambda n, i: known.select(F.col("node_id").alias(n), F.col("lon").alias(f"x{i}"), F.col("lat").alias(f"y{i}"))
+        place = lambda n, i: tables.shuffled(known.select(F.col("node_id").alias(n), F.col("lon").alias(f"x{i}"), F.col("lat").alias(f"y{i}")))
         found = network.jumpers(edges).join(place("start_node_id", 0), "start_node_id").join(place("end_node_id", 1), "end_node_id")
         old = self.tiles.read(v, "jumpers", cells).join(cluster, "start_node_id", "left_semi")
         self.tiles.replace(v, "jumpers", tables.settled(self.tiles.laid_out(found)), tables.settled(self._relaid(old, ["start_node_id", "end_node_id"])), "start_node_id")

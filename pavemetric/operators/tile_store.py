@@ -75,7 +75,7 @@ class TileStore:
             return
         kept = self.read(version, name, cells)
         if removed is not None:
-            kept = kept.join(removed.select(key).distinct(), key, "left_anti")
+            kept = kept.join(tables.shuffled(removed.select(key).distinct()), key, "left_anti")
         self.write(version, name, kept.select(*added.columns).unionByName(added), cells)
 
     def read(self, version: Version, name: str, cells: set[str] | None = None) -> DataFrame:

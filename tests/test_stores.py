@@ -235,3 +235,11 @@ def test_histogram_of_the_store_is_that_of_the_samples(spark, tmp_path):
     e = ad.event_samples(spark, SF)
     store.load(hist.histogram(e), "all")
     assert sorted(map(tuple, store.histograms().collect())) == sorted(map(tuple, hist.histogram(e).collect()))
+
+
+def test_stored_maps_meet_by_key(spark):
+    """The lines of a stored map and its segments grow alike: neither is sent through the driver."""
+    from pavemetric.plans import queries as core
+
+    plan = core.QUERIES["o4_lines_by_loads"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
