@@ -82,7 +82,7 @@ class HistStore:
                     raise
 
     def _bucket(self, column: str = "segment_id"):  # noqa: ANN202
-        return F.pmod(F.xxhash64(column), F.lit(self.buckets))
+        return F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(self.buckets))  # an int has another hash
 
     def _append(self, v: Version, name: str, rows: DataFrame, keys: list[str]) -> None:
         added = rows.groupBy(*keys).agg(F.sum("n").alias("n")).where("n <> 0")
