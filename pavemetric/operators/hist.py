@@ -44,12 +44,15 @@ def size(hist: DataFrame) -> DataFrame:
 
 
 def packed(hist: DataFrame) -> DataFrame:
-    """segment_id, week and a map from packed bin to count, for export."""
-    entry = F.struct(tb.pack_bin(F.col("hour"), F.col("speed_bin")).alias("bin"), "n")
+    """segment_id, week and a map from packed bin to count, for export. Samples without a time have the bins from -1 down."""
+    number = F.coalesce(tb.pack_bin(F.col("hour"), F.col("speed_bin")), -1 - F.col("speed_bin"))
+    entry = F.struct(number.alias("bin"), "n")
     return hist.groupBy("segment_id", "week").agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("bins"))
 
 
 def unpacked(bins: DataFrame) -> DataFrame:
     """The histogram of such maps."""
     flat = bins.select("segment_id", "week", F.explode("bins").alias("bin", "n"))
-    return flat.select("segment_id", "week", tb.packed_hour(F.col("bin")).alias("hour"), tb.packed_speed_bin(F.col("bin")).alias("speed_bin"), "n")
+    timed = F.col("bin") >= 0
+    hour, speed_bin = F.when(timed, tb.packed_hour(F.col("bin"))), F.when(timed, tb.packed_speed_bin(F.col("bin"))).otherwise(-1 - F.col("bin"))
+    return flat.select("segment_id", "week", hour.alias("hour"), speed_bin.alias("speed_bin"), "n")
