@@ -20,8 +20,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def millis(ts: str) -> F.Column:
-    """The nearest epoch millisecond, halves away from zero, as the SQL's epoch_ms has it."""
-    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    """The nearest epoch millisecond, halves away from zero, as the SQL's epoch_ms has it; times without a zone are UTC's."""
+    # a cast of these to timestamp takes the session's zone, in whose gaps and overlaps it can't be taken back
+    since = (F.col(ts).cast("timestamp_ntz") - F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'")).cast("interval second").cast("decimal(20,6)")
+    us = F.when(F.typeof(ts) == "timestamp", F.unix_micros(F.col(ts).cast("timestamp"))).otherwise((since * 1_000_000).cast("long"))
     return idiv(us + F.when(us < 0, -500).otherwise(500), 1000)
 
 
