@@ -34,8 +34,8 @@ def week_start(week: Column) -> Column:
 
 
 def speed_bin(speed: Column) -> Column:
-    """km/h bin of a speed in m/s."""
-    return F.least(half_up(speed * F.lit(KMH)), F.lit(MAX_SPEED_BIN)).cast("int")
+    """km/h bin of a speed in m/s. NaN is in the last bin, as the greatest number; so is null."""
+    return half_up(F.least(speed * F.lit(KMH), F.lit(float(MAX_SPEED_BIN)))).cast("int")
 
 
 def bin_mean(speed_bin: Column, shift: float = 0.5) -> Column:
